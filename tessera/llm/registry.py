@@ -1,11 +1,15 @@
 """Queries of this subpackage by name, and their DuckDB SQL."""
 
-from . import parity_join
+from . import byte_bpe, parity_join, repetition, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op8_repetition": repetition.op8_repetition,
     "op10_parity_join": parity_join.op10_parity_join,
 }
 
 ORACLES = {
+    "op8_repetition": repetition.OP8_SQL,
     "op10_parity_join": parity_join.OP10_SQL,
 }
