@@ -1,15 +1,22 @@
 """Queries of this subpackage by name, and their DuckDB SQL."""
 
-from . import byte_bpe, parity_join, repetition, toxicity
+from . import bloom_cascade, byte_bpe, merkle, mixing, parity_join, passages, repetition, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_mixing": mixing.op2_mixing,
+    "op3_merkle": merkle.op3_merkle,
+    "op4_passages": passages.op4_passages,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op6_bloom_cascade": bloom_cascade.op6_bloom_cascade,
     "op8_repetition": repetition.op8_repetition,
     "op10_parity_join": parity_join.op10_parity_join,
 }
 
 ORACLES = {
+    "op2_mixing": mixing.OP2_SQL,
+    "op3_merkle": merkle.OP3_SQL,
+    "op6_bloom_cascade": bloom_cascade.OP6_SQL,
     "op8_repetition": repetition.OP8_SQL,
     "op10_parity_join": parity_join.OP10_SQL,
 }
