@@ -54,7 +54,7 @@ def tfidf(counts: DataFrame, df: DataFrame, documents: int | Column) -> DataFram
 def top_terms(weights: DataFrame, part: str, weight: str, n: int) -> DataFrame:
     """The n heaviest terms of each part, ranked; ties by term. Weights are compared at nine decimals."""
     order = Window.partitionBy(part).orderBy(F.desc(F.round(weight, 9)), "term")
-    return weights.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    return weights.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
 
 
 def bigram_scores(docs: DataFrame, tokens: str = "tokens", min_count: int = 10, threshold: float = 20.0) -> DataFrame:

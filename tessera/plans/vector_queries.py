@@ -187,8 +187,8 @@ def coherence_umass(spark, folder):
 
 
 @query(
-    f"""WITH {_TOPICS}, at AS (SELECT doc_id, tokens[i] AS term, i - 1 AS p, greatest(1, len(tokens) - 9) AS n FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM tok) WHERE tokens[i] IN (SELECT term FROM topics)),
-own AS (SELECT DISTINCT doc_id, term, unnest(range(greatest(0, p - 9), least(p, n - 1) + 1)) AS start FROM at),
+    f"""WITH {_TOPICS}, occ AS (SELECT doc_id, tokens[i] AS term, i - 1 AS p, greatest(1, len(tokens) - 9) AS n FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM tok) WHERE tokens[i] IN (SELECT term FROM topics)),
+own AS (SELECT DISTINCT doc_id, term, unnest(range(greatest(0, p - 9), least(p, n - 1) + 1)) AS start FROM occ),
 total AS (SELECT sum(greatest(1, len(tokens) - 9))::DOUBLE AS n FROM tok),
 c AS (SELECT x.term AS a, y.term AS b, count(*) / (SELECT n FROM total) AS p FROM own x JOIN own y ON x.doc_id = y.doc_id AND x.start = y.start GROUP BY ALL),
 s AS (SELECT i.topic, avg(ln((coalesce(c.p, 0) + 1e-12) / (d.p * e.p)) / -ln(coalesce(c.p, 0) + 1e-12)) AS v FROM topics i JOIN topics j ON i.topic = j.topic AND i.rank < j.rank
