@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def nrmse(df: DataFrame, outputs: dict[str, tuple[Column, Column, float]]) -> DataFrame:
@@ -34,7 +35,7 @@ def winners(summary: DataFrame, cell: list[str]) -> DataFrame:
     return summary.withColumn("place", F.row_number().over(order)).where("place <= 2").select(*cell, "place", "algorithm", "mean")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_tail(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or math.isnan(x) else math.erfc(abs(x) / math.sqrt(2)))
 
