@@ -76,7 +76,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     count = ids.count()
     ranges = max(1, min(MAX_RANGES, count // RANGE_DOCS))
     cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 10 * MAX_RANGES)).first()[0] or []
-    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    splits = [float("-inf"), *sorted({float(c) for c in cuts} or {0.0}), float("inf")]
     spans = Bucketizer(splits=splits, inputCol="at", outputCol="span", handleInvalid="keep")
     placed = spans.transform(docs.withColumn("at", F.col("doc_id").cast("double"))).withColumn("span", F.when(F.col("at").isNull(), -1).otherwise(F.col("span")).cast("int")).drop("at")
 
