@@ -1,13 +1,20 @@
 """N-gram Jaccard self-join by parity sketches.
 
 A document is its set of word n-grams (64-bit hashes). A parity sketch flips
-one bit per n-gram, so the Hamming distance of two sketches never exceeds the
-size of the symmetric difference of their sets. If two sets of at most ``hi``
-n-grams have Jaccard similarity t, they differ in at most 2 hi (1-t)/(1+t)
-n-grams; a sketch cut into one part more than that agrees in at least one whole
-part (pigeonhole). Parts are compared within bands of set size, so the number
-of parts follows the size; a document also appears in the next band if a
-partner there is possible. That finds every linked pair.
+bits by n-gram, so n-grams that two sets share cancel, and with one bit per
+n-gram the Hamming distance of two sketches never exceeds the size of the
+symmetric difference of their sets. If two sets of at most ``hi`` n-grams have
+Jaccard similarity t, they differ in at most 2 hi (1-t)/(1+t) n-grams; a sketch
+cut into one part more than that agrees in at least one whole part (pigeonhole).
+Parts are compared within bands of set size, so the number of parts follows the
+size; a document also appears in the next band if a partner there is possible.
+
+What is compared of a part is the XOR of its n-grams' whole hashes, which is
+equal whenever the part is. Parts of very few n-grams say little (empty ones are
+equal everywhere), so only parts of at least LEAST n-grams are keys. Many parts
+of a linked pair agree, not just one: documents of few parts are cut several
+times by independent hashes, so that a linked pair, even one right at the
+threshold, has no agreeing key with a probability below MISS.
 
 Hot groups. Equal sets collapse into one node first. A part shared by many
 nodes is a bucket; all its nodes are compared with the most central one (the
@@ -16,8 +23,7 @@ number of pairs that is linear in the group. Only buckets that still hold more
 than one component are compared in full, in blocks of bounded size, and only
 pairs of different components whose sketches allow a link leave the task. Every
 candidate is verified on exact sets. Since components are the result, pairs
-within one component need no comparison, and no link between two components is
-lost. n-grams are identified by 64 bits.
+within one component need no comparison. n-grams are identified by 64 bits.
 """
 
 from __future__ import annotations
@@ -33,8 +39,10 @@ from pyspark.sql import functions as F
 
 from . import arrow_text as at
 from .components import components
-from .runtime import stored
+from .runtime import new_path, release, remove, stored
 
+#: Least n-grams of a part that is a key (and for sketches of at most FEW parts), and the most that a linked pair may be missed.
+LEAST, LEAST_OF_FEW, FEW, MISS = 3, 2, 8, 1e-12
 #: Rows of a bucket compared in one piece; larger buckets are compared as pairs of such blocks.
 BLOCK = 1024
 
@@ -57,6 +65,23 @@ class ParityJoin:
         """Parts of a sketch in a band: one more than two linked sets can differ in."""
         return int(2 * self.bounds()[level + 1] * (100 - self.percent) / (100 + self.percent) + 1e-6) + 1
 
+    def least(self, level: int) -> int:
+        return LEAST_OF_FEW if self.pieces(level) <= FEW else LEAST
+
+    def cuts(self, level: int) -> int:
+        """Independent cuts of a sketch, so that enough parts are keys.
+
+        In a part, a linked pair right at the threshold has about x differing and
+        2 t x / (1 - t) common n-grams, with x from t squared (the least sets of a
+        band) to 1; the part is an agreeing key if none differs and enough are common.
+        """
+        t, chance = self.percent / 100, 1.0
+        for x in (t * t, 1.0):
+            rate = 2 * t * x / (1 - t) if t < 1 else 1e3
+            few = sum(math.exp(-rate) * rate**k / math.factorial(k) for k in range(LEAST))
+            chance = min(chance, math.exp(-x) * (1 - few))
+        return math.ceil(math.log(MISS) / math.log1p(-chance) / self.pieces(level))
+
     def bits(self, level: int) -> int:
         """Width of the folded sketch: four times the allowed distance, as a power of two."""
         return 1 << min(13, max(9, math.ceil(math.log2(4 * self.pieces(level)))))
@@ -78,12 +103,15 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=np.uint64)
 
 
-def _sketch(s: np.ndarray, pieces: int) -> np.ndarray:
-    """64 parity bits per part; the high half of a hash picks the part, the low six bits the bit."""
-    out = np.zeros(pieces, dtype=np.uint64)
-    part = ((s >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
-    np.bitwise_xor.at(out, part.astype(np.int64), np.uint64(1) << (s & np.uint64(63)))
-    return out
+def _keys(s: np.ndarray, level: int, pieces: int, cuts: int, least: int) -> np.ndarray:
+    """A key for each part with enough n-grams, of every cut of a set."""
+    salt = at.mix(np.arange(cuts, dtype=np.uint64) + np.uint64(level << 20))
+    part = ((at.mix(s[None, :] ^ salt[:, None]) >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
+    part = (part.astype(np.int64) + (np.arange(cuts) * pieces)[:, None]).ravel()
+    out = np.zeros(cuts * pieces, dtype=np.uint64)
+    np.bitwise_xor.at(out, part, np.tile(at.mix(s), cuts))
+    where = np.flatnonzero(np.bincount(part, minlength=len(out)) >= least)
+    return at.mix(out[where] ^ at.mix(where.astype(np.uint64) + np.uint64(level << 40)))
 
 
 def _folded(s: np.ndarray, bits: int) -> bytes:
@@ -99,7 +127,7 @@ _SKETCHED = "doc_id long, n int, s1 long, s2 long, keys array<long>, sketch bina
 def _sketcher(p: ParityJoin):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = p.bounds()
-        known: dict[int, tuple[int, int]] = {}
+        known: dict[int, tuple[int, int, int, int]] = {}
         for batch in batches:
             n, s1, s2, keys, folded = [], [], [], [], []
             for s in shingle_sets(at.text_column(batch, "text"), p.words):
@@ -111,8 +139,10 @@ def _sketcher(p: ParityJoin):
                     level = int(np.searchsorted(bounds, len(s), side="right")) - 1
                     near = len(s) >= bounds[level + 1] * p.percent / 100 * (1 - 1e-9)
                     for x in (level, level + 1)[: 1 + near]:
-                        m, bits = known.setdefault(x, (p.pieces(x), p.bits(x)))
-                        own.append(at.mix(_sketch(s, m) ^ at.mix(np.arange(m, dtype=np.uint64) + np.uint64(x << 40))))
+                        if x not in known:
+                            known[x] = p.pieces(x), p.cuts(x), p.least(x), p.bits(x)
+                        own.append(_keys(s, x, *known[x][:3]))
+                        bits = known[x][3]
                     sketch = _folded(s, bits)
                 keys.append(np.concatenate(own).view(np.int64) if own else np.zeros(0, dtype=np.int64))
                 folded.append(sketch)
@@ -259,18 +289,23 @@ def link_components(docs: DataFrame, p: ParityJoin = ParityJoin()) -> DataFrame:
     null. An empty table gives no rows. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = stored(docs.mapInArrow(_sketcher(p), _SKETCHED), "sketched")
-    members = sketched.select("doc_id", "n", "s1", "s2")
+    spark = docs.sparkSession
+    path = new_path(spark, "sketched")
+    docs.mapInArrow(_sketcher(p), _SKETCHED).write.parquet(path)
+    sketched = spark.read.schema(_SKETCHED).parquet(path)
+    members = stored(sketched.select("doc_id", "n", "s1", "s2"), "members")
     classes = members.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     classes = stored(classes, "classes")
     nodes = sketched.join(classes.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi").where("n > 0")
-    nodes = nodes.select(F.col("doc_id").alias("node"), "n", "keys", "sketch")
 
-    keyed = nodes.select(F.explode("keys").alias("key"), "node").repartition("key")
+    keyed = nodes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node")).repartition("key")
     often = keyed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
     shared = stored(keyed.join(often, "key"), "shared")
     weight = shared.groupBy("node").agg(F.sum("held").alias("weight"))
-    known = stored(nodes.select("node", "n", "sketch").join(weight, "node"), "nodes")
+    known = stored(nodes.select(F.col("doc_id").alias("node"), "n", "sketch").join(weight, "node"), "nodes")
+    del sketched, nodes, keyed, often, weight
+    remove(spark, path)  # the keys are the largest table; no later plan reads them
+    release(spark)
 
     ranked = shared.join(known.select("node", "weight"), "node")
     centre = ranked.groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("centre"))

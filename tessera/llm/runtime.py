@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,9 @@ def remove(spark: SparkSession, path: str) -> None:
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint only when the counted rows are within the bound; otherwise a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing holds any more, without waiting for its periodic collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
