@@ -293,3 +293,23 @@ def infer_rows(rows: np.ndarray, controller: Controller) -> dict[str, np.ndarray
                 levels[:, k] = np.maximum(levels[:, k], fire)
         out[o] = defuzzify(levels, controller.variables[o])
     return out
+
+
+def samples(spark: SparkSession, n: int = 400, noise: float = 0.03, test: float = 0.3, seed: int = 11) -> DataFrame:
+    """(id, inputs, hvac, dimmer, is_test): uniform states with the policy's outputs and Gaussian noise.
+
+    Draws are hashes of (seed, id), so partitions and reruns agree; the test rows
+    are the first round(n * test) in the order of another hash.
+    """
+    from ..functions.scalar import policy
+
+    def uniform(k: int) -> Column:
+        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+    v = _by_name()
+    df = spark.range(n).select("id", *((v[name].lo + uniform(k) * (v[name].hi - v[name].lo)).alias(name) for k, name in enumerate(INPUTS)))
+    normal = F.sqrt(-2.0 * F.log(uniform(5)))
+    outputs = policy(*(F.col(c) for c in INPUTS))
+    df = df.withColumn("hvac", outputs[0] + noise * 200 * normal * F.cos(2 * F.pi() * uniform(6))).withColumn("dimmer", outputs[1] + noise * 100 * normal * F.sin(2 * F.pi() * uniform(6)))
+    chosen = df.select("id").orderBy(F.xxhash64(F.lit(seed), F.lit(9), "id"), "id").limit(round(n * test)).withColumn("is_test", F.lit(True))
+    return df.join(chosen, "id", "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))

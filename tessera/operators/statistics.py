@@ -91,3 +91,26 @@ def on_grid(trace: DataFrame, grid: DataFrame, part: list[str], at: str, value:
 def band(df: DataFrame, at: str, value: str) -> DataFrame:
     """Median and interquartile band over runs at each grid point."""
     return df.groupBy(at).agg(*(F.percentile(value, F.lit(q)).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+
+
+def generations(evaluations: DataFrame, generation: str, value: str) -> DataFrame:
+    """Best, mean and best so far per generation; a generation is a row, so the window is over few."""
+    per = evaluations.groupBy(generation).agg(F.max(value).alias("best"), F.avg(value).alias("mean"))
+    return per.withColumn("best_so_far", F.max("best").over(Window.orderBy(generation).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def against_baseline(metrics: DataFrame, model: str, baseline: str, lower_is_better: tuple[str, ...] = ()) -> DataFrame:
+    """(metric, model, delta, flag) of each model's metrics (model, metric, value) against a baseline's."""
+    base = metrics.where(F.col(model) == baseline).select("metric", F.col("value").alias("base"))
+    joined = metrics.where(F.col(model) != baseline).join(base, "metric").withColumn("delta", F.col("value") - F.col("base"))
+    gain = F.when(F.col("metric").isin(*lower_is_better), -F.col("delta")).otherwise(F.col("delta")) if lower_is_better else F.col("delta")
+    flag = F.when(gain > 0, "better").when(gain < 0, "worse").otherwise("same")
+    return joined.select("metric", model, "delta", flag.alias("flag"))
+
+
+def search_verdict(best: DataFrame, search: str, control: str) -> DataFrame:
+    """One row: the difference of two strategies' best fitness (strategy, fitness) and its verdict."""
+    pick = lambda s: F.max(F.when(F.col("strategy") == s, F.col("fitness")))
+    d = F.col("delta")
+    out = best.agg((pick(search) - pick(control)).alias("delta"))
+    return out.select("delta", F.when(d > 0.005, "material").when(d > 0, "marginal").when(d == 0, "matched").otherwise("beaten").alias("verdict"))

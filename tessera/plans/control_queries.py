@@ -201,3 +201,21 @@ def encoding_cost(spark, folder):
     code = scalar.encode8(F.col("l_quantity"), 0.5, 50.5)
     out = table(spark, folder, "lineitem").select(code.alias("code")).groupBy("code").agg(F.count("*").alias("n"))
     return out.withColumn("decoded", F.round(scalar.decode8(F.col("code"), 0.5, 50.5), 6))
+
+
+@query(
+    f"""WITH {_INPUTS}, clamped AS (SELECT {", ".join(f"greatest({float(CONTROLLER.variables[n].lo)}, least({float(CONTROLLER.variables[n].hi)}, {n}))::DOUBLE AS {n}" for n in CONTROLLER.inputs)} FROM inputs),
+grid AS (SELECT 0 AS id, * FROM clamped), mu AS (SELECT *, {_FIRED}, r AS (SELECT {", ".join(f"{x} AS r{k}" for k, x in enumerate(_rule_sql()))} FROM mu)
+{" UNION ALL ".join(f"SELECT {k} AS rule, CAST(count_if(r{k} > 0) AS BIGINT) AS fired, round(max(r{k}), 6) AS strongest FROM r" for k in range(54))}"""
+)
+def fuzzy_rule_firing(spark, folder):
+    """How often, and how strongly at most, each rule fires over all line items."""
+    fired = CONTROLLER.memberships(inputs(spark, folder))
+    each = [F.struct(F.lit(k).alias("rule"), F.count_if(f > 0).cast("long").alias("fired"), F.round(F.max(f), 6).alias("strongest")) for k, f in enumerate(CONTROLLER.firing())]
+    return fired.agg(F.array(*each).alias("r")).select(F.inline("r"))
+
+
+@query()
+def synthetic_samples(spark, folder):
+    """Noisy samples of the policy with a fixed split; tested for its size and range."""
+    return Z.samples(spark)

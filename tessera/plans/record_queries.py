@@ -271,3 +271,38 @@ def first_seen_dedupe(spark, folder):
 def evidence_manifest(spark, folder):
     """Digest and size of each pinned input."""
     return table(spark, folder, "benchmark").select("item_id", T.sha256(F.col("text")).alias("digest"), T.raw_token_count(F.col("text")).alias("tokens"))
+
+
+@query(
+    """WITH g AS (SELECT day(ts) AS generation, max(value) AS best, avg(value) AS mean FROM events GROUP BY day(ts))
+SELECT generation, best, round(mean, 6) AS mean, max(best) OVER (ORDER BY generation) AS best_so_far FROM g"""
+)
+def generation_curve(spark, folder):
+    """Best, mean and best so far per generation (day)."""
+    out = S.generations(table(spark, folder, "events").select(F.dayofmonth("ts").cast("long").alias("generation"), "value"), "generation", "value")
+    return out.withColumn("mean", F.round("mean", 6))
+
+
+_METRICS = """m AS (SELECT event_type AS model, 'mean' AS metric, avg(value) AS value FROM events GROUP BY event_type
+UNION ALL SELECT event_type, 'sd', stddev_samp(value) FROM events GROUP BY event_type)"""
+
+
+@query(
+    f"""WITH {_METRICS}, j AS (SELECT m.metric, m.model, m.value - b.value AS delta FROM m JOIN m b ON b.metric = m.metric AND b.model = 'view' WHERE m.model <> 'view')
+SELECT metric, model, round(delta, 6) AS delta, CASE WHEN (metric = 'sd') = (delta < 0) AND delta <> 0 THEN 'better' WHEN delta = 0 THEN 'same' ELSE 'worse' END AS flag FROM j"""
+)
+def baseline_deltas(spark, folder):
+    """Metrics of each model against a baseline; less spread is better."""
+    e = table(spark, folder, "events").groupBy(F.col("event_type").alias("model")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    long = e.select("model", F.explode(F.create_map(F.lit("mean"), F.col("mean"), F.lit("sd"), F.col("sd"))).alias("metric", "value"))
+    return S.against_baseline(long, "model", "view", ("sd",)).withColumn("delta", F.round("delta", 6))
+
+
+@query(
+    """WITH d AS (SELECT round(max(value) FILTER (WHERE event_type = 'purchase') - max(value) FILTER (WHERE event_type = 'click'), 6) AS delta FROM events)
+SELECT delta, CASE WHEN delta > 0.005 THEN 'material' WHEN delta > 0 THEN 'marginal' WHEN delta = 0 THEN 'matched' ELSE 'beaten' END AS verdict FROM d"""
+)
+def search_verdict(spark, folder):
+    """Verdict on two strategies at an equal budget."""
+    best = table(spark, folder, "events").select(F.col("event_type").alias("strategy"), F.col("value").alias("fitness"))
+    return S.search_verdict(best, "purchase", "click").withColumn("delta", F.round("delta", 6))

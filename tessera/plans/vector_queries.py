@@ -222,3 +222,13 @@ def representative_documents(spark, folder):
     from .model_queries import representatives
 
     return representatives(counts.join(docs.select("doc_id", F.col("source").alias("topic")), "doc_id"), 5)
+
+
+PROTECTED = ("the", "ing", "tion", "der", "nonesuch")
+
+
+@query(f"WITH {_DICT} SELECT term FROM dict WHERE term IN ({', '.join(repr(p) for p in PROTECTED)})")
+def protected_survival(spark, folder):
+    """Protected terms that are in the dictionary."""
+    words = spark.range(1).select(F.explode(F.array(*map(F.lit, PROTECTED))).alias("term"))
+    return _dictionary(spark, folder).select("term").join(F.broadcast(words), "term", "left_semi")

@@ -266,3 +266,17 @@ def test_topic_models(spark, folder):
     assert all(np.isclose(s, 1) or s == 0 for s in sums) and np.isclose(sums, 1).mean() > 0.9
     clusters = catalog.QUERIES["cluster_topics"](spark, folder).toPandas().set_index("cluster").n
     assert clusters.sum() == spark.read.parquet(f"{folder}/embeddings.parquet").count() and 0 < clusters[-1] < 0.1 * clusters.sum()
+
+
+def test_samples(spark):
+    df = Z.samples(spark, 200).toPandas()
+    assert df.is_test.sum() == 60 and df.room_temp.between(14, 34).all() and df.hvac.std() > 10
+    again = Z.samples(spark, 200).toPandas()
+    assert df.sort_values("id").reset_index(drop=True).equals(again.sort_values("id").reset_index(drop=True))
+
+
+def test_fitness_of_undefined_parts():
+    from tessera.operators import topics
+
+    assert topics.fitness(math.nan, 0.5, math.nan) == pytest.approx(0.1) and topics.fitness(0.9, 1, 1) == pytest.approx(1)
+    assert topics.fitness(0.5, 0, 0) == pytest.approx(0.3)
