@@ -289,6 +289,7 @@ def test_page_text():
     assert blocks(page) == "Ti&tle\nOne two three four\nfive <6> 7\na\nb\nx\ny"
     assert blocks("<p>a<p>b</p></p>c") == "a\nb\nc" and blocks("") == "" and blocks("plain  text") == "plain text"
     assert blocks("<main><p>in</main><p>out") == "in" and blocks("<article><p>cut <b") == "cut" and blocks("<div>x &am") == "x &am"
+    assert blocks("<div id='cookiebar'>c</div><div class='commentary'>d</div><p class='mainSidebar'>e</p>") == "d"
     assert blocks("<article>a<article class='x'>b</article>c</article>") == "a\nb\nc" and blocks("<p title='>'>q</p>") == "q"
 
 
