@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import membership
 
 GRID = 501
-#: Rows of a grid temporary: 2,048 x 501 doubles are 8 MB.
-CHUNK = 2_048
+#: Rows of a grid temporary: 512 x 501 doubles are 2 MB, which stay in a core's cache.
+CHUNK = 512
 
 
 @dataclass(frozen=True)
@@ -183,12 +183,12 @@ class Controller:
 
 
 def _curve(levels: np.ndarray, curves: np.ndarray) -> np.ndarray:
-    """The aggregated curve of each row, on the grid."""
-    out = np.minimum(levels[:, :1], curves[0])
-    part = np.empty_like(out)
-    for k in range(1, len(curves)):
-        np.minimum(levels[:, k : k + 1], curves[k], out=part)
-        np.maximum(out, part, out=out)
+    """The aggregated curve of each row, on the grid; a set only touches the points of its support."""
+    out = np.zeros((len(levels), curves.shape[1]))
+    for level, curve in zip(levels.T, curves, strict=True):
+        support = np.flatnonzero(curve)
+        part = slice(support[0], support[-1] + 1)
+        np.maximum(out[:, part], np.minimum(level[:, None], curve[part]), out=out[:, part])
     return out
 
 
@@ -211,8 +211,9 @@ def defuzzify(levels: np.ndarray, v: Variable, method: str = "centroid") -> np.n
         f = _curve(levels[k : k + CHUNK], curves)
         some = f.max(axis=1) > 0
         if area is not None:
+            sums = f @ np.column_stack([moment, area])
             with np.errstate(invalid="ignore", divide="ignore"):
-                out[k : k + CHUNK] = np.where(some, (f @ moment) / (f @ area), np.nan)
+                out[k : k + CHUNK] = np.where(some, sums[:, 0] / sums[:, 1], np.nan)
         elif method == "bisector":
             cells = (f[:, 1:] + f[:, :-1]) / 2 * step
             cum = np.cumsum(cells, axis=1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, scalar
 from ..operators import fuzzy as Z
 from ..operators import statistics as S
-from ..session import table
+from ..session import spread, table
 from ._base import query
 
 CONTROLLER = Z.Controller()
@@ -19,7 +19,8 @@ _ALPHA = f"{_INPUTS}, alpha AS ({CONTROLLER.sql('inputs', KEY)})"
 
 def inputs(spark, folder):
     """Controller inputs derived from line items."""
-    return table(spark, folder, "lineitem").select(
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_suppkey")
+    return spread(lines).select(
         "l_orderkey", "l_linenumber", (14 + (F.col("l_quantity") - 1) * 20 / 49).alias("room_temp"), (F.col("l_discount") * 100).alias("activity"),
         (F.col("l_tax") * 1250).alias("daylight"), (F.col("l_suppkey") % 11 - 5).cast("double").alias("preference"),
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import text as T
 from ..operators import corpus as C
-from ..session import table
+from ..session import spread, table
 from ._base import query
 
 RANKS = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
@@ -23,7 +23,7 @@ SELECT lang, n, l[1] AS min, l[CAST(floor(n * 0.25) AS INT) + 1] AS p25, l[CAST(
 )
 def corpus_profile(spark, folder):
     """Token counts of cleaned texts of at least 20 tokens, per language."""
-    docs = table(spark, folder, "documents").select("lang", T.raw_token_count(T.collapse(F.col("text"))).alias("v")).where("v >= 20")
+    docs = spread(table(spark, folder, "documents").select("lang", "text")).select("lang", T.raw_token_count(T.collapse(F.col("text"))).alias("v")).where("v >= 20")
     return C.nearest_rank(docs, ["lang"], "v", RANKS).withColumn("mean", F.round("mean", 6))
 
 
@@ -39,7 +39,7 @@ SELECT lang, count(*) AS n, CAST(sum(length(t0)) AS BIGINT) AS raw_chars, CAST(s
 @query(_CLEAN)
 def clean_text_lengths(spark, folder):
     """Characters before and after cleaning (English rows, whose word boundaries are ASCII in both engines)."""
-    docs = table(spark, folder, "documents").where("lang = 'en'")
+    docs = spread(table(spark, folder, "documents").select("lang", "text").where("lang = 'en'"))
     return docs.groupBy("lang").agg(
         F.count("*").alias("n"), F.sum(F.char_length("text")).cast("long").alias("raw_chars"),
         F.sum(F.char_length(T.clean(F.col("text"), nfkc=False))).cast("long").alias("clean_chars"),

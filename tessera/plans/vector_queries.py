@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import vectors as V
-from ..session import table
+from ..session import spread, table
 from ._base import query
 
 #: The tables hold invented words, so the queries take a small stop list of theirs.
@@ -21,7 +21,7 @@ DF = TF + ", df AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf F
 
 def documents(spark, folder):
     """Documents with their tokens."""
-    return table(spark, folder, "documents").select("doc_id", "lang", "source", T.tokens(F.col("text"), STOP, ()).alias("tokens"))
+    return spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", T.tokens(F.col("text"), STOP, ()).alias("tokens"))
 
 
 @query(f"WITH {DF} SELECT term, df, cf FROM df")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -22,6 +22,15 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **more: str) ->
     return builder.getOrCreate()
 
 
-def table(spark: SparkSession, folder: str, name: str):
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table of a folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are cores; no change where the files already give so many.
+
+    For work that is heavy per row on small tables of one file. df must be a plain scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
