@@ -25,8 +25,8 @@ from .runtime import small_or_shuffled, stored
 
 #: A word, as a Java and as an RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hex digits of the order's hash that make a bucket: 65,536 buckets a source.
-DIGITS = 4
+#: Hex digits of the order's hash that make a bucket: 4,096 buckets a source.
+DIGITS = 3
 
 
 @dataclass(frozen=True)
