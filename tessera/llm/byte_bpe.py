@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
+
 #: Widths of the padded matrices, in bytes.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
 #: Bytes in one matrix, and pieces that a worker remembers.
@@ -265,4 +267,4 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
 
 
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_documents(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))

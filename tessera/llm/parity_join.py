@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import arrow_text as at
 from .components import components
 from .runtime import new_path, release, remove, stored
@@ -372,7 +373,7 @@ SELECT s.doc_id, s.n AS n_shingles, min(r.b) AS component_id FROM sizes s JOIN r
 
 
 def op10_parity_join(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return link_components(docs, ParityJoin(words=3, percent=90))
 
 

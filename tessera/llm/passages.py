@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from . import arrow_text as at
 from . import labelled
 from .runtime import stored
@@ -230,5 +231,5 @@ def keep_good(docs: DataFrame, model: AttentionModel) -> DataFrame:
 
 
 def op4_passages(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return score_documents(docs, learn_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from . import arrow_text as at
 
 #: n-gram length in words -> the most hundredths of a text's word characters that may lie in repeated n-grams.
@@ -128,7 +129,7 @@ def keep_passing(docs: DataFrame) -> DataFrame:
 
 
 def op8_repetition(spark, sf_dir: str) -> DataFrame:
-    return repetition_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return repetition_rules(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def _oracle() -> str:

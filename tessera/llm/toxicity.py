@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import labelled
 from .runtime import stored
 
@@ -212,7 +213,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return score_documents(docs, learn_lexicon(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
