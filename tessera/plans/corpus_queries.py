@@ -29,7 +29,7 @@ def corpus_profile(spark, folder):
 
 _HEADERS = "|".join(fixed.SECTION_HEADERS)
 _CLEAN = rf"""
-WITH a AS (SELECT lang, text AS t0, regexp_replace(replace(coalesce(text, ''), '…', '...'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g') AS t FROM documents WHERE lang = 'en'),
+WITH a AS (SELECT lang, text AS t0, regexp_replace(replace(coalesce(text, ''), '…', '...'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', ' ', 'g') AS t FROM documents),
 b AS (SELECT lang, t0, regexp_replace(t, '(?i)(©\s*\d{{4}}.*$|copyright\s+\d{{4}}.*$|all rights reserved.*$|this article is licensed under.*$|creative commons.*$)', ' ', 'g') AS t FROM a),
 c AS (SELECT lang, t0, regexp_replace(regexp_replace(regexp_replace(t, '(?i)https?://\S+|www\.\S+', ' ', 'g'), '(?i)\b(?:doi:\s*)?10\.\d{{4,9}}/\S+', ' ', 'g'), '\b[\w.+-]+@[\w-]+\.[\w.]+\b', ' ', 'g') AS t FROM b),
 e AS (SELECT lang, t0, regexp_replace(regexp_replace(regexp_replace(t, '(?i)^\s*abstract\b[\s:.–—-]*', ''), '(?i)\b({_HEADERS})\s*:\s*', '', 'g'), '\(\s*[A-Z][A-Za-z]{{1,7}}s?\s*\)', ' ', 'g') AS t FROM c)
@@ -38,8 +38,8 @@ SELECT lang, count(*) AS n, CAST(sum(length(t0)) AS BIGINT) AS raw_chars, CAST(s
 
 @query(_CLEAN)
 def clean_text_lengths(spark, folder):
-    """Characters before and after cleaning (English rows, whose word boundaries are ASCII in both engines)."""
-    docs = spread(table(spark, folder, "documents").select("lang", "text").where("lang = 'en'"))
+    """Characters before and after cleaning, per language."""
+    docs = spread(table(spark, folder, "documents").select("lang", "text"))
     return docs.groupBy("lang").agg(
         F.count("*").alias("n"), F.sum(F.char_length("text")).cast("long").alias("raw_chars"),
         F.sum(F.char_length(T.clean(F.col("text"), nfkc=False))).cast("long").alias("clean_chars"),
@@ -90,7 +90,7 @@ def time_windows(spark, folder):
 
 @query(
     r"""
-WITH d AS (SELECT coalesce(text, '') AS c FROM documents WHERE lang = 'en')
+WITH d AS (SELECT coalesce(text, '') AS c FROM documents)
 SELECT count(*) AS n, CAST(count_if(trim(c) = '') AS BIGINT) AS blank, CAST(count_if(regexp_matches(c, '(?i)^\s*abstract\b')) AS BIGINT) AS leading_abstract,
   CAST(count_if(regexp_matches(c, 'https?://')) AS BIGINT) AS with_url, CAST(count_if(regexp_matches(c, '\b[\w.+-]+@[\w-]+\.[\w.]+\b')) AS BIGINT) AS with_email,
   CAST(count_if(NOT regexp_full_match(c, '(?s)[\x00-\x7F]*')) AS BIGINT) AS non_ascii,
@@ -98,18 +98,18 @@ SELECT count(*) AS n, CAST(count_if(trim(c) = '') AS BIGINT) AS blank, CAST(coun
   count(DISTINCT c) AS distinct_texts FROM d"""
 )
 def hygiene_counts(spark, folder):
-    """Conditional counts of one pass (English rows)."""
-    return C.hygiene(table(spark, folder, "documents").where("lang = 'en'"), "text")
+    """Conditional counts of one pass."""
+    return C.hygiene(table(spark, folder, "documents"), "text")
 
 
 @query(
     r"""
-WITH k AS (SELECT trim(regexp_replace(regexp_replace(lower(string_split(coalesce(text, ''), chr(10))[1]), '[^\w\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM documents WHERE lang = 'en')
+WITH k AS (SELECT trim(regexp_replace(regexp_replace(lower(string_split(coalesce(text, ''), chr(10))[1]), '[^\p{L}\p{M}\p{Nd}\p{Pc}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM documents)
 SELECT key, count(*) AS n FROM k WHERE key <> '' GROUP BY key HAVING count(*) > 1"""
 )
 def duplicate_titles(spark, folder):
     """Title keys (first lines) that occur more than once."""
-    docs = table(spark, folder, "documents").where("lang = 'en'")
+    docs = table(spark, folder, "documents")
     return C.duplicates(docs, T.title_key(F.get(F.split("text", "\n"), F.lit(0))))
 
 
@@ -133,12 +133,12 @@ def top_k_composition(spark, folder):
 
 @query(
     r"""
-WITH d AS (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS t, trim(coalesce(array_to_string(string_split(text, chr(10))[2:], ' '), '')) AS a FROM documents WHERE lang = 'en')
+WITH d AS (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS t, trim(coalesce(array_to_string(string_split(text, chr(10))[2:], ' '), '')) AS a FROM documents)
 SELECT doc_id, CASE WHEN t = '' THEN a WHEN a = '' THEN t WHEN right(t, 1) IN ('.', '?', '!') THEN t || ' ' || a ELSE t || '. ' || a END AS text FROM d"""
 )
 def composed_text(spark, folder):
     """Title (first line) and abstract (the rest) as one text."""
-    docs = table(spark, folder, "documents").where("lang = 'en'").withColumn("lines", F.split("text", "\n"))
+    docs = table(spark, folder, "documents").withColumn("lines", F.split("text", "\n"))
     rest = F.array_join(F.slice("lines", F.lit(2), F.size("lines")), " ")
     return docs.select("doc_id", T.compose(F.get("lines", F.lit(0)), rest).alias("text"))
 

@@ -1,6 +1,7 @@
 """Comparing a Spark result with DuckDB SQL on the same tables."""
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -9,7 +10,7 @@ def rows(frame, columns):
     def plain(v):
         if hasattr(v, "tolist"):
             v = v.tolist()
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return None
         try:
             return repr(float(v) + 0.0) if not isinstance(v, bool) else str(v)
