@@ -18,7 +18,7 @@ def window_shares(rows: DataFrame, members: DataFrame, mass: str = "active") ->
     """
     n = members.groupBy("window").agg(F.count("*").alias("n"))
     sums = rows.groupBy("window", "topic").agg(F.sum("weight").alias("s"))
-    topics = rows.select("topic").distinct()
+    topics = sums.select("topic").distinct()  # from the sums, so that their exchange is reused
     grid = n.crossJoin(F.broadcast(topics)).join(sums, ["window", "topic"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     if mass == "all":
         return grid.select("window", "topic", (F.col("s") / F.col("n")).alias("share"), "n")

@@ -9,9 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exploded(docs: DataFrame, tokens: str, *keys: str) -> DataFrame:
+    """(keys, term), a row per token.
+
+    A plain explode makes Catalyst infer a filter on the array's size, which
+    computes tokens twice; the outer form with a filter on its result does not.
+    """
+    return docs.select(*keys, F.explode_outer(tokens).alias("term")).where("term is not null")
+
+
 def term_counts(docs: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
     """(key, term, tf); sums are made before the shuffle."""
-    return docs.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return exploded(docs, tokens, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -26,7 +35,7 @@ def vocabulary_stats(docs: DataFrame, tokens: str = "tokens") -> DataFrame:
     sizes = docs.select(F.lit(1).alias("g"), F.size(tokens).cast("long").alias("v"))
     stats = nearest_rank(sizes, ["g"], "v", {"median": 0.5})
     empty = sizes.agg(F.count_if(F.col("v") == 0).cast("long").alias("empty"), F.sum("v").alias("tokens"))
-    types = docs.select(F.explode(tokens).alias("term")).agg(F.count_distinct("term").alias("types"))
+    types = exploded(docs, tokens).agg(F.count_distinct("term").alias("types"))
     return stats.crossJoin(empty).crossJoin(types).select("n", "tokens", "types", "min", "median", "max", F.round("mean", 6).alias("mean"), "empty")
 
 
@@ -59,8 +68,8 @@ def top_terms(weights: DataFrame, part: str, weight: str, n: int) -> DataFrame:
 
 def bigram_scores(docs: DataFrame, tokens: str = "tokens", min_count: int = 10, threshold: float = 20.0) -> DataFrame:
     """(a, b, n, score) of adjacent pairs: (n - min_count) * types / (n_a * n_b), above the threshold."""
-    words = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("c"))
-    pairs = docs.select(F.explode(F.arrays_zip(F.col(tokens).alias("a"), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))).alias("b"))).alias("p"))
+    words = exploded(docs, tokens).groupBy("term").agg(F.count("*").alias("c"))
+    pairs = docs.select(F.explode_outer(F.arrays_zip(F.col(tokens).alias("a"), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))).alias("b"))).alias("p"))
     pairs = pairs.select("p.a", "p.b").where("b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > min_count)
     types = words.agg(F.count("*").alias("types"))
     left, right = words.select(F.col("term").alias("a"), F.col("c").alias("ca")), words.select(F.col("term").alias("b"), F.col("c").alias("cb"))
@@ -101,7 +110,7 @@ def learn_phrases(docs: DataFrame, tokens: str = "tokens", min_count: int = 10,
 
 def cooccurrence(docs: DataFrame, terms: DataFrame, least: int, tokens: str = "tokens") -> DataFrame:
     """(a, b, n) of term pairs a < b in at least so many documents; terms (a few rows) bound the pairs of a document."""
-    own = docs.select("doc_id", F.explode(F.array_distinct(tokens)).alias("term")).join(F.broadcast(terms.select("term")), "term", "left_semi")
+    own = docs.select("doc_id", F.explode_outer(F.array_distinct(tokens)).alias("term")).join(F.broadcast(terms.select("term")), "term", "left_semi")
     sets = own.groupBy("doc_id").agg(F.sort_array(F.collect_set("term")).alias("t"))
     pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return sets.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -115,7 +124,7 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def class_tfidf(docs: DataFrame, part: str, n: int = 10, tokens: str = "tokens") -> DataFrame:
     """(part, term, weight, rank): tf in the class * ln(1 + mean tokens per class / occurrences of the term)."""
-    tf = docs.where(F.col(part).isNotNull()).select(part, F.explode(tokens).alias("term")).groupBy(part, "term").agg(F.count("*").alias("tf"))
+    tf = exploded(docs.where(F.col(part).isNotNull()), tokens, part).groupBy(part, "term").agg(F.count("*").alias("tf"))
     mean = tf.agg((F.sum("tf") / F.count_distinct(part)).alias("mean"))
     total = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     weighed = tf.join(total, "term").crossJoin(F.broadcast(mean)).withColumn("weight", F.col("tf") * F.log(1 + F.col("mean") / F.col("f")))
