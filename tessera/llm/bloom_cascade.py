@@ -108,13 +108,14 @@ def build_cascade(spark: SparkSession, listed: Sequence[str], universe: DataFram
         raise ValueError(f"{len(names)} listed keys; at most {MAX_LISTED} fit in one cascade")
     if not names:
         return Cascade(())
-    inside = spark.range(1).select(F.explode(F.array(*map(F.lit, names))).alias("key"))
+    # both sides have about as many keys as are listed, so one partition holds them and needs no exchange
+    inside = spark.range(0, 1, 1, 1).select(F.explode(F.array(*map(F.lit, names))).alias("key"))
     others = universe.where(F.col("key").isNotNull())
     distinct = max(1, others.agg(F.approx_count_distinct("key")).first()[0])
     per_key = 1.44 * math.log2(max(4.0, 1.5 * distinct / len(names)))
     levels = [build_bloom(inside, len(names), per_key, seed * MAX_LEVELS)]
     # what passes level 0 is about as many keys as are listed, however large the universe is
-    outside = others.where(levels[0].has(F.col("key"))).distinct().join(F.broadcast(inside), "key", "left_anti").cache()
+    outside = others.where(levels[0].has(F.col("key"))).distinct().coalesce(1).join(F.broadcast(inside), "key", "left_anti").cache()
     sides, count = [inside, outside], [len(names), outside.count()]
     while count[len(levels) % 2]:
         depth = len(levels)
