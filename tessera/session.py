@@ -34,3 +34,24 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to Python workers that would not find it, once per context.
+
+    Workers find it by PYTHONPATH or their working folder; elsewhere it goes out
+    as a zip file through Spark's own file server.
+    """
+    import os
+    import shutil
+    import tempfile
+
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    context = spark.sparkContext
+    near = [os.path.abspath(p) for p in (os.environ.get("PYTHONPATH", "").split(os.pathsep) + [os.getcwd()]) if p]
+    if root in near or getattr(context, "_tessera_shipped", False):
+        return
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera"), "zip", root, os.path.basename(package))
+    context.addPyFile(made)
+    context._tessera_shipped = True
