@@ -268,6 +268,15 @@ def test_topic_models(spark, folder):
     assert clusters.sum() == spark.read.parquet(f"{folder}/embeddings.parquet").count() and 0 < clusters[-1] < 0.1 * clusters.sum()
 
 
+def test_topic_models_see_every_eligible_term(spark, folder):
+    from tessera.operators import vectors as V
+    from tessera.plans import model_queries, vector_queries
+
+    _, n, vocab, _ = model_queries._vectors(spark, folder)
+    eligible = V.document_frequency(vector_queries.documents(spark, folder)).where((F.col("df") >= 5) & (F.col("df") <= 0.5 * n)).count()
+    assert vocab.count() == eligible > 1000
+
+
 def test_samples(spark):
     df = Z.samples(spark, 200).toPandas()
     assert df.is_test.sum() == 60 and df.room_temp.between(14, 34).all() and df.hvac.std() > 10
