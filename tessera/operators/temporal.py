@@ -45,15 +45,21 @@ def trends(shares: DataFrame, index: str, least: int = 30) -> DataFrame:
 
 
 def bootstrap_change(rows: DataFrame, first: str, last: str, draws: int = 2000, seed: int = 7) -> DataFrame:
-    """(topic, low, high): 95 % interval of the change in mean weight, by a Poisson bootstrap.
+    """(topic, low, high): 95 % interval of the change in mean weight over active documents, by a Poisson bootstrap.
 
     Every (document, draw) has a weight from a hash, so partitions do not matter;
-    sums are made before the shuffle.
+    sums are made before the shuffle. A topic's mean is over all documents of the
+    window with any weight, also those without the topic; a draw that takes no
+    document of a window has no change.
     """
     spark = rows.sparkSession
-    grid = rows.where(F.col("window").isin(first, last)).crossJoin(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw")))
+    active = rows.where(F.col("window").isin(first, last) & (F.col("weight") > 0))
+    grid = F.broadcast(spark.range(draws).withColumnRenamed("id", "draw"))
     u = (F.pmod(F.xxhash64("doc_id", "draw", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     times = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.9196986, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
-    means = grid.withColumn("k", times).groupBy("topic", "draw", "window").agg((F.sum(F.col("k") * F.col("weight")) / F.sum("k")).alias("m"))
+    taken = active.select("window", "doc_id").distinct().crossJoin(grid).groupBy("window", "draw").agg(F.sum(times).alias("n"))
+    sums = active.crossJoin(grid).groupBy("topic", "draw", "window").agg(F.sum(times * F.col("weight")).alias("s"))
+    topics = active.select("topic").distinct()
+    means = taken.where("n > 0").crossJoin(topics).join(sums, ["topic", "draw", "window"], "left").withColumn("m", F.coalesce("s", F.lit(0.0)) / F.col("n"))
     wide = means.groupBy("topic", "draw").pivot("window", [first, last]).agg(F.first("m"))
     return wide.groupBy("topic").agg(*(F.percentile(F.col(last) - F.col(first), F.lit(q)).alias(n) for n, q in (("low", 0.025), ("high", 0.975))))

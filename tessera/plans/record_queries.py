@@ -62,7 +62,7 @@ def topic_trends(spark, folder):
 def share_change_interval(spark, folder):
     """Bootstrap interval of the change in mean share; tested for coverage and reruns."""
     rows, _ = _mass(spark, folder)
-    return P.bootstrap_change(rows.withColumn("window", F.col("window").cast("string")), "0", "2", draws=20)
+    return P.bootstrap_change(rows.withColumn("window", F.col("window").cast("string")), "0", "2")
 
 
 _R = "ratings AS (SELECT user_id AS item, event_type AS rater, 1 + CAST(floor(value) AS BIGINT) % 5 AS rating FROM events WHERE value IS NOT NULL)"

@@ -148,6 +148,20 @@ def test_bootstrap_interval_holds_the_change(spark, folder):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again)) and all(r["low"] <= r["high"] for r in rows)
 
 
+def test_bootstrap_means_are_over_all_active_documents(spark, folder, monkeypatch):
+    from tessera.plans import record_queries
+
+    # topic a has all the weight of a tenth of the documents in window 0 and of a half in window 2
+    rows = [(w, f"{w}{k}", "a" if k < n else "b", 1.0) for w, n in (("0", 20), ("2", 100)) for k in range(200)]
+    df = spark.createDataFrame(rows, "window string, doc_id string, topic string, weight double")
+    got = {r["topic"]: (r["low"], r["high"]) for r in P.bootstrap_change(df, "0", "2", draws=400).collect()}
+    assert got["a"] == pytest.approx((0.4 - 0.08, 0.4 + 0.08), abs=0.02) and got["b"] == pytest.approx((-0.48, -0.32), abs=0.02)
+    seen = {}
+    monkeypatch.setattr(P, "bootstrap_change", lambda rows, first, last, draws=2000, seed=7: seen.update(draws=draws))
+    record_queries.share_change_interval(spark, folder)
+    assert seen == {"draws": 2000}
+
+
 def test_rank_test_and_holm(spark):
     runs = spark.createDataFrame([("c", "a", float(v)) for v in range(15, 30)] + [("c", "b", float(v)) for v in range(15)], "cell string, algorithm string, value double")
     r = ST.mann_whitney(runs, ["cell"]).first()
