@@ -305,6 +305,15 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert len(got) == len(rows) and style_tree.extract_text(page_table(spark, [])).count() == 0
 
 
+def test_declared_articles_stay_whole_on_any_host(spark):
+    # one heading on most pages of a host, different bodies: of low importance by its entropy
+    page = lambda k: f"<div class='top'>Hello</div><article><h1>{'Daily report' if k < 180 else f'Report {k}'}</h1><p>Body {k}</p></article>"
+    rows = [(k, f"http://hot.org/{k}", page(k)) for k in range(200)] + [(500 + k, f"http://hot.org/x{k}", f"<div class='top'>Hello</div><p>Plain {k}</p>") for k in range(20)]
+    got = {r["page_id"]: r["text"] for r in style_tree.extract_text(page_table(spark, rows)).collect()}
+    assert all(got[k] == f"{'Daily report' if k < 180 else f'Report {k}'}\nBody {k}" for k in range(200))
+    assert all(got[500 + k] == f"Plain {k}" for k in range(20))  # where no article is declared, the template still goes
+
+
 def test_importance_is_normalised_entropy(spark):
     parsed = spark.createDataFrame(
         [("h", p, [(1, 5, p % c)]) for c in (2,) for p in range(12)], "host string, page long, nodes array<struct<path: bigint, style: bigint, content: bigint>>"
