@@ -78,34 +78,57 @@ def bigram_scores(docs: DataFrame, tokens: str = "tokens", min_count: int = 10,
     return scored.withColumn("score", score).where(F.col("score") > threshold).select("a", "b", "n", "score")
 
 
+def _fold(row, known):
+    if row is None:
+        return None
+    out, k, row = [], 0, list(row)
+    while k < len(row):
+        if k + 1 < len(row) and (row[k], row[k + 1]) in known:
+            out.append(f"{row[k]}_{row[k + 1]}")
+            k += 2
+        else:
+            out.append(row[k])
+            k += 1
+    return out
+
+
 def apply_phrases(tokens: Column, phrases: Iterable[tuple[str, str]]) -> Column:
     """Joins phrase pairs from left to right, each token at most once; the phrase set is a fitted model."""
     known = frozenset(phrases)
 
     @F.pandas_udf("array<string>")
     def fold(rows: pd.Series) -> pd.Series:
-        def one(row):
-            if row is None:
-                return None
-            out, k, row = [], 0, list(row)
-            while k < len(row):
-                if k + 1 < len(row) and (row[k], row[k + 1]) in known:
-                    out.append(f"{row[k]}_{row[k + 1]}")
-                    k += 2
-                else:
-                    out.append(row[k])
-                    k += 1
-            return out
-
-        return rows.map(one)
+        return rows.map(lambda row: _fold(row, known))
 
     return fold(tokens)
 
 
-def learn_phrases(docs: DataFrame, tokens: str = "tokens", min_count: int = 10, threshold: float = 20.0, most: int = 200_000) -> list[tuple[str, str]]:
-    """The phrase model: pairs above the threshold, the best ``most`` of them."""
-    rows = bigram_scores(docs, tokens, min_count, threshold).orderBy(F.desc("score"), "a", "b").limit(most).collect()
-    return [(r["a"], r["b"]) for r in rows]
+def learn_phrases(docs: DataFrame, tokens: str = "tokens", min_count: int = 10, threshold: float = 20.0) -> DataFrame:
+    """The phrase model (a, b): every pair above the thresholds."""
+    return bigram_scores(docs, tokens, min_count, threshold).select("a", "b")
+
+
+def join_phrases(docs: DataFrame, phrases: DataFrame, tokens: str = "tokens", key: str = "doc_id", small: int = 200_000) -> DataFrame:
+    """docs with phrase pairs (a, b) joined as by apply_phrases, whatever the number of phrases.
+
+    Up to ``small`` phrases go to every task as a set. More are joined to the
+    distinct adjacent pairs of each key, and a row is folded with the phrases of its
+    key; those of other rows of a repeated key are phrases too, so they do no harm.
+    """
+    phrases = phrases.select("a", "b")
+    few = phrases.limit(small + 1).collect()
+    if len(few) <= small:
+        return docs.withColumn(tokens, apply_phrases(F.col(tokens), [(r["a"], r["b"]) for r in few]))
+
+    @F.pandas_udf("array<string>")
+    def fold(rows: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([_fold(row, frozenset() if pairs is None else {tuple(p) for p in pairs}) for row, pairs in zip(rows, own, strict=True)], dtype=object)
+
+    pairs = docs.select(key, F.explode_outer(F.arrays_zip(F.col(tokens).alias("a"), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))).alias("b"))).alias("p"))
+    pairs = pairs.select(key, "p.a", "p.b").where("b is not null").distinct().join(phrases, ["a", "b"], "left_semi")
+    own = pairs.groupBy(F.col(key).alias("__key")).agg(F.collect_list(F.array("a", "b")).alias("__own"))
+    joined = docs.join(own, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return joined.withColumn(tokens, fold(F.col(tokens), F.col("__own"))).select(*docs.columns)
 
 
 def cooccurrence(docs: DataFrame, terms: DataFrame, least: int, tokens: str = "tokens") -> DataFrame:

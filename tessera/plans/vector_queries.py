@@ -92,8 +92,8 @@ def bigram_scores(spark, folder):
 def phrase_apply(spark, folder):
     """Tokens with bigrams, then phrases of up to three words, joined; tested against a plain fold."""
     docs = documents(spark, folder)
-    two = docs.withColumn("tokens", V.apply_phrases(F.col("tokens"), V.learn_phrases(docs)))
-    three = two.withColumn("tokens", V.apply_phrases(F.col("tokens"), V.learn_phrases(two)))
+    two = V.join_phrases(docs, V.learn_phrases(docs))
+    three = V.join_phrases(two, V.learn_phrases(two))
     return three.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join(F.filter("tokens", lambda t: F.contains(t, F.lit("_"))), " ").alias("phrases"))
 
 

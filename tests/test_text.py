@@ -113,5 +113,31 @@ def test_phrases(spark):
     assert got == [["x", "deep_learn", "net", "deep"], [], None]
 
 
+def test_no_phrase_is_left_out(spark):
+    import random
+
+    from tessera.operators import vectors as V
+
+    rng = random.Random(5)
+    rows = [(k // 2, [rng.choice("abcdefgh") for _ in range(rng.randrange(12))]) for k in range(200)] + [(None, ["a", "b", "c", "d"]), (900, None), (901, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+    phrases = V.learn_phrases(docs, min_count=10, threshold=0.002)
+    known = {(r["a"], r["b"]) for r in phrases.collect()}
+    assert 5 < len(known) < 64
+
+    def fold(row):
+        out, k = [], 0
+        while k < len(row or ()):
+            n = 2 if tuple(row[k : k + 2]) in known else 1
+            out.append("_".join(row[k : k + n]))
+            k += n
+        return None if row is None else out
+
+    want = sorted((repr(i), repr(fold(t))) for i, t in rows)
+    for small in (0, len(known) - 1, len(known)):  # beyond the bound all phrases are joined, too
+        got = V.join_phrases(docs, phrases, small=small)
+        assert got.columns == docs.columns and sorted((repr(r["doc_id"]), repr(r["tokens"])) for r in got.collect()) == want
+
+
 def test_method_pattern_is_python_compatible():
     assert re.search(T.METHOD.replace("(?i)", ""), "deep learning")
