@@ -291,6 +291,30 @@ def test_topic_models_see_every_eligible_term(spark, folder):
     assert vocab.count() == eligible > 1000
 
 
+def test_optimisers_are_registered_whole(spark, folder, monkeypatch):
+    from tessera.plans import control_queries, model_queries
+
+    whole, seen = S.experiment, {}
+
+    def experiment(spark, dims=(2, 10), runs=15, per_dim=10_000):
+        seen.update(dims=dims, runs=runs, per_dim=per_dim)
+        return whole(spark, dims, runs, per_dim).limit(0)
+
+    monkeypatch.setattr(S, "experiment", experiment)
+    model_queries.optimiser_grid(spark, folder)
+    assert seen == {"dims": (2, 10), "runs": 15, "per_dim": 10_000}
+
+    def tune(samples, population=30, generations=20):
+        seen.update(population=population, generations=generations, states=samples.select(*Z.INPUTS).distinct().count(), preferences=samples.select("preference").distinct().count())
+        return None, [0.0]
+
+    monkeypatch.setattr(S, "tune_memberships", tune)
+    model_queries.membership_tuning(spark, folder)
+    inputs = control_queries.inputs(spark, folder)
+    assert (seen["population"], seen["generations"]) == (30, 20) and seen["preferences"] == inputs.select("preference").distinct().count() > 1
+    assert seen["states"] == inputs.select(*Z.INPUTS).distinct().count()
+
+
 def test_samples(spark):
     df = Z.samples(spark, 200).toPandas()
     assert df.is_test.sum() == 60 and df.room_temp.between(14, 34).all() and df.hvac.std() > 10
