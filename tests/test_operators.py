@@ -315,6 +315,40 @@ def test_optimisers_are_registered_whole(spark, folder, monkeypatch):
     assert seen["states"] == inputs.select(*Z.INPUTS).distinct().count()
 
 
+def test_topic_models_are_registered_whole(spark, folder, monkeypatch):
+    from tessera.operators import topics
+    from tessera.plans import model_queries as Q
+
+    class Stop(Exception):
+        pass
+
+    fits, searches = [], []
+
+    def fit(vectors, p, documents):
+        fits.append(p)
+        raise Stop
+
+    def many(vectors, params, documents, **more):
+        fits.extend(params)
+        raise Stop
+
+    def run_ga(evaluate, space=S.Space(), p=S.GaParams()):
+        searches.append((space, p))
+        evaluate([S.Genome(7, 0.1, 0.2)])
+
+    monkeypatch.setattr(topics, "fit_lda", fit)
+    monkeypatch.setattr(topics, "fit_many", many)
+    monkeypatch.setattr(S, "run_ga", run_ga)
+    for f, count in ((Q.lda_topics, 1), (Q.lda_doc_topics, 1), (Q.stability_matched_jaccard, 3), (Q.lda_sweep, 8), (Q.topic_search, 3)):
+        fits.clear()
+        with pytest.raises(Stop):
+            f(spark, folder)
+        assert len(fits) == count and all(p.passes == topics.LdaParams(2).passes == 10 for p in fits)
+        if f is Q.lda_sweep:
+            assert [p.k for p in fits] == [5, 10, 15, 20, 25, 30, 35, 40]
+    assert len({p.seed for p in fits}) == 3 and searches == [(S.Space(), S.GaParams())]
+
+
 def test_samples(spark):
     df = Z.samples(spark, 200).toPandas()
     assert df.is_test.sum() == 60 and df.room_temp.between(14, 34).all() and df.hvac.std() > 10
