@@ -72,21 +72,25 @@ def _fold(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[*frame.columns.drop("component"), "sources"])
 
 
-def merge_exact(df: DataFrame, rounds: int = 40) -> DataFrame:
+def merge_exact(df: DataFrame) -> DataFrame:
     """The order-dependent merge, exactly.
 
     df has record_id, batch, ordinal, doi_key, title_key, abstract, venue, doi,
     url, source. Components over shared keys only bound who can meet; inside
     each, records are folded in order. Keys are joined to the least id of their
     records, so building components gathers no group; the fold's input is one
-    real-world entity. Blank keys make no edge.
+    real-world entity. Blank keys make no edge. Labels only fall and rounds go on
+    until none does; a record also takes the label of the record that its label
+    names, so a chain needs far fewer rounds than it has links.
     """
     keys = df.select("record_id", F.explode(F.array(F.concat(F.lit("d:"), F.nullif("doi_key", F.lit(""))), F.concat(F.lit("t:"), F.nullif("title_key", F.lit(""))))).alias("k")).where("k is not null")
     labels = df.select("record_id", F.col("record_id").alias("component"))
-    for _ in range(rounds):
+    while True:
         least = keys.join(labels, "record_id").groupBy("k").agg(F.min("component").alias("m"))
         lower = keys.join(least, "k").groupBy("record_id").agg(F.min("m").alias("m"))
         new = labels.join(lower, "record_id", "left").select("record_id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
+        named = new.select(F.col("record_id").alias("component"), F.col("component").alias("next")).distinct()
+        new = new.join(named, "component", "left").select("record_id", F.least("component", F.coalesce("next", "component")).alias("component"), "old")
         new = new.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else new.persist()
         changed = new.where("component <> old").limit(1).count()
         labels = new.select("record_id", "component")

@@ -195,6 +195,14 @@ def test_exact_merge_equals_a_loop(spark):
     assert got == sorted((a, b, tuple(c)) for a, b, c in out)
 
 
+def test_exact_merge_follows_long_chains(spark):
+    # alternating shared keys: 2i and 2i + 1 share a DOI, 2i - 1 and 2i a title; titles of merged records are not indexed
+    rows = [(f"r{k:03d}", 0, k, f"10/{k // 2}", f"t{(k + 1) // 2}", "", "", "", "", f"s{k % 2}") for k in range(120)]
+    df = spark.createDataFrame(rows, "record_id string, batch int, ordinal int, doi_key string, title_key string, abstract string, venue string, doi string, url string, source string")
+    got = sorted((r["record_id"], r["sources"]) for r in M.merge_exact(df).collect())
+    assert got == [(f"r{k:03d}", ["s0", "s1"]) for k in range(0, 120, 2)]
+
+
 def test_enrich_and_first(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
     assert sorted(map(tuple, M.enrich(a, spark.createDataFrame([(2, "z")], "k int, v string"), "k").collect())) == [(1, "x"), (2, "z")]
