@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join with at most so many rows (and narrow columns) may be broadcast.
+#: A side of a join of at most so many bytes may be broadcast; with narrow rows of a few numbers that is so many rows.
+BROADCAST_BYTES = 8 << 20
 BROADCAST_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, in local mode only: on a cluster that would scatter tables over machines."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

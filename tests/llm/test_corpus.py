@@ -278,7 +278,8 @@ def test_segments_and_chunks():
 
 
 def blocks(html):
-    return "\n".join(t for _, t in style_tree.parse(html)[0])
+    """Text of a page of which nothing but the page itself is known."""
+    return "\n".join(t for _, t, kind in style_tree.parse(html)[0] if kind != style_tree.CLOSED)
 
 
 def test_page_text():
@@ -293,14 +294,100 @@ def test_page_text():
     assert blocks("<article>a<article class='x'>b</article>c</article>") == "a\nb\nc" and blocks("<p title='>'>q</p>") == "q"
 
 
+def brute_texts(rows, tree=True):
+    """Texts by plain loops over pages and hosts, from the blocks of parse(); without the tree no node is cut by it."""
+    import math
+    import re
+
+    S = style_tree
+    pages, seen = [], {}
+    for _, url, html in rows:
+        found = re.search(r"://([^/?#]*)", url or "")
+        host = (found[1] if found else "").lower()
+        parts, children = S.parse(html or "")
+        pages.append((host, parts))
+        seen[host, "\n".join(t for _, t, _ in parts)] = (host, parts, children)
+    contents, styles = defaultdict(list), defaultdict(list)
+    for host, parts, children in seen.values():
+        own = defaultdict(list)
+        for path, text, kind in parts:
+            if kind != S.ARTICLE:
+                own[path, kind].append(text)
+        for node, texts in own.items():
+            contents[host, node].append("\n".join(texts))
+            contents[None, node].append("\n".join(texts))
+        for path in {x for p, _ in own for x in S.above(p)}:
+            labels = children.get(path, [])
+            styles[host, path].append([x for k, x in enumerate(labels) if not k or x != labels[k - 1]])
+
+    def even(values):
+        counts, m = defaultdict(int), len(values)
+        for v in values:
+            counts[str(v)] += 1
+        return 1.0 if m < 2 else -sum(c / m * math.log(c / m) for c in counts.values()) / math.log(m)
+
+    def importance(host, node):
+        a, b = (min(len(contents[h, node]) - 1, S.EVIDENCE) for h in (host, None))
+        content = (a * even(contents[host, node]) + b * even(contents[None, node]) + 1) / (a + b + 1)
+        around = S.above(node[0])
+        style = sum(even(styles[host, x]) for x in around) / len(around) if around else 1.0
+        return S.PRESENTATION * style + (1 - S.PRESENTATION) * content
+
+    known, out = {}, []
+    for host, parts in pages:
+        text = []
+        for path, t, kind in parts:
+            node = (path, kind)
+            if kind != S.ARTICLE and (host, node) not in known:
+                value = importance(host, node)
+                low = value < (S.LEAST_CLOSED if kind == S.CLOSED else S.LEAST)
+                known[host, node] = tree and low or not low and kind == S.CLOSED
+            if kind == S.ARTICLE or not known[host, node]:
+                text.append(t)
+        out.append("\n".join(text))
+    return out
+
+
+def test_the_tree_decides_the_text_of_most_pages(spark):
+    """On sf0.1 every text equals the brute-force twin's, and without the tree most pages would keep boilerplate."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html")
+    rows = [tuple(r) for r in pages.orderBy("page_id").collect()]
+    got = [r["text"] for r in style_tree.extract_text(pages).orderBy("page_id").collect()]
+    assert got == brute_texts(rows)
+    assert sum(a != b for a, b in zip(got, brute_texts(rows, tree=False), strict=True)) > len(rows) / 2
+
+
+def page_rows():
+    """Hosts of many, few, equal and near pages, with and without articles; hard pages."""
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    rows, menu = [], [say(3) for _ in range(3)]
+    for k in range(160):
+        host = ["a.org", "b.org", "c.org", "d.org", f"lone{k}.org"][min(4, rng.randrange(12) // 2)]
+        body = f"<h1>{rng.choice(['Daily', say(2)])}</h1><p>{say(9)}</p><p>{say(4)}<div class='box'><span>{rng.choice(menu)}</span></div>"
+        body = f"<article>{body}</article>" if k % 3 == 0 else f"<main>{body}</main>" if k % 3 == 1 else body
+        rows.append((k, f"http://{host}/{k}", f"<nav><ul><li>{rng.choice(menu)}<li>x</ul></nav><div class='top'>Hi</div>{body}<div class='comments'><p>{say(5)}</div><footer>{host}</footer>"))
+    rows += [(900, None, None), (901, None, ""), (902, "no scheme", "plain"), (903, "http://a.org/", "<p>" + "x" * 400_000), (904, "http://a.org/", "<div>t" * 2000 + "deep"), rows[5], rows[5]]
+    return rows
+
+
+def test_texts_equal_the_twin(spark, monkeypatch):
+    rows = page_rows()
+    want = sorted(zip([r[0] for r in rows], brute_texts(rows), strict=True))
+    key = lambda out: sorted((r["page_id"], r["text"]) for r in out.collect())
+    assert key(style_tree.extract_text(page_table(spark, rows))) == want
+    monkeypatch.setattr(style_tree, "BROADCAST_BYTES", 0)  # the salted join
+    assert key(style_tree.extract_text(page_table(spark, rows).repartition(5))) == want
+
+
 def test_style_tree_drops_what_a_site_repeats(spark):
     rows = [(k, f"http://s{k % 2}.org/{k}", f"<div class='top'>Welcome to site {k % 2}</div><div class='body'><p>Text number {k}</p><p>and more {k * k}</p></div><div class='end'>All the same</div>") for k in range(40)]
-    rows += [(100, "http://lone.org/1", "<div class='top'>Welcome</div><p>x</p>"), (101, None, None), (102, "http://s0.org/9", "<div class='end'>All the same</div>")]
+    rows += [(100, "http://lone.org/1", "<div class='top'>Welcome to site 0</div><p>x</p>"), (101, None, None), (102, "http://s0.org/9", "<div class='end'>All the same</div>")]
     rows += [(200 + k, "http://copies.org/", "<div><p>one and the same page</p></div>") for k in range(20)]
     got = {r["page_id"]: r for r in style_tree.extract_text(page_table(spark, rows)).collect()}
     assert all(got[k]["text"] == f"Text number {k}\nand more {k * k}" for k in range(40))
-    assert got[100]["text"] == "Welcome\nx" and got[101]["text"] == "" and got[101]["n_chars"] == 0
-    assert got[102]["text"] == "All the same"  # a page never loses all its blocks
+    assert got[100]["text"] == "x" and got[101]["text"] == "" and got[101]["n_chars"] == 0  # the single page of a host goes by what other hosts show
+    assert got[102]["text"] == ""  # nothing but template
     assert all(got[200 + k]["text"] == "one and the same page" for k in range(20))  # copies are one page
     assert len(got) == len(rows) and style_tree.extract_text(page_table(spark, [])).count() == 0
 
@@ -314,14 +401,6 @@ def test_declared_articles_stay_whole_on_any_host(spark):
     assert all(got[500 + k] == f"Plain {k}" for k in range(20))  # where no article is declared, the template still goes
 
 
-def test_importance_is_normalised_entropy(spark):
-    parsed = spark.createDataFrame(
-        [("h", p, [(1, 5, p % c)]) for c in (2,) for p in range(12)], "host string, page long, nodes array<struct<path: bigint, style: bigint, content: bigint>>"
-    )
-    r = style_tree.node_importance(parsed).first()
-    assert r["importance"] == pytest.approx((1 - style_tree.PRESENTATION) * style_tree.entropy([6, 6]))
-
-
 def test_pipeline(spark, folder):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and corpus_pipeline.ORACLE_SQL is None
