@@ -1,55 +1,58 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and clauses.
 
-Sections are parted by blank lines, paragraphs are lines, clauses end with
-punctuation or after 64 characters. A paragraph's hash is the SHA-256 of its text, a section's that of
-its paragraphs' hashes, the root that of the sections' hashes. A fingerprint is
-the root followed by short clause hashes, with ``,`` between clauses, ``;`` between
-paragraphs and ``/`` between sections. Equal roots mean equal texts; differing
-branches locate an edit; the share of common clauses is the likeness.
+A text is cut at two line breaks into sections, a section at one into paragraphs;
+both cuts can be undone, so the parts and their order are the text. A paragraph's
+hash is the SHA-256 of its bytes, a section's that of its paragraphs' hashes, the
+root that of the sections' hashes: equal roots mean equal texts, up to collisions of
+SHA-256. Below paragraphs are clauses, which cover every character: up to 64
+characters with the marks after them, or marks alone.
+
+A fingerprint is ``root/section:paragraph=clause,clause;paragraph=.../section:...``
+with hashes cut to SHORT and, for clauses, TINY hex digits. Two fingerprints are
+compared from the top: equal branches are skipped, and the first differing section,
+paragraph in it and clause in that locate an edit. The share of common clauses is
+the likeness.
 
 DataFrame operations only.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import stored
 
-SECTION = r"\n[ \t\r\x0B\x0C]*\n"
-CLAUSE = r"[^.!?,;:|]{1,64}[.!?,;:|]*"
-#: Hex digits of a clause's hash.
-SHORT = 8
-#: Documents of a range of ids, and the most ranges.
-RANGE_DOCS, MAX_RANGES = 500, 4096
+MARKS = ".!?,;:|"
+CLAUSE = rf"[^{MARKS}]{{1,64}}[{MARKS}]*|[{MARKS}]+"
+#: Hex digits of a section's or paragraph's hash in a fingerprint, and of a clause's.
+SHORT, TINY = 16, 8
+#: Ids of a range that one task orders; rows of two numbers.
+RANGE_IDS = 1_000_000
 
 
-def _paragraphs(section: Column) -> Column:
-    return F.split(section, "\n")
+def tree(text: Column) -> Column:
+    """Array of sections: struct(hash, paragraphs: array of struct(hash, clauses))."""
+    clauses = lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"({CLAUSE})")), lambda c: F.substring(F.md5(c.cast("binary")), 1, TINY))
+    paragraph = lambda p: F.struct(F.sha2(p, 256).alias("hash"), clauses(p).alias("clauses"))
+    parts = F.transform(F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), paragraph))
+    return F.transform(parts, lambda ps: F.struct(F.sha2(F.array_join(ps["hash"], ""), 256).alias("hash"), ps.alias("paragraphs")))
 
 
-def root(text: Column) -> Column:
-    """SHA-256 root of the tree over a text."""
-    section = lambda s: F.sha2(F.array_join(F.transform(_paragraphs(s), lambda p: F.sha2(p, 256)), ""), 256)
-    return F.sha2(F.array_join(F.transform(F.split(text, SECTION), section), ""), 256)
+def root(sections: Column) -> Column:
+    return F.sha2(F.array_join(sections["hash"], ""), 256)
 
 
-def branches(text: Column) -> Column:
-    """Array of sections, of paragraphs, of clause hashes."""
-    clauses = lambda p: F.transform(F.regexp_extract_all(p, F.lit(f"({CLAUSE})")), lambda c: F.substring(F.md5(c.cast("binary")), 1, SHORT))
-    return F.transform(F.split(text, SECTION), lambda s: F.transform(_paragraphs(s), clauses))
+def fingerprint(sections: Column) -> Column:
+    short = lambda h: F.substring(h, 1, SHORT)
+    shown = lambda p: F.concat(short(p["hash"]), F.lit("="), F.array_join(p["clauses"], ","))
+    branch = lambda s: F.concat(short(s["hash"]), F.lit(":"), F.array_join(F.transform(s["paragraphs"], shown), ";"))
+    return F.concat(root(sections), F.lit("/"), F.array_join(F.transform(sections, branch), "/"))
 
 
-def fingerprint(text_root: Column, tree: Column) -> Column:
-    inner = F.transform(tree, lambda s: F.array_join(F.transform(s, lambda p: F.array_join(p, ",")), ";"))
-    return F.concat(text_root, F.lit("/"), F.array_join(inner, "/"))
-
-
-def leaves(tree: Column) -> Column:
+def leaves(sections: Column) -> Column:
     """Distinct clause hashes."""
-    return F.array_distinct(F.flatten(F.flatten(tree)))
+    return F.array_distinct(F.flatten(F.transform(sections, lambda s: F.flatten(s["paragraphs"]["clauses"]))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -58,36 +61,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(2.0 * F.size(F.array_intersect(a, b)) / total)
 
 
-def changed_paragraph(a: Column, b: Column) -> Column:
-    """Number (from 1) of the first paragraph in which two trees differ; null if none does."""
-    pairs = F.arrays_zip(F.flatten(a).alias("x"), F.flatten(b).alias("y"))
-    differs = F.transform(pairs, lambda p, i: F.when(~p["x"].eqNullSafe(p["y"]), i + 1))
-    return F.array_min(differs)
+def _first_difference(a: Column, b: Column) -> Column:
+    """Number (from 1) of the first place in which two arrays differ; null if none does."""
+    pairs = F.arrays_zip(a.alias("x"), b.alias("y"))
+    return F.array_min(F.transform(pairs, lambda p, i: F.when(~p["x"].eqNullSafe(p["y"]), i + 1)))
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """(span, doc_id, text, real) sorted by window: every document in its range of ids, and after each range the document that follows it.
+def located(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Adds changed_section, changed_paragraph and changed_clause: where trees a and b first differ, by descending differing branches.
 
-    Ranges come from approximate quantiles of the ids, so each holds a bounded
-    number of documents; the first document of the next range (after the last
-    range: of the first) is added to a range as a row that is not real.
+    The paragraph counts within its section, the clause within its paragraph;
+    all are null for equal trees. A branch that only one tree has differs.
+    """
+    at = lambda c, k, part: F.get(F.col(c), F.col(k) - 1)[part]
+    empty = F.array().cast("array<struct<hash: string, clauses: array<string>>>")
+    none = F.array().cast("array<string>")
+    df = df.withColumn("changed_section", _first_difference(F.col(a)["hash"], F.col(b)["hash"]))
+    df = df.withColumns({"__a": F.coalesce(at(a, "changed_section", "paragraphs"), empty), "__b": F.coalesce(at(b, "changed_section", "paragraphs"), empty)})
+    df = df.withColumn("changed_paragraph", _first_difference(F.col("__a")["hash"], F.col("__b")["hash"]))
+    sides = (F.coalesce(at(x, "changed_paragraph", "clauses"), none) for x in ("__a", "__b"))
+    return df.withColumn("changed_clause", _first_difference(*sides)).drop("__a", "__b")
+
+
+def followed(ids: DataFrame) -> DataFrame:
+    """(none, id, before_none, before, before_size): the id before each id of (none, id, size), in order; before the first is the last.
+
+    Ids are ordered in ranges of about RANGE_IDS, as many as it takes; a range knows the
+    last id of the range before by one row a range.
     """
-    ids = docs.select("doc_id")
     count = ids.count()
-    ranges = max(1, min(MAX_RANGES, count // RANGE_DOCS))
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 10 * MAX_RANGES)).first()[0] or []
-    splits = [float("-inf"), *sorted({float(c) for c in cuts} or {0.0}), float("inf")]
-    spans = Bucketizer(splits=splits, inputCol="at", outputCol="span", handleInvalid="keep")
-    placed = spans.transform(docs.withColumn("at", F.col("doc_id").cast("double"))).withColumn("span", F.when(F.col("at").isNull(), -1).otherwise(F.col("span")).cast("int")).drop("at")
-
-    firsts = placed.groupBy("span").agg(F.min("doc_id").alias("first"))  # at most MAX_RANGES rows
-    over = Window.orderBy("span")
-    least, most = F.min("span").over(Window.partitionBy()), F.max("span").over(Window.partitionBy())
-    firsts = stored(firsts.select("span", "first", F.coalesce(F.lag("span").over(over), most).alias("before"), least.alias("least")), "ranges")
-    starts = placed.join(F.broadcast(firsts), "span").where(F.col("doc_id").eqNullSafe(F.col("first")))
-    starts = starts.groupBy("before").agg(F.min(F.struct("doc_id", "text")).alias("row"))
-    extra = starts.select(F.col("before").alias("span"), "row.doc_id", "row.text", F.lit(False).alias("real"))
-    return placed.select("span", "doc_id", "text", F.lit(True).alias("real")).unionByName(extra)
+    ranges = max(1, -(-count // RANGE_IDS))
+    placed = stored(ids.repartitionByRange(ranges, F.desc("none"), "id").withColumn("span", F.spark_partition_id()), "ranges")
+    order = [F.desc("none"), F.col("id")]
+    lasts = placed.groupBy("span").agg(F.max_by(F.struct("none", "id", "size"), F.struct(~F.col("none"), "id")).alias("last"))
+    over = Window.partitionBy().orderBy("span")  # a row a range
+    lasts = lasts.select("span", F.coalesce(F.lag("last").over(over), F.last("last").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("last"))
+    inside = F.lag(F.struct("none", "id", "size")).over(Window.partitionBy("span").orderBy(*order))
+    rows = placed.withColumn("inside", inside).join(F.broadcast(lasts), "span").withColumn("b", F.coalesce("inside", "last"))
+    return rows.select("none", "id", F.col("b.none").alias("before_none"), F.col("b.id").alias("before"), F.col("b.size").alias("before_size"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -96,27 +107,40 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has the last floor(n_chars / 2) code points replaced by the
     first as many (or all) of the next document's, by ascending doc_id; after the
     last comes the first, so a single document follows itself. A null text is
-    empty. Rows with equal doc_id are ordered by text; null ids come before all.
-    An empty table gives no rows; other columns are ignored.
+    empty; null ids are one id before all others. Rows that repeat a doc_id are
+    followed by the same next document, and among texts of one id that of the least
+    64-bit hash stands for it as the next. A very long text is one row, never grouped
+    with others. An empty table gives no rows; other columns are ignored.
+
+    Ids are ordered without texts; a text goes to the document before it by a join,
+    cut to what its edit takes, with its clause hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = Window.partitionBy("span").orderBy(F.desc("real"), "doc_id", "text")
-    rows = with_next(docs).withColumn("follows", F.lead("text").over(order)).withColumn("tree", branches(F.col("text")))
-    rows = rows.withColumn("next_tree", F.lead("tree").over(order)).where("real")
+    docs = docs.select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), "text")
+    ids = docs.groupBy("none", "id").agg(F.max(F.char_length("text")).alias("size"), F.min(F.xxhash64("text")).alias("which"))
+    ids = stored(ids, "ids")
+    before = followed(ids.drop("which")).join(ids.select("none", "id", "which"), ["none", "id"])
+    nexts = docs.join(before, ["none", "id"]).where(F.xxhash64("text") == F.col("which"))
+    nexts = nexts.select(
+        F.col("before_none").alias("none"), F.col("before").alias("id"),
+        F.substring(F.col("text"), F.lit(1), F.floor(F.col("before_size") / 2).cast("int")).alias("head"), leaves(tree(F.col("text"))).alias("next_leaves"),
+    ).dropDuplicates(["none", "id"])
+    rows = docs.join(nexts, ["none", "id"]).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("follows"), F.lit(1), half))
-    rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited", edited).withColumn("edited_tree", branches(F.col("edited")))
-    own = F.col("own")
-    rows = rows.withColumn("own", leaves(F.col("tree")))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("head"), F.lit(1), half))
+    rows = rows.withColumn("edited", edited).withColumns({"tree": tree(F.col("text")), "edited_tree": tree(F.col("edited"))})
+    rows = located(rows.withColumn("own", leaves(F.col("tree"))), "tree", "edited_tree")
     return rows.select(
-        "doc_id",
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(root(F.col("text")), F.col("tree")).alias("fingerprint"),
-        fingerprint(root(F.col("edited")), F.col("edited_tree")).alias("edited_fingerprint"),
-        likeness(own, leaves(F.col("edited_tree"))).alias("near_edited"),
-        likeness(own, leaves(F.col("next_tree"))).alias("near_next"),
-        changed_paragraph(F.col("tree"), F.col("edited_tree")).alias("changed_paragraph"),
+        fingerprint(F.col("tree")).alias("fingerprint"),
+        fingerprint(F.col("edited_tree")).alias("edited_fingerprint"),
+        likeness(F.col("own"), leaves(F.col("edited_tree"))).alias("near_edited"),
+        likeness(F.col("own"), F.col("next_leaves")).alias("near_next"),
+        "changed_section",
+        "changed_paragraph",
+        "changed_clause",
     )
 
 
@@ -125,21 +149,36 @@ def op3_merkle(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    root = lambda t: rf"sha256(array_to_string(list_transform(string_split_regex({t}, '{SECTION}'), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), ''))"
-    tree = lambda t: rf"list_transform(string_split_regex({t}, '{SECTION}'), lambda s: list_transform(string_split(s, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{CLAUSE}'), lambda c: md5(c)[1:{SHORT}])))"
-    shown = lambda t: f"array_to_string(list_transform({t}, lambda s: array_to_string(list_transform(s, lambda p: array_to_string(p, ',')), ';')), '/')"
+    """The same trees by other means: clauses are pieces after runs of marks, cut by length."""
+    bar = "chr(63743)"  # a code point of private use between pieces
+    pieces = f"list_filter(string_split(regexp_replace(p, '([{MARKS}]+)', '\\1' || {bar}, 'g'), {bar}), lambda x: x <> '')"
+    plain = f"rtrim(x, '{MARKS}')"
+    cut = f"""list_transform(range(0, greatest(1, CAST(ceil(length({plain}) / 64) AS BIGINT))),
+      lambda k: CASE WHEN (k + 1) * 64 >= length({plain}) THEN substr(x, k * 64 + 1) ELSE substr(x, k * 64 + 1, 64) END)"""
+    clauses = f"flatten(list_transform({pieces}, lambda x: list_transform({cut}, lambda c: left(md5(c), {TINY}))))"
+
+    def tree(t: str) -> str:
+        paragraphs = f"list_transform(string_split(s, chr(10)), lambda p: {{'hash': sha256(p), 'clauses': {clauses}}})"
+        return f"list_transform(string_split({t}, chr(10) || chr(10)), lambda s: {paragraphs})"
+
+    section = "sha256(array_to_string(list_transform(s, lambda p: p.hash), ''))"
+    shown = lambda t: f"""sha256(array_to_string(list_transform({t}, lambda s: {section}), '')) || '/' || array_to_string(list_transform({t},
+      lambda s: left({section}, {SHORT}) || ':' || array_to_string(list_transform(s, lambda p: left(p.hash, {SHORT}) || '=' || array_to_string(p.clauses, ',')), ';')), '/')"""
+    leaf = lambda t: f"list_distinct(flatten(list_transform(flatten({t}), lambda p: p.clauses)))"
     near = lambda a, b: f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({a}, {b})) / (len({a}) + len({b})) END"
-    leaf = lambda t: f"list_distinct(flatten(flatten({t})))"
+    first = lambda a, b: f"CAST(list_min(list_filter(range(1, greatest(len({a}), len({b})) + 1), lambda i: {a}[i] IS DISTINCT FROM {b}[i])) AS INTEGER)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n_chars, coalesce(lead(t) OVER (ORDER BY doc_id), first(t) OVER (ORDER BY doc_id)) AS f FROM d),
 e AS (SELECT *, left(t, n_chars - n_chars // 2) || left(f, n_chars // 2) AS edited FROM n),
 trees AS (SELECT *, {tree("t")} AS a, {tree("edited")} AS b, {tree("f")} AS c FROM e),
-sets AS (SELECT *, {leaf("a")} AS la, {leaf("b")} AS lb, {leaf("c")} AS lc, flatten(a) AS pa, flatten(b) AS pb FROM trees)
-SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {root("t")} || '/' || {shown("a")} AS fingerprint,
-  {root("edited")} || '/' || {shown("b")} AS edited_fingerprint, {near("la", "lb")} AS near_edited, {near("la", "lc")} AS near_next,
-  CAST(list_min(list_transform(range(1, greatest(len(pa), len(pb)) + 1), lambda i: CASE WHEN pa[i] IS DISTINCT FROM pb[i] THEN i END)) AS INTEGER) AS changed_paragraph
-FROM sets
+sets AS (SELECT *, {leaf("a")} AS la, {leaf("b")} AS lb, {leaf("c")} AS lc, {first("a", "b")} AS changed_section FROM trees),
+inner_ AS (SELECT *, coalesce(a[changed_section], []) AS pa, coalesce(b[changed_section], []) AS pb FROM sets),
+pars AS (SELECT *, {first("pa", "pb")} AS changed_paragraph FROM inner_),
+cl AS (SELECT *, coalesce(pa[changed_paragraph].clauses, []) AS ca, coalesce(pb[changed_paragraph].clauses, []) AS cb FROM pars)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256, {shown("a")} AS fingerprint, {shown("b")} AS edited_fingerprint,
+  {near("la", "lb")} AS near_edited, {near("la", "lc")} AS near_next, changed_section, changed_paragraph, {first("ca", "cb")} AS changed_clause
+FROM cl
 """
 
 

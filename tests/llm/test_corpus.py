@@ -168,30 +168,93 @@ def test_mixing_of_hard_rows(spark):
     assert mixing.mixture(table(spark, HARD)).columns == table(spark, []).columns
 
 
+def plain_tree(text):
+    """Sections of paragraphs of clauses, by a scan over characters."""
+    out = []
+    for section in text.split("\n\n"):
+        paragraphs = []
+        for p in section.split("\n"):
+            clauses, at, marks = [], "", True
+            for c in p:
+                mark = c in merkle.MARKS
+                if not mark and at and (marks or len(at) == 64):
+                    clauses.append(at)
+                    at = ""
+                at, marks = at + c, mark
+            paragraphs.append((p, clauses + [at] * bool(at)))
+        out.append(paragraphs)
+    return out
+
+
+def plain_fingerprint(text):
+    sha, md5 = (lambda f: lambda x: f(x.encode()).hexdigest())(hashlib.sha256), (lambda f: lambda x: f(x.encode()).hexdigest())(hashlib.md5)
+    parts, hashes = [], []
+    for section in plain_tree(text):
+        h = sha("".join(sha(p) for p, _ in section))
+        hashes.append(h)
+        parts.append(h[:16] + ":" + ";".join(sha(p)[:16] + "=" + ",".join(md5(c)[:8] for c in cs) for p, cs in section))
+    return sha("".join(hashes)) + "/" + "/".join(parts)
+
+
+def first_difference(a, b):
+    return next((k + 1 for k in range(max(len(a), len(b))) if a[k : k + 1] != b[k : k + 1]), None)
+
+
 def test_fingerprints(spark):
-    rows = [(5, "A b.\nC d, e f.\n\nSection two. Last one!"), (2, "A b.\nC d, e f.\n\nSection two. Last one!"), (9, "漢字😀 x"), (7, None)]
+    """Against a plain tree: texts that differ in blanks, separators and marks alone, orders, hard texts."""
+    texts = ["a\n\nb", "a\n \nb", "a\n\n\nb", "a\nb", "a\n\r\nb", "hello there", "...hello there", "...", "???", "", " ", "\n", "\n\n", "\n\n\n", "A b.\nC d, e f.\n\nSection two. Last one!", "漢字😀 x", "y" * 64, "y" * 65, "y" * 64 + ".z", None]
+    rng = random.Random(6)
+    texts += ["".join(rng.choice("ab .,\n\n!é漢😀") for _ in range(rng.randrange(200))) for _ in range(60)]
+    rows = [(7 * k % 1009, t) for k, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in merkle.fingerprints(table(spark, rows)).collect()}
-    assert got[5]["fingerprint"] == got[2]["fingerprint"] != got[9]["fingerprint"]
-    order = {2: 5, 5: 7, 7: 9, 9: 2}
-    text = {i: t or "" for i, t in rows}
-    for i, j in order.items():
-        t = text[i]
-        edited = t[: len(t) - len(t) // 2] + text[j][: len(t) // 2]
-        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert (got[i]["edited_fingerprint"] == got[i]["fingerprint"]) == (edited == t)
-    assert got[2]["near_next"] == 1.0 and got[5]["near_next"] == 0.0 and 0 < got[5]["near_edited"] < 1 and got[5]["changed_paragraph"] == 3
-    assert got[5]["fingerprint"].count("/") == 2 and got[5]["fingerprint"].count(";") == 1
+    order = sorted(rows)
+    by_print = {}
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
+        r = got[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == plain_fingerprint(t) and r["edited_fingerprint"] == plain_fingerprint(edited)
+        by_print.setdefault(r["fingerprint"][:64], set()).add(t)
+        a, b, c = plain_tree(t), plain_tree(edited), plain_tree(after)
+        leaf = lambda x: {c for s in x for _, cs in s for c in cs}
+        dice = lambda x, y: 2 * len(x & y) / (len(x) + len(y)) if x or y else 1.0
+        assert r["near_edited"] == pytest.approx(dice(leaf(a), leaf(b))) and r["near_next"] == pytest.approx(dice(leaf(a), leaf(c)))
+        section = first_difference(a, b)
+        assert r["changed_section"] == section and (section is None) == (t == edited)
+        if section:
+            pa, pb = (x[section - 1] if len(x) >= section else [] for x in (a, b))
+            paragraph = first_difference(pa, pb)
+            ca, cb = (x[paragraph - 1][1] if len(x) >= paragraph else [] for x in (pa, pb))
+            assert r["changed_paragraph"] == paragraph and r["changed_clause"] == first_difference(ca, cb)
+    assert all(len(x) == 1 for x in by_print.values())  # equal roots, equal texts
+
+
+def test_every_edit_is_located(spark):
+    """One changed character: other roots, and the first differing branch is the one that holds it."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abc .,\n") for _ in range(400))
+    rows = []
+    for k in range(120):
+        at = rng.randrange(len(text))
+        rows.append((k, text, text[:at] + rng.choice([c for c in "abz.,\n" if c != text[at]]) + text[at + 1 :]))
+    df = spark.createDataFrame(rows, "k long, x string, y string").withColumns({"a": merkle.tree(F.col("x")), "b": merkle.tree(F.col("y"))})
+    df = merkle.located(df, "a", "b").withColumns({"ra": merkle.root(F.col("a")), "rb": merkle.root(F.col("b"))})
+    for r in df.collect():
+        a, b = plain_tree(r["x"]), plain_tree(r["y"])
+        s = first_difference(a, b)
+        assert r["ra"] != r["rb"] and r["changed_section"] == s and r["changed_paragraph"] == first_difference(a[s - 1], b[s - 1]) and r["changed_clause"] is not None
 
 
 def test_fingerprints_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(merkle, "RANGE_DOCS", 5)
-    rows = [(k * k, f"text {k} " * (k % 7 + 1)) for k in range(120)]
+    monkeypatch.setattr(merkle, "RANGE_IDS", 5)
+    rows = [(k * k - 50, f"text {k} " * (k % 7 + 1)) for k in range(120)]
     got = {r["doc_id"]: r["edited_sha256"] for r in merkle.fingerprints(table(spark, rows).repartition(6)).collect()}
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
-    hard = merkle.fingerprints(table(spark, HARD))
-    assert hard.count() == len(HARD) and hard.where("near_edited is null or near_edited < 0 or near_edited > 1").count() == 0
+    hard = merkle.fingerprints(table(spark, [*HARD, (3, "another three"), (3, "one"), (None, "second null")]))
+    assert hard.count() == len(HARD) + 3 and hard.where("near_edited is null or near_edited < 0 or near_edited > 1").count() == 0
     assert merkle.fingerprints(table(spark, [])).count() == 0 and merkle.fingerprints(table(spark, [(1, "a b")])).first()["near_next"] == 1.0
 
 
