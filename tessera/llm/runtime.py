@@ -30,11 +30,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, and a lost executor loses nothing."""
+def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Write a table (in folders by parts) to the shared folder and read it again: cuts lineage, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -203,15 +203,31 @@ def test_url_rules(spark):
     assert B.judge_urls(pages(spark, [])).count() == 0
 
 
+def test_equal_lengths_and_repeats(spark):
+    rules = (B.Rule("block", "b.org", "/x/"), B.Rule("allow", "a.b.org", "/"), B.Rule("block", "c.org", "/long"))
+    rows = [(1, "http://a.b.org/x/"), (1, "http://a.b.org/x/"), (2, "http://z.b.org/x/"), (3, "http://a.b.org/y"), (None, "http://c.org/longer")]
+    got = B.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules, B.listed_table(spark, [])).collect()
+    assert sorted((str(r["page_id"]), r["rule"], r["verdict"]) for r in got) == [("1", "a.b.org/", "allow")] * 2 + [("2", "b.org/x/", "block"), ("3", "a.b.org/", "allow"), ("None", "c.org/long", "block")]
+
+
 def test_cascade_is_exact(spark):
     keys = [f"k{k}" for k in range(3000)]
     listed = keys[::7]
     universe = spark.createDataFrame([(k,) for k in keys + keys[:50] + [None]], "key string")
-    cascade = B.build_cascade(spark, listed, universe)
+    cascade = B.build_cascade(B.listed_table(spark, [*listed, *listed[:9], None, "not asked"]), universe)
     assert len(cascade.levels) > 1 and len(cascade.levels[0].body) < 2000
     got = {r["key"] for r in universe.where(cascade.listed(F.col("key"))).collect()}
     assert got == set(listed)
-    empty = B.build_cascade(spark, [], universe)
+    empty = B.build_cascade(B.listed_table(spark, []), universe)
     assert universe.where(empty.listed(F.col("key"))).count() == 0
-    with pytest.raises(ValueError):
-        B.build_cascade(spark, map(str, range(B.MAX_LISTED + 1)), universe)
+
+
+def test_lists_beyond_a_slice(spark, monkeypatch):
+    """A list of many slices over several passes equals a plain set."""
+    monkeypatch.setattr(B, "SLICE_KEYS", 60)
+    monkeypatch.setattr(B, "PASS_SLICES", 2)
+    hosts = [f"h{k}.example{k % 3}.org" for k in range(900)]
+    listed = spark.createDataFrame([(h,) for h in [*hosts[::4], "example1.org", None]], "key string")
+    got = B.judge_urls(pages(spark, [f"http://www.{h}/x" for h in hosts]), (), listed).orderBy("page_id").collect()
+    want = set(hosts[::4])
+    assert [r["verdict"] for r in got] == ["block" if h in want or h.endswith("example1.org") else "allow" for h in hosts]
