@@ -3,12 +3,14 @@
 Writing. Each payload becomes an HTTP response, chunked where it is long, in a
 ``response`` record; a block beyond the segment size goes on in ``continuation``
 records. Of equal payloads from a least size on, the one with the largest page
-id is kept and the others become ``revisit`` records that refer to it. Archives
-are written by the text writer (records end with CRLF CRLF), so they are
-committed like any table and may lie in any store.
-
-Reading. Archives are read as binary files and cut into records by their
-lengths. Segments are grouped by the identifier of their origin, ordered by
+id is kept and the others become ``revisit`` records that refer to it. Every
+record is a gzip member of its own. Archives are written by the text writer, which
+puts an empty member between bundles of records, so they are committed like any
+table and may lie in any store; a file has a bounded number of bundles, and those
+are of bounded bytes.
+
+Reading. Archives are read as binary files, decompressed as a stream and cut into
+records by their lengths, so one record is held at a time. Segments are grouped by the identifier of their origin, ordered by
 number, checked against the total length, and the chunked framing is decoded.
 """
 
@@ -17,7 +19,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -26,8 +29,12 @@ from pyspark.sql import functions as F
 
 from .runtime import new_path, small_or_shuffled, stored
 
-#: Least payload that others may revisit; block bytes of a segment; bytes of a chunk; records of a file.
-REVISIT_BYTES, SEGMENT_BYTES, CHUNK_BYTES, FILE_RECORDS = 1000, 65_536, 8_192, 2_000
+#: Least payload that others may revisit; block bytes of a segment; bytes of a chunk.
+REVISIT_BYTES, SEGMENT_BYTES, CHUNK_BYTES = 1000, 65_536, 8_192
+#: Compressed bytes after which a bundle ends, and bundles of a file: 64 MB, and less than a record for each bundle.
+BUNDLE_BYTES, FILE_BUNDLES = 1 << 20, 64
+#: An empty gzip member: what the text writer puts after each bundle, byte for byte.
+_SEPARATOR = gzip.compress(b"", mtime=0).decode("latin-1")
 _DATE = "2024-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -56,10 +63,10 @@ def unchunked(body: bytes) -> bytes:
 
 
 def _record(kind: str, identifier: str, block: bytes, fields: list[tuple[str, str]]) -> bytes:
-    """A record without its last CRLF, which the writer adds."""
+    """A whole record, with the two line breaks after its block."""
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<{identifier}>"), ("WARC-Date", _DATE), *fields, ("Content-Length", str(len(block)))]
     lines = "".join(f"{k}: {v}\r\n" for k, v in head)
-    return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n"
+    return b"WARC/1.1\r\n" + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
 def records_of(page_id, url: str | None, payload: bytes, owner, where: str, segment: int = SEGMENT_BYTES) -> Iterator[bytes]:
@@ -101,18 +108,25 @@ def _writer(segment: int):
 
         context = TaskContext.get()
         part, row = context.partitionId() if context else 0, 0
+        made: list[bytes] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            bundle = pa.RecordBatch.from_arrays([pa.array([b"".join(made)], pa.binary())], names=["bundle"])
+            made.clear()
+            return bundle
+
         for batch in batches:
-            made: list[bytes] = []
-            size = 0
             for page, url, html, owner in zip(*(batch.column(k) for k in range(4)), strict=True):
-                got = list(records_of(page.as_py(), url.as_py(), html.as_py() or b"", owner.as_py(), f"{part}-{row}", segment))
-                made += got
+                for record in records_of(page.as_py(), url.as_py(), html.as_py() or b"", owner.as_py(), f"{part}-{row}", segment):
+                    made.append(gzip.compress(record, mtime=0))
+                    size += len(made[-1])
+                    if size >= BUNDLE_BYTES:
+                        yield out()
+                        size = 0
                 row += 1
-                size += sum(map(len, got))
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
-                    made, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
+        if made:
+            yield out()
 
     return run
 
@@ -122,33 +136,61 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT_BYTES) ->
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html")).withColumn("digest", F.sha1("html"))
     narrow = rows.where(F.octet_length("html") >= REVISIT_BYTES).select("page_id", "digest")
-    owners = narrow.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 AND owner IS NOT NULL")
-    revisits = narrow.join(owners.select("digest", "owner"), "digest").where(~F.col("page_id").eqNullSafe(F.col("owner"))).distinct()
+    owners = stored(narrow.groupBy("digest").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1 AND owner IS NOT NULL").select("digest", "owner"), "owners")
+    revisits = narrow.join(small_or_shuffled(owners, owners.count()), "digest").where(~F.col("page_id").eqNullSafe(F.col("owner"))).distinct()
     revisits = stored(revisits.select(F.col("page_id").alias("page"), F.col("digest").alias("sha"), "owner"), "revisits")
     side = small_or_shuffled(revisits, revisits.count())
     joined = rows.join(side, F.col("page_id").eqNullSafe(F.col("page")) & (F.col("digest") == F.col("sha")), "left")
-    made = joined.select("page_id", "url", "html", "owner").mapInArrow(_writer(segment), "record binary")
+    made = joined.select("page_id", "url", "html", "owner").mapInArrow(_writer(segment), "bundle binary")
     # the text writer copies the bytes of a string as they are
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option(
-        "maxRecordsPerFile", FILE_RECORDS
-    ).text(path)
-
-
-def parse_records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(fields by lower-case name, block) of each record of an archive."""
-    at = 0
-    while at < len(archive):
-        if not archive.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        end = archive.index(b"\r\n\r\n", at)
-        lines = archive[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+    made = made.select(F.col("bundle").cast("string").alias("value"))
+    made.write.option("encoding", "ISO-8859-1").option("lineSep", _SEPARATOR).option("maxRecordsPerFile", FILE_BUNDLES).text(path)
+
+
+def decompressed(archive: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """Pieces of the content of a gzip file of any number of members; other bytes are taken as they are."""
+    if not archive.startswith(b"\x1f\x8b"):
+        yield archive
+        return
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut off")
+            piece = member.decompress(view[at : at + step])
+            at = min(at + step, len(view)) - len(member.unused_data)
+            yield piece
+
+
+def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(fields by lower-case name, block) of each record of an archive's content, given in pieces; one record is held at a time."""
+    source, held = iter(pieces), bytearray()
+
+    def have(n: int) -> bool:
+        while len(held) < n:
+            piece = next(source, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while have(1):
+        seen = 0
+        while (end := held.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(held)
+            if not have(seen + 1):
+                raise ValueError("a record is cut off")
+        if not held.startswith(b"WARC/"):
+            raise ValueError("no record where one should begin")
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:]
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         size = int(fields["content-length"])
-        block = archive[end + 4 : end + 4 + size]
-        if len(block) < size or archive[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
+        if not have(end + 8 + size) or held[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
             raise ValueError("a record is cut off")
+        block = bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 8 + size]
         yield fields, block
-        at = end + 8 + size
 
 
 def payload_of(block: bytes) -> tuple[bytes, dict[str, str]]:
@@ -171,7 +213,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for value in batch.column(0):
             rows, size = [], 0
-            for fields, block in parse_records(gzip.decompress(value.as_py())):
+            for fields, block in parse_records(decompressed(value.as_py())):
                 number = fields.get("warc-segment-number")
                 page = _page(fields["warc-page-id"]) if "warc-page-id" in fields else None
                 digest = base64.b32decode(fields["warc-payload-digest"].partition(":")[2]).hex() if "warc-payload-digest" in fields else None
@@ -190,7 +232,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         raise ValueError(f"payload of {fields['warc-record-id']} does not match its digest")
                 total = fields.get("warc-segment-total-length")
                 rows.append((origin, page, length, digest, None if kind == "continuation" else kind, refers, number and int(number), total and int(total), piece))
-                if size > 4 << 20:
+                if size > 4 << 20 or len(rows) >= 10_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds, strict=True)], names=names)
                     rows, size = [], 0
             if rows:
@@ -228,8 +270,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     A record's segments meet by the identifier of their origin, wherever they
     were written; missing, repeated or cut segments and wrong digests are errors.
+    A file is one row of the source, so it must be below 2 GB; those written here are.
     """
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(_reader, _ROW)
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(_reader, _ROW)
     pieces = F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("number", "piece")))
     whole = rows.groupBy("origin").agg(
         *(F.max(c).alias(c) for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "total")), pieces.alias("pieces")
@@ -241,8 +284,10 @@ def archive_round_trip(pages: DataFrame, segment: int = SEGMENT_BYTES) -> DataFr
     """What reading tells of the archives that hold pages (page_id, url, html, ...): one row per row.
 
     Rows that repeat a page id and payload are all responses or all revisits; a
-    null page id can revisit but not be revisited; an empty table gives no rows;
-    other columns are ignored.
+    null page id can revisit but not be revisited; of equal payloads the largest page
+    id is the response, so there are no ties. A very long page is written in segments
+    and put together again in one row. An empty table gives no rows; other columns
+    are ignored.
     """
     spark = pages.sparkSession
     path = new_path(spark, "warc")

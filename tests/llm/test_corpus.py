@@ -320,14 +320,35 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.archive_round_trip(page_table(spark, [])).count() == 0
 
 
-def test_written_archives_are_records(spark, tmp_path):
+def test_written_archives_are_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BUNDLES", 2)
     warc.write_archives(page_table(spark, [(k, f"http://h/{k}", f"page {k} " * 3000) for k in range(5)]), str(tmp_path / "w"), segment=4000)
     kinds = []
-    for f in (tmp_path / "w").glob("*.gz"):
-        kinds += [(x["warc-type"], x.get("warc-segment-number")) for x, _ in warc.parse_records(gzip.decompress(f.read_bytes()))]
+    for f in (tmp_path / "w").glob("part-*"):
+        body = f.read_bytes()
+        plain = gzip.decompress(body)  # any gzip reader takes the files
+        assert b"".join(warc.decompressed(body, step=7)) == plain
+        found = list(warc.parse_records(plain[k : k + 11] for k in range(0, len(plain), 11)))
+        assert found == list(warc.parse_records([plain])) == list(warc.parse_records(warc.decompressed(body)))
+        kinds += [(x["warc-type"], x.get("warc-segment-number")) for x, _ in found]
+        for cut in (1, len(plain) // 2) if plain else ():  # an empty partition has an empty file
+            with pytest.raises(ValueError):
+                list(warc.parse_records([plain[:-cut]]))
     assert sum(k == ("response", "1") for k in kinds) == 5 and {k for k, _ in kinds} == {"response", "continuation"}
 
 
+def test_a_very_long_page(spark, monkeypatch):
+    """Many segments, several bundles and files; bundles are bounded by bytes."""
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 50_000)
+    monkeypatch.setattr(warc, "FILE_BUNDLES", 1)
+    rng = random.Random(1)
+    big = "".join(chr(rng.randrange(32, 500)) for _ in range(1_500_000))
+    got = warc.archive_round_trip(page_table(spark, [(1, "u", big), (2, "u", big), (3, "u", "x")])).collect()
+    body = big.encode()
+    assert {(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in got} == {(1, len(body), "revisit", 2), (2, len(body), "response", None), (3, 1, "response", None)}
+    assert {r["payload_digest"] for r in got if r["page_id"] < 3} == {hashlib.sha1(body).hexdigest()}
+
+
 def test_segments_and_chunks():
     rng = random.Random(2)
     for n in (0, 1, 10, 8192, 30_000):
