@@ -182,7 +182,7 @@ def _suffixes(host: Column, labels: Sequence[int]) -> Column:
 
 def listed_table(spark: SparkSession, hosts: Sequence[str] = LISTED_HOSTS) -> DataFrame:
     """A short list of hosts as the table (key) that judge_urls takes."""
-    return spark.createDataFrame([(h,) for h in hosts], "key string")
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, hosts)).cast("array<string>")).alias("key"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, listed: DataFrame | None = None) -> DataFrame:

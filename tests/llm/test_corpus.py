@@ -331,7 +331,7 @@ def test_written_archives_are_records(spark, tmp_path, monkeypatch):
         found = list(warc.parse_records(plain[k : k + 11] for k in range(0, len(plain), 11)))
         assert found == list(warc.parse_records([plain])) == list(warc.parse_records(warc.decompressed(body)))
         kinds += [(x["warc-type"], x.get("warc-segment-number")) for x, _ in found]
-        for cut in (1, len(plain) // 2) if plain else ():  # an empty partition has an empty file
+        for cut in (1, 9, 777) if plain else ():  # an empty partition has an empty file
             with pytest.raises(ValueError):
                 list(warc.parse_records([plain[:-cut]]))
     assert sum(k == ("response", "1") for k in kinds) == 5 and {k for k, _ in kinds} == {"response", "continuation"}
