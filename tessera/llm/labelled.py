@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import arrow_text as at
@@ -45,20 +45,24 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int, held_o
     """(doc_id, text, label) of at most ``rows`` labelled documents outside the held-out fold, copies once.
 
     The sample is the ids of least hash, so it does not depend on partitions. An
-    id with several labels takes the largest; null labels and ids are left out.
-    Of texts that share a least n-gram hash the least id stays, so a large group
-    of copies does not pass for evidence.
+    id with several labels takes the largest; null labels and ids are left out. Of
+    rows that repeat an id, the text of least 64-bit hash is taken, so reruns agree. Of
+    texts that share a least n-gram hash the least id stays, so a large group of
+    copies does not pass for evidence. Very long texts are taken whole. Extra columns
+    are ignored; an empty table, or labels of other documents, give no rows.
     """
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label")).where(
         F.col("doc_id").isNotNull() & F.col("label").isNotNull() & (fold(F.col("doc_id"), modulus) != held_out)
     )
     chosen = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = texts.join(F.broadcast(chosen), "doc_id")  # at most ``rows`` pairs of numbers
     schema = "doc_id long, text string, label int, " + ", ".join(f"m{m} long" for m in range(MINIMA))
-    signed = stored(found.mapInArrow(_signed, schema), "sample")
-    ids = signed.drop("text", "label")
+    signed = stored(found.mapInArrow(_signed, schema).withColumn("which", F.xxhash64("text")), "sample")
+    ids = signed.drop("text", "label").distinct()
+    first = ids.groupBy("doc_id").agg(F.min("which").alias("which"))
+    ids = ids.join(F.broadcast(first), ["doc_id", "which"], "left_semi")  # this and the joins below: at most ``rows`` rows of a few numbers
     for m in range(MINIMA):
-        ids = ids.withColumn(f"l{m}", F.min("doc_id").over(Window.partitionBy(f"m{m}")))
-    kept = ids.where(" AND ".join(f"l{m} = doc_id" for m in range(MINIMA))).select("doc_id").distinct()
-    return signed.select("doc_id", "text", "label").join(F.broadcast(kept), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        ids = ids.join(F.broadcast(ids.groupBy(f"m{m}").agg(F.min("doc_id").alias(f"l{m}"))), f"m{m}")
+    kept = ids.where(" AND ".join(f"l{m} = doc_id" for m in range(MINIMA))).select("doc_id", "which")
+    return signed.join(F.broadcast(kept), ["doc_id", "which"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")

@@ -2,10 +2,14 @@
 
 Folding lower-cases, maps look-alike letters and digit substitutions to plain
 letters and punctuation to blanks, and removes invisible characters. The lexicon
-has stems (matched at the start of a word) whose weights are log-odds learned
-from labelled rows, and a few whole words with a default weight. Hits inside an
-exception phrase do not count. The summed weight and the weight per hundred
-words, through a logistic curve fitted on the same rows, give the score.
+has whole words, from a table or a short default list, and stems (matched at the
+start of a word) learned from labelled rows: a stem is judged by the documents that
+hold it once, twice or three times at least, and a hit weighs the log-odds of the best
+of these, shared out. Hits inside an exception phrase do not count; phrases come from
+a table or a default list, and are learned from labelled rows as well: two words, one
+of them a hit, that occur in clean documents though such hits are toxic. The summed
+weight and the weight per hundred words, through a logistic curve fitted on the same
+rows, give the score.
 """
 
 from __future__ import annotations
@@ -13,8 +17,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +32,11 @@ from .runtime import stored
 #: At most so many labelled rows are learned from.
 TRAIN_ROWS = 20_000
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-#: Lengths of stems, and the least G-squared of one (far beyond chance among a million stems).
+#: Lengths of stems, and the numbers of occurrences in a document at which a stem is judged.
 STEM_LENGTHS = range(4, 11)
-LEAST_G2 = 28.0
+OCCURRENCES = (1, 2, 3)
+#: Words and phrases that tables may hold: they are part of every task's automaton.
+MOST_ENTRIES = 100_000
 DEFAULT_WORDS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting")
 DEFAULT_WEIGHT = 3.0
 EXCEPTIONS = ("stupid question", "trash can", "trash bin", "class clown", "clown fish", "sore loser", "pond scum", "disgusting taste")
@@ -95,50 +101,106 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents of either label that hold each stem, summed within a partition piece by piece."""
+def _counted(batches: Iterator[pa.RecordBatch], keys: Callable[[str], Iterable[str]], name: str) -> Iterator[pa.RecordBatch]:
+    """(name, clean, toxic): documents of either label that have each key, summed within a partition piece by piece."""
     counts: tuple[Counter, Counter] = (Counter(), Counter())
 
     def out() -> pa.RecordBatch:
-        stems = list(counts[0].keys() | counts[1].keys())
-        made = pa.RecordBatch.from_arrays(
-            [pa.array(stems, pa.string()), *(pa.array([c[s] for s in stems], pa.int64()) for c in counts)], names=["stem", "clean", "toxic"]
-        )
+        found = list(counts[0].keys() | counts[1].keys())
+        made = pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([c[s] for s in found], pa.int64()) for c in counts)], names=[name, "clean", "toxic"])
         for c in counts:
             c.clear()
         return made
 
     for batch in batches:
         for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-            words = set(folded(text.as_py() or "").split())
-            counts[1 if label else 0].update({w[:n] for w in words for n in STEM_LENGTHS if len(w) >= n})
-            if len(counts[0]) > 200_000:
+            counts[1 if label else 0].update(keys(folded(text.as_py() or "")))
+            if len(counts[0]) + len(counts[1]) > 400_000:
                 yield out()
     yield out()
 
 
+def _stems(body: str) -> Iterator[str]:
+    """Stems of a folded text, each with a digit for every number of occurrences that it reaches."""
+    times: Counter = Counter()
+    for word, c in Counter(body.split()).items():
+        for n in STEM_LENGTHS:
+            if len(word) >= n:
+                times[word[:n]] += c
+    for stem, c in times.items():
+        for k in OCCURRENCES:
+            if c >= k:
+                yield f"{k}{stem}"
+
+
+def _stem_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _counted(batches, _stems, "stem")
+
+
+def _phrase_counts(lexicon: Lexicon):
+    """Counts of pairs of words of which one is a hit; the empty phrase counts documents with any hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+
+        def phrases(body: str) -> set[str]:
+            found = {end - size + 2 for end, (size, weight) in automaton.iter(body) if weight} if len(automaton) else ()
+            out = set()
+            for start in found:
+                end = body.find(" ", start)
+                before = body[:start].rstrip().rpartition(" ")[2] if start < 200 else body[start - 200 : start].rstrip().rpartition(" ")[2]
+                after = body[end : end + 200].split(maxsplit=1)
+                out.add("")
+                if before:
+                    out.add(f"{before} {body[start:end]}")
+                if after:
+                    out.add(f"{body[start:end]} {after[0]}")
+            return out
+
+        yield from _counted(batches, phrases, "phrase")
+
+    return run
+
+
 def _g2(toxic: int, clean: int, all_toxic: int, all_clean: int) -> float:
-    """Log-likelihood ratio of a stem's documents against the base rate."""
+    """Log-likelihood ratio of a key's documents against the base rate."""
     n, total = toxic + clean, all_toxic + all_clean
     terms = ((toxic, n * all_toxic / total), (clean, n * all_clean / total), (all_toxic - toxic, (total - n) * all_toxic / total), (all_clean - clean, (total - n) * all_clean / total))
     return 2 * sum(x * math.log(x / e) for x, e in terms if x > 0 and e > 0)
 
 
+def least_g2(tested: int) -> float:
+    """What chance alone exceeds once in some twenty tables of so many keys."""
+    return 2 * math.log(max(tested, 1)) + 2.5
+
+
 def choose_stems(counts: Iterable[tuple[str, int, int]], all_toxic: int, all_clean: int) -> tuple[tuple[str, float], ...]:
-    """Stems far likelier in toxic documents, none a prefix of another; counts are (stem, toxic, clean)."""
-    ranked = sorted(((_g2(t, c, all_toxic, all_clean), len(s), s, t, c) for s, t, c in counts), reverse=True)
+    """Stems far likelier in toxic documents, none a prefix of another; counts are (occurrences and stem, toxic, clean). Ties go by length, then code points."""
+    rows = list(counts)
+    ranked = sorted(((_g2(t, c, all_toxic, all_clean), len(s), s, t, c) for s, t, c in rows), reverse=True)
+    least = least_g2(len(rows))
     kept: dict[str, float] = {}
     used: set[str] = set()
-    for g2, _, stem, toxic, clean in ranked:
-        if g2 < LEAST_G2:
+    for g2, _, key, toxic, clean in ranked:
+        if g2 < least:
             break
+        stem = key[1:]
         if stem in used or any(stem[:n] in kept for n in STEM_LENGTHS if n <= len(stem)):
             continue
-        kept[stem] = round(math.log((toxic + 0.5) / (all_toxic + 1)) - math.log((clean + 0.5) / (all_clean + 1)), 6)
+        odds = math.log((toxic + 0.5) / (all_toxic + 1)) - math.log((clean + 0.5) / (all_clean + 1))
+        kept[stem] = round(odds / int(key[0]), 6)
         used.update(stem[:n] for n in STEM_LENGTHS if n <= len(stem))
     return tuple(sorted(kept.items()))
 
 
+def choose_exceptions(counts: Iterable[tuple[str, int, int]]) -> tuple[str, ...]:
+    """Phrases far likelier in clean documents than hits are; counts are (phrase, toxic, clean), the empty phrase standing for all documents with a hit."""
+    rows = {p: (t, c) for p, t, c in counts}
+    all_toxic, all_clean = rows.pop("", (0, 0))
+    least = least_g2(len(rows))
+    return tuple(sorted(p for p, (t, c) in rows.items() if c >= 3 and c * all_toxic > 4 * t * all_clean and _g2(t, c, all_toxic, all_clean) >= least))
+
+
 def fit_curve(rows: list[tuple[float, int, int]]) -> tuple[float, float, float]:
     """Ridge logistic regression on (weight, words, label) by Newton steps."""
     if len({bool(r[2]) for r in rows}) < 2:
@@ -184,32 +246,46 @@ def _scorer(lexicon: Lexicon):
 def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Scores of every row of docs (doc_id, text, ...).
 
-    Null and empty texts have no hits and get the least score. Repeated rows get
-    equal scores; an empty table gives no rows; other columns are ignored.
-    held_out is false for a null doc_id.
+    Null and empty texts have no hits and get the least score. A very long text is
+    matched whole; repeated rows and equal texts get equal scores; an empty table gives
+    no rows; other columns are ignored. held_out is false for a null doc_id.
     """
     return docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(_scorer(lexicon), _SCORED)
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
-    """Stems, weights and curve from at most ``rows`` labelled rows outside the held-out fold."""
+def _entries(df: DataFrame | None, *columns: str) -> list[tuple] | None:
+    """Rows of a table of words or phrases; a table beyond MOST_ENTRIES is an error, as every task holds it."""
+    if df is None:
+        return None
+    rows = df.select(*columns).where(" AND ".join(f"{c} IS NOT NULL" for c in columns)).distinct().limit(MOST_ENTRIES + 1).collect()
+    if len(rows) > MOST_ENTRIES:
+        raise ValueError(f"more than {MOST_ENTRIES} entries")
+    return sorted((" ".join(folded(r[0]).split()), *r[1:]) for r in rows if folded(r[0]).split())
+
+
+def learn_lexicon(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, words: DataFrame | None = None, exceptions: DataFrame | None = None) -> Lexicon:
+    """Stems, exceptions, weights and curve from at most ``rows`` labelled rows outside the held-out fold.
+
+    words (word, weight) and exceptions (phrase) are tables that stand in for the
+    default lists; they are folded like texts. Labels of one kind, or none, leave these
+    lists and the default curve.
+    """
+    named, phrases = _entries(words, "word", "weight"), _entries(exceptions, "phrase")
+    base = Lexicon((), Lexicon.words if named is None else tuple((w, float(x)) for w, x in named), EXCEPTIONS if phrases is None else tuple(p for (p,) in phrases))
     train = stored(labelled.sample(docs, labels, "toxic", MODULUS, HELD_OUT, rows).select("text", "label", "doc_id"), "train")
     totals = dict(train.groupBy((F.col("label") > 0).alias("toxic")).count().collect())
     toxic, clean = totals.get(True, 0), totals.get(False, 0)
     if not toxic or not clean:
-        return Lexicon(())
-    counts = (
-        train.mapInArrow(_stem_counts, "stem string, clean long, toxic long")
-        .groupBy("stem")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where(F.col("toxic") * clean > 4 * F.col("clean") * toxic)
-        .where(F.col("toxic") >= 3)
-    )
+        return base
+    summed = lambda run, key: train.mapInArrow(run, f"{key} string, clean long, toxic long").groupBy(key).agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = summed(_stem_counts, "stem").where((F.col("toxic") * clean > 4 * F.col("clean") * toxic) & (F.col("toxic") >= 3))
     # each document has a bounded share of such stems; the rows of the sample bound them all
-    stems = choose_stems(((r["stem"], r["toxic"], r["clean"]) for r in counts.toLocalIterator()), toxic, clean)
-    lexicon = Lexicon(stems)
+    lexicon = replace(base, stems=choose_stems(((r["stem"], r["toxic"], r["clean"]) for r in counts.toLocalIterator()), toxic, clean))
+    near = summed(_phrase_counts(lexicon), "phrase").where("clean >= 3 OR phrase = ''")
+    learned = choose_exceptions((r["phrase"], r["toxic"], r["clean"]) for r in near.toLocalIterator())
+    lexicon = replace(lexicon, exceptions=tuple(sorted({*lexicon.exceptions, *learned})))
     measured = score_documents(train, lexicon).alias("s").join(train.select("doc_id", "label"), "doc_id").select("weight", "n_words", "label").collect()
-    return Lexicon(stems, curve=fit_curve([tuple(r) for r in measured]))
+    return replace(lexicon, curve=fit_curve([tuple(r) for r in measured]))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

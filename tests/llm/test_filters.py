@@ -168,13 +168,16 @@ def test_sample_is_bounded_and_takes_copies_once(spark):
     assert len({r["doc_id"] for r in found}) == len(found) and sum(r["doc_id"] < 40 for r in found) <= 2
     assert all(labelled.fold_of(r["doc_id"], 4) != 2 for r in found)
     assert labelled.sample(table(spark, rows), labels, "quality", 4, 2, 10).count() <= 10
+    twice = rows[60:] + [(i, "other text of the same id " + t) for i, t in rows[60:]]
+    runs = [sorted(map(tuple, labelled.sample(table(spark, twice).repartition(n), labels, "quality", 4, 2, 1000).collect())) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len({r[0] for r in runs[0]}) == len(runs[0]) > 10
 
 
 def test_attention_finds_the_telling_passage():
     rng = np.random.default_rng(0)
     x, bags, y = [], [], []
     for k in range(400):
-        b = rng.normal(0, 0.3, (rng.integers(2, 12), passages.FEATURES)).astype(np.float32)
+        b = rng.normal(0, 0.3, (rng.integers(2, 12), 28)).astype(np.float32)
         if k % 2:
             b[rng.integers(len(b)), 3] += 4
         x.append(b)
@@ -185,6 +188,163 @@ def test_attention_finds_the_telling_passage():
     assert np.mean((got > 0.5) == (np.array(y[300:]) > 0.5)) > 0.93
 
 
+def plain_passages(text):
+    """Features of the passages of a text, word by word."""
+    import math
+
+    marks = {1: lambda c: "A" <= c <= "Z", 2: lambda c: c in "0123456789", 3: lambda c: c in ".,;:", 4: lambda c: c in "!?", 5: lambda c: c in "#*$%&|<>~^=+_@\\", 6: lambda c: c in "\"'()[]{}-/`"}
+    found = [(m.start(), m[0]) for m in WORD.finditer(text)]
+    out = []
+    for k in range(0, max(1, len(found)), 64):
+        part = found[k : k + 64]
+        n = max(1, len(part))
+        kinds = [[sum(map(f, w)) for f in marks.values()] for _, w in part]
+        size = max(1.0, sum(len(w) for _, w in part) / n)
+        row = [math.log1p(len(part)) / math.log(65), size / 10] + [sum(x[j] for x in kinds) / n / size for j in range(6)]
+        before = [w for _, w in found[max(0, k - 1) : k]] + [w for _, w in part]
+        row.append(sum(a == b for a, b in zip(before, before[1:], strict=False)) / n)
+        row.append(sum(w in [x for _, x in part[:j]] for j, (_, w) in enumerate(part)) / n)
+        row.append(sum(len(w) == x[4] for (_, w), x in zip(part, kinds, strict=True)) / n)
+        nexts = [s for s, _ in found[k + 1 : k + 65]] + [len(text)]
+        row.append(min(1, 4 * sum("\n" in text[s:e] for (s, _), e in zip(part, nexts, strict=False)) / n))
+        shapes = [0.0] * 16
+        for (_, w), x in zip(part, kinds, strict=True):
+            letters = len(w) - sum(x[1:])
+            shapes[(x[0] > 0) + 2 * (2 * x[0] > letters + x[0]) + 4 * (x[4] + x[3] > 0) + 8 * (len(w) > 7)] += 1 / n
+        words, runs = Counter(), Counter()
+        for _, w in part:
+            low = "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+            data, offsets = at.raw(pa.array([low]))
+            one = at.words_of(data, offsets)
+            words[int(one.span_hash(one.start, one.end)[0] % np.uint64(passages.WORDS))] += 1
+            b = low.encode()
+            for j in range(len(b) - 2):
+                runs[int(at.mix(np.array([b[j] << 16 | b[j + 1] << 8 | b[j + 2]], dtype=np.uint64))[0] % np.uint64(passages.RUNS))] += 1
+        share = lambda c, m: [math.sqrt(c[j] / max(1, sum(c.values()))) for j in range(m)]
+        out.append(row + shapes + share(words, passages.WORDS) + share(runs, passages.RUNS))
+    return np.array(out)
+
+
+def test_passages_against_a_plain_encoder():
+    rows = texts(60, 3) + ["", " ", "A a a!! $$ 12 d'e\nf " * 40, "word " * 64, "word " * 65]
+    x, bags = passages.encode(*at.raw(pa.array(rows)))
+    ends = np.cumsum(bags)
+    for k, t in enumerate(rows):
+        want = plain_passages(t)
+        assert bags[k] == len(want)
+        np.testing.assert_allclose(x[ends[k] - bags[k] : ends[k]], want, atol=1e-5)
+
+
+def small_model():
+    rng = np.random.default_rng(3)
+    shape = {"encode": (7, 5), "encode_b": (5,), "v": (5, 4), "u": (5, 4), "attend": (4,), "out": (5,), "out_b": ()}
+    bags = np.array([3, 1, 6])
+    return {k: rng.normal(0, 0.7, s) for k, s in shape.items()}, rng.normal(0, 1, (10, 7)), np.array([0, 3, 4]), bags, np.array([1.0, 0.0, 1.0])
+
+
+def test_forward_against_plain_python():
+    import math
+
+    w, x, first, bags, _ = small_model()
+    logits = passages._forward(w, x, first, bags)[-1]
+    for k, n in enumerate(bags):
+        hidden = [[math.tanh(sum(r[i] * w["encode"][i, j] for i in range(7)) + w["encode_b"][j]) for j in range(5)] for r in x[first[k] : first[k] + n]]
+        dot = lambda h, m, j: sum(h[i] * m[i, j] for i in range(5))
+        e = [sum(math.tanh(dot(h, w["v"], j)) / (1 + math.exp(-dot(h, w["u"], j))) * w["attend"][j] for j in range(4)) for h in hidden]
+        a = [math.exp(v) / sum(map(math.exp, e)) for v in e]
+        z = [sum(a[i] * hidden[i][j] for i in range(n)) for j in range(5)]
+        assert logits[k] == pytest.approx(sum(z[j] * w["out"][j] for j in range(5)) + w["out_b"])
+
+
+def test_gradients_against_differences():
+    w, *rest = small_model()
+    _, g = passages.gradients(w, *rest)
+    for name, value in w.items():
+        for at_index in np.ndindex(value.shape):
+            loss = []
+            for step in (1e-5, -1e-5):
+                moved = {k: v.copy() for k, v in w.items()}
+                moved[name][at_index] += step
+                loss.append(passages.gradients(moved, *rest)[0])
+            assert g[name][at_index] == pytest.approx((loss[0] - loss[1]) / 2e-5, abs=1e-6)
+
+
+def test_quality_by_words_alone(spark):
+    """Texts alike in shape, good or bad by the words they use."""
+    rng = random.Random(8)
+    good, bad = (["".join(rng.choice("etaoinshrdlu") for _ in range(5)) for _ in range(120)] for _ in range(2))
+    docs, labels = [], []
+    for k in range(900):
+        y = rng.random() < 0.5
+        docs.append((k, " ".join(rng.choice(good if y == (rng.random() < 0.85) else bad) for _ in range(rng.randrange(30, 200)))))
+        labels.append((k, int(y)))
+    docs, labels = table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = passages.score_documents(docs, passages.learn_quality(docs, labels)).join(labels, "doc_id").where("held_out").collect()
+    assert auc([(r["score"], r["quality"]) for r in got]) > 0.95
+
+
+def test_learning_is_bounded_by_passages(spark):
+    """A text beyond the bag size makes several bags; rows come by hash until the passages are used up."""
+    docs, labels = labelled_tables(spark, 200)
+    long = table(spark, [(1000, "ab cd " * 5000), (1001, "EF!! GH!! " * 5000)])
+    labels = labels.unionByName(spark.createDataFrame([(1000, 1, 0), (1001, 0, 0)], labels.schema))
+    model = passages.learn_quality(docs.unionByName(long), labels, passages=300, bag_passages=10)
+    assert model.weights and passages.score_documents(docs, model).where("score is null").count() == 0
+    assert not passages.learn_quality(docs, labels, passages=0).weights
+
+
+def test_stages_need_labels_of_both_kinds(spark):
+    docs, labels = labelled_tables(spark, 60)
+    for few in (labels.where("false"), labels.where("quality = 1")):
+        with pytest.raises(ValueError):
+            passages.keep_good(docs, passages.learn_quality(docs, few))
+
+
+def test_exceptions_are_learned_and_change_scores(spark):
+    """Hits inside phrases of clean texts stop counting; tables stand in for the default lists."""
+    rng = random.Random(12)
+    docs, labels = [], []
+    for k in range(1200):
+        words = ["".join(rng.choice("etaoinshr") for _ in range(4)) for _ in range(60)]
+        rude, kind = k % 6 == 0, k % 6 == 1 and k % 4 != 0
+        for _ in range(3):
+            if rude:
+                words.insert(rng.randrange(len(words)), "grumpfa")
+            if kind:
+                words[rng.randrange(len(words))] = "fluffy grumpfa"
+        docs.append((k, " ".join(words)))
+        labels.append((k, int(rude)))
+    docs, labels = table(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")
+    lexicon = toxicity.learn_lexicon(docs, labels)
+    learned = [p for p in lexicon.exceptions if p not in toxicity.EXCEPTIONS]
+    assert "fluffy grumpfa" in learned and all("fluffy" in p for p in learned)
+    plain = toxicity.Lexicon(lexicon.stems, lexicon.words, (), lexicon.curve)
+    with_, without = ({r["doc_id"]: r for r in toxicity.score_documents(docs, x).collect()} for x in (lexicon, plain))
+    kind = [k for k in with_ if k % 6 == 1 and k % 4 != 0]
+    assert all(with_[k]["score"] < without[k]["score"] and with_[k]["predicted"] == 0 for k in kind)
+    held = [(r["score"], k % 6 == 0) for k, r in with_.items() if r["held_out"]]
+    assert auc(held) > 0.99 > auc([(without[k]["score"], k % 6 == 0) for k, r in with_.items() if r["held_out"]])
+    words = spark.createDataFrame([("Grumpfa", 9.0), (None, 1.0)], "word string, weight double")
+    phrases = spark.createDataFrame([("so, fluffy",), ("",)], "phrase string")
+    own = toxicity.learn_lexicon(docs, labels.where("false"), words=words, exceptions=phrases)
+    assert own.words == (("grumpfa", 9.0),) and own.exceptions == ("so fluffy",)
+
+
+def test_stems_are_judged_by_occurrences():
+    """A stem that clean texts hold once and toxic ones thrice is found, against plain counts."""
+    rng = random.Random(3)
+    rows = [(" ".join(["achlich" + rng.choice("abcd")] * (3 if y or rng.random() < 0.02 else rng.randrange(2)) + ["other", "words"]), y) for y in [1] * 60 + [0] * 400]
+    counts = Counter()
+    for text, y in rows:
+        for key in set(toxicity._stems(toxicity.folded(text))):
+            counts[key, y] += 1
+            n, stem = int(key[0]), key[1:]
+            assert sum(w.startswith(stem) for w in text.split()) >= n
+    tested = [(k, counts[k, 1], counts[k, 0]) for k in {k for k, _ in counts} if counts[k, 1] >= 3 and counts[k, 1] * 400 > 4 * counts[k, 0] * 60]
+    ((stem, weight),) = [x for x in toxicity.choose_stems(tested, 60, 400) if len(x[0]) <= 7]
+    assert "achlich".startswith(stem) and weight > 0.5
+
+
 def pages(spark, urls):
     return spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate(urls)], "page_id long, url string, html string, rule string")
 
