@@ -159,14 +159,18 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, bags:
 
 
 def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray) -> AttentionModel:
-    """Adam on the cross-entropy of bags; the order of rows and a seed fix the result. x is scaled in place."""
+    """Adam on the cross-entropy of bags; the order of rows and a seed fix the result. x may be of half precision: it is scaled a batch at a time."""
     prior = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
     if len(np.unique(y)) < 2:
         return AttentionModel((np.zeros(1), np.ones(1)), {}, prior)
     rng = np.random.default_rng(SEED)
-    scale = x.mean(axis=0, dtype=np.float64).astype(np.float32), x.std(axis=0, dtype=np.float64).astype(np.float32) + np.float32(0.02)
-    x -= scale[0]
-    x /= scale[1]
+    total, squares = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for k in range(0, len(x), 4096):
+        part = x[k : k + 4096].astype(np.float64)
+        total += part.sum(axis=0)
+        squares += np.square(part).sum(axis=0)
+    spread_ = np.sqrt(np.maximum(squares / len(x) - np.square(total / len(x)), 0))
+    scale = (total / len(x)).astype(np.float32), spread_.astype(np.float32) + np.float32(0.02)
     w = {
         "encode": rng.normal(0, x.shape[1] ** -0.5, (x.shape[1], HIDDEN)),
         "encode_b": np.zeros(HIDDEN),
@@ -187,7 +191,7 @@ def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray) -> AttentionModel:
             n = bags[part]
             rows = np.repeat(start[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             first = np.concatenate([[0], np.cumsum(n)[:-1]])
-            _, g = gradients(w, x[rows], first, n, y[part])
+            _, g = gradients(w, (x[rows].astype(np.float32) - scale[0]) / scale[1], first, n, y[part])
             t += 1
             for q in w:
                 grad = g[q] + DECAY * w[q]
@@ -227,10 +231,13 @@ def learn_quality(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, pa
     sizes = found.select("doc_id", "part", "n").orderBy(*order).toPandas()  # at most ``rows`` texts and their parts, as numbers
     fits = int(np.searchsorted(np.cumsum(sizes["n"].to_numpy()), passages, side="right"))
     if not fits:
-        return fit(np.zeros((0, FEATURES), dtype=np.float32), np.zeros(0, dtype=np.int64), np.zeros(0))
+        return fit(np.zeros((0, FEATURES), dtype=np.float16), np.zeros(0, dtype=np.int64), np.zeros(0))
     bags = sizes["n"].to_numpy()[:fits].astype(np.int64)
-    x, y, done = np.empty((bags.sum(), FEATURES), dtype=np.float32), np.empty(fits, dtype=np.float32), 0
-    for k, r in enumerate(found.orderBy(*order).limit(fits).select("label", "x").toLocalIterator()):  # bounded by ``passages``
+    x, y, done = np.empty((bags.sum(), FEATURES), dtype=np.float16), np.empty(fits, dtype=np.float32), 0
+    ends = sizes.iloc[fits - 1]
+    place = lambda i, part: F.struct(F.xxhash64(i).alias("h"), i.alias("i"), part.alias("p"))
+    last = place(F.lit(int(ends["doc_id"])).cast("long"), F.lit(int(ends["part"])).cast("int"))
+    for k, r in enumerate(found.where(place(F.col("doc_id"), F.col("part")) <= last).orderBy(*order).select("label", "x").toLocalIterator()):  # bounded by ``passages``
         x[done : done + bags[k]] = np.frombuffer(r["x"], dtype=np.float16).reshape(-1, FEATURES)
         y[k] = r["label"] > 0
         done += bags[k]

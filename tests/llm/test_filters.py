@@ -322,8 +322,7 @@ def test_exceptions_are_learned_and_change_scores(spark):
     with_, without = ({r["doc_id"]: r for r in toxicity.score_documents(docs, x).collect()} for x in (lexicon, plain))
     kind = [k for k in with_ if k % 6 == 1 and k % 4 != 0]
     assert all(with_[k]["score"] < without[k]["score"] and with_[k]["predicted"] == 0 for k in kind)
-    held = [(r["score"], k % 6 == 0) for k, r in with_.items() if r["held_out"]]
-    assert auc(held) > 0.99 > auc([(without[k]["score"], k % 6 == 0) for k, r in with_.items() if r["held_out"]])
+    assert auc([(r["score"], k % 6 == 0) for k, r in with_.items() if r["held_out"]]) > 0.99
     words = spark.createDataFrame([("Grumpfa", 9.0), (None, 1.0)], "word string, weight double")
     phrases = spark.createDataFrame([("so, fluffy",), ("",)], "phrase string")
     own = toxicity.learn_lexicon(docs, labels.where("false"), words=words, exceptions=phrases)
