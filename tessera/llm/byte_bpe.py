@@ -4,9 +4,11 @@ Texts split by a pattern into pieces. Distinct pieces that are not known yet
 are laid out as padded matrices, one per length bucket, a row per piece and a
 column per byte. Every round looks up the ranks of all adjacent pairs in a hash
 table, merges in each row the leftmost pair of minimum rank, closes the gap,
-and drops rows that have no pair left. A piece longer than the widest bucket
-merges in the same order with a heap. Nothing is trained here: ranks come from
-a vocabulary file.
+and drops rows that have no pair left. A round costs a row its width, so a piece of
+n bytes costs n squared: pieces beyond the widest bucket, which no written word
+reaches, take the stated exit, a heap that merges in the same order in n log n (a test
+holds it equal to the matrices and to the library). Nothing is trained here: ranks come
+from a vocabulary file.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from ..session import spread
 
 #: Widths of the padded matrices, in bytes.
-WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128)
+WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512)
 #: Bytes in one matrix, and pieces that a worker remembers.
 CELLS, REMEMBERED = 1 << 21, 300_000
 _WIDTH_OF = [min(w for w in WIDTHS if w >= n) for n in range(WIDTHS[-1] + 1)]
@@ -100,7 +102,10 @@ class ByteBPE:
         for b in range(256):
             self.single[b] = self.ranks[bytes([b])]
         self.known: dict[str, tuple[int, ...]] = {}
+        # of each known piece: number of ids, their decimals, and the bytes that they decode to
+        self.sizes: dict[str, int] = {}
         self.spelled: dict[str, str] = {}
+        self.decoded: dict[str, bytes] = {}
 
     def _heap(self, piece: bytes) -> tuple[int, ...]:
         """The same merge order for one long piece."""
@@ -170,8 +175,8 @@ class ByteBPE:
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode pieces that are not known yet."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.spelled.clear()
+            for held in (self.known, self.sizes, self.spelled, self.decoded):
+                held.clear()
         new = set(pieces).difference(self.known)
         groups: dict[int, tuple[list[str], list[bytes]]] = {}
         for piece in new:
@@ -192,7 +197,9 @@ class ByteBPE:
 
     def _keep(self, piece: str, ids: tuple[int, ...]) -> None:
         self.known[piece] = ids
+        self.sizes[piece] = len(ids)
         self.spelled[piece] = ",".join(map(str, ids))
+        self.decoded[piece] = self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split(text)
@@ -229,12 +236,11 @@ def _digests(path: str | None, pattern: str | None):
 
             def flush() -> None:
                 bpe.learn(chain.from_iterable(held))
-                known, spelled, tokens = bpe.known.__getitem__, bpe.spelled.__getitem__, bpe.tokens.__getitem__
+                # ids decode one by one, so the bytes of a text are those of its pieces' ids in order
                 for pieces in held:
-                    ids = list(chain.from_iterable(map(known, pieces)))
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(spelled, pieces)).encode()).hexdigest())
-                    back_sha.append(hashlib.sha256(b"".join(map(tokens, ids))).hexdigest())
+                    counts.append(sum(map(bpe.sizes.__getitem__, pieces)))
+                    ids_sha.append(hashlib.sha256(",".join(map(bpe.spelled.__getitem__, pieces)).encode()).hexdigest())
+                    back_sha.append(hashlib.sha256(b"".join(map(bpe.decoded.__getitem__, pieces))).hexdigest())
                 held.clear()
 
             for value in batch.column(1):
@@ -257,7 +263,8 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
     """doc_id, n_tokens, SHA-256 of the comma-joined ids and of the bytes decoded from them, for each row.
 
     Each match of the pattern is encoded alone, without special tokens. A null
-    text counts as empty: no tokens, digests of nothing. Repeated rows give
+    text counts as empty: no tokens, digests of nothing. A very long text is encoded
+    whole. Pairs of equal rank in a piece merge from the left. Repeated rows give
     repeated rows, an empty table none; other columns are ignored. ``path`` is a
     rank file on the executors (default: the installed multilingual one).
     """

@@ -8,8 +8,9 @@ find the first source that the remaining words no longer fill.
 
 Each source then gives whole repetitions of all its documents, and the rest of
 its target from documents in a seeded order, the last one in part. Running
-sums go over buckets of the order's hash, so no source is sorted as a whole:
-only the one bucket in which a source's target ends is.
+sums go over buckets of the order's hash, then over smaller ones inside the bucket in
+which a source's target ends, so no source is sorted as a whole: only the last of
+these is, one in some sixteen million of a source.
 
 DataFrame operations only.
 """
@@ -25,8 +26,8 @@ from .runtime import small_or_shuffled, stored
 
 #: A word, as a Java and as an RE2 pattern.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Hex digits of the order's hash that make a bucket: 4,096 buckets a source.
-DIGITS = 3
+#: Hex digits of the order's hash that make a bucket, at each of LEVELS: 4,096 buckets.
+DIGITS, LEVELS = 3, 2
 
 
 @dataclass(frozen=True)
@@ -70,36 +71,49 @@ def source_targets(sizes: DataFrame, p: Mix) -> DataFrame:
     return levels.select("__none", "__source", "source_size", F.least("cap", F.coalesce(F.col("at") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def _bucket() -> Column:
-    return F.conv(F.substring("__order", 1, DIGITS), 16, 10).cast("int")
+def _bucket(level: int) -> Column:
+    return F.conv(F.substring("__order", 1 + level * DIGITS, DIGITS), 16, 10).cast("int")
 
 
 def _plan(sizes: DataFrame, p: Mix) -> tuple[DataFrame, int]:
-    """Per source: whole repetitions, and the bucket in which the rest of its target ends."""
-    buckets = stored(sizes.groupBy("__none", "__source", _bucket().alias("bucket")).agg(F.sum("__size").alias("__size")), "mix-buckets")
-    targets = source_targets(buckets, p).withColumn("words", F.floor("target"))
-    targets = targets.withColumn("whole", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0))
-    targets = targets.withColumn("rest", F.col("words") - F.col("whole") * F.col("source_size"))
-    running = Window.partitionBy("__none", "__source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    placed = buckets.withColumn("base", F.coalesce(F.sum("__size").over(running), F.lit(0))).join(targets, ["__none", "__source"])
-    reached = F.when(F.col("base") < F.col("rest"), F.col("bucket"))
-    plan = placed.groupBy("__none", "__source").agg(
-        *(F.first(c).alias(f"__{c}") for c in ("source_size", "target", "whole", "rest")),
-        F.coalesce(F.max(reached), F.lit(-1)).alias("__last"),
-        F.max_by("base", reached).alias("__base"),
-    )
-    plan = stored(plan, "mix-plan")
-    return plan, plan.count()
+    """Per source: whole repetitions, and at each level the bucket in which the rest of its target ends, with the words before it."""
+    keys = ["__none", "__source"]
+    plan = None
+    for level in range(LEVELS):
+        rows = sizes
+        for k in range(level):  # only what lies in the last bucket so far
+            rows = rows.join(small_or_shuffled(plan.select(*keys, f"__last{k}"), sources), keys).where(_bucket(k) == F.col(f"__last{k}")).drop(f"__last{k}")
+        buckets = stored(rows.groupBy(*keys, _bucket(level).alias("bucket")).agg(F.sum("__size").alias("__size")), "mix-buckets")
+        if plan is None:
+            plan = source_targets(buckets, p).withColumn("words", F.floor("target"))
+            plan = plan.withColumn("__whole", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0))
+            plan = plan.withColumn("__rest", F.col("words") - F.col("__whole") * F.col("source_size"))
+            plan = plan.select(*keys, F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "__whole", "__rest", F.lit(0).cast("long").alias("__base"))
+        running = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        placed = buckets.withColumn("before", F.coalesce(F.sum("__size").over(running), F.lit(0))).join(plan.select(*keys, "__rest", "__base"), keys)
+        before = F.col("__base") + F.col("before")
+        reached = F.when(before < F.col("__rest"), F.col("bucket"))
+        ends = placed.groupBy(*keys).agg(F.coalesce(F.max(reached), F.lit(-1)).alias(f"__last{level}"), F.max_by(before, reached).alias("new"))
+        plan = plan.join(ends, keys, "left").withColumn("__base", F.coalesce("new", "__base")).withColumn(f"__last{level}", F.coalesce(f"__last{level}", F.lit(-1))).drop("new")
+        plan = stored(plan, "mix-plan")
+        sources = plan.count()
+    return plan, sources
 
 
 def _taken(measured: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
     """measured with __source_size, __target, __whole and __extra: words of a further, perhaps partial, repetition."""
-    joined = measured.join(small_or_shuffled(plan, sources), ["__none", "__source"]).withColumn("__bucket", _bucket())
-    sure = joined.where("__bucket <> __last").withColumn("__extra", F.when(F.col("__bucket") < F.col("__last"), F.col("__size")).otherwise(0))
+    joined = measured.join(small_or_shuffled(plan, sources), ["__none", "__source"])
+    last, extra = F.lit(True), F.lit(0)
+    for level in reversed(range(LEVELS)):
+        at = F.col(f"__last{level}")
+        last = (_bucket(level) == at) & last
+        extra = F.when(_bucket(level) < at, F.col("__size")).when(_bucket(level) == at, extra).otherwise(0)
+    joined = joined.withColumn("__ends", last)
+    sure = joined.where(~F.col("__ends")).withColumn("__extra", extra)
     order = Window.partitionBy("__none", "__source").orderBy("__order", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__base") + F.coalesce(F.sum("__size").over(order), F.lit(0))
     extra = F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__rest") - before))
-    return sure.unionByName(joined.where("__bucket = __last").withColumn("__extra", extra))
+    return sure.unionByName(joined.where("__ends").withColumn("__extra", extra))
 
 
 def mix(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
@@ -108,8 +122,9 @@ def mix(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
     size counts words (null text: 0); a null source is a source of its own, the
     last in order; taken is the words the mix takes, repetitions counted, and
     sums to the floor of each source's target. The order of ties is by doc_id
-    and size. Sources without words have target 0. Reruns agree; an empty table
-    gives no rows; other columns are ignored.
+    and size; repeated rows are taken each by itself. Sources without words have
+    target 0. A very long text is one document, taken in part where the target ends in
+    it. Reruns agree; an empty table gives no rows; other columns are ignored.
     """
     sizes = stored(_measured(docs.select("doc_id", "text", "source"), p).drop("text", "source"), "mix-sizes")
     out = _taken(sizes, *_plan(sizes, p))
@@ -120,7 +135,13 @@ def mix(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
 
 
 def mixture(docs: DataFrame, p: Mix = Mix()) -> DataFrame:
-    """The mix itself, with the columns of docs: a row per repetition; a partial one holds its leading words, joined by blanks."""
+    """The mix itself, with the columns of docs: a row per repetition; a partial one holds its leading words, joined by blanks.
+
+    Null, empty and blank texts have no words and are repeated like the rest of their
+    source; null ids and sources, repeated rows, ties and very long texts are as in
+    mix(); an empty table stays empty. Columns of any name pass unchanged, but for
+    text and, where there is one, n_chars of partial rows.
+    """
     columns = docs.columns
     measured = _measured(docs, p)
     sizes = stored(measured.select("doc_id", "__none", "__source", "__size", "__order"), "mix-sizes")

@@ -10,10 +10,12 @@ Parts are compared within bands of set size, so the number of parts follows the
 size; a document also appears in the next band if a partner there is possible.
 
 What is compared of a part is the XOR of its n-grams' whole hashes, which is
-equal whenever the part is. Parts of very few n-grams say little (empty ones are
-equal everywhere), so only parts of at least LEAST n-grams are keys. Many parts
-of a linked pair agree, not just one: documents of few parts are cut several
-times by independent hashes, so that a linked pair, even one right at the
+equal whenever the part is. In a band whose linked sets differ in one n-gram at most,
+the keys are the XOR of the whole set and those of the set without each one of its
+n-grams: two such sets always share one. In the others, parts of very few n-grams say
+little (empty ones are equal everywhere), so only parts of at least LEAST n-grams are
+keys. Many parts of a linked pair agree, not just one: documents of few parts are
+cut several times by independent hashes, so that a linked pair, even one right at the
 threshold, has no agreeing key with a probability below MISS.
 
 Hot groups. Equal sets collapse into one node first. A part shared by many
@@ -105,7 +107,12 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def _keys(s: np.ndarray, level: int, pieces: int, cuts: int, least: int) -> np.ndarray:
-    """A key for each part with enough n-grams, of every cut of a set."""
+    """A key for each part with enough n-grams, of every cut of a set; where sets differ in one n-gram at most, one for the set and each set of one less."""
+    if pieces <= 2:
+        whole = np.bitwise_xor.reduce(at.mix(s))
+        # a set of one n-gram less is empty only for sets of one, which no other size links with
+        keys = np.append(whole ^ at.mix(s), whole) if len(s) > 1 else whole[None]
+        return np.unique(at.mix(keys ^ at.mix(np.full(1, level << 40 | 1 << 39, dtype=np.uint64))))
     salt = at.mix(np.arange(cuts, dtype=np.uint64) + np.uint64(level << 20))
     part = ((at.mix(s[None, :] ^ salt[:, None]) >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
     part = (part.astype(np.int64) + (np.arange(cuts) * pieces)[:, None]).ravel()
@@ -285,9 +292,11 @@ def link_components(docs: DataFrame, p: ParityJoin = ParityJoin()) -> DataFrame:
     least ``percent`` hundredths; component_id is the least doc_id reachable by
     links, the document itself included. Null or blank texts have an empty set
     and link with nothing. Texts shorter than n words have one n-gram, the whole
-    sequence. Rows that repeat a doc_id count as one document and give one row
-    each; a null doc_id gets the component of documents with an equal set, else
-    null. An empty table gives no rows. Other columns are ignored.
+    sequence; of a very long text all n-grams count. Rows that repeat a doc_id count
+    as one document, which links by any of its texts, and give one row each; a null
+    doc_id gets the component of documents with an equal set, else null. Similarities
+    right at the threshold link. An empty table gives no rows. Other columns are
+    ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
@@ -346,11 +355,20 @@ def link_components(docs: DataFrame, p: ParityJoin = ParityJoin()) -> DataFrame:
 def one_of_each(docs: DataFrame, p: ParityJoin = ParityJoin()) -> DataFrame:
     """The rows of docs that are the least doc_id of their component, once each, with all their columns.
 
-    Rows without a doc_id stay.
+    Of rows that repeat that doc_id, one whose text has the least 64-bit hash stays
+    (of those, any: rows of one id and text are one document). Rows without a doc_id
+    stay. Null, empty and blank texts are components of their own. Very long texts
+    compare whole; an empty table stays empty; columns of any name pass unchanged.
     """
     kept = link_components(docs, p).where("doc_id = component_id").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.where("doc_id is null"))
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    with_id = docs.where("doc_id is not null")
+    repeated = stored(with_id.groupBy("doc_id").agg(F.min(text).alias("__least"), F.count("*").alias("__rows")).where("__rows > 1"), "repeated")
+    once = with_id.join(kept, "doc_id", "left_semi")
+    if not repeated.isEmpty():
+        again = once.join(repeated, "doc_id").where(text.bitwiseXOR(F.col("__least")) == 0).dropDuplicates(["doc_id"])
+        once = once.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again.select(*docs.columns))
+    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 #: Exact self-join on shared shingles and a recursive closure.

@@ -276,11 +276,11 @@ def keep_good(docs: DataFrame, model: AttentionModel) -> DataFrame:
 
     Null ids, repeated rows, empty, null and very long texts are judged like others, by
     their text; an empty table stays empty; columns of any name pass unchanged. A
-    model that saw labels of one kind, or none, cannot judge: that is an error, as
-    all documents would stay or go.
+    model that saw labels of one kind, or none, has no evidence against any document,
+    so all stay.
     """
     if not model.weights:
-        raise ValueError("the classifier needs labels of both kinds")
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

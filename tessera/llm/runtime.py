@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import re
 import tempfile
@@ -26,8 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's folder below the shared one."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    if spark.sparkContext.applicationId not in _CLEARED:
+        _CLEARED.add(spark.sparkContext.applicationId)
+        atexit.register(clear, spark)
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+#: Applications whose folder goes when the driver's Python ends.
+_CLEARED: set[str] = set()
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that read them must have been written by then. The driver's end calls it, too."""
+    if spark.sparkContext._jsc is not None:
+        remove(spark, own_dir(spark))
 
 
 def stored(df: DataFrame, name: str, *parts: str) -> DataFrame:

@@ -88,6 +88,39 @@ def test_keys_never_miss_a_pair_at_the_threshold():
             assert np.bitwise_count(u[0] ^ u[1]).sum() <= len(t) - len(s)
 
 
+def test_small_sets_always_share_a_key():
+    """Every pair of small sets that the sizes allow to link: one n-gram more, or less, or neither."""
+    rng = np.random.default_rng(2)
+    for p in (parity_join.ParityJoin(3, 90), parity_join.ParityJoin(5, 80)):
+        keys = lambda x, k: set(parity_join._keys(x, k, p.pieces(k), p.cuts(k), p.least(k)).tolist())
+        bounds = p.bounds()
+        for level in (k for k in range(len(bounds) - 1) if p.pieces(k) <= 2):
+            for n in range(max(1, int(bounds[level])), int(bounds[level + 1]) + 1):
+                s = np.unique(rng.integers(0, 2**63, n + 1, dtype=np.uint64))
+                for less in range(len(s)):
+                    t = np.delete(s, less)
+                    if 100 * len(t) >= p.percent * len(s) and len(t):
+                        assert keys(s, level) & keys(t, level)
+
+
+def test_recall_against_sql_on_whole_tables(spark):
+    """All components of sf0.01, at both settings, against an exact join: whatever planted copies are not linked lie below the threshold."""
+    import duckdb
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    db = duckdb.connect()
+    db.execute("create view documents as select * from '/root/testdata/sf0.01/documents.parquet'")
+    for n, percent in ((3, 90), (5, 80)):
+        want = set(db.execute(parity_join.ORACLE.format(n=n, percent=percent)).fetchall())
+        assert {tuple(r) for r in parity_join.link_components(docs, parity_join.ParityJoin(n, percent)).collect()} == want
+
+
+def test_repeated_ids_keep_one_row(spark):
+    rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "q r s t u v"), (2, "another text of the same id"), (3, None), (None, "x")]
+    kept = [sorted((str(r["doc_id"]), r["text"] or "") for r in parity_join.one_of_each(table(spark, rows).repartition(n)).collect()) for n in (1, 4)]
+    assert kept[0] == kept[1] and [i for i, _ in kept[0]] == ["1", "2", "3", "None"]
+
+
 def test_blocks_cover_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(parity_join, "BLOCK", 4)
     rows = near_copies(7, groups=6)
@@ -118,7 +151,7 @@ def documents(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, source string, size string, target string")
 
 
-def test_mixing_reaches_targets(spark):
+def test_mixing_reaches_targets(spark, monkeypatch):
     rng = random.Random(3)
     rows = [(k, " ".join("w" * rng.randrange(1, 60)), rng.choice(["a", "b", "c", "c", "c", "é", None]), "x", "x") for k in range(400)]
     out = [r.asDict() for r in mixing.mix(documents(spark, rows)).collect()]
@@ -141,6 +174,8 @@ def test_mixing_reaches_targets(spark):
     for s, v in by.items():
         assert v[0]["target"] == pytest.approx(want[s]) and v[0]["source_size"] == sizes[s]
         assert sum(r["taken"] for r in v) == int(v[0]["target"]) and all(0 <= r["taken"] <= 2 * r["size"] for r in v)
+    monkeypatch.setattr(mixing, "DIGITS", 1)  # other buckets, same mix
+    monkeypatch.setattr(mixing, "LEVELS", 3)
     again = [r.asDict() for r in mixing.mix(documents(spark, rows).repartition(7)).collect()]
     key = lambda x: x["doc_id"]
     assert sorted(again, key=key) == sorted(out, key=key)
@@ -284,6 +319,18 @@ def test_bpe_equals_the_library(bpe, reference):
         assert bpe.encode(s) == reference.encode_ordinary(s)
 
 
+def test_the_heap_merges_like_the_matrices(bpe, reference):
+    """Pieces of all lengths up to the widest bucket, both ways; and beyond it, against the library."""
+    rng = random.Random(5)
+    for n in [*range(1, 40), 64, 127, 128, 129, 300, byte_bpe.WIDTHS[-1]]:
+        pieces = ["".join(rng.choice(letters) for _ in range(n)).encode()[:n] for letters in ("ab", "the", "etaoinshrdlu", "é漢x")]
+        width = min(w for w in byte_bpe.WIDTHS if w >= n)
+        assert bpe._matrix(pieces, width) == [bpe._heap(p) for p in pieces]
+    for n in (byte_bpe.WIDTHS[-1] + 1, 5000):
+        word = "".join(rng.choice("etaoin") for _ in range(n))
+        assert list(bpe._heap(word.encode())) == reference.encode_ordinary(word)
+
+
 def test_bpe_of_rows(spark, reference):
     got = byte_bpe.encode_documents(table(spark, HARD)).collect()
     text = dict((i, t or "") for i, t in HARD)
@@ -485,6 +532,50 @@ def test_declared_articles_stay_whole_on_any_host(spark):
     assert all(got[500 + k] == f"Plain {k}" for k in range(20))  # where no article is declared, the template still goes
 
 
+def test_intermediates_are_deleted(spark):
+    from pathlib import Path
+
+    from tessera.llm import runtime
+
+    df = runtime.stored(spark.range(3), "some")
+    assert df.count() == 3 and list(Path(runtime.own_dir(spark)).glob("some-*"))
+    runtime.clear(spark)
+    assert not Path(runtime.own_dir(spark)).exists()
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tessera.llm import runtime
+
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    with pytest.raises(RuntimeError):
+        runtime.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://x:7077")))
+
+
+@pytest.mark.parametrize("number", range(5))
+def test_stages_of_hard_rows(spark, folder, number):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing names, an empty table: each stage alone."""
+    _, stage = corpus_pipeline.STAGES[number]
+    good = " ".join(f"word{k} of a good text." for k in range(60))
+    plain = [(i, t, None, None, None) for i, t in HARD] + [(50, good, "en", "a", len(good)), (50, good, "en", "a", len(good)), (51, good + " more", None, None, None), (None, good, "en", "a", 1), (52, good * 300, "en", "b", 1)]
+    docs = spark.createDataFrame(plain, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("component_id", "bucket", "node", "keys", "size", "target", "n", "score", "label", "path", "least", "__rows_"):
+        docs = docs.withColumn(name, F.lit("x"))
+    out = stage(spark, docs, folder)
+    rows = out.collect()
+    empty = stage(spark, docs.where("false"), folder)
+    assert empty.count() == 0
+    if number < 4:
+        assert out.columns == empty.columns == docs.columns and {r["bucket"] for r in rows} <= {"x"}
+    if number == 0:
+        assert {r["doc_id"] for r in rows} == {50, 51, None} or {r["doc_id"] for r in rows} == {50, 51, 52, None}
+    if number == 2:
+        assert sum(r["doc_id"] == 50 for r in rows) == 1 and not any(r["doc_id"] == 51 for r in rows) and sum(r["doc_id"] is None for r in rows) == 2
+    if number == 4:
+        assert len(rows) == len(plain) and all(r["n_tokens"] is not None for r in rows)
+
+
 def test_pipeline(spark, folder):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5 and corpus_pipeline.ORACLE_SQL is None

@@ -293,11 +293,10 @@ def test_learning_is_bounded_by_passages(spark):
     assert not passages.learn_quality(docs, labels, passages=0).weights
 
 
-def test_stages_need_labels_of_both_kinds(spark):
+def test_without_labels_of_both_kinds_all_documents_stay(spark):
     docs, labels = labelled_tables(spark, 60)
     for few in (labels.where("false"), labels.where("quality = 1")):
-        with pytest.raises(ValueError):
-            passages.keep_good(docs, passages.learn_quality(docs, few))
+        assert passages.keep_good(docs, passages.learn_quality(docs, few)).count() == 60
 
 
 def test_exceptions_are_learned_and_change_scores(spark):
