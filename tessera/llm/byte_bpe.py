@@ -18,6 +18,7 @@ import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from ..session import spread
 #: Widths of the padded matrices, in bytes.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512)
 #: Bytes in one matrix, and pieces that a worker remembers.
-CELLS, REMEMBERED = 1 << 21, 300_000
+CELLS, REMEMBERED = 1 << 21, 200_000
 _WIDTH_OF = [min(w for w in WIDTHS if w >= n) for n in range(WIDTHS[-1] + 1)]
 _NONE = np.int32(2**31 - 1)
 _HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -101,11 +102,8 @@ class ByteBPE:
         self.single = np.full(256, -1, dtype=np.int32)
         for b in range(256):
             self.single[b] = self.ranks[bytes([b])]
-        self.known: dict[str, tuple[int, ...]] = {}
-        # of each known piece: number of ids, their decimals, and the bytes that they decode to
-        self.sizes: dict[str, int] = {}
-        self.spelled: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
+        # of each known piece: the number of its ids, their decimals, and the bytes that they decode to
+        self.known: dict[str, tuple[int, str, bytes]] = {}
 
     def _heap(self, piece: bytes) -> tuple[int, ...]:
         """The same merge order for one long piece."""
@@ -175,8 +173,7 @@ class ByteBPE:
     def learn(self, pieces: Iterable[str]) -> None:
         """Encode pieces that are not known yet."""
         if len(self.known) > REMEMBERED:
-            for held in (self.known, self.sizes, self.spelled, self.decoded):
-                held.clear()
+            self.known.clear()
         new = set(pieces).difference(self.known)
         groups: dict[int, tuple[list[str], list[bytes]]] = {}
         for piece in new:
@@ -196,15 +193,12 @@ class ByteBPE:
                     self._keep(piece, ids)
 
     def _keep(self, piece: str, ids: tuple[int, ...]) -> None:
-        self.known[piece] = ids
-        self.sizes[piece] = len(ids)
-        self.spelled[piece] = ",".join(map(str, ids))
-        self.decoded[piece] = self.decode(ids)
+        self.known[piece] = len(ids), ",".join(map(str, ids)), self.decode(ids)
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split(text)
         self.learn(pieces)
-        return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+        return [int(x) for piece in pieces for x in self.known[piece][1].split(",")]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -221,7 +215,7 @@ def loaded(path: str, pattern: str) -> ByteBPE:
 
 
 #: Characters whose pieces are split and looked up together.
-GROUP_CHARS = 1 << 20
+GROUP_CHARS = 1 << 19
 
 
 def _digests(path: str | None, pattern: str | None):
@@ -238,9 +232,10 @@ def _digests(path: str | None, pattern: str | None):
                 bpe.learn(chain.from_iterable(held))
                 # ids decode one by one, so the bytes of a text are those of its pieces' ids in order
                 for pieces in held:
-                    counts.append(sum(map(bpe.sizes.__getitem__, pieces)))
-                    ids_sha.append(hashlib.sha256(",".join(map(bpe.spelled.__getitem__, pieces)).encode()).hexdigest())
-                    back_sha.append(hashlib.sha256(b"".join(map(bpe.decoded.__getitem__, pieces))).hexdigest())
+                    found = list(map(bpe.known.__getitem__, pieces))
+                    counts.append(sum(map(itemgetter(0), found)))
+                    ids_sha.append(hashlib.sha256(",".join(map(itemgetter(1), found)).encode()).hexdigest())
+                    back_sha.append(hashlib.sha256(b"".join(map(itemgetter(2), found))).hexdigest())
                 held.clear()
 
             for value in batch.column(1):
