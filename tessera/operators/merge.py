@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .components import components
+
 
 def _missing(c: str, kind: str) -> Column:
     return F.col(c).isNull() | ((F.size(c) == 0) if kind.startswith("array") else (F.trim(F.col(c).cast("string")) == ""))
@@ -46,58 +49,92 @@ def unseen(df: DataFrame, seen: DataFrame) -> DataFrame:
     return df
 
 
+#: Rounds that decide founders in parallel before what is left is folded component by component.
+ROUNDS = 4
+_KEYS = ("doi_key", "title_key")
+
+
 def _fold(frame: pd.DataFrame) -> pd.DataFrame:
-    """Ordered merge of one component: DOI first, else title; the keys of a merged row are not indexed again."""
-    by_doi: dict[str, int] = {}
-    by_title: dict[str, int] = {}
-    rows: list[dict] = []
-    for r in frame.sort_values(["batch", "ordinal"]).to_dict("records"):
-        doi, title = r["doi_key"] or "", r["title_key"] or ""
-        at = by_doi.get(doi) if doi else None
-        if at is None and title:
-            at = by_title.get(title)
-        if at is None:
-            rows.append({**r, "sources": [r["source"]]})
-            if doi:
-                by_doi[doi] = len(rows) - 1
-            if title:
-                by_title[title] = len(rows) - 1
-            continue
-        kept = rows[at]
-        for c in ("abstract", "venue", "doi", "url"):
-            if not kept[c] and r[c]:
-                kept[c] = r[c]
-        if r["source"] not in kept["sources"]:
-            kept["sources"].append(r["source"])
-    return pd.DataFrame(rows, columns=[*frame.columns.drop("component"), "sources"])
-
-
-def merge_exact(df: DataFrame) -> DataFrame:
-    """The order-dependent merge, exactly.
-
-    df has record_id, batch, ordinal, doi_key, title_key, abstract, venue, doi,
-    url, source. Components over shared keys only bound who can meet; inside
-    each, records are folded in order. Keys are joined to the least id of their
-    records, so building components gathers no group; the fold's input is one
-    real-world entity. Blank keys make no edge. Labels only fall and rounds go on
-    until none does; a record also takes the label of the record that its label
-    names, so a chain needs far fewer rounds than it has links.
+    """Founders among the undecided records of one component, in order."""
+    dois, titles, out = set(), set(), []
+    for r in frame.sort_values(["batch", "ordinal", "record_id"]).itertuples():
+        found = r.doi_key in dois or r.title_key in titles
+        out.append(not found)
+        if not found:
+            dois.update({r.doi_key} - {None})
+            titles.update({r.title_key} - {None})
+    return frame.sort_values(["batch", "ordinal", "record_id"])[["record_id", "batch", "ordinal", "doi_key", "title_key"]].assign(founder=out)
+
+
+def founders(records: DataFrame) -> DataFrame:
+    """(record_id, batch, ordinal, doi_key, title_key, founder): whether no founder before a record has its DOI or its title key.
+
+    records has these columns but the last; keys are null where there is none. In a
+    round, records that come first among the undecided of both their keys are
+    founders, and those that share a key with a founder are not; a key of any number
+    of records is settled by one aggregate. Long chains of keys would take a round for
+    every two links, so after ROUNDS what is left is folded in order, component by
+    component, on these narrow rows alone.
     """
-    keys = df.select("record_id", F.explode(F.array(F.concat(F.lit("d:"), F.nullif("doi_key", F.lit(""))), F.concat(F.lit("t:"), F.nullif("title_key", F.lit(""))))).alias("k")).where("k is not null")
-    labels = df.select("record_id", F.col("record_id").alias("component"))
-    while True:
-        least = keys.join(labels, "record_id").groupBy("k").agg(F.min("component").alias("m"))
-        lower = keys.join(least, "k").groupBy("record_id").agg(F.min("m").alias("m"))
-        new = labels.join(lower, "record_id", "left").select("record_id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
-        named = new.select(F.col("record_id").alias("component"), F.col("component").alias("next")).distinct()
-        new = new.join(named, "component", "left").select("record_id", F.least("component", F.coalesce("next", "component")).alias("component"), "old")
-        new = new.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else new.persist()
-        changed = new.where("component <> old").limit(1).count()
-        labels = new.select("record_id", "component")
-        if not changed:
-            break
-    schema = ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", sources array<string>"
-    return df.join(labels, "record_id").groupBy("component").applyInPandas(_fold, schema)
+    columns = records.columns
+    at = F.struct("batch", "ordinal", "record_id")
+    undecided, decided = cut(records), None
+    for _ in range(ROUNDS):
+        marked = undecided
+        for k in _KEYS:
+            first = undecided.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(at).alias(f"__{k}"))
+            marked = marked.join(first, k, "left")
+        is_first = F.lit(True)
+        for k in _KEYS:
+            is_first = is_first & (F.col(k).isNull() | (F.col(f"__{k}") == at))
+        marked = cut(marked.select(*columns, is_first.alias("founder")))
+        new = marked.where("founder")
+        gone = marked.where("NOT founder")
+        for k in _KEYS:
+            taken = new.where(F.col(k).isNotNull()).select(k, F.lit(True).alias(f"__{k}")).distinct()
+            gone = gone.join(taken, k, "left")
+        gone = cut(gone.select(*columns, F.coalesce(*(F.col(f"__{k}") for k in _KEYS), F.lit(False)).alias("merged")))
+        done = new.select(*columns, "founder").unionByName(gone.where("merged").select(*columns, F.lit(False).alias("founder")))
+        decided = done if decided is None else decided.unionByName(done)
+        undecided = gone.where("NOT merged").select(*columns)
+        if undecided.isEmpty():
+            return decided
+    named = undecided.select("record_id", F.explode(F.array(*(F.concat(F.lit(k), F.col(k)) for k in _KEYS))).alias("k")).where("k IS NOT NULL")
+    links = named.join(named.groupBy("k").agg(F.min("record_id").alias("b")), "k").select(F.col("record_id").alias("a"), "b")
+    label = components(links).withColumnRenamed("node", "record_id")
+    parts = undecided.join(label, "record_id", "left").withColumn("component", F.coalesce("component", "record_id"))
+    schema = ", ".join(f"{n} {t}" for n, t in records.dtypes) + ", founder boolean"
+    return decided.unionByName(parts.groupBy("component").applyInPandas(_fold, schema).select(*columns, "founder"))
+
+
+def merge_exact(df: DataFrame, fill: Sequence[str] = ("abstract", "venue", "doi", "url", "authors")) -> DataFrame:
+    """The order-dependent merge, exactly: a row per founder, its gaps filled and its sources in order.
+
+    df has record_id (unique), batch, ordinal, doi_key, title_key, source and the
+    columns of fill, as far as it has them. In order of (batch, ordinal), a record
+    whose DOI an earlier founder has joins that one, else one whose title key; else it
+    founds a row. Keys gained by filling and keys of joined records are never looked
+    up. Null, blank and (of arrays) empty values are gaps, filled from the first
+    record that has a value. All but founders() are aggregates, so no group of
+    copies is gathered.
+    """
+    kinds = dict(df.dtypes)
+    fill = [c for c in fill if c in kinds]
+    keyed = df.withColumns({k: F.nullif(F.col(k), F.lit("")) for k in _KEYS})
+    state = cut(founders(keyed.select("record_id", "batch", "ordinal", *_KEYS)))
+    at = F.struct("batch", "ordinal", "record_id")
+    home = state.select("record_id", "founder", *_KEYS, at.alias("__at"))
+    for k in _KEYS:  # each key has at most one founder
+        of = state.where(F.col("founder") & F.col(k).isNotNull()).select(k, F.col("record_id").alias(f"__to_{k}"), at.alias(f"__at_{k}"))
+        home = home.join(of, k, "left").withColumn(f"__to_{k}", F.when(F.col(f"__at_{k}") < F.col("__at"), F.col(f"__to_{k}")))
+    home = home.select("record_id", F.when(F.col("founder"), F.col("record_id")).otherwise(F.coalesce(*(f"__to_{k}" for k in _KEYS))).alias("__row"))
+    rows = df.join(home, "record_id")
+    given = lambda c: ~_missing(c, kinds[c])
+    filled = rows.groupBy("__row").agg(*(F.min_by(F.when(given(c), F.col(c)), F.when(given(c), at)).alias(f"__{c}") for c in fill))
+    names = rows.groupBy("__row", F.col("source").alias("__s")).agg(F.min(at).alias("__at"))
+    names = names.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__at", "__s")))["__s"].alias("sources"))  # distinct sources are few by nature
+    out = rows.where("record_id = __row").join(filled, "__row").join(names, "__row")
+    return out.select(*(F.coalesce(f"__{c}", c).alias(c) if c in fill else F.col(c) for c in df.columns), "sources")
 
 
 def resume(previous: DataFrame, *batches: DataFrame) -> DataFrame:

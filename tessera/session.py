@@ -36,6 +36,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The table in the shared checkpoint folder: cuts lineage, and a lost executor loses nothing.
+
+    Where spark.checkpoint.dir is unset, local mode takes a temporary folder; a cluster has to name a shared one.
+    """
+    import re
+    import tempfile
+
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    return df.checkpoint()
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to Python workers that would not find it, once per context.
 

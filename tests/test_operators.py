@@ -170,37 +170,53 @@ def test_rank_test_and_holm(spark):
     assert {r["k"]: round(r["p_holm"], 6) for r in ST.holm(p, ["k"]).collect()} == {"x": 0.03, "z": 0.06, "y": 0.06}
 
 
-def test_exact_merge_equals_a_loop(spark):
-    rng = np.random.default_rng(3)
-    rows = []
-    for k in range(120):
-        doi, title = (f"10/{rng.integers(12)}" if rng.random() < 0.5 else ""), (f"t{rng.integers(25)}" if rng.random() < 0.8 else "")
-        rows.append((f"r{k:03d}", int(k % 3), k, doi, title, "" if rng.random() < 0.5 else f"a{k}", None, doi, f"u{k}", f"s{k % 3}"))
-    df = spark.createDataFrame(rows, "record_id string, batch int, ordinal int, doi_key string, title_key string, abstract string, venue string, doi string, url string, source string").repartition(5)
-    got = sorted((r["record_id"], r["abstract"], tuple(r["sources"])) for r in M.merge_exact(df).collect())
+def merge_loop(rows):
+    """The merge as a plain loop over records in order."""
     dois, titles, out = {}, {}, []
     for r in sorted(rows, key=lambda r: (r[1], r[2])):
-        at = dois.get(r[3]) if r[3] else None
-        at = titles.get(r[4]) if at is None and r[4] else at
+        r = dict(zip(MERGE.split(), r, strict=True))
+        at = dois.get(r["doi_key"]) if r["doi_key"] else None
+        at = titles.get(r["title_key"]) if at is None and r["title_key"] else at
         if at is None:
-            out.append([r[0], r[5], [r[9]]])
-            if r[3]:
-                dois[r[3]] = len(out) - 1
-            if r[4]:
-                titles[r[4]] = len(out) - 1
-        else:
-            out[at][1] = out[at][1] or r[5]
-            if r[9] not in out[at][2]:
-                out[at][2].append(r[9])
-    assert got == sorted((a, b, tuple(c)) for a, b, c in out)
+            out.append({**r, "sources": [r["source"]]})
+            if r["doi_key"]:
+                dois[r["doi_key"]] = len(out) - 1
+            if r["title_key"]:
+                titles[r["title_key"]] = len(out) - 1
+            continue
+        for c in ("abstract", "venue", "doi", "url", "authors"):
+            out[at][c] = out[at][c] or r[c]
+        if r["source"] not in out[at]["sources"]:
+            out[at]["sources"].append(r["source"])
+    return sorted((r["record_id"], r["abstract"] or None, r["doi"] or None, r["url"], tuple(r["authors"] or ()), tuple(r["sources"])) for r in out)
+
+
+MERGE = "record_id batch ordinal doi_key title_key abstract venue doi url source authors"
+
+
+def merged_rows(spark, rows):
+    schema = "record_id string, batch int, ordinal int, doi_key string, title_key string, abstract string, venue string, doi string, url string, source string, authors array<string>"
+    got = M.merge_exact(spark.createDataFrame(rows, schema).repartition(5)).collect()
+    return sorted((r["record_id"], r["abstract"] or None, r["doi"] or None, r["url"], tuple(r["authors"] or ()), tuple(r["sources"])) for r in got)
+
+
+@pytest.mark.parametrize("seed, rounds", [(3, 4), (4, 1), (5, 0)])
+def test_exact_merge_equals_a_loop(spark, seed, rounds, monkeypatch):
+    monkeypatch.setattr(M, "ROUNDS", max(1, rounds))
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(200):
+        doi, title = (f"10/{rng.integers(20)}" if rng.random() < 0.5 else rng.choice(["", None])), (f"t{rng.integers(45)}" if rng.random() < 0.8 else "")
+        rows.append((f"r{k:03d}", int(rng.integers(3)), k, doi, title, "" if rng.random() < 0.5 else f"a{k}", None, doi, f"u{k}", f"s{rng.integers(4)}", [] if rng.random() < 0.7 else [f"n{k}"]))
+    assert merged_rows(spark, rows) == merge_loop(rows)
+    hot = [(f"h{k:04d}", 0, k, "10/hot" if k % 3 else None, f"t{k % 7}", None, None, None, f"u{k}", "s", None) for k in range(600)]
+    assert merged_rows(spark, hot) == merge_loop(hot)
 
 
 def test_exact_merge_follows_long_chains(spark):
-    # alternating shared keys: 2i and 2i + 1 share a DOI, 2i - 1 and 2i a title; titles of merged records are not indexed
-    rows = [(f"r{k:03d}", 0, k, f"10/{k // 2}", f"t{(k + 1) // 2}", "", "", "", "", f"s{k % 2}") for k in range(120)]
-    df = spark.createDataFrame(rows, "record_id string, batch int, ordinal int, doi_key string, title_key string, abstract string, venue string, doi string, url string, source string")
-    got = sorted((r["record_id"], r["sources"]) for r in M.merge_exact(df).collect())
-    assert got == [(f"r{k:03d}", ["s0", "s1"]) for k in range(0, 120, 2)]
+    """A chain of 5,000 records, each sharing a DOI with the one before and a title with the one after."""
+    rows = [(f"r{k:05d}", 0, k, f"d{k // 2}", f"t{(k + 1) // 2}", f"a{k}", None, f"d{k // 2}", f"u{k}", f"s{k % 3}", []) for k in range(5000)]
+    assert merged_rows(spark, rows) == merge_loop(rows)
 
 
 def test_enrich_and_first(spark):
