@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..session import cut
+
 
 def nrmse(df: DataFrame, outputs: dict[str, tuple[Column, Column, float]]) -> DataFrame:
     """One row: per output the RMSE over its span, and their mean; an undefined prediction is charged the full span."""
@@ -67,11 +70,39 @@ def mann_whitney(runs: DataFrame, cell: list[str], group: str = "algorithm") ->
 
 
 def holm(tests: DataFrame, key: list[str], p: str = "p") -> DataFrame:
-    """Adds p_holm: the running maximum of min(1, (m - rank) p) over ascending p; a family of tests is small."""
-    order = Window.orderBy(p, *key)
-    m = F.count("*").over(Window.partitionBy())
-    step = F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p))
-    return tests.withColumn("step", step).withColumn("p_holm", F.max("step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("step")
+    """Adds p_holm: the running maximum of min(1, (m - rank) p) over ascending p; ties by key.
+
+    Tests are ordered in ranges; a range knows the tests and the greatest step before
+    it by one row a range, so a family of any size has no single task.
+    """
+    ranges = int(tests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(tests.repartitionByRange(ranges, p, *key).withColumn("__span", F.spark_partition_id()))
+    over = Window.orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    sizes = placed.groupBy("__span").agg(F.count("*").alias("__n"))
+    sizes = sizes.select("__span", F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy()).alias("__m"))
+    inside = Window.partitionBy("__span").orderBy(p, *key)
+    step = F.least(F.lit(1.0), (F.col("__m") - F.col("__before") - F.row_number().over(inside) + 1) * F.col(p))
+    stepped = placed.join(F.broadcast(sizes), "__span").withColumn("__step", step)
+    tops = stepped.groupBy("__span").agg(F.max("__step").alias("__top"))
+    tops = tops.select("__span", F.max("__top").over(over).alias("__top"))
+    highest = F.max("__step").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    out = stepped.join(F.broadcast(tops), "__span").withColumn("p_holm", F.greatest("__top", highest))
+    return out.select(*tests.columns, "p_holm")
+
+
+def comparison(metrics: DataFrame, models: Sequence[str], lower_is_better: Sequence[str] = (), defaults: Mapping[str, float] | None = None) -> DataFrame:
+    """(metric, a column per model, winner) of metrics (model, metric, value).
+
+    A metric that a model lacks takes its default, if it has one, so a model without
+    outliers competes with 0. The winner is the greatest value, of lower_is_better the
+    least; ties go to the first name.
+    """
+    wide = metrics.groupBy("metric").pivot("model", list(models)).agg(F.max("value"))
+    for metric, value in (defaults or {}).items():
+        wide = wide.withColumns({m: F.coalesce(F.col(m), F.when(F.col("metric") == metric, float(value))) for m in models})
+    sign = F.when(F.col("metric").isin(*lower_is_better), 1.0).otherwise(-1.0) if lower_is_better else F.lit(-1.0)
+    scores = F.filter(F.array(*(F.struct((sign * F.col(m)).alias("s"), F.lit(m).alias("m")) for m in sorted(models))), lambda x: x["s"].isNotNull())
+    return wide.withColumn("winner", F.array_min(scores)["m"])
 
 
 def running_best(df: DataFrame, part: list[str], order: list[str], value: str) -> DataFrame:

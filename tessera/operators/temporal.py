@@ -44,22 +44,32 @@ def trends(shares: DataFrame, index: str, least: int = 30) -> DataFrame:
     return all_topics.withColumn("trend", trend_label(F.col("slope"), F.col("change"))).orderBy(F.coalesce("change", F.lit(0.0)).desc(), "topic")
 
 
-def bootstrap_change(rows: DataFrame, first: str, last: str, draws: int = 2000, seed: int = 7) -> DataFrame:
-    """(topic, low, high): 95 % interval of the change in mean weight over active documents, by a Poisson bootstrap.
+#: Groups of documents that are drawn as one; their number does not grow with the table.
+BLOCKS = 1024
 
-    Every (document, draw) has a weight from a hash, so partitions do not matter;
-    sums are made before the shuffle. A topic's mean is over all documents of the
-    window with any weight, also those without the topic; a draw that takes no
-    document of a window has no change.
+
+def bootstrap_change(rows: DataFrame, first: str, last: str, draws: int = 2000, seed: int = 7, blocks: int = BLOCKS) -> DataFrame:
+    """(topic, low, high): 95 % interval of the change in mean weight over active documents, by a Poisson bootstrap of blocks.
+
+    Documents fall into blocks by a hash of their id, independently of their weights,
+    and a block is drawn as one: sums per block and draw have the expectation and the
+    variance that draws of documents have, and their number depends on blocks, draws and
+    topics only. Every (block, draw) has a weight from a hash, so partitions and reruns do
+    not matter. A topic's mean is over all documents of the window with any weight, also
+    those without the topic; a draw that takes no document of a window has no change.
     """
     spark = rows.sparkSession
-    active = rows.where(F.col("window").isin(first, last) & (F.col("weight") > 0))
+    hashed = lambda *c: F.conv(F.substring(F.md5(F.concat_ws(":", *c).cast("binary")), 1, 8), 16, 10).cast("long")
+    active = rows.where(F.col("window").isin(first, last) & (F.col("weight") > 0)).withColumn("block", hashed(F.col("doc_id").cast("string")) % blocks)
+    members = active.groupBy("window", "block").agg(F.count_distinct("doc_id").alias("n"))
+    sums = active.groupBy("window", "block", "topic").agg(F.sum("weight").alias("s"))
     grid = F.broadcast(spark.range(draws).withColumnRenamed("id", "draw"))
-    u = (F.pmod(F.xxhash64("doc_id", "draw", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = (hashed(F.lit(str(seed)), F.col("block").cast("string"), F.col("draw").cast("string")) + 0.5) / float(1 << 32)
     times = F.when(u < 0.36787944, 0).when(u < 0.73575888, 1).when(u < 0.9196986, 2).when(u < 0.98101184, 3).when(u < 0.99634015, 4).otherwise(5)
-    taken = active.select("window", "doc_id").distinct().crossJoin(grid).groupBy("window", "draw").agg(F.sum(times).alias("n"))
-    sums = active.crossJoin(grid).groupBy("topic", "draw", "window").agg(F.sum(times * F.col("weight")).alias("s"))
+    drawn = F.broadcast(spark.range(blocks).withColumnRenamed("id", "block")).crossJoin(grid).withColumn("k", times).where("k > 0")
+    taken = members.join(drawn, "block").groupBy("window", "draw").agg(F.sum(F.col("k") * F.col("n")).alias("n"))
+    found = sums.join(drawn, "block").groupBy("topic", "draw", "window").agg(F.sum(F.col("k") * F.col("s")).alias("s"))
     topics = active.select("topic").distinct()
-    means = taken.where("n > 0").crossJoin(topics).join(sums, ["topic", "draw", "window"], "left").withColumn("m", F.coalesce("s", F.lit(0.0)) / F.col("n"))
+    means = taken.where("n > 0").crossJoin(topics).join(found, ["topic", "draw", "window"], "left").withColumn("m", F.coalesce("s", F.lit(0.0)) / F.col("n"))
     wide = means.groupBy("topic", "draw").pivot("window", [first, last]).agg(F.first("m"))
     return wide.groupBy("topic").agg(*(F.percentile(F.col(last) - F.col(first), F.lit(q)).alias(n) for n, q in (("low", 0.025), ("high", 0.975))))

@@ -165,15 +165,15 @@ def evidence_hashes(spark, folder):
 
 @query(
     r"""
-WITH k AS (SELECT doc_id, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '\s+', ' ', 'g')) AS key FROM documents),
-b AS (SELECT DISTINCT trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS key FROM benchmark)
-SELECT doc_id FROM k WHERE key NOT IN (SELECT key FROM b)"""
+WITH k AS (SELECT doc_id, trim(regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents),
+b AS (SELECT DISTINCT trim(regexp_replace(lower(regexp_extract(html, '<h1>([^<]*)', 1)), '[^a-z0-9]+', ' ', 'g')) AS key FROM pages)
+SELECT doc_id FROM k WHERE key = '' OR key NOT IN (SELECT key FROM b)"""
 )
 def already_seen_antijoin(spark, folder):
-    """Documents whose title key is not among those seen."""
+    """Documents whose title key is not among those of harvested pages."""
     from ..operators.merge import unseen
 
-    squeezed = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    squeezed = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
     docs = table(spark, folder, "documents").select("doc_id", squeezed(F.get(F.split("text", "\n"), F.lit(0))).alias("title_key"), F.lit(None).cast("string").alias("doi_key"))
-    seen = table(spark, folder, "benchmark").select(F.lit("title").alias("key_type"), squeezed(F.col("text")).alias("key"))
+    seen = table(spark, folder, "pages").select(F.lit("title").alias("key_type"), squeezed(F.regexp_extract("html", "<h1>([^<]*)", 1)).alias("key"))
     return unseen(docs, seen).select("doc_id")

@@ -58,11 +58,24 @@ def topic_trends(spark, folder):
     return out.select("topic", "windows", *(F.round(c, 6).alias(c) for c in ("slope", "first_share", "last_share", "change")), "trend")
 
 
-@query()
+_HASH = "CAST('0x' || left(md5({}), 8) AS BIGINT)"
+
+
+@query(
+    f"""WITH {_MASS}, active AS (SELECT win, topic, weight, doc_id, {_HASH.format("CAST(doc_id AS VARCHAR)")} % {P.BLOCKS} AS block FROM mass WHERE win IN (0, 2) AND weight > 0),
+blocked AS (SELECT win, block, count(DISTINCT doc_id) AS n FROM active GROUP BY ALL), bsums AS (SELECT win, block, topic, sum(weight) AS s FROM active GROUP BY ALL),
+hu AS (SELECT block, draw, ({_HASH.format("'7:' || block || ':' || draw")} + 0.5) / 4294967296.0::DOUBLE AS u FROM (SELECT unnest(range({P.BLOCKS})) AS block), (SELECT unnest(range(2000)) AS draw)),
+k AS (SELECT block, draw, CASE WHEN u < 0.36787944 THEN 0 WHEN u < 0.73575888 THEN 1 WHEN u < 0.9196986 THEN 2 WHEN u < 0.98101184 THEN 3 WHEN u < 0.99634015 THEN 4 ELSE 5 END AS k FROM hu),
+taken AS (SELECT win, draw, sum(k * n) AS n FROM blocked JOIN k USING (block) GROUP BY ALL HAVING sum(k * n) > 0), found AS (SELECT win, draw, topic, sum(k * s) AS s FROM bsums JOIN k USING (block) GROUP BY ALL),
+means AS (SELECT t.win, t.draw, topic, coalesce(s, 0) / t.n AS m FROM (SELECT * FROM taken CROSS JOIN (SELECT DISTINCT topic FROM active)) t LEFT JOIN found USING (win, draw, topic)),
+diffs AS (SELECT a.topic, b.m - a.m AS d FROM means a JOIN means b ON a.topic = b.topic AND a.draw = b.draw AND a.win = 0 AND b.win = 2)
+SELECT topic, round(quantile_cont(d, 0.025), 6) AS low, round(quantile_cont(d, 0.975), 6) AS high FROM diffs GROUP BY topic"""
+)
 def share_change_interval(spark, folder):
-    """Bootstrap interval of the change in mean share; tested for coverage and reruns."""
+    """Bootstrap interval of the change in mean share."""
     rows, _ = _mass(spark, folder)
-    return P.bootstrap_change(rows.withColumn("window", F.col("window").cast("string")), "0", "2")
+    out = P.bootstrap_change(rows.withColumn("window", F.col("window").cast("string")), "0", "2")
+    return out.select("topic", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 _R = "ratings AS (SELECT user_id AS item, event_type AS rater, 1 + CAST(floor(value) AS BIGINT) % 5 AS rating FROM events WHERE value IS NOT NULL)"
@@ -121,16 +134,21 @@ def verdict_rollup(spark, folder):
 
 
 @query(
-    """WITH m AS (SELECT event_type AS model, avg(value) AS mean, count(*) AS n, max(value) AS top FROM events GROUP BY event_type),
-l AS (SELECT model, 'mean' AS metric, round(mean, 6) AS v FROM m UNION ALL SELECT model, 'n', n::DOUBLE FROM m UNION ALL SELECT model, 'top', round(top, 6) FROM m)
-SELECT metric, max(CASE WHEN model = 'click' THEN v END) AS click, max(CASE WHEN model = 'purchase' THEN v END) AS purchase, max(CASE WHEN model = 'view' THEN v END) AS view, arg_max(model, v) AS winner FROM l GROUP BY metric"""
+    """WITH m AS (SELECT event_type AS model, avg(value) AS mean, stddev_samp(value) AS sd, count(*) AS n FROM events GROUP BY event_type),
+o AS (SELECT event_type AS model, avg((value > mean + 2 * sd)::INT) AS far FROM events JOIN m ON model = event_type WHERE event_type <> 'view' GROUP BY event_type),
+l AS (SELECT model, 'mean' AS metric, round(mean, 6) AS v FROM m UNION ALL SELECT model, 'n', n::DOUBLE FROM m UNION ALL SELECT model, 'sd', round(sd, 6) FROM m UNION ALL SELECT model, 'outliers', round(far, 6) FROM o
+  UNION ALL SELECT 'view', 'outliers', 0)
+SELECT metric, max(CASE WHEN model = 'click' THEN v END) AS click, max(CASE WHEN model = 'purchase' THEN v END) AS purchase, max(CASE WHEN model = 'view' THEN v END) AS view,
+  first(model ORDER BY CASE WHEN metric IN ('sd', 'outliers') THEN v ELSE -v END, model) AS winner FROM l WHERE model IN ('click', 'purchase', 'view') GROUP BY metric"""
 )
 def model_comparison_pivot(spark, folder):
-    """Metrics by model with the winner of each metric."""
-    m = table(spark, folder, "events").groupBy(F.col("event_type").alias("model")).agg(F.avg("value").alias("mean"), F.count("*").cast("double").alias("n"), F.max("value").alias("top"))
-    long = m.select("model", F.explode(F.create_map(F.lit("mean"), F.round("mean", 6), F.lit("n"), F.col("n"), F.lit("top"), F.round("top", 6))).alias("metric", "v"))
-    wide = long.groupBy("metric").pivot("model", ["click", "purchase", "view"]).agg(F.max("v"))
-    return wide.join(long.groupBy("metric").agg(F.max_by("model", "v").alias("winner")), "metric")
+    """Metrics by model with the winner of each by its direction; a model without an outlier share has 0."""
+    events = table(spark, folder, "events").select(F.col("event_type").alias("model"), "value")
+    m = events.groupBy("model").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("*").cast("double").alias("n"))
+    far = events.where("model <> 'view'").join(F.broadcast(m), "model").groupBy("model").agg(F.avg((F.col("value") > F.col("mean") + 2 * F.col("sd")).cast("int")).alias("far"))
+    long = m.select("model", F.explode(F.create_map(F.lit("mean"), F.round("mean", 6), F.lit("n"), F.col("n"), F.lit("sd"), F.round("sd", 6))).alias("metric", "value"))
+    long = long.unionByName(far.select("model", F.lit("outliers").alias("metric"), F.round("far", 6).alias("value")))
+    return S.comparison(long, ["click", "purchase", "view"], ("sd", "outliers"), {"outliers": 0.0})
 
 
 _RUNS = "runs AS (SELECT CAST(user_id % 3 AS BIGINT) AS cell, event_type AS algorithm, floor(value) AS value FROM events WHERE value IS NOT NULL)"
@@ -148,10 +166,15 @@ u AS (SELECT cell, a, b, n_a, n_b, sum(ca * rank) - any_value(n_a * (n_a + 1) /
 z AS (SELECT *, greatest(abs(u - n_a * n_b / 2) - 0.5, 0) / sqrt(n_a * n_b / 12 * (n_a + n_b + 1 - ties / ((n_a + n_b) * (n_a + n_b - 1)))) AS z FROM u)"""
 
 
-@query(f"WITH {_U} SELECT cell, a, b, n_a, n_b, u::DOUBLE AS u, round(z, 6) AS z FROM z")
+#: erf(x) as its series of positive terms, exp(-x^2) sum of 2^n x^(2n+1) / (2n+1)!!.
+_ERF = """CASE WHEN x = 0 THEN 0 ELSE 2 / sqrt(pi()) * list_sum(list_transform(range(0, 400),
+  lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(x) + lgamma(n + 1) - lgamma(2 * n + 2) - x * x))) END"""
+
+
+@query(f"WITH {_U}, x AS (SELECT *, z / sqrt(2) AS x FROM z) SELECT cell, a, b, n_a, n_b, u::DOUBLE AS u, round(z, 6) AS z, round(1 - {_ERF}, 6) AS p FROM x")
 def mannwhitney_u(spark, folder):
-    """U and z of every pair of algorithms in each cell."""
-    return S.mann_whitney(runs(spark, folder), ["cell"]).select("cell", "a", "b", "n_a", "n_b", "u", F.round("z", 6).alias("z"))
+    """U, z and the two-sided p of every pair of algorithms in each cell."""
+    return S.mann_whitney(runs(spark, folder), ["cell"]).select("cell", "a", "b", "n_a", "n_b", "u", F.round("z", 6).alias("z"), F.round("p", 6).alias("p"))
 
 
 @query(
@@ -190,14 +213,19 @@ def asof_convergence_grid(spark, folder):
 
 
 @query(
-    """WITH r AS (SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
-SELECT event_id, k, CASE WHEN k IS NULL THEN 'shape' WHEN k % 10 NOT IN (1, 2, 3, 5, 7) THEN 'supporting_ids' END AS error FROM r"""
+    """WITH r AS (SELECT event_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)
+SELECT event_id, event_type || repeat('x', CAST(k % 130 AS INT)) AS label, CASE WHEN k IS NULL THEN 'shape' WHEN length(event_type) + k % 130 > 120 THEN 'label' WHEN k % 4 = 3 THEN 'coherence'
+  WHEN k % 10 NOT IN (1, 2, 3, 5, 7) THEN 'supporting_doc_ids' END AS error FROM r"""
 )
 def json_label_validation(spark, folder):
-    """JSON fields as values with errors beside them; allowed ids are a list."""
-    got = F.from_json("props", "k bigint")["k"]
-    error = F.when(got.isNull(), "shape").when(F.size(F.array_except(F.array(got % 10), F.array(*map(F.lit, (1, 2, 3, 5, 7))))) > 0, "supporting_ids")
-    return table(spark, folder, "events").select("event_id", got.alias("k"), error.alias("error"))
+    """JSON label responses, half of them in code fences, checked field by field against allowed ids."""
+    k = F.from_json("props", "k bigint")["k"]
+    coherence = F.get(F.array(*map(F.lit, ("high", "medium", "low", "odd"))), (k % 4).cast("int"))
+    label = F.concat(F.col("event_type"), F.repeat(F.lit("x"), (k % 130).cast("int")))
+    body = F.to_json(F.struct(label.alias("label"), F.lit("because").alias("rationale"), coherence.alias("coherence"), F.array((k % 10).cast("string")).alias("supporting_doc_ids")))
+    response = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    got = T.parse_label(response, F.array(*map(F.lit, ("1", "2", "3", "5", "7"))))
+    return table(spark, folder, "events").select("event_id", got["label"].alias("label"), got["error"].alias("error"))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, count(*) AS reviews FROM events GROUP BY user_id")
@@ -251,10 +279,28 @@ def merge_title_pass(spark, folder):
     return _merged(M.merge_pass(_records(spark, folder), "title_key", ["abstract", "venue", "url"], ["batch", "ordinal"]))
 
 
-@query()
+def _exact_sql() -> str:
+    """A recursion over records in order that carries the keys of founders; then joins and aggregates."""
+    gap = lambda c: f"arg_min(r.{c}, n) FILTER (WHERE coalesce(trim(r.{c}), '') <> '')"
+    return f"""WITH RECURSIVE {_REC}, o AS (SELECT *, doi_key AS doi, nullif(doi_key, '') AS d, nullif(title_key, '') AS t, row_number() OVER (ORDER BY batch, ordinal) AS n FROM rec),
+f AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS ds, CAST([] AS VARCHAR[]) AS ts, false AS founder
+  UNION ALL SELECT o.n, CASE WHEN x OR d IS NULL THEN ds ELSE list_append(ds, d) END, CASE WHEN x OR t IS NULL THEN ts ELSE list_append(ts, t) END, NOT x
+  FROM (SELECT o.n, d, t, ds, ts, coalesce(list_contains(ds, d), false) OR coalesce(list_contains(ts, t), false) AS x FROM f JOIN o ON o.n = f.n + 1) o),
+s AS (SELECT o.*, founder FROM o JOIN f USING (n)),
+h AS (SELECT s.*, CASE WHEN s.founder THEN s.n ELSE coalesce(a.n, b.n) END AS home FROM s LEFT JOIN s a ON a.founder AND a.d = s.d AND a.n < s.n LEFT JOIN s b ON b.founder AND b.t = s.t AND b.n < s.n),
+src AS (SELECT home, source, min(n) AS pos FROM h GROUP BY ALL), l AS (SELECT home, array_to_string(list(source ORDER BY pos), ',') AS sources FROM src GROUP BY home),
+m AS (SELECT home, {gap("abstract")} AS abstract, {gap("venue")} AS venue, {gap("doi")} AS doi, {gap("url")} AS url, arg_min(CASE WHEN batch = 1 THEN url END, n) FILTER (WHERE batch = 1) AS author FROM h r GROUP BY home)
+SELECT s.record_id, coalesce(m.abstract, '') AS abstract, coalesce(m.venue, '') AS venue, coalesce(m.doi, '') AS doi, coalesce(m.url, '') AS url, coalesce(m.author, '') AS authors, l.sources
+FROM m JOIN s ON s.n = m.home JOIN l USING (home)"""
+
+
+@query(_exact_sql())
 def merge_exact(spark, folder):
-    """The ordered merge; tested against a plain loop."""
-    return M.merge_exact(_records(spark, folder)).select("record_id", "abstract", "venue", "url", F.array_join("sources", ",").alias("sources"))
+    """The ordered merge of documents and pages; pages have an author each, who fills documents without."""
+    records = _records(spark, folder).withColumn("authors", F.when(F.col("batch") == 1, F.array("url")).otherwise(F.array().cast("array<string>")))
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    out = M.merge_exact(records)
+    return out.select("record_id", *(blank(c) for c in ("abstract", "venue", "doi", "url")), F.array_join("authors", ",").alias("authors"), F.array_join("sources", ",").alias("sources"))
 
 
 @query(

@@ -41,12 +41,12 @@ def vocabulary_stats(spark, folder):
 
 
 _DICT = f"""{DF}, dict AS (SELECT row_number() OVER (ORDER BY term) - 1 AS term_id, term, df, cf FROM
-  (SELECT * FROM df WHERE df >= 5 AND df <= 0.5 * (SELECT count(*) FROM documents) ORDER BY df DESC, term LIMIT 2000))"""
+  (SELECT * FROM df WHERE df >= 5 AND df <= 0.5 * (SELECT count(*) FROM documents) ORDER BY df DESC, term LIMIT 50000))"""
 
 
 def _dictionary(spark, folder):
     docs = documents(spark, folder)
-    return V.dictionary(V.document_frequency(docs), table(spark, folder, "documents").count(), keep_n=2000)
+    return V.dictionary(V.document_frequency(docs), table(spark, folder, "documents").count())
 
 
 @query(f"WITH {_DICT} SELECT term_id, term, df, cf FROM dict")
