@@ -135,7 +135,10 @@ class Controller:
 
     def infer(self, df: DataFrame, method: str = "centroid") -> DataFrame:
         """Adds a column per output; NaN where no rule fires. Null inputs give null levels and NaN."""
-        df = self.levels(self.memberships(df))
+        return self.crisp(self.levels(self.memberships(df)), method)
+
+    def crisp(self, df: DataFrame, method: str = "centroid") -> DataFrame:
+        """The outputs of a table that has the levels, which go."""
         new = {o: defuzzifier(self.variables[o], method)(*[F.col(f"alpha_{o}_{s}") for s in self.variables[o].sets]) for o in self.outputs}
         drop = [c for c in df.columns if c.startswith(("mu_", "alpha_"))]
         return df.withColumns(new).drop(*drop)
@@ -304,13 +307,16 @@ def samples(spark: SparkSession, n: int = 400, noise: float = 0.03, test: float
     """
     from ..functions.scalar import policy
 
+    def order(k: int) -> Column:
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), F.col("id").cast("string")).cast("binary"))
+
     def uniform(k: int) -> Column:
-        return (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "id"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        return (F.conv(F.substring(order(k), 1, 10), 16, 10).cast("long") + 0.5) / float(1 << 40)
 
     v = _by_name()
     df = spark.range(n).select("id", *((v[name].lo + uniform(k) * (v[name].hi - v[name].lo)).alias(name) for k, name in enumerate(INPUTS)))
     normal = F.sqrt(-2.0 * F.log(uniform(5)))
     outputs = policy(*(F.col(c) for c in INPUTS))
     df = df.withColumn("hvac", outputs[0] + noise * 200 * normal * F.cos(2 * F.pi() * uniform(6))).withColumn("dimmer", outputs[1] + noise * 100 * normal * F.sin(2 * F.pi() * uniform(6)))
-    chosen = df.select("id").orderBy(F.xxhash64(F.lit(seed), F.lit(9), "id"), "id").limit(round(n * test)).withColumn("is_test", F.lit(True))
+    chosen = df.select("id").orderBy(order(9), "id").limit(round(n * test)).withColumn("is_test", F.lit(True))
     return df.join(chosen, "id", "left").withColumn("is_test", F.coalesce("is_test", F.lit(False)))

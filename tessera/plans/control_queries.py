@@ -77,17 +77,6 @@ def fuzzy_control(spark, folder):
     return CONTROLLER.infer(inputs(spark, folder)).select("l_orderkey", "l_linenumber", F.round("hvac", 4).alias("hvac"), F.round("dimmer", 4).alias("dimmer"))
 
 
-@query()
-def fuzzy_defuzzifiers(spark, folder):
-    """All four defuzzifiers over the audit grid's corners; tested against plain sums."""
-    base = Z.audit_grid(spark, (11, 7, 7, 7))
-    out = None
-    for method in ("centroid", "discrete", "bisector", "mean_of_maximum"):
-        part = CONTROLLER.infer(base, method).agg(*(f(o).alias(f"{n}_{o}") for o in ("hvac", "dimmer") for n, f in (("min", F.min), ("max", F.max)))).withColumn("method", F.lit(method))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 _AXES = ", ".join(
     f"{n}_axis AS (SELECT {float(v.lo)}::DOUBLE + k * ({v.hi} - {v.lo})::DOUBLE / {p - 1} AS {n} FROM (SELECT unnest(range({p})) AS k))"
     for n, p, v in ((n, p, CONTROLLER.variables[n]) for n, p in zip(Z.INPUTS, (21, 15, 15, 15), strict=True))
@@ -99,6 +88,42 @@ def _rule_sql() -> list[str]:
     return [f"least({', '.join(f'mu_{n}_{s}' for n, s in r.antecedents.items())})" for r in CONTROLLER.rules]
 
 
+def _methods_sql(o: str) -> str:
+    """Extremes of an output by all four defuzzifiers, from its curve at the grid points of each distinct combination of levels."""
+    v = CONTROLLER.variables[o]
+    levels = [f"alpha_{o}_{s}" for s in v.sets]
+    f = f"greatest({', '.join(f'least(alpha_{o}_{s}, m_{s})' for s in v.sets)})"
+    h = repr((v.hi - v.lo) / 500)
+    return f"""{o}_id AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT {", ".join(levels)} FROM alpha)),
+{o}_f AS MATERIALIZED (SELECT id, i, y, area, moment, {f} AS f FROM {o}_id, {o}_grid),
+{o}_c AS (SELECT id, i, y, (f + lead(f) OVER w) / 2 * {h} AS cell, sum((f + lead_f) / 2 * {h}) OVER (PARTITION BY id ORDER BY i) AS cum FROM (SELECT *, lead(f) OVER w AS lead_f FROM {o}_f WINDOW w AS (PARTITION BY id ORDER BY i)) WINDOW w AS (PARTITION BY id ORDER BY i)),
+{o}_t AS (SELECT id, max(cum) AS total FROM {o}_c GROUP BY id),
+{o}_at AS (SELECT id, arg_min(y + {h} * (total / 2 - (cum - cell)) / nullif(cell, 0), i) AS v FROM {o}_c JOIN {o}_t USING (id) WHERE i < 500 AND cum >= total / 2 AND total > 0 GROUP BY id),
+{o}_top AS (SELECT id, max(f) AS top FROM {o}_f GROUP BY id),
+{o}_all AS (SELECT 'centroid' AS method, sum(f * moment) / nullif(sum(f * area), 0) AS v FROM {o}_f GROUP BY id UNION ALL SELECT 'discrete', sum(f * y) / nullif(sum(f), 0) FROM {o}_f GROUP BY id
+  UNION ALL SELECT 'bisector', v FROM {o}_at UNION ALL SELECT 'mean_of_maximum', avg(y) FROM {o}_f JOIN {o}_top USING (id) WHERE top > 0 AND f >= top - 1e-12 GROUP BY id),
+{o}_range AS (SELECT method, round(min(v), 4) AS min_{o}, round(max(v), 4) AS max_{o} FROM {o}_all GROUP BY method)"""
+
+
+_GRID_ALPHA = f"""{_AXES}, states AS (SELECT 0 AS id, * FROM {", ".join(f"{n}_axis" for n in Z.INPUTS)}), alpha AS ({CONTROLLER.sql('states', 'id')})"""
+
+
+@query(
+    f"""WITH {_GRID_ALPHA}, {", ".join(_grid_sql(o).split(f"{chr(10)}{o}_levels")[0].rstrip(",") for o in ("hvac", "dimmer"))}, {_methods_sql("hvac")}, {_methods_sql("dimmer")}
+SELECT * FROM hvac_range JOIN dimmer_range USING (method)"""
+)
+def fuzzy_defuzzifiers(spark, folder):
+    """Reachable range of each output by all four defuzzifiers over the whole audit grid."""
+    base = CONTROLLER.levels(CONTROLLER.memberships(Z.audit_grid(spark)))
+    out = None
+    for method in ("centroid", "discrete", "bisector", "mean_of_maximum"):
+        part = CONTROLLER.crisp(base, method).agg(
+            *(F.round(f(F.nanvl(o, F.lit(None).cast("double"))), 4).alias(f"{n}_{o}") for o in ("hvac", "dimmer") for n, f in (("min", F.min), ("max", F.max)))
+        ).withColumn("method", F.lit(method))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     f"""WITH {_AXES}, grid AS (SELECT 0 AS id, * FROM {", ".join(f"{n}_axis" for n in Z.INPUTS)}), mu AS (SELECT *, {_FIRED},
 r AS (SELECT {", ".join(f"{x} AS r{k}" for k, x in enumerate(_rule_sql()))} FROM mu)
@@ -111,31 +136,89 @@ def fuzzy_audit(spark, folder):
     return CONTROLLER.audit(Z.audit_grid(spark)).withColumn("mean_active", F.round("mean_active", 6))
 
 
-@query()
+def _crisp_sql(state: str, key: str) -> str:
+    """CTEs for the crisp outputs of a table of inputs with key columns; ends in a table ``crisp``."""
+    own = {o: ", ".join(x for x in _LEVELS if f"_{o}_" in x) for o in ("hvac", "dimmer")}
+    return f"""alpha AS ({CONTROLLER.sql(state, key)}), {_grid_sql("hvac")}, {_grid_sql("dimmer")},
+crisp AS (SELECT {key}, round(hvac, 6) AS hvac, round(dimmer, 6) AS dimmer FROM alpha JOIN hvac_crisp USING ({own["hvac"]}) JOIN dimmer_crisp USING ({own["dimmer"]}))"""
+
+
+@query(
+    f"""WITH state AS (SELECT room_temp AS t, preference AS p, room_temp, preference, 5.0::DOUBLE AS activity, 50.0::DOUBLE AS daylight
+  FROM (SELECT 14 + k * 20::DOUBLE / 40 AS room_temp FROM (SELECT unnest(range(41)) AS k)), (SELECT -5 + k * 10::DOUBLE / 20 AS preference FROM (SELECT unnest(range(21)) AS k))),
+{_crisp_sql("state", "t, p")} SELECT t AS room_temp, p AS preference, hvac, dimmer FROM crisp"""
+)
 def fuzzy_surface(spark, folder):
-    """Control surface of temperature and preference at fixed activity and daylight; tested against a matrix twin."""
+    """Control surface of temperature and preference at fixed activity and daylight."""
     state = Z.grid(spark, {"room_temp": (14.0, 34.0, 41), "preference": (-5.0, 5.0, 21)}).withColumns({"activity": F.lit(5.0), "daylight": F.lit(50.0)})
     return CONTROLLER.infer(state).select("room_temp", "preference", F.round("hvac", 6).alias("hvac"), F.round("dimmer", 6).alias("dimmer"))
 
 
-@query()
+#: The middle of each input's range, at which the others stay while one varies.
+_MIDDLE = {n: (CONTROLLER.variables[n].lo + CONTROLLER.variables[n].hi) / 2 for n in Z.INPUTS}
+
+
+@query(
+    f"""WITH state AS ({" UNION ALL ".join(f"SELECT '{n}' AS varied, k, " + ", ".join(f"({CONTROLLER.variables[m].lo} + k * ({CONTROLLER.variables[m].hi} - {CONTROLLER.variables[m].lo})::DOUBLE / 100) AS {m}" if m == n else f"{_MIDDLE[m]}::DOUBLE AS {m}" for m in Z.INPUTS) + " FROM (SELECT unnest(range(101)) AS k)" for n in Z.INPUTS)}),
+{_crisp_sql("state", "varied, k")} SELECT varied, CAST(k AS BIGINT) AS k, hvac, dimmer FROM crisp"""
+)
+def fuzzy_response(spark, folder):
+    """Response curves: each input over its range in 101 steps, the others at their middle."""
+    out = None
+    for n in Z.INPUTS:
+        v = CONTROLLER.variables[n]
+        part = spark.range(101).select(F.lit(n).alias("varied"), F.col("id").alias("k"), *((v.lo + F.col("id") * (v.hi - v.lo) / 100).alias(m) if m == n else F.lit(float(_MIDDLE[m])).alias(m) for m in Z.INPUTS))
+        out = part if out is None else out.unionByName(part)
+    return CONTROLLER.infer(out).select("varied", "k", F.round("hvac", 6).alias("hvac"), F.round("dimmer", 6).alias("dimmer"))
+
+
+_STRENGTHS = f"[{', '.join(f'r{k}' for k in range(54))}]"
+
+
+@query(
+    f"""WITH {_INPUTS}, states AS (SELECT row_number() OVER () AS id, * FROM (SELECT DISTINCT {", ".join(Z.INPUTS)} FROM inputs)), {_crisp_sql("states", "id")},
+clamped AS (SELECT id, {", ".join(f"greatest({float(CONTROLLER.variables[n].lo)}, least({float(CONTROLLER.variables[n].hi)}, {n}))::DOUBLE AS {n}" for n in CONTROLLER.inputs)} FROM states),
+grid AS (SELECT * FROM clamped), mu AS (SELECT *, {_FIRED}, r AS (SELECT id, {", ".join(f"{x} AS r{k}" for k, x in enumerate(_rule_sql()))} FROM mu)
+SELECT {", ".join(f"round({n}, 6) AS {n}" for n in Z.INPUTS)}, CAST({" + ".join(f"(r{k} > 0)::INT" for k in range(54))} AS INTEGER) AS n_active,
+  CAST(list_position({_STRENGTHS}, list_max({_STRENGTHS})) - 1 AS INTEGER) AS strongest, hvac, dimmer FROM states JOIN r USING (id) JOIN crisp USING (id)"""
+)
 def fuzzy_trace(spark, folder):
-    """Active rules and outputs of every line item's distinct state; tested on a worked example."""
+    """Active rules and outputs of every line item's distinct state."""
     states = inputs(spark, folder).select(*Z.INPUTS).distinct()
     out = CONTROLLER.trace(states)
-    return out.select(*Z.INPUTS, F.size("active").alias("n_active"), F.get("active", F.lit(0))["rule"].alias("strongest"), F.round("hvac", 6).alias("hvac"), F.round("dimmer", 6).alias("dimmer"))
+    return out.select(
+        *(F.round(n, 6).alias(n) for n in Z.INPUTS), F.size("active").alias("n_active"), F.get("active", F.lit(0))["rule"].alias("strongest"),
+        F.round("hvac", 6).alias("hvac"), F.round("dimmer", 6).alias("dimmer"),
+    )
 
 
-@query()
-def fuzzy_day(spark, folder):
-    """A day in 288 steps: inputs by the hour, outputs, and whether it heats; tested against a matrix twin."""
+_DAY = """state AS (SELECT CAST(step AS BIGINT) AS step, 22 - 4 * cos(2 * pi() * (h - 4) / 24) AS room_temp, CASE WHEN h BETWEEN 7 AND 22 THEN 5 + 3 * sin(2 * pi() * h / 6) ELSE 1 END AS activity,
+  100 * greatest(0.0, sin(pi() * (h - 6) / 12)) AS daylight, 0.0::DOUBLE AS preference FROM (SELECT unnest(range(288)) AS step, unnest(range(288)) / 12.0::DOUBLE AS h))"""
+
+
+def _day(spark):
     h = F.col("step") / 12.0
     sun = F.greatest(F.lit(0.0), F.sin(F.pi() * (h - 6) / 12))
     day = spark.range(288).withColumnRenamed("id", "step").withColumns({
         "room_temp": 22 - 4 * F.cos(2 * F.pi() * (h - 4) / 24), "activity": F.when(h.between(7, 22), 5 + 3 * F.sin(2 * F.pi() * h / 6)).otherwise(1.0),
         "daylight": 100 * sun, "preference": F.lit(0.0),
     })
-    return CONTROLLER.infer(day).select("step", F.round("hvac", 6).alias("hvac"), F.round("dimmer", 6).alias("dimmer"), (F.col("hvac") > 5).alias("heats"))
+    return CONTROLLER.infer(day).select("step", F.round("hvac", 6).alias("hvac"), F.round("dimmer", 6).alias("dimmer"))
+
+
+@query(f"WITH {_DAY}, {_crisp_sql('state', 'step')} SELECT step, hvac, dimmer, hvac > 5 AS heats FROM crisp")
+def fuzzy_day(spark, folder):
+    """A day in 288 steps: outputs, and whether it heats."""
+    return _day(spark).withColumn("heats", F.col("hvac") > 5)
+
+
+@query(
+    f"""WITH {_DAY}, {_crisp_sql("state", "step")} SELECT count_if(hvac > 5) * 5 / 60.0::DOUBLE AS heating, count_if(hvac < -5) * 5 / 60.0::DOUBLE AS cooling, count_if(dimmer > 50) * 5 / 60.0::DOUBLE AS bright FROM crisp"""
+)
+def fuzzy_day_hours(spark, folder):
+    """Hours of the day of heating, cooling and bright light."""
+    hours = lambda c: F.count_if(c) * 5 / 60.0
+    return _day(spark).agg(hours(F.col("hvac") > 5).alias("heating"), hours(F.col("hvac") < -5).alias("cooling"), hours(F.col("dimmer") > 50).alias("bright"))
 
 
 @query(
@@ -216,7 +299,50 @@ def fuzzy_rule_firing(spark, folder):
     return fired.agg(F.array(*each).alias("r")).select(F.inline("r"))
 
 
-@query()
+_U = lambda k: f"((CAST('0x' || left(md5('11:{k}:' || id), 10) AS BIGINT) + 0.5) / 1099511627776.0::DOUBLE)"
+
+
+@query(
+    f"""WITH s AS (SELECT id, {", ".join(f"{CONTROLLER.variables[n].lo} + {_U(k)} * ({CONTROLLER.variables[n].hi} - {CONTROLLER.variables[n].lo}) AS {n}" for k, n in enumerate(Z.INPUTS))},
+  sqrt(-2 * ln({_U(5)})) AS size, 2 * pi() * {_U(6)} AS angle, row_number() OVER (ORDER BY md5('11:9:' || id), id) <= 120 AS is_test FROM (SELECT unnest(range(400)) AS id))
+SELECT CAST(id AS BIGINT) AS id, {", ".join(f"round({n}, 6) AS {n}" for n in Z.INPUTS)}, is_test,
+  round(greatest(-{scalar.LIMIT}, least({scalar.LIMIT}, {scalar.GAIN} * ({scalar.SETPOINT} + {scalar.PER_ACTIVITY} * activity + {scalar.PER_PREFERENCE} * preference - room_temp))) + 0.03 * 200 * size * cos(angle), 6) AS hvac,
+  round(greatest({scalar.LAMP_LOW}, least({scalar.LAMP_HIGH}, {scalar.LAMP} + {scalar.LAMP_PER_ACTIVITY} * activity - {scalar.CREDIT} * daylight)) + 0.03 * 100 * size * sin(angle), 6) AS dimmer FROM s"""
+)
 def synthetic_samples(spark, folder):
-    """Noisy samples of the policy with a fixed split; tested for its size and range."""
-    return Z.samples(spark)
+    """Noisy samples of the policy with a fixed split."""
+    out = Z.samples(spark)
+    return out.select("id", *(F.round(c, 6).alias(c) for c in (*Z.INPUTS, "hvac", "dimmer")), "is_test")
+
+
+_EDGES = ((14, 0, 0, -5), (34, 10, 100, 5), (24, 5, 50, 0), (14, 10, 100, 5), (34, 0, 0, -5), (22.5, 0, 0, 0), (22.5, 10, 100, 0), (19, 5, 30, 1), (26, 5, 70, -1))
+
+
+@query(
+    f"""WITH raw(state, {", ".join(Z.INPUTS)}) AS (VALUES {", ".join(f"({k}, {', '.join(map(str, e))})" for k, e in enumerate(_EDGES))}),
+plain AS (SELECT state, {", ".join(f"{n}::DOUBLE AS {n}" for n in Z.INPUTS)} FROM raw),
+{_crisp_sql("plain", "state")} SELECT state, hvac, dimmer, hvac IS NOT NULL AND dimmer IS NOT NULL AS is_defined FROM crisp"""
+)
+def fuzzy_edges(spark, folder):
+    """Outputs of nine named states at the edges of the ranges."""
+    rows = F.inline(F.array(*(F.struct(F.lit(k).alias("state"), *(F.lit(float(x)).alias(n) for n, x in zip(Z.INPUTS, e, strict=True))) for k, e in enumerate(_EDGES))))
+    out = CONTROLLER.infer(spark.range(1).select(rows)).select("state", F.round("hvac", 6).alias("hvac"), F.round("dimmer", 6).alias("dimmer"))
+    return out.withColumn("is_defined", ~F.isnan("hvac") & ~F.isnan("dimmer"))
+
+
+_COARSE = ", ".join(
+    f"{n}_axis AS (SELECT {float(v.lo)}::DOUBLE + k * ({v.hi} - {v.lo})::DOUBLE / {p - 1} AS {n} FROM (SELECT unnest(range({p})) AS k))"
+    for n, p, v in ((n, p, CONTROLLER.variables[n]) for n, p in zip(Z.INPUTS, (11, 7, 7, 7), strict=True))
+)
+
+
+@query(
+    f"""WITH {_COARSE}, grid AS (SELECT 0 AS id, * FROM {", ".join(f"{n}_axis" for n in Z.INPUTS)}), mu AS (SELECT *, {_FIRED},
+r AS (SELECT {", ".join(f"{x} AS r{k}" for k, x in enumerate(_rule_sql()))} FROM mu)
+SELECT count(*) AS n, CAST(count_if(greatest({", ".join(f"r{k}" for k in range(45))}) <= 0 OR greatest({", ".join(f"r{k}" for k in range(45, 54))}) <= 0) AS BIGINT) AS undefined,
+  CAST({" + ".join(f"(max(r{k}) <= 0)::INT" for k in range(54))} AS BIGINT) AS dead, round(avg({" + ".join(f"(r{k} > 0)::INT" for k in range(54))}), 6) AS mean_active,
+  CAST(max({" + ".join(f"(r{k} > 0)::INT" for k in range(54))}) AS BIGINT) AS max_active FROM r"""
+)
+def fuzzy_coarse_audit(spark, folder):
+    """Coverage of the rules over the coarse grid of 3,773 states."""
+    return CONTROLLER.audit(Z.audit_grid(spark, (11, 7, 7, 7))).withColumn("mean_active", F.round("mean_active", 6))

@@ -88,9 +88,23 @@ def bigram_scores(spark, folder):
     return V.bigram_scores(documents(spark, folder)).withColumn("score", F.round("score", 6))
 
 
-@query()
+def _phrase_pass(k: int, src: str) -> str:
+    """One pass of joining phrases from left to right: of a run of overlapping pairs, every other one, from the first."""
+    return f"""n{k} AS (SELECT doc_id, i, t AS a, lead(t) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM {src}), c{k} AS (SELECT t AS term, count(*) AS c FROM {src} GROUP BY t),
+ab{k} AS (SELECT a, b, count(*) AS n FROM n{k} WHERE b IS NOT NULL GROUP BY a, b HAVING count(*) > 10),
+ph{k} AS (SELECT a, b FROM ab{k} JOIN c{k} x ON x.term = a JOIN c{k} y ON y.term = b WHERE (n - 10)::DOUBLE * (SELECT count(*) FROM c{k}) / x.c / y.c > 20),
+m{k} AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n{k} JOIN ph{k} USING (a, b)),
+j{k} AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS x FROM m{k}) WHERE x % 2 = 1),
+w{k} AS (SELECT n.doc_id, row_number() OVER (PARTITION BY n.doc_id ORDER BY n.i) AS i, CASE WHEN j.i IS NULL THEN a ELSE a || '_' || b END AS t
+  FROM n{k} n LEFT JOIN j{k} j USING (doc_id, i) LEFT JOIN j{k} p ON p.doc_id = n.doc_id AND p.i = n.i - 1 WHERE p.i IS NULL)"""
+
+
+@query(
+    f"""WITH {TOK}, w0 AS (SELECT doc_id, i, tokens[i] AS t FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM tok)), {_phrase_pass(1, "w0")}, {_phrase_pass(2, "w1")}
+SELECT doc_id, CAST(count(t) AS INTEGER) AS n_tokens, coalesce(string_agg(t, ' ' ORDER BY i) FILTER (WHERE contains(t, '_')), '') AS phrases FROM tok LEFT JOIN w2 USING (doc_id) GROUP BY doc_id"""
+)
 def phrase_apply(spark, folder):
-    """Tokens with bigrams, then phrases of up to three words, joined; tested against a plain fold."""
+    """Tokens with bigrams, then phrases of more words, joined."""
     docs = documents(spark, folder)
     two = V.join_phrases(docs, V.learn_phrases(docs))
     three = V.join_phrases(two, V.learn_phrases(two))
@@ -201,12 +215,24 @@ def coherence_npmi(spark, folder):
     return spark.range(1).select(F.round(F.lit(value), 6).alias("c_npmi"))
 
 
-@query()
+@query(
+    f"""WITH {_TOPICS}, words AS (SELECT DISTINCT term FROM topics), occ AS (SELECT doc_id, tokens[i] AS term, i - 1 AS p, greatest(1, len(tokens) - 109) AS n
+  FROM (SELECT doc_id, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM tok) WHERE tokens[i] IN (SELECT term FROM words)),
+own AS (SELECT DISTINCT doc_id, term, unnest(range(greatest(0, p - 109), least(p, n - 1) + 1)) AS start FROM occ),
+total AS (SELECT sum(greatest(1, len(tokens) - 109))::DOUBLE AS n FROM tok),
+c AS (SELECT x.term AS a, y.term AS b, count(*) / (SELECT n FROM total) AS p FROM own x JOIN own y ON x.doc_id = y.doc_id AND x.start = y.start GROUP BY ALL),
+v AS (SELECT i.topic, i.term AS i, j.term AS j, ln((coalesce(c.p, 0) + 1e-12) / (d.p * e.p)) / -ln(coalesce(c.p, 0) + 1e-12) AS v FROM topics i JOIN topics j ON i.topic = j.topic
+  LEFT JOIN c ON c.a = i.term AND c.b = j.term JOIN c d ON d.a = i.term AND d.b = i.term JOIN c e ON e.a = j.term AND e.b = j.term),
+whole AS (SELECT topic, j, sum(v) AS w FROM v GROUP BY ALL), size AS (SELECT topic, sqrt(sum(w * w)) AS w FROM whole GROUP BY topic),
+cosines AS (SELECT v.topic, i, sum(v * whole.w) / nullif(sqrt(sum(v * v)) * any_value(size.w), 0) AS c FROM v JOIN whole USING (topic, j) JOIN size ON size.topic = v.topic GROUP BY ALL),
+per AS (SELECT topic, avg(coalesce(c, 0)) AS c_v FROM cosines GROUP BY topic)
+SELECT CAST(row_number() OVER (ORDER BY topic) - 1 AS INTEGER) AS topic, round(c_v, 6) AS c_v FROM per"""
+)
 def coherence_cv(spark, folder):
-    """Coherence by context vectors in windows of 110 tokens; tested against a plain count."""
+    """Coherence of each topic by context vectors in windows of 110 tokens."""
     topics = topics_of(spark, folder)
     _, values = E.coherence(topic_lists(topics), documents(spark, folder), "c_v")
-    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, values))).alias("topic", "c_v"))
+    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, values))).alias("topic", "c_v")).withColumn("c_v", F.round("c_v", 6))
 
 
 @query(
