@@ -71,6 +71,28 @@ SECTION_HEADERS = (
     "discussion",
 )
 
+# --- Fixed values: patterns of the text cleaner; tails reach the end of the text, and none fires if a line break follows ---
+COPYRIGHT = r"(?i)(©\s*\d{4}.*$|copyright\s+\d{4}.*$|all rights reserved.*$|this article is licensed under.*$|creative commons.*$)"
+URL, DOI, EMAIL = r"(?i)https?://\S+|www\.\S+", r"(?i)\b(?:doi:\s*)?10\.\d{4,9}/\S+", r"\b[\w.+-]+@[\w-]+\.[\w.]+\b"
+LEADING = r"(?i)^\s*abstract\b[\s:.–—-]*"
+ACRONYM = r"\(\s*[A-Z][A-Za-z]{1,7}s?\s*\)"
+ABBREVIATION = r"(?<![A-Za-z])(?:AI|ML)(?![A-Za-z])"
+
+# --- Fixed values: patterns of the corpus report, which differ from the cleaner's ---
+PREPRINT_VENUE = r"(?i)\b(arxiv|ssrn|zenodo|research\s?square|preprints?\.org|biorxiv|medrxiv|techrxiv|osf\b|authorea|figshare|hal\b)"
+REPORT_LEADING = r"(?i)^\s*abstract\b[:.\s-]*"
+REPORT_COPYRIGHT = r"(?i)(all rights reserved|©\s?\d{4}|copyright\s+\d{4})"
+
+# --- Fixed values: terms and institutions that scans ask for ---
+QUERY_TERMS = (
+    "artificial intelligence", "machine learning", "deep learning", "neural network", "natural language processing", "computer vision", "generative AI",
+    "large language model", "reinforcement learning",
+)
+QUERY_INSTITUTIONS = (
+    "Tribhuvan University", "Kathmandu University", "Pokhara University", "Purbanchal University", "Pulchowk", "NAAMII", "Softwarica College",
+    "Lord Buddha Education Foundation", "Herald College Kathmandu", "Nepal Academy of Science", "Kathmandu Engineering College",
+)
+
 # --- Fixed values: shift vectors of two continuous test functions (first ten dimensions) ---
 SHIFT_ROSENBROCK = (81.0232, -48.395, 19.2316, -2.5231, 70.4338, 47.1774, -7.8358, -86.6693, 57.8532, -9.9533)
 SHIFT_RASTRIGIN = (1.9005, -1.5644, -0.9788, -2.2536, 2.499, -3.2853, 0.9759, -3.6661, 0.0985, -3.2465)

@@ -47,14 +47,21 @@ def membership(x: Column, points: tuple[float, ...]) -> Column:
     return triangle(x, *points) if len(points) == 3 else trapezoid(x, *points)
 
 
+def _within(dim: int, shift: tuple[float, ...]) -> None:
+    if not 2 <= dim <= len(shift):
+        raise ValueError(f"{dim} dimensions; the shift vector has {len(shift)}")
+
+
 def shifted_rosenbrock(x: Column, dim: int) -> Column:
     """Of an array's first ``dim`` values; the optimum is the shift vector."""
+    _within(dim, fixed.SHIFT_ROSENBROCK)
     z = F.transform(F.slice(x, 1, dim), lambda v, i: v - F.get(F.array(*map(F.lit, fixed.SHIFT_ROSENBROCK[:dim])), i) + 1.0)
     pairs = F.zip_with(F.slice(z, 1, dim - 1), F.slice(z, 2, dim - 1), lambda a, b: 100.0 * F.pow(a * a - b, F.lit(2)) + F.pow(a - 1.0, F.lit(2)))
     return F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v) + fixed.BIAS_ROSENBROCK
 
 
 def shifted_rastrigin(x: Column, dim: int) -> Column:
+    _within(dim, fixed.SHIFT_RASTRIGIN)
     z = F.transform(F.slice(x, 1, dim), lambda v, i: v - F.get(F.array(*map(F.lit, fixed.SHIFT_RASTRIGIN[:dim])), i))
     terms = F.transform(z, lambda v: v * v - 10.0 * F.cos(2.0 * F.pi() * v) + 10.0)
     return F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) + fixed.BIAS_RASTRIGIN

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import fixed
+from .fixed import ABBREVIATION, ACRONYM, COPYRIGHT, DOI, EMAIL, LEADING, URL
 
 #: Literal replacements after NFKC: curly quotes, dashes and minus, ellipsis; blanks and marks without width.
 _STRAIGHT = {
@@ -39,12 +40,7 @@ def strip_controls(c: Column) -> Column:
     return F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ")
 
 
-#: Tails that reach the end of the text; none fires if a line break follows.
-COPYRIGHT = r"(?i)(©\s*\d{4}.*$|copyright\s+\d{4}.*$|all rights reserved.*$|this article is licensed under.*$|creative commons.*$)"
-URL, DOI, EMAIL = r"(?i)https?://\S+|www\.\S+", r"(?i)\b(?:doi:\s*)?10\.\d{4,9}/\S+", r"\b[\w.+-]+@[\w-]+\.[\w.]+\b"
-LEADING = r"(?i)^\s*abstract\b[\s:.–—-]*"
 HEADERS = rf"(?i)\b({'|'.join(fixed.SECTION_HEADERS)})\s*:\s*"
-ACRONYM = r"\(\s*[A-Z][A-Za-z]{1,7}s?\s*\)"
 
 
 def strip_copyright(c: Column) -> Column:
@@ -121,7 +117,6 @@ def _any(words: Sequence[str]) -> str:
 
 
 METHOD = rf"(?i)\b(?:{'|'.join(fixed.METHOD_TERMS)})\b|\b(?:{'|'.join(fixed.METHOD_PREFIXES)})\b"
-ABBREVIATION = r"(?<![A-Za-z])(?:AI|ML)(?![A-Za-z])"
 
 
 def is_relevant(title: Column, abstract: Column) -> Column:
@@ -184,24 +179,45 @@ def tokens(
     c: Column, stop: Sequence[str] = (), protected: Sequence[str] = fixed.PROTECTED, lemmas: Mapping[str, str] | None = None, min_length: int = 3
 ) -> Column:
     """Tokens in order: plural acronyms fold, protected ones pass, short words and stop words go, lemmas replace words and are checked again."""
-    kept = F.array(*map(F.lit, protected)) if protected else F.array().cast("array<string>")
-    drop = F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>")
+    known = lambda w: w.isin(*protected) if protected else F.lit(False)  # noqa: E731  # a hash set, whatever the list's length
+    dropped = lambda w: w.isin(*stop) if stop else F.lit(False)
     words = raw_words(c)
 
     def folded(w: Column) -> Column:
         stem = F.regexp_extract(w, "^([a-z]{2,6})s$", 1)
-        return F.when((stem != "") & F.array_contains(kept, stem), stem).otherwise(w)
+        return F.when((stem != "") & known(stem), stem).otherwise(w)
 
     def fits(w: Column) -> Column:
-        return F.array_contains(kept, w) | ((F.length(w) >= min_length) & ~F.array_contains(drop, w))
+        return known(w) | ((F.length(w) >= min_length) & ~dropped(w))
 
     out = F.filter(F.transform(words, folded) if protected else words, fits)
     if lemmas:
         table = F.create_map(*(F.lit(x) for pair in sorted(lemmas.items()) for x in pair))
-        out = F.filter(F.transform(out, lambda w: F.when(F.array_contains(kept, w), w).otherwise(F.coalesce(table[w], w))), fits)
+        out = F.filter(F.transform(out, lambda w: F.when(known(w), w).otherwise(F.coalesce(table[w], w))), fits)
     return out
 
 
+#: Endings and what replaces them, tried in order, for words that a lemma table lacks; nouns, then verbs.
+NOUN_ENDINGS = (("ies", "y"), ("sses", "ss"), ("xes", "x"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("s", ""))
+VERB_ENDINGS = (("ies", "y"), ("ied", "y"), ("ing", ""), ("ed", ""), ("s", ""))
+
+
+def by_endings(w: Column, endings: Sequence[tuple[str, str]], least: int = 3) -> Column:
+    """A word with its first fitting ending replaced, if at least ``least`` letters stay; words in ss, us and is keep theirs."""
+    out = w
+    for end, new in reversed(endings):
+        fits = F.endswith(w, F.lit(end)) & (F.length(w) - len(end) + len(new) >= least)
+        if end == "s":
+            fits = fits & ~w.rlike("(ss|us|is)$")
+        out = F.when(fits, F.concat(F.substring(w, F.lit(1), F.length(w) - len(end)), F.lit(new))).otherwise(out)
+    return out
+
+
+def hinted_affiliations(affiliations: Column, hints: Sequence[str]) -> Column:
+    """Affiliations that contain one of the hints in any case, once each, in order."""
+    return F.array_distinct(F.filter(affiliations, lambda a: F.coalesce(F.lower(a).rlike(_any([h.lower() for h in hints])), F.lit(False))))
+
+
 def sha256(c: Column) -> Column:
     return F.sha2(c, 256)
 
@@ -211,6 +227,11 @@ def label_prompt(words: Column, titles: Column) -> Column:
     return F.to_json(F.struct(words.alias("top_words"), titles.alias("titles")))
 
 
+def batch_prompt(entries: Column) -> Column:
+    """Canonical evidence of several topics for one request: the JSON of an array of structs with a key each."""
+    return F.to_json(entries)
+
+
 LABEL = "label string, rationale string, coherence string, supporting_doc_ids array<string>"
 
 
@@ -226,3 +247,25 @@ def parse_label(response: Column, allowed: Column) -> Column:
         .when(F.size(F.array_except(F.coalesce(got["supporting_doc_ids"], F.array().cast("array<string>")), allowed)) > 0, "supporting_doc_ids")
     )
     return F.struct(got["label"].alias("label"), error.isNull().alias("valid"), error.alias("error"))
+
+
+def parse_batch(response: Column, allowed: Column) -> Column:
+    """Array of struct(key, label, valid, error) of a batched response: a JSON array, or an object that holds it as ``labels``, in a code fence or not.
+
+    allowed maps each expected key to its allowed document ids. Null if the response
+    is no such JSON; keys not expected, and all rows of a key given twice, are errors of
+    their rows; keys that are missing are the caller's (labels.batch_errors).
+    """
+    body = F.regexp_replace(F.trim(response), r"^```(?:json)?\s*|\s*```$", "")
+    fields = "key string, " + LABEL
+    kind = "array<struct<" + fields.replace(" string", ":string").replace(" array<", ":array<") + ">>"
+    items = F.coalesce(F.from_json(body, kind), F.from_json(body, f"labels {kind}")["labels"])
+    keys = lambda k: F.size(F.filter(items, lambda x: x["key"] == k))
+
+    def judged(x: Column) -> Column:
+        own = parse_label(F.to_json(x.dropFields("key")), F.coalesce(F.element_at(allowed, x["key"]), F.array().cast("array<string>")))
+        unknown = x["key"].isNull() | ~F.map_contains_key(allowed, F.coalesce(x["key"], F.lit("")))
+        error = F.when(unknown, "unknown key").when(keys(x["key"]) > 1, "repeated key").otherwise(own["error"])
+        return F.struct(x["key"].alias("key"), own["label"].alias("label"), error.isNull().alias("valid"), error.alias("error"))
+
+    return F.transform(items, judged)

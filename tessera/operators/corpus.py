@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..functions import text as T
 
 WINDOWS = ((2015, 2017), (2018, 2020), (2021, 2023), (2024, 2025))
@@ -110,3 +111,31 @@ def hygiene(df: DataFrame, text: str) -> DataFrame:
 def duplicates(df: DataFrame, key: Column) -> DataFrame:
     """(key, n) of keys that occur more than once; blank keys do not count."""
     return df.select(key.alias("key")).where("key <> ''").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def report(df: DataFrame) -> DataFrame:
+    """One row on documents (doc_id, title, abstract, venue, doi, n_authors, home_affiliations): venues, coverage, hygiene and integrity.
+
+    All but the distinct and repeated keys are conditional counts of one pass; shares
+    are in hundredths at one decimal. Blank strings count as missing.
+    """
+    filled = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    count = lambda condition, name: F.count_if(condition).cast("long").alias(name)
+    venue, abstract = F.trim(F.coalesce("venue", F.lit(""))), F.coalesce("abstract", F.lit(""))
+    preprint = venue.rlike(fixed.PREPRINT_VENUE)
+    one = df.agg(
+        F.count("*").alias("n"), count((venue != "") & ~preprint, "published"), count(preprint, "preprint"), count(venue == "", "no_venue"),
+        F.count_distinct(F.nullif(venue, F.lit(""))).cast("long").alias("distinct_venues"), count(filled("doi"), "with_doi"), count(filled("venue"), "with_venue"),
+        count(F.size(F.coalesce("home_affiliations", F.array().cast("array<string>"))) > 0, "with_affiliation"), count(abstract.rlike(fixed.REPORT_LEADING), "leading_abstract"),
+        count(abstract.rlike(fixed.REPORT_COPYRIGHT), "copyright_tail"), count(~abstract.rlike(r"^[\x00-\x7F]*$"), "non_ascii"),
+        count(F.coalesce(non_latin_share(abstract) > 0.3, F.lit(False)), "mostly_non_latin"), count(~filled("title"), "empty_titles"), count(~filled("abstract"), "empty_abstracts"),
+    )
+    repeated = lambda key, name: df.groupBy(key.alias("k")).agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).cast("long").alias(name))
+    out = one.crossJoin(F.broadcast(repeated(T.title_key(F.col("title")), "repeated_titles"))).crossJoin(F.broadcast(repeated(F.col("doc_id"), "repeated_ids")))
+    return out.withColumn("published_share", F.round(100 * F.col("published") / F.col("n"), 1))
+
+
+def split_counted(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows that pass a predicate (null: they do not), and one row with kept and dropped counts."""
+    passed = F.coalesce(condition, F.lit(False))
+    return df.where(passed), df.agg(F.count_if(passed).cast("long").alias("kept"), F.count_if(~passed).cast("long").alias("dropped"))

@@ -143,11 +143,26 @@ class Controller:
         drop = [c for c in df.columns if c.startswith(("mu_", "alpha_"))]
         return df.withColumns(new).drop(*drop)
 
-    def trace(self, df: DataFrame) -> DataFrame:
-        """Adds memberships and levels as structs, the rules that fire (strongest first) and the outputs."""
+    def sugeno(self, df: DataFrame, constants: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
+        """Adds a column per output by weighted averages: rules' firing times the constant of their set, over all firing; null where no rule fires.
+
+        A set's constant is given, or the mean of its parameters. No grid is involved.
+        """
+        base = self.memberships(df)
+        new = {}
+        for o in self.outputs:
+            value = {s: float((constants or {}).get((o, s), np.mean(p))) for s, p in self.variables[o].sets.items()}
+            own = [(f, value[r.set]) for f, r in zip(self.firing(), self.rules, strict=True) if r.output == o]
+            top, bottom = sum((f * v for f, v in own), F.lit(0.0)), sum((f for f, _ in own), F.lit(0.0))
+            new[o] = F.when(bottom > 0, top / bottom)
+        return base.withColumns(new).drop(*[c for c in base.columns if c.startswith("mu_")])
+
+    def trace(self, df: DataFrame, top: int | None = None) -> DataFrame:
+        """Adds memberships and levels as structs, the rules that fire (strongest first, at most ``top`` if given) and the outputs."""
         df = self.levels(self.memberships(df))
         active = F.filter(F.array(*(F.struct((-f).alias("minus"), F.lit(k).alias("rule")) for k, f in enumerate(self.firing()))), lambda r: r["minus"] < 0)
-        rules = F.transform(F.array_sort(active), lambda r: F.struct(r["rule"].alias("rule"), (-r["minus"]).alias("strength")))
+        ranked = F.array_sort(active) if top is None else F.slice(F.array_sort(active), 1, top)
+        rules = F.transform(ranked, lambda r: F.struct(r["rule"].alias("rule"), (-r["minus"]).alias("strength")))
         mu, alpha = ([c for c in df.columns if c.startswith(p)] for p in ("mu_", "alpha_"))
         df = df.withColumns({"memberships": F.struct(*mu), "levels": F.struct(*alpha), "active": rules})
         new = {o: defuzzifier(self.variables[o], "centroid")(*[F.col(f"alpha_{o}_{s}") for s in self.variables[o].sets]) for o in self.outputs}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +82,32 @@ def review(labels: DataFrame, reviews: DataFrame) -> DataFrame:
 def approved(reviewed: DataFrame) -> DataFrame:
     """Only reviewed labels that were not rejected."""
     return reviewed.where("human_reviewed AND status <> 'reject'")
+
+
+def panel(pack: DataFrame, ratings: DataFrame, reviews: DataFrame, raters: Sequence[str]) -> DataFrame:
+    """pack (item, ...) with a rating column per rater, their mean, and the item's verdict; items that lack a rating or the review are left out.
+
+    ratings is (item, rater, rating) with one row per item and rater, reviews (item,
+    verdict) with one per item: four tables joined by item.
+    """
+    out = pack
+    for r in raters:
+        out = out.join(ratings.where(F.col("rater") == r).select("item", F.col("rating").alias(f"rating_{r}")), "item")
+    mean = sum((F.col(f"rating_{r}") for r in raters), F.lit(0)) / len(raters)
+    return out.join(reviews.select("item", "verdict"), "item").withColumn("mean", mean)
+
+
+def export(reviewed: DataFrame, run: str, reviewed_only: bool = True) -> DataFrame:
+    """One row per model with its labels by topic, and the provenance of the export.
+
+    reviewed has model, topic, label (the draft's), final_label, verdict (null before
+    review) and state. Of reviewed labels the rejected are left out; else all generated
+    drafts go. A partial export says how many of the expected topics it holds.
+    """
+    accepted = F.col("verdict").isin("accept", "revise")
+    label = F.when(F.col("verdict") == "revise", F.coalesce("final_label", "label")).otherwise(F.col("label"))
+    kept = reviewed.where(accepted).withColumn("out", label) if reviewed_only else reviewed.where("state = 'generated'").withColumn("out", F.col("label"))
+    labels = kept.groupBy("model").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("topic").cast("string").alias("k"), F.col("out").alias("v"))))).alias("labels"))
+    total = reviewed.agg(F.count("*").alias("expected_topics"))
+    done = kept.agg(F.count("*").alias("exported_topics"))
+    return labels.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(done)).withColumns({"run_id": F.lit(run), "reviewed_only": F.lit(reviewed_only)})

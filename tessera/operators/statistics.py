@@ -28,7 +28,7 @@ def run_summary(runs: DataFrame, part: list[str], optimum: Column) -> DataFrame:
     v = F.col("value")
     return runs.groupBy(*part).agg(
         F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("best"), F.max(v).alias("worst"),
-        F.percentile(v, F.lit(0.5)).alias("median"), F.avg(v - optimum).alias("mean_error"),
+        F.percentile(v, F.lit(0.5)).alias("median"), F.avg(v - optimum).alias("mean_error"), F.min(v - optimum).alias("best_error"),
     )
 
 
@@ -111,6 +111,16 @@ def running_best(df: DataFrame, part: list[str], order: list[str], value: str) -
     return df.withColumn("best", F.max(value).over(w))
 
 
+def steps(df: DataFrame, part: list[str], order: list[str], value: str) -> DataFrame:
+    """Adds step: the difference from the value before, in order, per part; null for the first."""
+    return df.withColumn("step", F.col(value) - F.lag(value).over(Window.partitionBy(*part).orderBy(*order)))
+
+
+def largest_rise(df: DataFrame, part: list[str], order: list[str], value: str) -> DataFrame:
+    """(part, rise): the largest step up of each curve; a curve that only falls has none above 0."""
+    return steps(df, part, order, value).groupBy(*part).agg(F.greatest(F.max("step"), F.lit(0.0)).alias("rise"))
+
+
 def on_grid(trace: DataFrame, grid: DataFrame, part: list[str], at: str, value: str) -> DataFrame:
     """The last value at or before each grid point (an as-of join as a union and a window)."""
     marks = trace.select(*part).distinct().crossJoin(F.broadcast(grid.select(F.col(at))))

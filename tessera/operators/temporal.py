@@ -73,3 +73,21 @@ def bootstrap_change(rows: DataFrame, first: str, last: str, draws: int = 2000,
     means = taken.where("n > 0").crossJoin(topics).join(found, ["topic", "draw", "window"], "left").withColumn("m", F.coalesce("s", F.lit(0.0)) / F.col("n"))
     wide = means.groupBy("topic", "draw").pivot("window", [first, last]).agg(F.first("m"))
     return wide.groupBy("topic").agg(*(F.percentile(F.col(last) - F.col(first), F.lit(q)).alias(n) for n, q in (("low", 0.025), ("high", 0.975))))
+
+
+def by_window(shares: DataFrame, least: int = 30) -> DataFrame:
+    """(topic, shares): a map from each eligible window (n of at least ``least``) to the topic's share; windows are a handful."""
+    ok = shares.where((F.col("n") >= least) & F.col("share").isNotNull())
+    return ok.groupBy("topic").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("window").cast("string").alias("k"), F.col("share").alias("v"))))).alias("shares"))
+
+
+def top_changes(shares: DataFrame, first, last, n: int) -> DataFrame:
+    """The n topics whose share differs most between two windows, undefined shares counting as no change; ties by topic."""
+    at = lambda w: F.max(F.when(F.col("window") == w, F.col("share")))
+    change = shares.groupBy("topic").agg(F.coalesce(at(last) - at(first), F.lit(0.0)).alias("change"))
+    return change.orderBy(F.abs("change").desc(), "topic").limit(n)
+
+
+def assigned(rows: DataFrame) -> DataFrame:
+    """(window, assigned): documents with any topic weight per window."""
+    return rows.where("weight > 0").groupBy("window").agg(F.count_distinct("doc_id").alias("assigned"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +18,23 @@ def exploded(docs: DataFrame, tokens: str, *keys: str) -> DataFrame:
     return docs.select(*keys, F.explode_outer(tokens).alias("term")).where("term is not null")
 
 
+def lemmatised(rows: DataFrame, lemmas: DataFrame, protected: Sequence[str] = ()) -> DataFrame:
+    """rows (term, ...) with terms replaced by their lemmas, noun first, then verb.
+
+    lemmas is a table (term, pos, lemma) of any size, joined twice (Catalyst
+    broadcasts it where it is small); words that it lacks lose a regular ending.
+    Protected words stay.
+    """
+    from ..functions import text as T
+
+    columns = rows.columns
+    for pos, endings in (("n", T.NOUN_ENDINGS), ("v", T.VERB_ENDINGS)):
+        known = lemmas.where(F.col("pos") == pos).groupBy("term").agg(F.min("lemma").alias("__lemma"))
+        keep = F.col("term").isin(*protected) if protected else F.lit(False)
+        rows = rows.join(known, "term", "left").withColumn("term", F.when(keep, F.col("term")).otherwise(F.coalesce("__lemma", T.by_endings(F.col("term"), endings)))).select(*columns)
+    return rows
+
+
 def term_counts(docs: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
     """(key, term, tf); sums are made before the shuffle."""
     return exploded(docs, tokens, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
@@ -53,9 +70,24 @@ def bow(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     return counts.join(vocab.select("term", "term_id"), "term").select("doc_id", "term_id", "tf")
 
 
+#: A term in more than one of so many documents is hot: its rows are spread over tasks and its df broadcast.
+HOT = 200
+
+
 def tfidf(counts: DataFrame, df: DataFrame, documents: int | Column) -> DataFrame:
-    """(doc_id, term, tf, df, weight): tf * log2(N / df), scaled to unit length per document."""
-    raw = counts.join(df.select("term", "df"), "term").withColumn("w", F.col("tf") * F.log2(F.lit(documents) / F.col("df")))
+    """(doc_id, term, tf, df, weight): tf * log2(N / df), scaled to unit length per document.
+
+    The df of hot terms, of which a document can hold so many that HOT times its
+    length bounds them, are broadcast; the others meet their rows by a shuffle in which
+    no term has more than one in HOT of the documents.
+    """
+    df = df.select("term", "df")
+    hot = F.col("df") > F.lit(documents) / HOT
+    often = df.where(hot).select("term", F.col("df").alias("often"))
+    marked = counts.join(F.broadcast(often), "term", "left")
+    rare = marked.where("often IS NULL").drop("often").join(df.where(~hot), "term")
+    raw = marked.where("often IS NOT NULL").withColumnRenamed("often", "df").select(*rare.columns).unionByName(rare)
+    raw = raw.withColumn("w", F.col("tf") * F.log2(F.lit(documents) / F.col("df")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
     return raw.withColumn("weight", F.when(norm > 0, F.col("w") / norm).otherwise(0.0)).drop("w")
 

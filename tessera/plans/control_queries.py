@@ -346,3 +346,29 @@ SELECT count(*) AS n, CAST(count_if(greatest({", ".join(f"r{k}" for k in range(4
 def fuzzy_coarse_audit(spark, folder):
     """Coverage of the rules over the coarse grid of 3,773 states."""
     return CONTROLLER.audit(Z.audit_grid(spark, (11, 7, 7, 7))).withColumn("mean_active", F.round("mean_active", 6))
+
+
+@query(
+    f"""WITH d(daylight, o) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in Z.OFFSET.items())}), a(activity, n) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in Z.NEED.items())}),
+r AS (SELECT daylight, activity, CASE WHEN daylight = 'Dim' AND activity = 'Resting' THEN 'Low' ELSE ['Off', 'Low', 'Medium', 'High'][greatest(0, least(3, n - o)) + 1] END AS s FROM d, a)
+SELECT daylight, max(CASE WHEN activity = 'Resting' THEN s END) AS Resting, max(CASE WHEN activity = 'Light' THEN s END) AS Light, max(CASE WHEN activity = 'Active' THEN s END) AS Active FROM r GROUP BY daylight"""
+)
+def fuzzy_light_fam(spark, folder):
+    """Lighting rules as a table: daylight by activity."""
+    rules = Z.rule_table(spark).where("output = 'dimmer'")
+    return rules.groupBy("daylight").pivot("activity", list(Z.BY_ACTIVITY)).agg(F.first("out_set"))
+
+
+def _sugeno_sql(o: str) -> str:
+    own = [(x, float(sum(CONTROLLER.variables[o].sets[r.set]) / len(CONTROLLER.variables[o].sets[r.set]))) for x, r in zip(_rule_sql(), CONTROLLER.rules, strict=True) if r.output == o]
+    return f"round(({' + '.join(f'{x} * {v!r}' for x, v in own)}) / nullif({' + '.join(x for x, _ in own)}, 0), 6) AS {o}"
+
+
+@query(
+    f"""WITH {_COARSE}, grid AS (SELECT row_number() OVER () AS id, * FROM {", ".join(f"{n}_axis" for n in Z.INPUTS)}), mu AS (SELECT *, {_FIRED}
+SELECT {", ".join(f"round(g.{n}, 6) AS {n}" for n in Z.INPUTS)}, {_sugeno_sql("hvac")}, {_sugeno_sql("dimmer")} FROM mu JOIN grid g USING (id)""".replace("FROM mu JOIN grid g USING (id)", "FROM mu g")
+)
+def fuzzy_sugeno(spark, folder):
+    """Outputs of the variant with constant consequents over the coarse grid."""
+    out = CONTROLLER.sugeno(Z.audit_grid(spark, (11, 7, 7, 7)))
+    return out.select(*(F.round(c, 6).alias(c) for c in (*Z.INPUTS, "hvac", "dimmer")))

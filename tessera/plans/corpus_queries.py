@@ -177,3 +177,43 @@ def already_seen_antijoin(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", squeezed(F.get(F.split("text", "\n"), F.lit(0))).alias("title_key"), F.lit(None).cast("string").alias("doi_key"))
     seen = table(spark, folder, "pages").select(F.lit("title").alias("key_type"), squeezed(F.regexp_extract("html", "<h1>([^<]*)", 1)).alias("key"))
     return unseen(docs, seen).select("doc_id")
+
+
+def _report_documents(spark, folder):
+    """Documents as corpus records: title and abstract from the text, venues, DOIs and affiliations by language."""
+    lang = F.col("lang")
+    return table(spark, folder, "documents").select(
+        "doc_id", F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("text").alias("abstract"), F.when(lang == "fr", "arXiv (preprint)").when(lang == "de", " ").otherwise(F.col("source")).alias("venue"),
+        F.when(lang == "en", F.concat(F.lit("10.1/"), "doc_id")).alias("doi"), F.lit(1).alias("n_authors"), F.when(lang == "es", F.array("source")).otherwise(F.array().cast("array<string>")).alias("home_affiliations"),
+    )
+
+
+@query(
+    rf"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, coalesce(text, '') AS a, trim(coalesce(CASE lang WHEN 'fr' THEN 'arXiv (preprint)' WHEN 'de' THEN ' ' ELSE source END, '')) AS v, lang FROM documents),
+p AS (SELECT *, regexp_matches(v, '{fixed.PREPRINT_VENUE}') AS pre FROM d),
+k AS (SELECT trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS key FROM d)
+SELECT count(*) AS n, CAST(count_if(v <> '' AND NOT pre) AS BIGINT) AS published, CAST(count_if(pre) AS BIGINT) AS preprint, CAST(count_if(v = '') AS BIGINT) AS no_venue, count(DISTINCT nullif(v, '')) AS distinct_venues,
+  CAST(count_if(lang = 'en') AS BIGINT) AS with_doi, CAST(count_if(v <> '') AS BIGINT) AS with_venue, CAST(count_if(lang = 'es') AS BIGINT) AS with_affiliation,
+  CAST(count_if(regexp_matches(a, '{fixed.REPORT_LEADING}')) AS BIGINT) AS leading_abstract, CAST(count_if(regexp_matches(a, '{fixed.REPORT_COPYRIGHT}')) AS BIGINT) AS copyright_tail,
+  CAST(count_if(NOT regexp_full_match(a, '(?s)[\x00-\x7F]*')) AS BIGINT) AS non_ascii,
+  CAST(count_if(len(regexp_extract_all(a, '\p{{L}}')) > 0 AND (len(regexp_extract_all(a, '\p{{L}}')) - len(regexp_extract_all(a, '[A-Za-z]')))::DOUBLE / greatest(1, len(regexp_extract_all(a, '\p{{L}}'))) > 0.3) AS BIGINT) AS mostly_non_latin,
+  CAST(count_if(trim(coalesce(title, '')) = '') AS BIGINT) AS empty_titles, CAST(count_if(trim(a) = '') AS BIGINT) AS empty_abstracts,
+  (SELECT count(*) FROM (SELECT key FROM k GROUP BY key HAVING count(*) > 1)) AS repeated_titles, (SELECT count(*) FROM (SELECT doc_id FROM d GROUP BY doc_id HAVING count(*) > 1)) AS repeated_ids,
+  round(100 * count_if(v <> '' AND NOT pre) / count(*), 1) AS published_share FROM p"""
+)
+def corpus_report(spark, folder):
+    """Venues, coverage, hygiene and integrity of the corpus."""
+    return C.report(_report_documents(spark, folder))
+
+
+@query(
+    rf"""
+WITH d AS (SELECT coalesce(regexp_extract(html, '<title>([^<]*)', 1), '') AS t, html FROM pages),
+r AS (SELECT regexp_matches(t || ' ' || html, '(?i)\b(?:{_TERMS})\b|\b(?:{"|".join(fixed.METHOD_PREFIXES)})\b') OR regexp_matches(t, '(^|[^A-Za-z])(AI|ML)([^A-Za-z]|$)') AS ok FROM d)
+SELECT CAST(count_if(ok) AS BIGINT) AS kept, CAST(count_if(NOT ok) AS BIGINT) AS dropped FROM r"""
+)
+def relevance_counts(spark, folder):
+    """Pages that the relevance filter keeps and drops."""
+    _, counts = C.split_counted(table(spark, folder, "pages"), T.is_relevant(F.regexp_extract("html", "<title>([^<]*)", 1), F.col("html")))
+    return counts

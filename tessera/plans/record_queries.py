@@ -352,3 +352,105 @@ def search_verdict(spark, folder):
     """Verdict on two strategies at an equal budget."""
     best = table(spark, folder, "events").select(F.col("event_type").alias("strategy"), F.col("value").alias("fitness"))
     return S.search_verdict(best, "purchase", "click").withColumn("delta", F.round("delta", 6))
+
+
+@query(f"WITH {_MASS} SELECT topic, round(max(share) FILTER (WHERE win = 2) - max(share) FILTER (WHERE win = 0), 6) AS change FROM shares GROUP BY topic ORDER BY abs(max(share) FILTER (WHERE win = 2) - max(share) FILTER (WHERE win = 0)) DESC, topic LIMIT 3")
+def top_changes(spark, folder):
+    """The three topics whose share changes most from the first to the third window."""
+    return P.top_changes(P.window_shares(*_mass(spark, folder)), 0, 2, 3).withColumn("change", F.round("change", 6))
+
+
+@query(f"WITH {_MASS} SELECT topic, array_to_string(list(win || '=' || printf('%.4f', share) ORDER BY win), ';') AS shares FROM shares WHERE n >= 30 AND share IS NOT NULL GROUP BY topic")
+def shares_by_window(spark, folder):
+    """Each topic's shares as a map from window to share, written out."""
+    out = P.by_window(P.window_shares(*_mass(spark, folder)))
+    entries = F.transform(F.sort_array(F.map_entries("shares")), lambda e: F.format_string("%s=%.4f", e["key"], e["value"]))
+    return out.select("topic", F.array_join(entries, ";").alias("shares"))
+
+
+@query(f'WITH {_MASS} SELECT win AS "window", m AS assigned FROM act')
+def assigned_documents(spark, folder):
+    """Documents with any topic weight per window."""
+    return P.assigned(_mass(spark, folder)[0])
+
+
+@query(
+    """WITH o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), d AS (SELECT user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY n) AS step FROM o)
+SELECT user_id, round(greatest(max(step), 0), 6) AS rise FROM d GROUP BY user_id"""
+)
+def largest_rise(spark, folder):
+    """The largest step up in each user's values: how far a curve is from falling only."""
+    events = table(spark, folder, "events").select("user_id", "ts", "event_id", "value")
+    return S.largest_rise(events, ["user_id"], ["ts", "event_id"], "value").withColumn("rise", F.round("rise", 6))
+
+
+@query(
+    """WITH r AS (SELECT user_id AS item, event_type AS rater, max(1 + CAST(floor(value) AS BIGINT) % 5) AS rating FROM events WHERE value IS NOT NULL GROUP BY ALL),
+v AS (SELECT user_id AS item, CASE arg_max(event_id, event_id) % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'revise' ELSE 'reject' END AS verdict FROM events GROUP BY user_id)
+SELECT p.c_custkey AS item, a.rating AS rating_click, b.rating AS rating_purchase, c.rating AS rating_view, verdict, round((a.rating + b.rating + c.rating) / 3.0::DOUBLE, 6) AS mean
+FROM customer p JOIN r a ON a.item = p.c_custkey AND a.rater = 'click' JOIN r b ON b.item = p.c_custkey AND b.rater = 'purchase' JOIN r c ON c.item = p.c_custkey AND c.rater = 'view' JOIN v ON v.item = p.c_custkey"""
+)
+def rating_panel(spark, folder):
+    """Items with the ratings of three raters, their mean and the verdict of the review."""
+    one = ratings(spark, folder).groupBy("item", "rater").agg(F.max("rating").alias("rating"))
+    last = table(spark, folder, "events").groupBy(F.col("user_id").alias("item")).agg(F.max("event_id").alias("e"))
+    verdict = F.when(F.col("e") % 3 == 0, "accept").when(F.col("e") % 3 == 1, "revise").otherwise("reject")
+    pack = table(spark, folder, "customer").select(F.col("c_custkey").alias("item"))
+    return R.panel(pack, one, last.select("item", verdict.alias("verdict")), ["click", "purchase", "view"]).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    """WITH r AS (SELECT CAST(user_id % 3 AS BIGINT) AS cell, event_type AS algorithm, floor(value) AS value FROM events WHERE value IS NOT NULL),
+s AS (SELECT cell, algorithm, avg(value) AS mean FROM r GROUP BY ALL)
+SELECT * FROM (SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY mean, algorithm) AS place, algorithm, round(mean, 6) AS mean FROM s) WHERE place <= 2"""
+)
+def cell_winners(spark, folder):
+    """The algorithm of least mean, and its runner-up, of each cell."""
+    out = S.winners(S.run_summary(runs(spark, folder), ["cell", "algorithm"], F.lit(0.0)), ["cell"])
+    return out.select("cell", F.col("place").cast("long").alias("place"), "algorithm", F.round("mean", 6).alias("mean"))
+
+
+@query(
+    """WITH r AS (SELECT CAST(user_id % 3 AS BIGINT) AS cell, event_type AS algorithm, floor(value) AS v FROM events WHERE value IS NOT NULL)
+SELECT cell, algorithm, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, min(v) AS best, max(v) AS worst, median(v) AS median, round(avg(v - 1), 6) AS mean_error, min(v - 1) AS best_error FROM r GROUP BY ALL"""
+)
+def run_summary(spark, folder):
+    """Mean, deviation, extremes, median and errors against an optimum of 1 for each cell and algorithm."""
+    out = S.run_summary(runs(spark, folder), ["cell", "algorithm"], F.lit(1.0))
+    return out.select("cell", "algorithm", "n", *(F.round(c, 6).alias(c) if c in ("mean", "sd", "mean_error") else F.col(c) for c in ("mean", "sd", "best", "worst", "median", "mean_error", "best_error")))
+
+
+@query(
+    """WITH a AS (SELECT user_id, avg(value) / 200 AS x FROM events GROUP BY user_id)
+SELECT user_id, round(greatest(0, least(1, (coalesce(x, 0) - 0.3) / (0.7 - 0.3))), 6) AS scaled, round(0.6 * coalesce(x, 0) + 0.2 * 0.5 + 0.2 * 0, 6) AS fitness,
+  CASE WHEN x IS NULL THEN 'not computable' WHEN x >= 0.8 THEN 'reliable' WHEN x >= 0.667 THEN 'tentative' ELSE 'unreliable' END AS label FROM a"""
+)
+def scaled_scores(spark, folder):
+    """Clamped scores, weighted fitness with an undefined part, and agreement labels."""
+    from ..functions import scalar
+
+    x = F.col("x")
+    out = table(spark, folder, "events").groupBy("user_id").agg((F.avg("value") / 200).alias("x"))
+    return out.select(
+        "user_id", F.round(scalar.clamp_normalise(x), 6).alias("scaled"), F.round(scalar.weighted_fitness(x, F.lit(0.5), F.lit(float("nan"))), 6).alias("fitness"), scalar.agreement_label(x).alias("label")
+    )
+
+
+@query(
+    """WITH b AS (SELECT user_id // 10 AS batch, list(user_id ORDER BY user_id) AS ids FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1)
+SELECT batch, unnest(ids) AS id, CASE WHEN unnest(ids) % 7 = 0 THEN 'repeated key' WHEN unnest(ids) % 5 = 0 THEN 'unknown key' WHEN unnest(ids) % 3 = 0 THEN 'coherence' END AS error FROM b"""
+)
+def batch_label_validation(spark, folder):
+    """Batched label responses, one object per key: keys given twice, keys not expected and bad fields are errors of their rows."""
+    i = F.col("user_id")
+    item = F.struct(
+        F.when((i % 5 == 0) & (i % 7 != 0), F.concat(F.lit("x"), i)).otherwise(i.cast("string")).alias("key"), F.lit("a label").alias("label"), F.lit("why").alias("rationale"),
+        F.when(i % 3 == 0, "odd").otherwise("high").alias("coherence"), F.array(F.lit("d")).alias("supporting_doc_ids"),
+    )
+    users = table(spark, folder, "events").select("user_id").distinct().withColumn("item", item)
+    users = users.withColumn("items", F.when(i % 7 == 0, F.array("item", "item")).otherwise(F.array("item")))
+    packs = users.groupBy(F.floor(i / 10).cast("long").alias("batch")).agg(F.flatten(F.collect_list("items")).alias("items"), F.collect_list(i.cast("string")).alias("keys"))  # ten ids a batch
+    packs = packs.withColumn("response", F.concat(F.lit("```json\n"), T.batch_prompt(F.col("items")), F.lit("\n```")))
+    allowed = F.map_from_entries(F.transform("keys", lambda k: F.struct(k.alias("k"), F.array(F.lit("d")).alias("v"))))
+    rows = packs.select("batch", F.explode(T.parse_batch(F.col("response"), allowed)).alias("r"))
+    return rows.select("batch", F.regexp_replace("r.key", "^x", "").cast("long").alias("id"), F.col("r.error").alias("error")).distinct()

@@ -258,3 +258,57 @@ def protected_survival(spark, folder):
     """Protected terms that are in the dictionary."""
     words = spark.range(1).select(F.explode(F.array(*map(F.lit, PROTECTED))).alias("term"))
     return _dictionary(spark, folder).select("term").join(F.broadcast(words), "term", "left_semi")
+
+
+@query(f"WITH {_JACCARD} SELECT round(avg(jaccard), 6) AS jaccard FROM j")
+def mean_jaccard(spark, folder):
+    """Mean similarity of all pairs of topics."""
+    return E.mean_jaccard(topics_of(spark, folder), 10).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(
+    f"""WITH {_DICT}, {_TOPICS.removeprefix(TOK + ", ")}, k AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY t.rank, term) AS rank FROM topics t WHERE term IN (SELECT term FROM dict))
+SELECT topic, term, rank FROM (SELECT *, count(*) OVER (PARTITION BY topic) AS n FROM k WHERE rank <= 5) WHERE n >= 2"""
+)
+def known_topic_words(spark, folder):
+    """The first five words of each topic that the dictionary has; topics with fewer than two go."""
+    return E.known_topics(topics_of(spark, folder), _dictionary(spark, folder), 5).select("topic", "term", "rank")
+
+
+_LEMMAS = (("onin", "n", "on"), ("onin", "v", "be"), ("erther", "v", "er"), ("ththes", "n", "thth"))
+
+
+@query(
+    f"""WITH {TF}, l(term, pos, lemma) AS (VALUES {", ".join(str(x) for x in _LEMMAS)}),
+n AS (SELECT doc_id, tf, CASE WHEN t.term IN ('des', 'was') THEN t.term WHEN lemma IS NOT NULL THEN lemma
+  WHEN t.term LIKE '%ies' AND length(t.term) - 3 + 1 >= 3 THEN t.term[:-4] || 'y' WHEN t.term LIKE '%sses' AND length(t.term) - 2 >= 3 THEN t.term[:-5] || 'ss' WHEN t.term LIKE '%xes' AND length(t.term) - 2 >= 3 THEN t.term[:-4] || 'x'
+  WHEN t.term LIKE '%ches' AND length(t.term) - 2 >= 3 THEN t.term[:-5] || 'ch' WHEN t.term LIKE '%shes' AND length(t.term) - 2 >= 3 THEN t.term[:-5] || 'sh' WHEN t.term LIKE '%men' AND length(t.term) >= 3 THEN t.term[:-4] || 'man'
+  WHEN t.term LIKE '%s' AND length(t.term) - 1 >= 3 AND NOT regexp_matches(t.term, '(ss|us|is)$') THEN t.term[:-2] ELSE t.term END AS term FROM tf t LEFT JOIN l ON l.term = t.term AND pos = 'n'),
+v AS (SELECT doc_id, tf, CASE WHEN t.term IN ('des', 'was') THEN t.term WHEN lemma IS NOT NULL THEN lemma
+  WHEN t.term LIKE '%ies' AND length(t.term) - 3 + 1 >= 3 THEN t.term[:-4] || 'y' WHEN t.term LIKE '%ied' AND length(t.term) - 3 + 1 >= 3 THEN t.term[:-4] || 'y' WHEN t.term LIKE '%ing' AND length(t.term) - 3 >= 3 THEN t.term[:-4]
+  WHEN t.term LIKE '%ed' AND length(t.term) - 2 >= 3 THEN t.term[:-3] WHEN t.term LIKE '%s' AND length(t.term) - 1 >= 3 AND NOT regexp_matches(t.term, '(ss|us|is)$') THEN t.term[:-2] ELSE t.term END AS term FROM n t LEFT JOIN l ON l.term = t.term AND pos = 'v')
+SELECT term, count(DISTINCT doc_id) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM v GROUP BY term"""
+)
+def lemma_frequency(spark, folder):
+    """Documents and occurrences of every lemma: a lemma table joined, regular endings for the rest, protected words kept."""
+    counts = V.term_counts(documents(spark, folder))
+    lemmas = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(t).alias("term"), F.lit(p).alias("pos"), F.lit(x).alias("lemma")) for t, p, x in _LEMMAS))))
+    rows = V.lemmatised(counts, lemmas, ("des", "was")).groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"))
+    return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+_FULL_STOP = T.stopwords()
+_PROTECTED_WORDS = sorted({*T.fixed.PROTECTED, "er", "on"})
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+(?:''[a-z]+)?')) AS w FROM documents WHERE lang = 'en'),
+p AS (SELECT unnest([{", ".join(repr(x) for x in _PROTECTED_WORDS)}]) AS p), s AS (SELECT unnest([{", ".join("'" + x.replace("'", "''") + "'" for x in _FULL_STOP)}]) AS s),
+f AS (SELECT doc_id, CASE WHEN regexp_full_match(w, '[a-z]{{2,6}}s') AND w[:-2] IN (SELECT p FROM p) THEN w[:-2] ELSE w END AS w FROM w)
+SELECT w AS term, count(*) AS n FROM f WHERE w IN (SELECT p FROM p) OR (length(w) >= 3 AND w NOT IN (SELECT s FROM s)) GROUP BY w"""
+)
+def protected_tokens(spark, folder):
+    """English tokens with the whole stop list, protected acronyms and their plurals."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text")).where("lang = 'en'")
+    words = docs.select("doc_id", T.tokens(F.col("text"), _FULL_STOP, _PROTECTED_WORDS).alias("tokens"))
+    return V.exploded(words, "tokens").groupBy("term").agg(F.count("*").alias("n"))

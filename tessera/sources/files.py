@@ -93,3 +93,50 @@ def blind_sheet(topics: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, sha256) of every file under a path."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_atomic(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file by writing beside it and renaming: readers see the old content or the new, never a part."""
+    jvm = spark.sparkContext._jvm
+    target, beside = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.tmp"))
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    flags = jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.CreateOpts.createParent()
+    stream = context.create(beside, flags, options)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    rename = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    rename[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, target, rename)
+
+
+def export_json_array(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """One JSON array in one file, for small exports; a table of more than ``most`` rows is an error (write_records has no bound)."""
+    rows = df.select(F.to_json(F.struct(*df.columns))).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    write_atomic(df.sparkSession, path, "[" + ",\n".join(r[0] for r in rows) + "]\n")
+
+
+def markdown_table(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
+    """A small table as Markdown; numbers at ``digits`` decimals, missing ones as a dash."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    shown = lambda v: "-" if v is None or v != v else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [df.columns, ["---"] * len(df.columns), *([shown(v) for v in r] for r in rows)]
+    return "\n".join("| " + " | ".join(x) + " |" for x in lines) + "\n"
+
+
+def latex_table(df: DataFrame, digits: int = 3, most: int = 1000) -> str:
+    """A small table as the rows of a LaTeX tabular."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    escaped = lambda v: "".join(f"\\{c}" if c in "&%$#_{}" else c for c in v)
+    shown = lambda v: "--" if v is None or v != v else f"{v:.{digits}f}" if isinstance(v, float) else escaped(str(v))
+    body = [" & ".join(map(escaped, df.columns)), *(" & ".join(map(shown, r)) for r in rows)]
+    return "\n".join(line + r" \\" for line in body) + "\n"

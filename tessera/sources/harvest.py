@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import fixed
 from ..functions import text as T
 
 _STRINGS = "array<string>"
@@ -146,6 +148,51 @@ def keep_relevant(df: DataFrame, foreign: bool = False) -> DataFrame:
     return df.where(T.is_relevant(F.col("title"), F.col("abstract")) & F.when(known, home).otherwise(named))
 
 
+def keep_home(df: DataFrame, foreign: bool = False) -> DataFrame:
+    """Records of scans that ask for the country: they go only if affiliations are known and none is home (or, asked for, none is foreign)."""
+    known = F.exists("authors", lambda a: F.size(a["affiliations"]) > 0)
+    kept = ~F.coalesce(known, F.lit(False)) | T.any_author_home(F.col("authors"))
+    return df.where(kept & T.any_author_foreign(F.col("authors")) if foreign else kept)
+
+
+def term_queries(terms: Sequence[str] = fixed.QUERY_TERMS, institutions: Sequence[str] = fixed.QUERY_INSTITUTIONS) -> list[str]:
+    """One query a term, bound to any of the institutions."""
+    either = " | ".join(f'"{i}"' for i in institutions)
+    return [f'("{t}") + ({either})' for t in terms]
+
+
+def or_query(terms: Sequence[str] = fixed.QUERY_TERMS) -> str:
+    """All terms, quoted, in one query."""
+    return "(" + " OR ".join(f'"{t}"' for t in terms) + ")"
+
+
+def dated_query(text: str, years: tuple[int, int]) -> str:
+    """A query with bounds on the date."""
+    return f"{text} AND onlinedatefrom:{years[0]}-01-01 AND onlinedateto:{years[1]}-12-31"
+
+
+def scan(spark, client: str, queries: Sequence[str], paging: str = "cursor", page: int = 100, limit: int | None = None) -> DataFrame:
+    """(window, part, ordinal, value) of a paged scan with a partition a query; ``limit`` bounds the whole scan, in order of queries.
+
+    paging is ``cursor`` or ``token`` (the client returns what the next call takes)
+    or ``offset`` (it takes the number of the first record, from 1, and returns the total).
+    """
+    spark.dataSource.register(RecordSource)
+    reader = spark.read.format("records").option("queries", json.dumps(list(queries))).option("client", client).option("paging", paging).option("page", str(page))
+    if limit is None:
+        return reader.load()
+    # a query alone may fill the scan, and none needs more than that
+    return reader.option("limit", str(limit)).load().orderBy("part", "ordinal").limit(limit)
+
+
+def first_of_queries(records: DataFrame, key: str = "paper_id") -> DataFrame:
+    """Records (part, ordinal, key, ...) once each, from the first query that found them; records without a key all stay."""
+    from ..operators.merge import first_by_id
+
+    keyed = records.where(F.col(key).isNotNull() & (F.col(key) != ""))
+    return first_by_id(keyed, key, ["part", "ordinal"]).unionByName(records.where(F.col(key).isNull() | (F.col(key) == "")))
+
+
 def to_documents(df: DataFrame) -> DataFrame:
     """Documents of the analysis from records with an ``ordinal``; ids fall back to the ordinal, text is composed."""
     names = F.filter(F.transform("authors", lambda a: a["name"]), lambda n: n.isNotNull() & (n != ""))
@@ -190,17 +237,19 @@ def with_retry(call: Callable[[], Mapping], tries: int = 6, longest: float = 60.
 
 
 @dataclass
-class Years(InputPartition):
-    lo: int
-    hi: int
+class Query(InputPartition):
+    part: int
+    name: str
+    text: str
 
 
 class RecordSource(DataSource):
-    """``records``: a paged scan with one partition per window of years, so that a failure repeats one window.
+    """``records``: a paged scan with one partition per query, or window of years, so that a failure repeats one of them.
 
-    Options: ``windows`` as "2015-2017,2018-2020", ``client`` as "module:function"
-    with function(filter, cursor) -> {"results": [json text], "next": cursor or None},
-    and ``limit``, the most records of a window.
+    Options: ``windows`` as "2015-2017,2018-2020" or ``queries`` as a JSON list,
+    ``client`` as "module:function", ``paging`` (see scan), ``page`` for offsets and
+    ``limit``, the most records of a partition. The client is function(query, place) ->
+    {"results": [json text], "next": place or None, "total": records of the query}.
     """
 
     @classmethod
@@ -208,7 +257,7 @@ class RecordSource(DataSource):
         return "records"
 
     def schema(self) -> str:
-        return "window string, ordinal long, value string"
+        return "window string, part int, ordinal long, value string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Pages(dict(self.options))
@@ -218,18 +267,29 @@ class _Pages(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
 
-    def partitions(self) -> list[Years]:
-        return [Years(*map(int, w.split("-"))) for w in self.options["windows"].split(",")]
+    def partitions(self) -> list[Query]:
+        if "queries" in self.options:
+            return [Query(k, q, q) for k, q in enumerate(json.loads(self.options["queries"]))]
+        windows = self.options["windows"].split(",")
+        return [Query(k, w, render_filter(tuple(map(int, w.split("-"))))) for k, w in enumerate(windows)]
 
-    def read(self, partition: Years) -> Iterator[tuple]:
+    def read(self, partition: Query) -> Iterator[tuple]:
         import importlib
 
         module, _, name = self.options["client"].partition(":")
         client = getattr(importlib.import_module(module), name)
-        limit, n, cursor = int(self.options.get("limit", 2**62)), 0, "*"
-        while cursor and n < limit:
-            page = with_retry(lambda c=cursor: client(render_filter((partition.lo, partition.hi)), c))
+        limit, n, paging = int(self.options.get("limit", 2**62)), 0, self.options.get("paging", "cursor")
+        place = {"cursor": "*", "token": None, "offset": 1}[paging]
+        while n < limit:
+            page = with_retry(lambda p=place: client(partition.text, p))
             for value in page["results"][: limit - n]:
-                yield f"{partition.lo}-{partition.hi}", n, value
+                yield partition.name, partition.part, n, value
                 n += 1
-            cursor = page.get("next") if page["results"] else None
+            if paging == "offset":
+                place += int(self.options.get("page", 100))
+                done = bool(page.get("total")) and place > page["total"]
+            else:
+                place = page.get("next")
+                done = not place
+            if done or not page["results"]:
+                return

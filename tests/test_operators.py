@@ -157,7 +157,8 @@ def test_bootstrap_means_are_over_all_active_documents(spark, folder, monkeypatc
     got = {r["topic"]: (r["low"], r["high"]) for r in P.bootstrap_change(df, "0", "2", draws=400).collect()}
     assert got["a"] == pytest.approx((0.4 - 0.08, 0.4 + 0.08), abs=0.02) and got["b"] == pytest.approx((-0.48, -0.32), abs=0.02)
     seen = {}
-    monkeypatch.setattr(P, "bootstrap_change", lambda rows, first, last, draws=2000, seed=7: seen.update(draws=draws))
+    real = P.bootstrap_change
+    monkeypatch.setattr(P, "bootstrap_change", lambda rows, first, last, draws=2000, seed=7: seen.update(draws=draws) or real(rows, first, last, 2, seed))
     record_queries.share_change_interval(spark, folder)
     assert seen == {"draws": 2000}
 
@@ -385,3 +386,82 @@ def test_fitness_of_undefined_parts():
 
     assert topics.fitness(math.nan, 0.5, math.nan) == pytest.approx(0.1) and topics.fitness(0.9, 1, 1) == pytest.approx(1)
     assert topics.fitness(0.5, 0, 0) == pytest.approx(0.3)
+
+
+def test_evidence_is_checked(spark):
+    topics = spark.createDataFrame([(0, 1, "w"), (0, 2, "v")], "topic int, rank int, term string")
+    documents = spark.createDataFrame([("d1", "t1"), ("d2", "t2")], "doc_id string, title string")
+    weights = spark.createDataFrame([(0, "d1", 0.5), (0, "d2", 0.0)], "topic int, doc_id string, weight double")
+    one, two = (L.checked_evidence(topics.repartition(n), weights, documents.repartition(n)).first() for n in (1, 3))
+    assert one == two and one["top_words"] == ["w", "v"] and len(one["weights_hash"]) == 64
+    for bad in ([(0, "d1", -1.0)], [(0, "d1", float("nan"))], [(0, "d3", 1.0)]):
+        with pytest.raises(ValueError):
+            L.checked_evidence(topics, spark.createDataFrame(bad, weights.schema), documents)
+    with pytest.raises(ValueError):
+        L.checked_evidence(topics, weights, documents.unionByName(documents))
+
+
+def test_drafting_saves_every_batch(spark):
+    saved = []
+    pending = spark.createDataFrame([(k,) for k in range(7)], "topic int")
+
+    def client(rows):
+        if rows[0]["topic"] >= 4:
+            raise RuntimeError("key s3cret refused")
+        return [f"label {r['topic']} s3cret" for r in rows]
+
+    out = L.draft(pending, client, 2, save=lambda x: saved.append([o["state"] for o in x]), secret="s3cret")
+    assert [o["state"] for o in out] == ["generated"] * 4 + ["failed"] * 2 + ["pending"] and len(saved) == 3 and saved[0].count("generated") == 2
+    assert out[0]["response"] == "label 0 [REDACTED]" and "s3cret" not in out[4]["error"]
+
+
+def test_exports_carry_their_provenance(spark):
+    rows = [("m", 0, "a", None, "accept", "generated"), ("m", 1, "b", "B", "revise", "generated"), ("m", 2, "c", None, "reject", "generated"), ("n", 0, "d", None, None, "generated"), ("n", 1, None, None, None, "pending")]
+    df = spark.createDataFrame(rows, "model string, topic int, label string, final_label string, verdict string, state string")
+    got = {r["model"]: r for r in R.export(df, "run1").collect()}
+    assert set(got) == {"m"} and got["m"]["labels"] == {"0": "a", "1": "B"} and (got["m"]["expected_topics"], got["m"]["exported_topics"], got["m"]["run_id"]) == (5, 2, "run1")
+    drafts = {r["model"]: r["labels"] for r in R.export(df, "run1", reviewed_only=False).collect()}
+    assert drafts == {"m": {"0": "a", "1": "b", "2": "c"}, "n": {"0": "d"}}
+
+
+def test_random_memberships_and_coverage(spark):
+    samples = Z.samples(spark, n=60).select(*Z.INPUTS, "hvac", "dimmer")
+    expert = S.population_nrmse(samples, Z.parameters()[None])[0]
+    best, trace = S.random_memberships(samples, 12, batch=5)
+    assert len(trace) == 3 and trace == sorted(trace, reverse=True) and trace[-1] <= expert + 0.01 and len(best) == 81
+    got = {r["design"]: r for r in S.coverage(Z.audit_grid(spark, (5, 3, 3, 3)), {"expert": Z.parameters(), "best": best}).collect()}
+    assert got["expert"]["undefined"] == 0 and got["expert"]["n"] == 135 and set(got) == {"expert", "best"}
+
+
+def test_trace_shows_the_strongest_rules(spark):
+    state = spark.createDataFrame([(21.0, 3.0, 25.0, 1.5)], list(Z.INPUTS))
+    whole, top = (Z.Controller().trace(state, n).first()["active"] for n in (None, 2))
+    assert top == whole[:2] and len(whole) > 2
+
+
+def test_extra_seeds():
+    runs = {100: [["a", "b"], ["c", "d"]], 101: [["a", "b"], ["c", "d"]], 102: [["a", "x"], ["c", "d"]]}
+    got = E.seed_validation(runs)
+    assert got["pairs"] == 3 and got["max"] == 1.0 and got["min"] == pytest.approx((1 / 3 + 1) / 2) and got["mean"] == pytest.approx((1 + 2 * got["min"]) / 3)
+    with pytest.raises(ValueError):
+        E.seed_validation({1: runs[100]})
+
+
+def test_means_of_pairs_need_two_topics(spark):
+    topics = spark.createDataFrame([("a", 1, "x")], "topic string, rank int, term string")
+    assert E.mean_jaccard(topics, 10).first()["jaccard"] is None
+
+
+def test_shift_vectors_have_a_length(spark):
+    from tessera.functions import scalar
+
+    for dim in (1, 11):
+        with pytest.raises(ValueError):
+            scalar.shifted_rastrigin(F.array(F.lit(0.0)), dim)
+
+
+def test_optimisers_reach_published_finals():
+    """Means over runs lie near the published ones: two dimensions, whole budgets."""
+    runs = lambda f, a: np.mean([S.optimise(f, 2, a, k).best for k in range(5)])
+    assert runs("F9", "GA") == pytest.approx(-330, abs=0.05) and runs("F9", "PSO") == pytest.approx(-330, abs=0.05) and runs("F6", "PSO") == pytest.approx(390, abs=0.5)
+    assert 390 <= runs("F6", "SA") < 420 and runs("F9", "SA") < -329

@@ -42,6 +42,66 @@ def test_paged_scan(spark):
     assert harvest.render_filter((2015, 2017), subfields=("1", "2"), keyword="k").endswith("subfield.id:1|2,title_and_abstract.search:k")
 
 
+def token_client(query, place):
+    start = int(place or 0)
+    names = [f"{k}" for k in range(5)] + ["shared"]
+    return {"results": [json.dumps({"paperId": n if n == "shared" else f"{query}{n}"}) for n in names[start : start + 2]], "next": str(start + 2) if start + 2 < 6 else None}
+
+
+def offset_client(query, place):
+    return {"results": [f"{query}#{k}" for k in range(place, min(8, place + 3))], "total": 7}
+
+
+def test_scans_by_token_and_offset(spark):
+    records = harvest.scan(spark, f"{__name__}:token_client", ["a", "b"], paging="token")
+    assert records.count() == 12
+    got = harvest.first_of_queries(harvest.papers(records).withColumns({"part": F.lit(0), "ordinal": F.lit(0)}).limit(0).unionByName(
+        records.select(F.get_json_object("value", "$.paperId").alias("paper_id"), "part", "ordinal"), allowMissingColumns=True))
+    assert got.count() == 11 and got.where("paper_id = 'shared'").first()["part"] == 0
+    offsets = harvest.scan(spark, f"{__name__}:offset_client", ["q", "r"], paging="offset", page=3)
+    assert sorted(r["value"] for r in offsets.collect()) == sorted(f"{q}#{k}" for q in "qr" for k in range(1, 8))
+    some = harvest.scan(spark, f"{__name__}:offset_client", ["q", "r"], paging="offset", page=3, limit=9)
+    assert sorted(r["value"] for r in some.collect()) == sorted([f"q#{k}" for k in range(1, 8)] + ["r#1", "r#2"])  # over the whole scan, in order of queries
+
+
+def test_queries_of_scans():
+    assert harvest.term_queries(("x y",), ("A", "B")) == ['("x y") + ("A" | "B")'] and harvest.or_query(("x", "y z")) == '("x" OR "y z")'
+    assert harvest.dated_query("q", (2015, 2017)) == "q AND onlinedatefrom:2015-01-01 AND onlinedateto:2017-12-31"
+
+
+def test_home_records_of_asked_scans(spark):
+    a = lambda *affs: [{"name": "n", "affiliations": list(affs), "country_codes": []}]
+    rows = [(1, a()), (2, a("Kathmandu University")), (3, a("Elsewhere")), (4, a("Kathmandu University") + a("Elsewhere")), (5, None)]
+    df = spark.createDataFrame(rows, "id int, authors array<struct<name: string, affiliations: array<string>, country_codes: array<string>>>")
+    assert sorted(r["id"] for r in harvest.keep_home(df).collect()) == [1, 2, 4, 5]
+    assert sorted(r["id"] for r in harvest.keep_home(df, foreign=True).collect()) == [4]
+
+
+def test_small_exports(spark, tmp_path):
+    df = spark.createDataFrame([("a|b", 0.12345, None), ("c_d", float("nan"), 3)], "name string, score double, n int").coalesce(1)
+    path = f"{tmp_path}/out/x.json"
+    files.export_json_array(df, path)
+    files.export_json_array(df, path)  # replaces
+    assert [r["name"] for r in json.loads(open(path).read())] == ["a|b", "c_d"] and [p.name for p in (tmp_path / "out").iterdir() if p.suffix == ".tmp"] == []
+    assert files.read_json_array(spark, path, "name string, score double, n int").count() == 2
+    assert files.markdown_table(df) == "| name | score | n |\n| --- | --- | --- |\n| a\\|b | 0.123 | - |\n| c_d | - | 3 |\n"
+    assert files.latex_table(df).splitlines()[2] == r"c\_d & -- & 3 \\"
+    for f in (lambda: files.markdown_table(df, most=1), lambda: files.export_json_array(df, path, most=1)):
+        try:
+            f()
+        except ValueError:
+            continue
+        raise AssertionError
+
+
+def test_manifest_of_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.bin").write_bytes(b"x" * 10)
+    r = files.manifest(spark, str(tmp_path)).first()
+    assert (r["bytes"], r["sha256"]) == (10, hashlib.sha256(b"x" * 10).hexdigest())
+
+
 def test_retry():
     waits, calls = [], []
 

@@ -141,3 +141,41 @@ def test_no_phrase_is_left_out(spark):
 
 def test_method_pattern_is_python_compatible():
     assert re.search(T.METHOD.replace("(?i)", ""), "deep learning")
+
+
+def plain_clean(t):
+    """The cleaner as plain Python."""
+    import re
+    import unicodedata
+
+    from tessera.functions import fixed
+
+    t = unicodedata.normalize("NFKC", t or "")
+    for old, new in (*zip("‘’‚“”„‐‑‒–—−", "\'\'\'\"\"\"------", strict=True), ("…", "..."), ("\xa0", " "), ("\u200b", ""), ("\ufeff", "")):
+        t = t.replace(old, new)
+    t = re.sub(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", " ", t)
+    t = re.sub(fixed.COPYRIGHT.replace("$", r"\Z"), " ", t)
+    for pattern in (fixed.URL, fixed.DOI, fixed.EMAIL):
+        t = re.sub(pattern, " ", t, flags=re.A)
+    t = re.sub(fixed.LEADING, "", t)
+    t = re.sub(rf"(?i)\b({'|'.join(fixed.SECTION_HEADERS)})\s*:\s*", "", t)
+    return re.sub(r"[ \t\n\r\x0b\x0c]+", " ", re.sub(fixed.ACRONYM, " ", t)).strip(" ")
+
+
+def test_clean_text_equals_plain_python(spark, folder):
+    from tessera import catalog
+
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {r["doc_id"]: r["text"] for r in catalog.QUERIES["clean_text_nfkc"](spark, folder).collect()}
+    assert got == {k: plain_clean(t) for k, t in docs.items()}
+    hard = ["ﬁne “x” … ½ （ab）", "Abstract: – Methods: a (AI) b (ANNs) © 2020 tail", "see https://x.y/z doi:10.1234/ab and a.b@c.de", "\x01\x1f\x7f", "ａｂｃ\u3000d", None, ""]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(hard)], "k int, t string").select("k", T.clean(F.col("t")).alias("t"))
+    assert [r["t"] for r in df.orderBy("k").collect()] == [plain_clean(t) for t in hard]
+
+
+def test_endings_and_hints(spark):
+    words = ["studies", "classes", "boxes", "glass", "virus", "cats", "cat", "churches", "women", "basis"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.by_endings(F.col("w"), T.NOUN_ENDINGS).alias("x"))
+    assert dict(map(tuple, df.collect())) == {"studies": "study", "classes": "class", "boxes": "box", "glass": "glass", "virus": "virus", "cats": "cats", "cat": "cat", "churches": "church", "women": "woman", "basis": "basis"}
+    got = spark.createDataFrame([(["Inst A, X", "b", None, "Inst A, X", "inst c"],)], "a array<string>").select(T.hinted_affiliations(F.col("a"), ["INST"])).first()[0]
+    assert got == ["Inst A, X", "inst c"]
