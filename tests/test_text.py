@@ -176,6 +176,6 @@ def test_clean_text_equals_plain_python(spark, folder):
 def test_endings_and_hints(spark):
     words = ["studies", "classes", "boxes", "glass", "virus", "cats", "cat", "churches", "women", "basis"]
     df = spark.createDataFrame([(w,) for w in words], "w string").select("w", T.by_endings(F.col("w"), T.NOUN_ENDINGS).alias("x"))
-    assert dict(map(tuple, df.collect())) == {"studies": "study", "classes": "class", "boxes": "box", "glass": "glass", "virus": "virus", "cats": "cats", "cat": "cat", "churches": "church", "women": "woman", "basis": "basis"}
+    assert dict(map(tuple, df.collect())) == {"studies": "study", "classes": "class", "boxes": "box", "glass": "glass", "virus": "virus", "cats": "cat", "cat": "cat", "churches": "church", "women": "woman", "basis": "basis"}
     got = spark.createDataFrame([(["Inst A, X", "b", None, "Inst A, X", "inst c"],)], "a array<string>").select(T.hinted_affiliations(F.col("a"), ["INST"])).first()[0]
     assert got == ["Inst A, X", "inst c"]
