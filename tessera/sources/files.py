@@ -62,8 +62,9 @@ def seen_keys(papers: DataFrame) -> DataFrame:
 RUNS = "run_id string, tag string, started timestamp, config string, artefacts map<string, string>"
 
 
-def new_run(spark: SparkSession, root: str, tag: str, config: dict) -> str:
-    """A run id that sorts by time; its configuration is appended to the table of runs."""
+def new_run(spark: SparkSession, root: str, tag: str, config: dict, commit: str | None = None) -> str:
+    """A run id that sorts by time; its configuration, with the commit of the code if given, is appended to the table of runs."""
+    config = config if commit is None else {**config, "commit": commit}
     run = f"{time.strftime('%Y%m%d_%H%M%S', time.gmtime())}_{tag}_{uuid.uuid4().hex[:6]}"
     row = spark.createDataFrame([(run, tag, json.dumps(config, sort_keys=True))], "run_id string, tag string, config string")
     row.select("run_id", "tag", F.current_timestamp().alias("started"), "config", F.create_map().cast("map<string,string>").alias("artefacts")).write.mode("append").parquet(f"{root}/runs")
@@ -71,7 +72,31 @@ def new_run(spark: SparkSession, root: str, tag: str, config: dict) -> str:
 
 
 def write_artefact(df: DataFrame, root: str, run: str, name: str) -> None:
-    df.write.mode("overwrite").parquet(f"{root}/artefacts/run_id={run}/{name}")
+    """A table of a run, and a row on it in the index of artefacts."""
+    path = f"{root}/artefacts/run_id={run}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    row = df.sparkSession.range(1).select(F.lit(run).alias("run_id"), F.lit(name).alias("name"), F.lit(path).alias("path"))
+    row.write.mode("append").parquet(f"{root}/index")
+
+
+def runs(spark: SparkSession, root: str) -> DataFrame:
+    """The table of runs with the artefacts of each: name to path."""
+    index = read_or_empty(spark, f"{root}/index", "run_id string, name string, path string").distinct()
+    held = index.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("name", "path")))).alias("held"))
+    out = read_or_empty(spark, f"{root}/runs", RUNS).join(held, "run_id", "left")
+    return out.withColumn("artefacts", F.coalesce("held", "artefacts")).drop("held")
+
+
+def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, term_id, tf) of a coordinate matrix in Matrix Market text, ids from 0: the long table that the operators take.
+
+    The line of sizes is the first that is no comment; one file is one matrix.
+    """
+    lines = spark.read.text(path).select(F.trim("value").alias("value"), F.monotonically_increasing_id().alias("at")).where("value <> '' AND NOT startswith(value, '%')")
+    sizes = lines.agg(F.min("at").alias("sizes"))
+    parts = F.split("value", r"\s+")
+    rows = lines.crossJoin(F.broadcast(sizes)).where("at > sizes")
+    return rows.select((parts[0].cast("long") - 1).alias("doc_id"), (parts[1].cast("long") - 1).alias("term_id"), parts[2].cast("double").alias("tf"))
 
 
 def latest_run(spark: SparkSession, root: str, tag: str) -> str | None:

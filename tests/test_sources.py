@@ -94,6 +94,39 @@ def test_small_exports(spark, tmp_path):
         raise AssertionError
 
 
+def test_runs_know_their_artefacts(spark, tmp_path):
+    run = files.new_run(spark, str(tmp_path), "t", {"a": 1}, commit="abc")
+    for name in ("x", "y", "x"):
+        files.write_artefact(spark.range(2), str(tmp_path), run, name)
+    files.new_run(spark, str(tmp_path), "t", {})
+    got = {r["run_id"]: r for r in files.runs(spark, str(tmp_path)).collect()}
+    assert set(got[run]["artefacts"]) == {"x", "y"} and json.loads(got[run]["config"]) == {"a": 1, "commit": "abc"} and len(got) == 2
+    assert spark.read.parquet(got[run]["artefacts"]["x"]).count() == 2
+
+
+def test_matrix_market(spark, tmp_path):
+    (tmp_path / "m.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% note\n3 4 3\n1 1 2\n1 4 1.5\n3 2 7\n")
+    assert sorted(map(tuple, files.read_matrix_market(spark, str(tmp_path / "m.mtx")).collect())) == [(0, 0, 2.0), (0, 3, 1.5), (2, 1, 7.0)]
+
+
+def test_sql_functions(spark):
+    from tessera.functions import register, scalar
+    from tessera.functions import text as T
+
+    assert "title_key" in register.register(spark)
+    texts = [" A naïve  é_x! ", "https://doi.org/10.1/AB ", "2020-05-01", "", None]
+    spark.createDataFrame([(t,) for t in texts], "t string").createOrReplaceTempView("texts")
+    got = spark.sql("SELECT t, title_key(t) AS a, doi_key(t) AS b, raw_token_count(t) AS c, coerce_year(t) AS d, collapse(t) AS e FROM texts")
+    t = F.col("t")
+    want = spark.table("texts").select("t", T.title_key(t), T.doi_key(t), T.raw_token_count(t), T.coerce_year(t), T.collapse(t))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    x = spark.range(-5, 16).select(F.col("id").cast("double").alias("x"))
+    for p in ((0, 5, 10), (0, 0, 10), (0, 10, 10), (0, 2, 6, 9), (0, 0, 6, 9), (0, 2, 9, 9)):
+        name = "trimf" if len(p) == 3 else "trapmf"
+        rows = x.select(F.expr(f"{name}(x, {', '.join(f'{v}D' for v in p)})").alias("a"), scalar.membership(F.col("x"), tuple(map(float, p))).alias("b")).collect()
+        assert all(r["a"] == r["b"] for r in rows)
+
+
 def test_manifest_of_files(spark, tmp_path):
     import hashlib
 
