@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and their DuckDB SQL."""
 
-from . import bloom_cascade, byte_bpe, merkle, mixing, parity_join, passages, repetition, style_tree, toxicity, warc
+from . import bloom_cascade, byte_bpe, jump_shards, manifest, merkle, mixing, parity_join, passages, repetition, style_tree, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,8 @@ QUERIES = {
     "op8_repetition": repetition.op8_repetition,
     "op9_style_tree": style_tree.op9_style_tree,
     "op10_parity_join": parity_join.op10_parity_join,
+    "op11_manifest": manifest.op11_manifest,
+    "op13_jump_shards": jump_shards.op13_jump_shards,
 }
 
 ORACLES = {
@@ -22,4 +24,6 @@ ORACLES = {
     "op7_warc": warc.OP7_SQL,
     "op8_repetition": repetition.OP8_SQL,
     "op10_parity_join": parity_join.OP10_SQL,
+    "op11_manifest": manifest.OP11_SQL,
+    "op13_jump_shards": jump_shards.OP13_SQL,
 }

@@ -22,11 +22,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        path = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        application = spark.sparkContext.applicationId
+        path = _TEMPORARY.get(application) or _TEMPORARY.setdefault(application, tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return path.rstrip("/")
 
 
+#: Temporary folders of local applications without a shared one.
+_TEMPORARY: dict[str, str] = {}
+
+
 def own_dir(spark: SparkSession) -> str:
     """This application's folder below the shared one."""
     return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
