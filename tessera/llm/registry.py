@@ -1,6 +1,6 @@
 """Queries of this subpackage by name, and their DuckDB SQL."""
 
-from . import bloom_cascade, byte_bpe, jump_shards, manifest, merkle, mixing, parity_join, passages, repetition, style_tree, toxicity, warc
+from . import bloom_cascade, byte_bpe, collocations, jump_shards, manifest, merkle, mixing, parity_join, passages, repetition, style_tree, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_style_tree": style_tree.op9_style_tree,
     "op10_parity_join": parity_join.op10_parity_join,
     "op11_manifest": manifest.op11_manifest,
+    "op12_collocations": collocations.op12_collocations,
     "op13_jump_shards": jump_shards.op13_jump_shards,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op8_repetition": repetition.OP8_SQL,
     "op10_parity_join": parity_join.OP10_SQL,
     "op11_manifest": manifest.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
     "op13_jump_shards": jump_shards.OP13_SQL,
 }

@@ -1,12 +1,16 @@
 """Manifest, phrases and shards."""
 
 import hashlib
-from collections import Counter
+import random
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.llm import collocations as C
 from tessera.llm import jump_shards, manifest
 from tessera.llm.ordered import in_order
 
@@ -174,3 +178,103 @@ def test_positions_are_those_of_a_sort(spark):
     got = in_order(rows.repartition(5), [F.col("a").desc(), F.col("b").asc()], "test").orderBy("__at").collect()
     assert [r["__at"] for r in got] == list(range(1_000))
     assert [(r.a, r.b) for r in got] == [(r.a, r.b) for r in rows.orderBy(F.desc("a"), "b").collect()]
+
+
+def plain_grams(texts):
+    """Occurrences of every run of 1 to 4 words within pieces."""
+    out = Counter()
+    for t in texts:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+        for piece in re.split(r"[.,;:!?\n-\r]", low):
+            w = re.findall(r"[^ \t]+", piece)
+            out.update(tuple(w[i : i + n]) for n in range(1, 5) for i in range(len(w) - n + 1))
+    return out
+
+
+def plain_collocations(rows, least, first):
+    out = set()
+    by_lang = defaultdict(list)
+    for t, lang in rows:
+        by_lang["und" if lang is None else lang].append(t)
+    for lang, texts in by_lang.items():
+        f = plain_grams(texts)
+        n = sum(c for g, c in f.items() if len(g) == 1)
+        some = {g: c for g, c in f.items() if len(g) > 1 and c >= least}
+        inside = lambda g, h: any(h[i : i + len(g)] == g for i in range(len(h) - len(g) + 1))
+        best = []
+        for g, a in some.items():
+            if any(len(h) > len(g) and 100 * c >= 80 * a and inside(g, h) for h, c in some.items()):
+                continue
+            score, k = min((2_000_000 * a // (f[g[:k]] + f[g[k:]]), k) for k in range(1, len(g)))
+            best.append((-score, -a, " ".join(g).encode(), f[g[:k]], f[g[k:]]))
+        for rank, (score, a, phrase, l, r) in enumerate(sorted(best)[:first], 1):
+            out.add((lang, rank, phrase.decode(), -a, l, r, n, -score))
+    return out
+
+
+def phrase_texts(seed, n=120):
+    rng = random.Random(seed)
+    words = ["a", "B", "b", "é", "漢", "É", "x\x00y", "the", "of", "q1", *(f"w{k}" for k in range(30))]
+    marks = [" ", " ", " ", "\t", "  ", ". ", ",", "\n", "\x0b", "!", " \u00a0 "]
+    planted = "the quick of the b. "
+    return ["".join(rng.choice(words[: rng.choice([3, 8, 40])]) + rng.choice(marks) for _ in range(rng.randrange(0, 80))) + planted * rng.randrange(3) for _ in range(n)]
+
+
+@pytest.mark.parametrize("counters, split, routes", [(1 << 12, 2_000_000, 16), (4, 20, 5), (1, 7, 1)])
+def test_phrases_of_chunks_are_counted_whole(monkeypatch, counters, split, routes):
+    """Also where all words share a few counters, and pivots go to several places; chunks are cut at marks."""
+    monkeypatch.setattr(C, "COUNTERS", counters)
+    monkeypatch.setattr(C, "SPLIT", split)
+    monkeypatch.setattr(C, "CHUNK_BYTES", 200)
+    texts = phrase_texts(5)
+    made, table = [], np.zeros(counters, dtype=np.uint32)
+    parts = list(C.chunks(pa.array(texts)))
+    assert len(parts) > 20
+    for c in parts:
+        for w, n in zip(c.vocabulary.to_pylist(), np.bincount(c.codes).tolist(), strict=True):
+            table[C.zlib.crc32(w, C.zlib.crc32(b"en ")) % counters] += n
+    for c in parts:
+        made += C.packed("en", c, table, 1, routes)
+    places = defaultdict(list)
+    for b in made:
+        places[b["route"], b["whole"]].append(b)
+    got, seen = Counter(), Counter()
+    for (_, whole), blobs in places.items():
+        for phrase, size, f in C.mined(blobs, 0):
+            assert size == len(phrase.split(" "))
+            got[phrase] += f
+            seen[phrase] += whole
+    want = {" ".join(g): n for g, n in plain_grams(texts).items() if len(g) > 1}
+    assert got == want
+    if split > 1000:
+        assert set(seen.values()) == {1}  # a phrase is counted in one place
+
+
+def test_numbers_of_rows_are_exact_beyond_64_bits():
+    rows = np.random.default_rng(3).integers(0, 2**21, (400, 4))
+    rows = np.concatenate([rows, rows[:150]])
+    numbers = C.numbered(rows, 2**21)
+    assert len(np.unique(numbers)) == len(np.unique(rows, axis=0))
+    assert all(numbers[k] == numbers[400 + k] for k in range(150))
+
+
+@pytest.mark.parametrize("least, first", [(3, 2000), (8, 5)])
+def test_collocations_against_plain_counts(spark, least, first):
+    rows = [(t, (None, "en", "de", "und")[k % 4]) for k, t in enumerate(phrase_texts(6))] + [(None, "en"), ("", "fr"), (" . ", None)]
+    docs = spark.createDataFrame([(t, lang, "x", 1) for t, lang in rows], "text string, lang string, phrase string, n long").repartition(3)
+    got = {tuple(r) for r in C.collocations(docs, C.Collocations(least=least, first=first)).collect()}
+    assert got == plain_collocations(rows, least, first)
+    assert got
+
+
+def test_collocations_of_hard_rows(spark):
+    docs = table(spark, HARD)
+    got = {tuple(r) for r in C.collocations(docs).collect()}
+    assert got == plain_collocations([(t, "en") for _, t in HARD], 30, 2000)
+    assert C.collocations(docs.where("false")).count() == 0
+
+
+def test_large_counts_score_exactly(spark):
+    rows = [("en", "a", 1, 9 * 10**15), ("en", "b", 1, 8 * 10**15 + 1), ("en", "a b", 2, 7 * 10**15 + 3)]
+    got = C.scored(spark.createDataFrame(rows, "lang string, phrase string, size int, f long"), C.Collocations()).first()
+    assert got.score == 2_000_000 * (7 * 10**15 + 3) // (17 * 10**15 + 1)
