@@ -9,10 +9,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from ..functions import fixed
 from ..functions import text as T
+from ..session import cut
 
 _STRINGS = "array<string>"
 
@@ -171,14 +172,29 @@ def dated_query(text: str, years: tuple[int, int]) -> str:
     return f"{text} AND onlinedatefrom:{years[0]}-01-01 AND onlinedateto:{years[1]}-12-31"
 
 
-def scan(spark, client: str, queries: Sequence[str], paging: str = "cursor", page: int = 100, limit: int | None = None) -> DataFrame:
-    """(window, part, ordinal, value) of a paged scan with a partition a query; ``limit`` bounds the whole scan, in order of queries.
+def scan(spark, client: str, queries: Sequence[str] = (), paging: str = "cursor", page: int = 100, limit: int | None = None, windows: Sequence[tuple[int, int]] = (), span: int = 10, where: str | None = None) -> DataFrame:
+    """(window, part, ordinal, year, search, value) of a paged scan of queries, or of windows of years; ``limit`` bounds the whole scan, in order of queries.
 
-    paging is ``cursor`` or ``token`` (the client returns what the next call takes)
-    or ``offset`` (it takes the number of the first record, from 1, and returns the total).
+    paging is ``cursor`` or ``token`` (the client returns what the next call takes), with a partition a query,
+    or ``offset`` (it takes the number of the first record, from 1, and returns the total), with a partition
+    for each ``span`` pages. What ``where`` says of year and search reaches the service (see RecordSource); such a scan runs once
+    and is stored, because Spark keeps what it has pushed into a source for later plans of the same DataFrame.
     """
     spark.dataSource.register(RecordSource)
-    reader = spark.read.format("records").option("queries", json.dumps(list(queries))).option("client", client).option("paging", paging).option("page", str(page))
+    reader = spark.read.format("records").option("client", client).option("paging", paging).option("page", str(page)).option("span", str(span))
+    if windows:
+        reader = reader.option("windows", ",".join(f"{a}-{b}" for a, b in windows))
+    else:
+        reader = reader.option("queries", json.dumps(list(queries)))
+    if where is not None:
+        setting = "spark.sql.python.filterPushdown.enabled"
+        before = spark.conf.get(setting)
+        spark.conf.set(setting, "true")
+        try:
+            found = cut(reader.option("pushdown", "true").load().where(where))
+        finally:
+            spark.conf.set(setting, before)
+        return found if limit is None else found.orderBy("part", "ordinal").limit(limit)
     if limit is None:
         return reader.load()
     # a query alone may fill the scan, and none needs more than that
@@ -238,18 +254,27 @@ def with_retry(call: Callable[[], Mapping], tries: int = 6, longest: float = 60.
 
 @dataclass
 class Query(InputPartition):
+    """What a task reads: a query from a place on, up to a record number (none: to its end); ready holds a page that planning has fetched."""
+
     part: int
     name: str
     text: str
+    place: object = None
+    end: int | None = None
+    ready: Mapping | None = None
 
 
 class RecordSource(DataSource):
-    """``records``: a paged scan with one partition per query, or window of years, so that a failure repeats one of them.
+    """``records``: a paged scan with one partition per query, window of years, or range of pages, so that a failure repeats one of them.
 
     Options: ``windows`` as "2015-2017,2018-2020" or ``queries`` as a JSON list,
-    ``client`` as "module:function", ``paging`` (see scan), ``page`` for offsets and
-    ``limit``, the most records of a partition. The client is function(query, place) ->
+    ``client`` as "module:function", ``paging`` (see scan), ``page`` and ``span`` for offsets and
+    ``limit``, the most records of a query. The client is function(query, place) ->
     {"results": [json text], "next": place or None, "total": records of the query}.
+
+    With ``pushdown`` (see scan's where), of windows, a predicate on ``year`` leaves those it can touch and narrows what they ask the service for; Spark
+    applies it again to each record. ``search = 'word'`` asks the service for the word; the column
+    repeats it, and is null in a scan without. Queries are texts of their own, to which nothing is pushed.
     """
 
     @classmethod
@@ -257,39 +282,109 @@ class RecordSource(DataSource):
         return "records"
 
     def schema(self) -> str:
-        return "window string, part int, ordinal long, value string"
+        return "window string, part int, ordinal long, year int, search string, value string"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Pages(dict(self.options))
+        return (_NarrowedPages if self.options.get("pushdown") == "true" else _Pages)(dict(self.options))
+
+
+#: Fields of the four formats that begin with a year.
+YEAR_FIELDS = ("publication_year", "year", "publicationDate")
+
+
+def _year(value: str) -> int | None:
+    """The year of a record of any of the formats, if it has one."""
+    try:
+        record = json.loads(value)
+    except ValueError:
+        return None
+    text = next((str(record[f]) for f in YEAR_FIELDS if isinstance(record, dict) and record.get(f) is not None), "")[:4]
+    return int(text) if len(text) == 4 and text.isascii() and text.isdigit() else None
 
 
 class _Pages(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.options = options
+        self.first, self.last, self.search = -(2**31), 2**31 - 1, None
 
-    def partitions(self) -> list[Query]:
+    def _queries(self) -> list[tuple[int, str, str]]:
         if "queries" in self.options:
-            return [Query(k, q, q) for k, q in enumerate(json.loads(self.options["queries"]))]
-        windows = self.options["windows"].split(",")
-        return [Query(k, w, render_filter(tuple(map(int, w.split("-"))))) for k, w in enumerate(windows)]
-
-    def read(self, partition: Query) -> Iterator[tuple]:
+            return [(k, q, q) for k, q in enumerate(json.loads(self.options["queries"]))]
+        out = []
+        for k, w in enumerate(self.options["windows"].split(",")):
+            a, b = map(int, w.split("-"))
+            a, b = max(a, self.first), min(b, self.last)
+            if a <= b:
+                out.append((k, w, render_filter((a, b), keyword=self.search or "")))
+        return out
+
+    def _client(self) -> Callable:
         import importlib
 
         module, _, name = self.options["client"].partition(":")
-        client = getattr(importlib.import_module(module), name)
-        limit, n, paging = int(self.options.get("limit", 2**62)), 0, self.options.get("paging", "cursor")
-        place = {"cursor": "*", "token": None, "offset": 1}[paging]
-        while n < limit:
-            page = with_retry(lambda p=place: client(partition.text, p))
-            for value in page["results"][: limit - n]:
-                yield partition.name, partition.part, n, value
+        return getattr(importlib.import_module(module), name)
+
+    def partitions(self) -> list[Query]:
+        start = {"cursor": "*", "token": None, "offset": 1}[self.options.get("paging", "cursor")]
+        queries = [Query(k, name, text, start) for k, name, text in self._queries()]
+        if start != 1:
+            return queries
+        client, page, limit = self._client(), int(self.options.get("page", 100)), int(self.options.get("limit", 2**62))
+        step, out = page * int(self.options.get("span", 10)), []
+        for q in queries:
+            q.ready = with_retry(lambda q=q: client(q.text, 1))  # the one page that says how many there are
+            total = min(limit, q.ready.get("total") or 0)
+            out.append(q)
+            for at in range(1 + step, total + 1, step):
+                out[-1].end = at
+                out.append(Query(q.part, q.name, q.text, at))
+        return out  # the last range of a query has no end: what has come meanwhile is read, too
+
+    def read(self, partition: Query | None) -> Iterator[tuple]:
+        if partition is None:  # no window is left
+            return
+        client, paging, page = self._client(), self.options.get("paging", "cursor"), int(self.options.get("page", 100))
+        limit = int(self.options.get("limit", 2**62))
+        place, ready = partition.place, partition.ready
+        n = place - 1 if paging == "offset" else 0
+        end = min(limit, partition.end - 1 if partition.end else 2**62)
+        while n < end:
+            answer, ready = ready or with_retry(lambda p=place: client(partition.text, p)), None
+            for value in answer["results"][: end - n]:
+                yield partition.name, partition.part, n, _year(value), self.search, value
                 n += 1
             if paging == "offset":
-                place += int(self.options.get("page", 100))
-                done = bool(page.get("total")) and place > page["total"]
+                place += page
+                done = bool(answer.get("total")) and place > answer["total"]
+                n = place - 1
             else:
-                place = page.get("next")
+                place = answer.get("next")
                 done = not place
-            if done or not page["results"]:
+            if done or not answer["results"]:
                 return
+
+
+class _NarrowedPages(_Pages):
+    """Pages of a session in which predicates may reach a source."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Narrows the years and takes a word to search for; gives back what Spark has to apply itself."""
+        for f in filters:
+            if "windows" not in self.options:
+                yield f
+                continue
+            if getattr(f, "attribute", None) == ("search",) and isinstance(f, EqualTo | EqualNullSafe) and f.value is not None and self.search in (None, f.value):
+                self.search = f.value
+                continue
+            if getattr(f, "attribute", None) == ("year",):
+                low, high = self.first, self.last
+                if isinstance(f, EqualTo):
+                    low, high = f.value, f.value
+                elif isinstance(f, In) and f.value:
+                    low, high = min(f.value), max(f.value)
+                elif isinstance(f, GreaterThan | GreaterThanOrEqual):
+                    low = f.value + isinstance(f, GreaterThan)
+                elif isinstance(f, LessThan | LessThanOrEqual):
+                    high = f.value - isinstance(f, LessThan)
+                self.first, self.last = max(self.first, low), min(self.last, high)
+            yield f

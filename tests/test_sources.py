@@ -1,5 +1,10 @@
 import json
+import os
+import re
+import tempfile
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources import files, harvest
@@ -64,6 +69,90 @@ def test_scans_by_token_and_offset(spark):
     assert sorted(r["value"] for r in some.collect()) == sorted([f"q#{k}" for k in range(1, 8)] + ["r#1", "r#2"])  # over the whole scan, in order of queries
 
 
+CALLS = os.path.join(tempfile.gettempdir(), f"tessera-calls-{os.getuid()}.txt")
+
+
+def calls():
+    with open(CALLS) as f:
+        return [line.rstrip("\n").split("\t") for line in f]
+
+
+def note(*parts):
+    with open(CALLS, "a") as f:
+        f.write("\t".join(map(str, parts)) + "\n")
+
+
+@pytest.fixture
+def noted():
+    open(CALLS, "w").close()
+    yield calls
+    os.remove(CALLS)
+
+
+def yearly_client(rule, place):
+    """Two records of each year asked for, one a page; a word asked for is in the title."""
+    note(rule, place)
+    a, b = map(int, re.search(r"publication_year:(\d+)-(\d+)", rule).groups())
+    word = (re.search(r"search:(.*)$", rule) or ["", "none"])[1]
+    found = [{"id": f"{y}.{k}", "publication_year": y, "title": word} for y in range(a, b + 1) for k in range(2)]
+    at = 0 if place == "*" else int(place)
+    return {"results": [json.dumps(x) for x in found[at : at + 1]], "next": str(at + 1) if at + 1 < len(found) else None}
+
+
+def test_predicates_reach_the_service(spark, noted):
+    asked = lambda where=None: harvest.scan(spark, f"{__name__}:yearly_client", windows=[(2010, 2014), (2015, 2017), (2018, 2020)], where=where)
+    years = lambda df: sorted(r["year"] for r in df.select("year").collect())
+    assert years(asked()) == sorted(2 * list(range(2010, 2021))) and len(noted()) == 22
+    for condition, want, count in (
+        ("year = 2016", [2016], 2), ("year > 2016 AND year <= 2018", [2017, 2018], 4), ("year >= 2019", [2019, 2020], 4), ("year IN (2012, 2014)", [2012, 2014], 6),
+        ("year > 2020", [], 0), ("year = 2011 OR year = 2019", [2011, 2019], 22), ("year IS NULL", [], 22),
+    ):
+        open(CALLS, "w").close()
+        found = asked(condition)
+        assert years(found) == years(found) == sorted(2 * want) and len(noted()) == count, condition
+    open(CALLS, "w").close()
+    found = asked("search = 'deep nets' AND year = 2016").collect()
+    assert [(r["search"], json.loads(r["value"])["title"]) for r in found] == [("deep nets", "deep nets")] * 2
+    assert {rule for rule, _ in noted()} == {"authorships.countries:np,publication_year:2016-2016,title_and_abstract.search:deep nets"}
+    assert asked("search = 'a' AND search = 'b'").count() == 0
+    assert asked("search IS NULL").count() == 22
+
+
+def test_no_year_is_invented():
+    assert [harvest._year(v) for v in ('{"year": "2020"}', '{"publicationDate": "2019-02"}', '{"year": null}', '{"year": "n.d."}', "[1]", "text", '{"publication_year": 20201}')] == [2020, 2019, None, None, None, None, 2020]
+
+
+def growing_client(query, place):
+    """Eleven records when first asked, fourteen later; the second page of a query fails once."""
+    before = [c for c in calls() if c[:2] == [query, str(place)]]
+    note(query, place, os.getpid())
+    if place == 4 and not before:
+        raise harvest.Transient(0.0)
+    total = 11 if place == 1 else 14
+    return {"results": [json.dumps({"id": f"{query}{k}"}) for k in range(place, min(total + 1, place + 3))], "total": total}
+
+
+def test_offsets_are_planned_from_the_total(spark, noted):
+    records = harvest.scan(spark, f"{__name__}:growing_client", ["q"], paging="offset", page=3, span=2)
+    assert records.rdd.getNumPartitions() == 2
+    got = sorted((r["ordinal"], json.loads(r["value"])["id"]) for r in records.collect())
+    assert got == [(k, f"q{k + 1}") for k in range(14)]  # with those that came while reading
+    asked = Counter(int(place) for _, place, _ in noted())
+    assert asked == {1: 1, 4: 2, 7: 1, 10: 1, 13: 1}  # the planned page is not asked for twice, and only the failing one is again
+    assert len({pid for _, place, pid in noted() if place in ("4", "7")}) == 2
+    one = harvest.scan(spark, f"{__name__}:growing_client", ["q"], paging="offset", page=3, span=100)
+    assert one.rdd.getNumPartitions() == 1
+    assert sorted(r["value"] for r in one.collect()) == sorted(r["value"] for r in records.collect())
+
+
+def test_empty_offset_scans(spark, noted):
+    assert harvest.scan(spark, f"{__name__}:no_client", ["q", "r"], paging="offset").count() == 0
+
+
+def no_client(query, place):
+    return {"results": [], "total": 0}
+
+
 def test_queries_of_scans():
     assert harvest.term_queries(("x y",), ("A", "B")) == ['("x y") + ("A" | "B")'] and harvest.or_query(("x", "y z")) == '("x" OR "y z")'
     assert harvest.dated_query("q", (2015, 2017)) == "q AND onlinedatefrom:2015-01-01 AND onlinedateto:2017-12-31"
