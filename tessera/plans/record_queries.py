@@ -454,3 +454,46 @@ def batch_label_validation(spark, folder):
     allowed = F.map_from_entries(F.transform("keys", lambda k: F.struct(k.alias("k"), F.array(F.lit("d")).alias("v"))))
     rows = packs.select("batch", F.explode(T.parse_batch(F.col("response"), allowed)).alias("r"))
     return rows.select("batch", F.regexp_replace("r.key", "^x", "").cast("long").alias("id"), F.col("r.error").alias("error")).distinct()
+
+
+#: Events as reviews of a label a user: what each type stands for.
+_KIND = {"signup": "generated", "error": "failed", "click": "accept", "purchase": "revise", "view": "reject"}
+
+
+def _review_events(spark, folder):
+    kind = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in _KIND.items()))
+    return table(spark, folder, "events").select(
+        F.col("user_id").alias("item"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_id") % 7 > 0, F.concat(F.lit(" label "), F.col("event_id").cast("string"))).alias("label"),
+        F.when(F.col("event_id") % 5 > 0, "reviewer").alias("reviewer"), F.when(F.col("event_id") % 11 > 0, "note").otherwise(" ").alias("note"),
+    )
+
+
+_REVIEW_SQL = f"""WITH e AS (SELECT user_id AS item, ts, event_id AS seq, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KIND.items())} END AS kind,
+  CASE WHEN event_id % 7 > 0 THEN ' label ' || event_id END AS label, event_id % 5 > 0 AND event_id % 11 > 0 AS named FROM events),
+d AS (SELECT item, ts AS dt, seq AS ds, label AS draft FROM e WHERE kind = 'generated' QUALIFY row_number() OVER (PARTITION BY item ORDER BY ts, seq) = 1),
+j AS (SELECT e.*, draft, coalesce((dt, ds) < (ts, seq), false) AS made, CASE WHEN kind = 'accept' THEN coalesce(draft, '') ELSE trim(coalesce(label, '')) END AS own FROM e LEFT JOIN d USING (item)),
+o AS (SELECT *, CASE WHEN kind IN ('generated', 'failed') THEN CASE WHEN made THEN 'already generated' ELSE 'taken' END WHEN kind IS NULL THEN 'unknown event' WHEN NOT made THEN 'not generated'
+  WHEN NOT named THEN 'no reviewer or note' WHEN kind <> 'reject' AND own = '' THEN 'no label or a long one' ELSE 'taken' END AS outcome FROM j),
+log AS (SELECT *, CASE WHEN outcome = 'taken' THEN CASE WHEN kind IN ('accept', 'revise') THEN own WHEN kind = 'generated' THEN label END END AS final_label FROM o)"""
+
+
+@query(f"{_REVIEW_SQL} SELECT seq, item, outcome, final_label FROM log")
+def review_outcomes(spark, folder):
+    """Every event taken as a step of a label's review, with what became of it."""
+    from ..operators import reviews
+
+    return reviews.outcomes(_review_events(spark, folder)).select("seq", "item", "outcome", "final_label")
+
+
+@query(
+    f"""{_REVIEW_SQL}, r AS (SELECT item, kind AS decision, final_label, count(*) OVER (PARTITION BY item) AS reviews, row_number() OVER (PARTITION BY item ORDER BY ts DESC, seq DESC) AS k FROM log
+  WHERE outcome = 'taken' AND kind IN ('accept', 'revise', 'reject')),
+s AS (SELECT item, CASE WHEN bool_or(outcome = 'taken' AND kind = 'generated') THEN 'generated' WHEN bool_or(outcome = 'taken' AND kind = 'failed') THEN 'failed' ELSE 'pending' END AS status,
+  count(*) FILTER (WHERE outcome <> 'taken') AS refused FROM log GROUP BY item)
+SELECT item, status, decision, final_label, coalesce(reviews, 0) AS reviews, refused FROM s LEFT JOIN (SELECT * FROM r WHERE k = 1) USING (item)"""
+)
+def review_current(spark, folder):
+    """Status of every label after all reviews, with the last one and the number of those taken and refused."""
+    from ..operators import reviews
+
+    return reviews.current(reviews.outcomes(_review_events(spark, folder))).select("item", "status", "decision", "final_label", "reviews", "refused")

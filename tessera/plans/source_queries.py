@@ -56,3 +56,16 @@ def label_prompts(spark, folder):
     words = F.slice(F.sort_array(F.array_distinct(T.raw_words(F.col("text")))), 1, 3)
     prompt = T.label_prompt(words, F.array(F.col("item_id").cast("string")))
     return table(spark, folder, "benchmark").select("item_id", T.raw_token_count(F.col("text")).alias("tokens"), T.sha256(prompt).alias("digest"))
+
+
+@query(
+    """WITH g AS (SELECT user_id, ts, value, coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTES, true) AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS "end", count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k"""
+)
+def stream_sessions(spark, folder):
+    """Sessions of each user, ended by half an hour without an event; the same plan runs on a stream with a watermark."""
+    from ..streaming.records import sessions
+
+    out = sessions(table(spark, folder, "events"), "user_id")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", F.round("total", 4).alias("total"))
