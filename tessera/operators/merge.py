@@ -128,13 +128,18 @@ def merge_exact(df: DataFrame, fill: Sequence[str] = ("abstract", "venue", "doi"
         of = state.where(F.col("founder") & F.col(k).isNotNull()).select(k, F.col("record_id").alias(f"__to_{k}"), at.alias(f"__at_{k}"))
         home = home.join(of, k, "left").withColumn(f"__to_{k}", F.when(F.col(f"__at_{k}") < F.col("__at"), F.col(f"__to_{k}")))
     home = home.select("record_id", F.when(F.col("founder"), F.col("record_id")).otherwise(F.coalesce(*(f"__to_{k}" for k in _KEYS))).alias("__row"))
-    rows = df.join(home, "record_id")
+    return assembled(df.join(home, "record_id"), df.columns, fill)
+
+
+def assembled(rows: DataFrame, columns: Sequence[str], fill: Sequence[str]) -> DataFrame:
+    """A row per founder from records with __row, the founder's record_id: gaps filled from the first record that has a value, distinct sources in order."""
+    kinds, at = dict(rows.dtypes), F.struct("batch", "ordinal", "record_id")
     given = lambda c: ~_missing(c, kinds[c])
     filled = rows.groupBy("__row").agg(*(F.min_by(F.when(given(c), F.col(c)), F.when(given(c), at)).alias(f"__{c}") for c in fill))
     names = rows.groupBy("__row", F.col("source").alias("__s")).agg(F.min(at).alias("__at"))
     names = names.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__at", "__s")))["__s"].alias("sources"))  # distinct sources are few by nature
     out = rows.where("record_id = __row").join(filled, "__row").join(names, "__row")
-    return out.select(*(F.coalesce(f"__{c}", c).alias(c) if c in fill else F.col(c) for c in df.columns), "sources")
+    return out.select(*(F.coalesce(f"__{c}", c).alias(c) if c in fill else F.col(c) for c in columns), "sources")
 
 
 def resume(previous: DataFrame, *batches: DataFrame) -> DataFrame:

@@ -303,6 +303,20 @@ def merge_exact(spark, folder):
     return out.select("record_id", *(blank(c) for c in ("abstract", "venue", "doi", "url")), F.array_join("authors", ",").alias("authors"), F.array_join("sources", ",").alias("sources"))
 
 
+@query(_exact_sql())
+def merge_incremental(spark, folder):
+    """The same merge in two batches: pages are added to a state that holds the documents."""
+    from ..operators.merge_state import MergeState
+    from ..session import shared_path
+
+    records = _records(spark, folder).withColumn("authors", F.when(F.col("batch") == 1, F.array("url")).otherwise(F.array().cast("array<string>")))
+    state = MergeState(spark, shared_path(spark, "merge"))
+    for number in (0, 1):
+        state.add(records.where(F.col("batch") == number), number)
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return state.merged().select("record_id", *(blank(c) for c in ("abstract", "venue", "doi", "url")), F.array_join("authors", ",").alias("authors"), F.array_join("sources", ",").alias("sources"))
+
+
 @query(
     """WITH t AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_event FROM events GROUP BY ALL) SELECT user_id, event_type, n, first_event FROM t"""
 )

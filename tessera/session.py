@@ -52,6 +52,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table in the shared checkpoint folder (see cut)."""
+    import re
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to Python workers that would not find it, once per context.
 
