@@ -97,3 +97,7 @@ QUERY_INSTITUTIONS = (
 SHIFT_ROSENBROCK = (81.0232, -48.395, 19.2316, -2.5231, 70.4338, 47.1774, -7.8358, -86.6693, 57.8532, -9.9533)
 SHIFT_RASTRIGIN = (1.9005, -1.5644, -0.9788, -2.2536, 2.499, -3.2853, 0.9759, -3.6661, 0.0985, -3.2465)
 BIAS_ROSENBROCK, BIAS_RASTRIGIN = 390.0, -330.0
+
+#: Endings of nouns and verbs with what takes their place in a base form.
+NOUN_DETACHMENTS = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
+VERB_DETACHMENTS = (("s", ""), ("ies", "y"), ("es", "e"), ("es", ""), ("ed", "e"), ("ed", ""), ("ing", "e"), ("ing", ""))

@@ -9,6 +9,7 @@ weighted sums of that curve, taken in Arrow batches with bounded temporaries.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -252,17 +253,22 @@ def defuzzify(levels: np.ndarray, v: Variable, method: str = "centroid") -> np.n
 def defuzzifier(v: Variable, method: str):
     @F.pandas_udf("double")
     def run(*levels: pd.Series) -> pd.Series:
-        return pd.Series(defuzzify(np.column_stack([x.to_numpy(dtype=float) for x in levels]), v, method))
+        # rows share few combinations of levels: a curve is made for each of a batch once
+        rows = np.nan_to_num(np.column_stack([x.to_numpy(dtype=float) for x in levels])) + 0.0
+        _, first, same = np.unique(rows.view(f"V{8 * rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        return pd.Series(defuzzify(rows[first], v, method)[same])
 
     return run
 
 
 def grid(spark: SparkSession, axes: Mapping[str, tuple[float, float, int]]) -> DataFrame:
-    """The product of evenly spaced axes (name -> low, high, points); each axis is a handful of values."""
-    out = spark.range(1).select()
-    for name, (lo, hi, n) in axes.items():
-        out = out.withColumn(name, F.explode(F.array(*(F.lit(lo + k * (hi - lo) / (n - 1)) for k in range(n)))))
-    return out
+    """The product of evenly spaced axes (name -> low, high, points), spread over tasks: a row's number, read digit by digit, says its point on each axis."""
+    out, left = spark.range(math.prod(n for _, _, n in axes.values())), F.col("id")
+    for name, (lo, hi, n) in reversed(axes.items()):
+        points = F.array(*(F.lit(lo + k * (hi - lo) / (n - 1)) for k in range(n)))  # a handful of values
+        out = out.withColumn(name, F.get(points, (left % n).cast("int")))
+        left = F.floor(left / n)
+    return out.select(*axes)
 
 
 def audit_grid(spark: SparkSession, points: tuple[int, int, int, int] = (21, 15, 15, 15)) -> DataFrame:

@@ -35,6 +35,38 @@ def lemmatised(rows: DataFrame, lemmas: DataFrame, protected: Sequence[str] = ()
     return rows
 
 
+def bases(terms: DataFrame, vocabulary: DataFrame, endings: Sequence[tuple[str, str]], exceptions: DataFrame | None = None, protected: Sequence[str] = ()) -> DataFrame:
+    """(term, base) of terms (term), each once: the exception's base if there is one, else the shortest known form.
+
+    Known are the words of vocabulary (term); forms are the term itself and, for each of its endings, what a detachment
+    leaves, so nothing is cut to a word that is unknown, and a term without a known form stays. Of forms of one length
+    the first in order counts. exceptions is (term, base), the least base of several. Tables may be of any size: each term meets
+    its few candidates by joins on the word.
+    """
+    terms = terms.select("term").distinct()
+    w = F.col("term")
+    forms = [w, *(F.when(F.endswith(w, F.lit(end)) & (F.length(w) > len(end)), F.concat(F.substring(w, F.lit(1), F.length(w) - len(end)), F.lit(new))) for end, new in endings)]
+    candidates = terms.select("term", F.explode(F.array_distinct(F.array(*forms))).alias("base")).where("base <> ''")
+    known = candidates.join(vocabulary.select(F.col("term").alias("base")).distinct(), "base", "left_semi")
+    shortest = known.groupBy("term").agg(F.min(F.struct(F.length("base").alias("n"), F.col("base").alias("form"))).alias("best"))
+    out = terms.join(shortest, "term", "left").withColumn("base", F.coalesce("best.form", "term"))
+    if exceptions is not None:
+        out = out.join(exceptions.groupBy("term").agg(F.min("base").alias("__fixed")), "term", "left").withColumn("base", F.coalesce("__fixed", "base"))
+    keep = w.isin(*protected) if protected else F.lit(False)
+    return out.select("term", F.when(keep, w).otherwise(F.col("base")).alias("base"))
+
+
+def with_bases(rows: DataFrame, vocabulary: DataFrame, exceptions: dict[str, DataFrame] | None = None, protected: Sequence[str] = ()) -> DataFrame:
+    """rows (term, ...) with terms replaced by their base forms, as nouns first, then as verbs; exceptions by "n" and "v"."""
+    from ..functions import fixed
+
+    columns = rows.columns
+    for pos, endings in (("n", fixed.NOUN_DETACHMENTS), ("v", fixed.VERB_DETACHMENTS)):
+        found = bases(rows, vocabulary, endings, (exceptions or {}).get(pos), protected)
+        rows = rows.join(found, "term").withColumn("term", F.col("base")).select(*columns)
+    return rows
+
+
 def term_counts(docs: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
     """(key, term, tf); sums are made before the shuffle."""
     return exploded(docs, tokens, key).groupBy(key, "term").agg(F.count("*").alias("tf"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import vectors as V
-from ..session import spread, table
+from ..session import cut, spread, table
 from ._base import query
 
 #: The tables hold invented words, so the queries take a small stop list of theirs.
@@ -297,6 +297,31 @@ def lemma_frequency(spark, folder):
     return rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
+def _base_sql(table: str, rules, pos: str) -> str:
+    """A CTE (term, base) of the terms of a table by checked detachment."""
+    values = ", ".join(f"('{a}', '{b}')" for a, b in rules)
+    return f"""{table}_forms AS (SELECT DISTINCT term, term AS base FROM {table} UNION SELECT term, left(term, length(term) - length(e)) || r FROM {table}, (VALUES {values}) AS x(e, r)
+  WHERE suffix(term, e) AND length(term) > length(e)),
+{table}_base AS (SELECT t.term, coalesce(l.lemma, b.base, t.term) AS base FROM (SELECT DISTINCT term FROM {table}) t
+  LEFT JOIN (SELECT term, base FROM {table}_forms WHERE base IN (SELECT term FROM known) QUALIFY row_number() OVER (PARTITION BY term ORDER BY length(base), base) = 1) b USING (term)
+  LEFT JOIN (SELECT term, min(lemma) AS lemma FROM l WHERE pos = '{pos}' GROUP BY term) l USING (term))"""
+
+
+@query(
+    f"""WITH {DF}, l(term, pos, lemma) AS (VALUES {", ".join(str(x) for x in _LEMMAS)}), known AS (SELECT term FROM df WHERE df >= 2),
+{_base_sql("tf", T.fixed.NOUN_DETACHMENTS, "n")}, v AS (SELECT doc_id, tf, CASE WHEN term IN ('des', 'was') THEN term ELSE base END AS term FROM tf JOIN tf_base USING (term)),
+{_base_sql("v", T.fixed.VERB_DETACHMENTS, "v")}, w AS (SELECT doc_id, tf, CASE WHEN term IN ('des', 'was') THEN term ELSE base END AS term FROM v JOIN v_base USING (term))
+SELECT term, count(DISTINCT doc_id) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM w GROUP BY term"""
+)
+def base_form_frequency(spark, folder):
+    """Documents and occurrences of every base form: exceptions first, else the shortest form that two documents have; others stay as they are."""
+    counts = cut(V.term_counts(documents(spark, folder)))
+    known = counts.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2")
+    lemmas = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(t).alias("term"), F.lit(p).alias("pos"), F.lit(x).alias("base")) for t, p, x in _LEMMAS))))
+    rows = V.with_bases(counts, known, {p: lemmas.where(F.col("pos") == p) for p in "nv"}, ("des", "was"))
+    return rows.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
 _FULL_STOP = T.stopwords()
 _PROTECTED_WORDS = sorted({*T.fixed.PROTECTED, "er", "on"})
 
