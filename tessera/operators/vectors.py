@@ -209,10 +209,35 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("term").agg(F.count("*").alias("degree"), F.sum("n").alias("weight"))
 
 
-def class_tfidf(docs: DataFrame, part: str, n: int = 10, tokens: str = "tokens") -> DataFrame:
-    """(part, term, weight, rank): tf in the class * ln(1 + mean tokens per class / occurrences of the term)."""
-    tf = exploded(docs.where(F.col(part).isNotNull()), tokens, part).groupBy(part, "term").agg(F.count("*").alias("tf"))
+def grams(docs: DataFrame, longest: int, tokens: str = "tokens") -> DataFrame:
+    """docs with the runs of 1 to longest of its tokens, joined by blanks; runs stay inside a document."""
+    none = F.array().cast("array<string>")
+    t = F.coalesce(tokens, none)
+
+    def runs(n: int) -> Column:
+        return F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(none)
+
+    sized = [t, *(runs(n) for n in range(2, longest + 1))]
+    return docs.withColumn(tokens, F.concat(*sized))
+
+
+def class_tfidf(docs: DataFrame, part: str, n: int = 10, tokens: str = "tokens", longest: int = 1, least: int = 1) -> DataFrame:
+    """(part, term, weight, rank): tf in the class * ln(1 + mean tokens per class / occurrences of the term).
+
+    Terms are runs of up to longest tokens, and count if at least so many classes have them.
+    """
+    docs = docs.where(F.col(part).isNotNull())
+    tf = exploded(grams(docs, longest, tokens) if longest > 1 else docs, tokens, part).groupBy(part, "term").agg(F.count("*").alias("tf"))
+    total = tf.groupBy("term").agg(F.sum("tf").alias("f"), F.count("*").alias("classes")).where(F.col("classes") >= least)
+    tf = tf.join(total, "term")
     mean = tf.agg((F.sum("tf") / F.count_distinct(part)).alias("mean"))
-    total = tf.groupBy("term").agg(F.sum("tf").alias("f"))
-    weighed = tf.join(total, "term").crossJoin(F.broadcast(mean)).withColumn("weight", F.col("tf") * F.log(1 + F.col("mean") / F.col("f")))
+    weighed = tf.crossJoin(F.broadcast(mean)).withColumn("weight", F.col("tf") * F.log(1 + F.col("mean") / F.col("f")))
     return top_terms(weighed, part, "weight", n).select(part, "term", "weight", "rank")
+
+
+def commonest(df: DataFrame, n: int = 25, vocabulary: DataFrame | None = None) -> DataFrame:
+    """(rank, term, df, cf) of the n terms (of vocabulary, if given) in most documents; ties by term."""
+    if vocabulary is not None:
+        df = df.join(vocabulary.select("term"), "term", "left_semi")
+    first = df.orderBy(F.desc("df"), "term").limit(n)
+    return first.select(F.row_number().over(Window.orderBy(F.desc("df"), "term")).cast("long").alias("rank"), "term", "df", "cf")  # n rows

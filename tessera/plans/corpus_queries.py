@@ -36,6 +36,16 @@ e AS (SELECT lang, t0, regexp_replace(regexp_replace(regexp_replace(t, '(?i)^\s*
 SELECT lang, count(*) AS n, CAST(sum(length(t0)) AS BIGINT) AS raw_chars, CAST(sum(length(trim(regexp_replace(t, '\s+', ' ', 'g')))) AS BIGINT) AS clean_chars FROM e GROUP BY lang"""
 
 
+@query(
+    _CLEAN.replace("SELECT lang, text AS t0", "SELECT doc_id, lang, text AS t0").replace("SELECT lang, t0", "SELECT doc_id, lang, t0").split("SELECT lang, count(*)")[0]
+    + r"SELECT doc_id, sha256(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS digest FROM e"
+)
+def clean_text_digests(spark, folder):
+    """Digest of every text after cleaning."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.sha2(T.clean(F.col("text"), nfkc=False), 256).alias("digest"))
+
+
 @query(_CLEAN)
 def clean_text_lengths(spark, folder):
     """Characters before and after cleaning, per language."""

@@ -333,6 +333,66 @@ def evidence_manifest(spark, folder):
     return table(spark, folder, "benchmark").select("item_id", T.sha256(F.col("text")).alias("digest"), T.raw_token_count(F.col("text")).alias("tokens"))
 
 
+@query()
+def file_manifest(spark, folder):
+    """Name, size and digest of the files of the pinned inputs, as they lie in the store; tested against their bytes."""
+    from ..sources import files
+
+    names = ("benchmark", "labels", "customer", "supplier", "part")
+    found = None
+    for name in names:
+        part = files.manifest(spark, f"{folder}/{name}.parquet").select(F.lit(name).alias("input"), F.substring_index("path", "/", -1).alias("file"), "bytes", "sha256")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+_HOME = (*T.fixed.HOME_KEYWORDS, *T.fixed.HOME_CITIES)
+
+
+def _affiliations():
+    """Affiliations of a customer by its number: a home keyword, a generic name with or without a context word, elsewhere, or none; every fifth has a country code."""
+    pick = lambda words, step: F.get(F.array(*map(F.lit, words)), ((F.col("c_custkey") * step) % len(words)).cast("int"))
+    kind = F.col("c_custkey") % 5
+    texts = (
+        F.when(kind == 0, F.array(F.concat(F.lit("Dept, "), F.initcap(pick(_HOME, 7))), F.col("c_name")))
+        .when(kind == 1, F.array(F.upper(pick(T.fixed.HOME_GENERIC, 3)), F.concat(F.col("c_name"), F.lit(" "), pick(T.fixed.HOME_CONTEXT, 5))))
+        .when(kind == 2, F.array(pick(T.fixed.HOME_GENERIC, 3), F.col("c_name"))).when(kind == 3, F.array("c_name")).otherwise(F.array().cast("array<string>"))
+    )
+    codes = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit(T.fixed.HOME_CODE.lower()))).when(F.col("c_custkey") % 3 == 1, F.array(F.lit("XX"))).otherwise(F.array().cast("array<string>"))
+    return texts, codes
+
+
+def _affiliation_sql() -> str:
+    listed = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+    pick = lambda words, step: f"{listed(words)}[CAST((c_custkey * {step}) % {len(words)} AS INTEGER) + 1]"
+    has = lambda text, words: f"len(list_filter({listed(words)}, lambda w: contains({text}, w))) > 0"
+    cap = "array_to_string(list_transform(string_split({0}, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
+    return f"""a AS (SELECT c_custkey, c_nationkey, CASE c_custkey % 5 WHEN 0 THEN ['Dept, ' || {cap.format(pick(_HOME, 7))}, c_name] WHEN 1 THEN [upper({pick(T.fixed.HOME_GENERIC, 3)}), c_name || ' ' || {pick(T.fixed.HOME_CONTEXT, 5)}]
+  WHEN 2 THEN [{pick(T.fixed.HOME_GENERIC, 3)}, c_name] WHEN 3 THEN [c_name] ELSE [] END AS t, CASE c_custkey % 3 WHEN 0 THEN ['{T.fixed.HOME_CODE}'] WHEN 1 THEN ['XX'] ELSE [] END AS codes FROM customer),
+b AS (SELECT *, lower(array_to_string(t, ' ')) AS j FROM a),
+c AS (SELECT *, len(list_filter(t, lambda x: {has("lower(x)", _HOME)})) > 0 OR ({has("j", T.fixed.HOME_GENERIC)} AND {has("j", T.fixed.HOME_CONTEXT)}) AS by_text FROM b),
+d AS (SELECT *, by_text OR (len(t) = 0 AND list_contains(codes, '{T.fixed.HOME_CODE}')) AS home, len(t) > 0 OR len(codes) > 0 AS known, {has("j", [w for w in T.fixed.HOME_KEYWORDS if w != T.fixed.HOME_CONTEXT[0]])} AS mentioned FROM c)"""
+
+
+@query(f"WITH {_affiliation_sql()} SELECT c_custkey, by_text, home, mentioned FROM d")
+def author_affiliations(spark, folder):
+    """Customers as authors: at home by affiliation text, or by country code without any; and whether the text names an institution."""
+    texts, codes = _affiliations()
+    author = F.struct(F.col("c_name").alias("name"), texts.alias("affiliations"), codes.alias("country_codes"))
+    return table(spark, folder, "customer").select(
+        "c_custkey", T.is_home(texts).alias("by_text"), T.author_is_home(author).alias("home"), T.mentions_home_institution(F.array_join(texts, " ")).alias("mentioned")
+    )
+
+
+@query(f"WITH {_affiliation_sql()} SELECT c_nationkey, c_custkey // 3 AS record, coalesce(bool_or(home), false) AS home, coalesce(bool_or(known AND NOT home), false) AS abroad FROM d GROUP BY ALL")
+def record_affiliations(spark, folder):
+    """Records of up to three authors of a nation: any at home, any known to be abroad."""
+    texts, codes = _affiliations()
+    authors = table(spark, folder, "customer").select("c_nationkey", F.floor(F.col("c_custkey") / 3).alias("record"), F.struct(F.col("c_name").alias("name"), texts.alias("affiliations"), codes.alias("country_codes")).alias("a"))
+    records = authors.groupBy("c_nationkey", "record").agg(F.collect_list("a").alias("authors"))  # three at most
+    return records.select("c_nationkey", "record", T.any_author_home(F.col("authors")).alias("home"), T.any_author_foreign(F.col("authors")).alias("abroad"))
+
+
 @query(
     """WITH g AS (SELECT day(ts) AS generation, max(value) AS best, avg(value) AS mean FROM events GROUP BY day(ts))
 SELECT generation, best, round(mean, 6) AS mean, max(best) OVER (ORDER BY generation) AS best_so_far FROM g"""

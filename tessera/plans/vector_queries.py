@@ -159,6 +159,29 @@ def class_tfidf_topics(spark, folder):
     return topics_of(spark, folder).withColumn("weight", F.round("weight", 6))
 
 
+@query(
+    f"""WITH {TOK}, g AS (SELECT source AS topic, unnest(list_concat(tokens, list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))) AS term FROM tok),
+ct AS (SELECT topic, term, count(*) AS tf FROM g GROUP BY ALL), f AS (SELECT term, sum(tf) AS f FROM ct GROUP BY term HAVING count(*) >= 2), k AS (SELECT ct.*, f FROM ct JOIN f USING (term)),
+m AS (SELECT sum(tf)::DOUBLE / count(DISTINCT topic) AS mean FROM k), w AS (SELECT topic, term, tf * ln(1 + mean / f) AS weight FROM k, m)
+SELECT topic, term, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 9) DESC, term) AS rank FROM w) WHERE rank <= 10"""
+)
+def class_phrase_topics(spark, folder):
+    """Words and pairs of words of each source by class-based TF-IDF, of those that two sources have."""
+    out = V.class_tfidf(documents(spark, folder).withColumnRenamed("source", "topic"), "topic", longest=2, least=2)
+    return out.withColumn("weight", F.round("weight", 6))
+
+
+@query(
+    f"""WITH {_DICT} SELECT 'all' AS among, row_number() OVER (ORDER BY df DESC, term) AS rank, term, df, cf FROM df QUALIFY rank <= 25
+UNION ALL SELECT 'dictionary', row_number() OVER (ORDER BY df DESC, term) AS rank, term, df, cf FROM dict QUALIFY rank <= 25"""
+)
+def commonest_terms(spark, folder):
+    """The 25 terms in most documents: of all, and of those in the dictionary."""
+    df = cut(V.document_frequency(documents(spark, folder)))
+    vocab = V.dictionary(df, table(spark, folder, "documents").count())
+    return V.commonest(df).withColumn("among", F.lit("all")).unionByName(V.commonest(df, vocabulary=vocab).withColumn("among", F.lit("dictionary")))
+
+
 @query(f"WITH {_TOPICS} SELECT round(count(DISTINCT term)::DOUBLE / count(*), 6) AS diversity FROM topics")
 def topic_diversity(spark, folder):
     """Distinct over all topic words."""
