@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
@@ -48,14 +49,57 @@ _LOOKALIKES = {
 }
 _SUBSTITUTES = dict(zip("0134578@$!", "oieastbasi", strict=True))
 _INVISIBLE = "­​‌‍⁠﻿"
-_TABLE = {ord(k): v for k, v in (_LOOKALIKES | _SUBSTITUTES).items()}
+_TABLE = {ord(k): v for k, v in _LOOKALIKES.items()}
 _TABLE |= {ord(c): None for c in _INVISIBLE}
 _TABLE |= {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) not in "@$!"}
+_DIGITS = str.maketrans(_SUBSTITUTES)
+_RUN = re.compile(r"[0-9@$!]+")
+
+
+class _Bases(dict):
+    """Code point to that of the letter without accents and styles, itself where that is no single letter."""
+
+    def __missing__(self, code: int) -> int:
+        letters = [c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)]
+        out = self[code] = ord(letters[0].lower()) if len(letters) == 1 and len(letters[0].lower()) == 1 else code
+        return out
+
+
+_BASES = _Bases({0x131: ord("i")})
+
+
+def _plain(text: str) -> str:
+    """Lower case, look-alikes as plain letters, other marks as blanks; digits and @ $ ! as they are."""
+    return f" {unicodedata.normalize('NFC', text).lower().translate(_TABLE)} "
+
+
+def _resolved(text: str) -> tuple[str, set[tuple[int, int]]]:
+    """A plain text with digits and marks read as letters, but ``!`` only between letters, and the spans of words that begin or end with some."""
+    edges: set[tuple[int, int]] = set()
+
+    def read(m: re.Match) -> str:
+        a, b = m.span()
+        before, after = text[a - 1].isalpha(), text[b].isalpha()  # blanks stand at both ends
+        if before and after:
+            return m[0].translate(_DIGITS)
+        if before or after:
+            edges.add((text.rfind(" ", 0, a) + 1, text.find(" ", b)))
+        return m[0].replace("!", " ").translate(_DIGITS)
+
+    return _RUN.sub(read, text), edges
 
 
 def folded(text: str) -> str:
     """Folded text between blanks."""
-    return f" {text.lower().translate(_TABLE)} "
+    return _resolved(_plain(text))[0]
+
+
+def _readings(word: str) -> set[str]:
+    """A word with digits or marks at its edges, without them at one end or both, and with all as letters."""
+    first = _RUN.match(word)
+    last = word.rstrip("0123456789@$!")
+    begin = first.end() if first else 0
+    return {x.translate(_DIGITS) for x in (word, last, word[begin:], last[begin:])}
 
 
 @dataclass(frozen=True)
@@ -79,20 +123,38 @@ class Lexicon:
             out.make_automaton()
         return out
 
-    def weight(self, text: str, automaton) -> tuple[float, int, int]:
-        """Summed weight, hits and words of a text."""
-        body = folded(text)
-        words = len(body.split())
-        if not len(automaton):
-            return 0.0, 0, words
+    @staticmethod
+    def _best(body: str, automaton, words_only: bool = False) -> dict[int, float]:
+        """Weight of the heaviest match (of a whole word, if asked for) at each place of a folded text, those inside exceptions left out."""
         found = [(end - size + 1, end, weight) for end, (size, weight) in automaton.iter(body)]
-        if not found:
-            return 0.0, 0, words
         cover = [(a, b) for a, b, weight in found if not weight]
         best: dict[int, float] = {}
         for a, b, weight in found:
-            if weight and not any(x <= a and b <= y + 1 for x, y in cover):
+            if weight and (not words_only or body[b] == " ") and not any(x <= a and b <= y + 1 for x, y in cover):
                 best[a] = max(best.get(a, 0.0), weight)
+        return best
+
+    def weight(self, text: str, automaton) -> tuple[float, int, int]:
+        """Summed weight, hits and words of a text."""
+        plain = _plain(text)
+        body, edges = _resolved(plain)
+        words = len(body.split())
+        if not len(automaton):
+            return 0.0, 0, words
+        best = self._best(body, automaton)
+        for a, b in edges:  # "idiot5" and "@idiot" as well as "$cum" and "1diot"; a word counts once
+            at = b - len(body[a:b].lstrip()) - 1
+            if at in best:
+                continue
+            before, after = body[max(0, a - 200) : a].split()[-1:], body[b : b + 200].split()[:1]
+            place = len(" ".join(before)) + bool(before)
+            read = (self._best(f" {' '.join([*before, r, *after])} ", automaton).get(place, 0.0) for r in _readings(plain[a:b]))
+            if other := max(read, default=0.0):
+                best[at] = other
+        if not body.isascii():  # accents tell words of other languages apart, so only whole words of the list are looked for without them
+            bare = body.translate(_BASES)
+            for place, weight in self._best(bare, automaton, words_only=True).items():
+                best.setdefault(place, weight)
         return sum(best.values()), len(best), words
 
     def score(self, weight: float, words: int) -> float:

@@ -88,7 +88,7 @@ def test_words_do_not_cross_texts():
 def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon((("lowei", 5.0),), (("idiot", 3.0), ("stupid", 3.0)), ("stupid question",))
     a = lexicon.automaton()
-    assert lexicon.weight("You 1d1оt!", a)[1] == 0 and lexicon.weight("You 1d1оt, you", a)[1] == 1  # Cyrillic o
+    assert lexicon.weight("You 1d1оt!", a)[1] == 1 and lexicon.weight("You 1d1оt, you", a)[1] == 1  # Cyrillic o
     assert lexicon.weight("ｉｄｉｏｔ", a)[1] == 1 and lexicon.weight("id​iot", a)[1] == 1
     assert lexicon.weight("A stupid question", a)[1] == 0 and lexicon.weight("stupid stupid question", a)[1] == 1
     assert lexicon.weight("xlowei loweiabc", a)[0] == 5.0 and lexicon.weight("idiotic", a)[1] == 0
@@ -99,6 +99,17 @@ def test_folding_and_exceptions():
     assert curve.score(3.0, 10) > curve.score(3.0, 1000) > curve.score(0.0, 10)
 
 
+def test_marks_and_digits_at_the_edge_of_a_word():
+    lexicon = toxicity.Lexicon((), (("idiot", 3.0), ("stupid", 3.0), ("scum", 3.0)), ("stupid question", "pond scum"))
+    a = lexicon.automaton()
+    for text in ("you idiot", "you idiot!", "what an idiot!!!", "@idiot", "stupid$ thing", "idiot5", "1diot", "$cum", "you $cum!", "1d1ot!!", "idi0t", "ídiot", "ıdiot", "𝐢𝐝𝐢𝐨𝐭", "ＩＤＩＯＴ!", "!idiot!"):
+        assert lexicon.weight(text, a)[:2] == (3.0, 1), text
+    for text in ("stupid question!", "a $tupid question", "!stupid question?", "idiotic!", "2024", "!!!", "$100", "b2b", "pond $cum", ""):
+        assert lexicon.weight(text, a)[:2] == (0.0, 0), text
+    assert lexicon.weight("idiot! idiot, 1diot scum", a)[:2] == (12.0, 4)
+    assert lexicon.weight("!!! 2024 two words", a)[2] == 3
+
+
 def test_matches_equal_a_plain_scan():
     rng = random.Random(5)
     stems = [("ab", 1.0), ("ba", 2.0), ("abc", 4.0)]
