@@ -71,3 +71,13 @@ def test_a_failed_batch_leaves_no_trace(spark, tmp_path, monkeypatch):
     assert shown(state.merged()) == shown(M.merge_exact(spark.createDataFrame(first + second, SCHEMA)))
     with pytest.raises(ValueError):
         state.add(spark.createDataFrame(second, SCHEMA), 1)
+
+
+def test_a_resumed_merge_takes_the_export_first(spark):
+    """The previous export is batch 0, whatever it was before; batches may lack columns."""
+    previous = spark.createDataFrame([("p", 7, 0, "10/1", "t", "a", None, "10/1", "u", "s", [])], SCHEMA)
+    new = spark.createDataFrame([("n", 0, "10/1", "x", "v")], "record_id string, ordinal int, doi_key string, title_key string, venue string")
+    both = M.resume(previous, new.withColumn("source", new.title_key), new.limit(0).withColumn("source", new.title_key))
+    assert sorted((r.record_id, r.batch) for r in both.collect()) == [("n", 1), ("p", 0)]
+    (row,) = M.merge_exact(both).collect()
+    assert (row.record_id, row.abstract, row.venue, row.sources) == ("p", "a", "v", ["s", "x"])
