@@ -20,6 +20,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -109,6 +110,11 @@ class Lexicon:
     exceptions: tuple[str, ...] = EXCEPTIONS
     curve: tuple[float, float, float] = (-4.0, 1.5, 1.0)
 
+    @cached_property
+    def listed(self) -> frozenset[str]:
+        """The words that the entries of the list are made of."""
+        return frozenset(part for w, _ in self.words for part in w.split())
+
     def automaton(self):
         import ahocorasick
 
@@ -138,7 +144,8 @@ class Lexicon:
         """Summed weight, hits and words of a text."""
         plain = _plain(text)
         body, edges = _resolved(plain)
-        words = len(body.split())
+        split = body.split()
+        words = len(split)
         if not len(automaton):
             return 0.0, 0, words
         best = self._best(body, automaton)
@@ -151,9 +158,9 @@ class Lexicon:
             read = (self._best(f" {' '.join([*before, r, *after])} ", automaton).get(place, 0.0) for r in _readings(plain[a:b]))
             if other := max(read, default=0.0):
                 best[at] = other
-        if not body.isascii():  # accents tell words of other languages apart, so only whole words of the list are looked for without them
-            bare = body.translate(_BASES)
-            for place, weight in self._best(bare, automaton, words_only=True).items():
+        # accents tell words of other languages apart, so only whole words of the list are looked for without them
+        if not body.isascii() and not self.listed.isdisjoint(w.translate(_BASES) for w in set(split) if not w.isascii()):
+            for place, weight in self._best(body.translate(_BASES), automaton, words_only=True).items():
                 best.setdefault(place, weight)
         return sum(best.values()), len(best), words
 
