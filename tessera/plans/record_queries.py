@@ -184,7 +184,11 @@ SELECT user_id, round(p, 6) AS p, round(max(s) OVER (ORDER BY p, user_id ROWS UN
 )
 def holm_adjust(spark, folder):
     """Holm's adjustment of a family of p-values."""
-    p = table(spark, folder, "events").groupBy("user_id").agg(((1 + F.floor(F.avg("value") * 1000) % 997) / F.lit(20000.0)).alias("p"))
+    # a mean right at a thousandth hangs on the order of the sum: it runs over a user's events in their order, whatever the partitions
+    upto = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = table(spark, folder, "events").select("user_id", "event_id", "value").withColumns({"n": F.count("value").over(upto), "total": F.sum("value").over(upto), "at": F.row_number().over(upto)})
+    means = summed.groupBy("user_id").agg(F.max_by(F.col("total") / F.nullif(F.col("n"), F.lit(0)), "at").alias("mean"))
+    p = means.select("user_id", ((1 + F.floor(F.col("mean") * 1000) % 997) / F.lit(20000.0)).alias("p"))
     return S.holm(p, ["user_id"]).select("user_id", F.round("p", 6).alias("p"), F.round("p_holm", 6).alias("p_holm"))
 
 
