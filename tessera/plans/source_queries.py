@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import harvest as H
 from ..streaming.windows import tumbling
-from ..session import table
+from ..session import spread, table
 from ._base import query
 
 
@@ -17,10 +17,8 @@ from ._base import query
 def abstract_reconstruction(spark, folder):
     """Texts rebuilt from their {word: positions} index."""
     words = F.filter(F.split(F.regexp_replace("text", r"[ \t\n\r\x0B\x0C]+", " "), " "), lambda w: w != "")
-    spread = table(spark, folder, "documents").select("doc_id", F.posexplode_outer(words).alias("p", "w"))
-    index = spread.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id")
-    index = index.agg(F.map_from_entries(F.filter(F.collect_list(F.struct("w", "ps")), lambda e: e["w"].isNotNull())).alias("index"))
-    return index.select("doc_id", H.abstract_from_positions(F.col("index")).alias("abstract"))
+    index = spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "text", H.positions(words).alias("index"))
+    return index.select("doc_id", F.when(F.col("text").isNotNull(), H.abstract_from_positions(F.col("index"))).alias("abstract"))
 
 
 @query(

@@ -7,9 +7,11 @@ import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType
 
 from ..functions import fixed
 from ..functions import text as T
@@ -18,6 +20,21 @@ from ..session import cut
 _STRINGS = "array<string>"
 
 
+@F.pandas_udf(MapType(StringType(), ArrayType(IntegerType())))
+def positions(words: pd.Series) -> pd.Series:
+    """The {word: [positions]} map of each row's words, what a service sends for a text; null for null. A row at a time, so nothing is shuffled."""
+
+    def index(row):
+        if row is None:
+            return None
+        out: dict[str, list[int]] = {}
+        for k, word in enumerate(row):
+            out.setdefault(word, []).append(k)
+        return out
+
+    return words.map(index)
+
+
 def abstract_from_positions(index: Column) -> Column:
     """Text of a {word: [positions]} map: words in order of position, gaps skipped; of words at one position the last stays."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e, k: F.transform(e["value"], lambda p: F.struct(p.alias("p"), k.alias("k"), e["key"].alias("w")))))
