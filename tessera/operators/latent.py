@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +20,31 @@ from .topic_stack import SLICE
 
 def weighted_bags(docs: DataFrame, weights: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, terms, weights) of docs (doc_id), from weights (doc_id, term, weight) of the dictionary's terms; null for a document without any."""
-    rows = weights.join(vocab.select("term", "term_id"), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("b"))
+    rows = weights.join(F.broadcast(vocab.select("term", "term_id")), "term").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("b"))
     rows = rows.select("doc_id", F.col("b.term_id").cast("array<int>").alias("terms"), F.col("b.weight").alias("weights"))
     return docs.select("doc_id").join(rows, "doc_id", "left")
 
 
+#: Entries of documents that are multiplied together, so that memory does not follow the size of a batch.
+ENTRIES = 32_768
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows with at most ENTRIES entries, or a single row with more."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(batch.schema.get_field_index("terms"))), 0).to_numpy().astype(np.int64))
+        row = 0
+        while row < len(ends):
+            done = ends[row - 1] if row else 0
+            last = max(row + 1, int(np.searchsorted(ends, done + ENTRIES, side="right")))
+            yield batch.slice(row, last - row)
+            row = last
+
+
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, weight) of every entry of a batch."""
     terms, weights = (batch.column(batch.schema.get_field_index(c)) for c in ("terms", "weights"))
-    sizes = np.array([len(t) if t.is_valid else 0 for t in terms], dtype=np.int64)
+    sizes = pc.fill_null(pc.list_value_length(terms), 0).to_numpy().astype(np.int64)
     return np.repeat(np.arange(len(sizes)), sizes), terms.flatten().to_numpy(), weights.flatten().to_numpy()
 
 
@@ -42,7 +59,11 @@ def _summed(keys: np.ndarray, rows: np.ndarray, out: np.ndarray) -> np.ndarray:
 
 def _projected(batch: pa.RecordBatch, basis: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     doc, term, weight = entries = _flat(batch)
-    return _summed(doc, weight[:, None] * basis[term], np.zeros((batch.num_rows, basis.shape[1]))), entries
+    out = np.zeros((batch.num_rows, basis.shape[1]))
+    starts = np.flatnonzero(np.diff(doc, prepend=-1))  # entries are in the order of documents
+    if len(starts):
+        out[doc[starts]] = np.add.reduceat(weight[:, None] * basis[term], starts, axis=0)
+    return out, entries
 
 
 def _total(rows: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
@@ -74,7 +95,7 @@ def latent(rows: DataFrame, terms: int, k: int = 16, more: int = 10, refine: int
 
         def back(batches, shared=shared):
             out = np.zeros((terms, width))
-            for batch in batches:
+            for batch in _pieces(batches):
                 y, (doc, term, weight) = _projected(batch, shared.value)
                 _summed(term, weight[:, None] * y[doc], out)
             return out
@@ -84,7 +105,7 @@ def latent(rows: DataFrame, terms: int, k: int = 16, more: int = 10, refine: int
 
     def gram(batches):
         out = np.zeros((width, width))
-        for batch in batches:
+        for batch in _pieces(batches):
             y, _ = _projected(batch, shared.value)
             out += y.T @ y
         return out
@@ -96,7 +117,7 @@ def latent(rows: DataFrame, terms: int, k: int = 16, more: int = 10, refine: int
     final = context.broadcast(directions)
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches):
             y, _ = _projected(batch, final.value)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32)), pa.array(y.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "embedding"])
