@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are expanded into 64-bit arrays at a time; a longer row stands alone.
 CHUNK_BYTES = 1 << 18
+#: Rows whose results are held as one batch.
+ROWS = 1024
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -115,6 +117,13 @@ def ngram_hash(word_hash: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what is made of a batch stays small."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def text_column(batch: pa.RecordBatch, name: str) -> pa.Array:
     """The column as string, null as empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import spread
+from .runtime import kept_in_worker
 
 #: Widths of the padded matrices, in bytes.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512)
@@ -204,14 +205,9 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_LOADED: dict[tuple[str, str], ByteBPE] = {}
-
-
 def loaded(path: str, pattern: str) -> ByteBPE:
     """One encoder per worker process."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = ByteBPE(path, pattern)
-    return _LOADED[path, pattern]
+    return kept_in_worker((path, pattern), lambda: ByteBPE(path, pattern))
 
 
 #: Characters whose pieces are split and looked up together.

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from ..session import spread
 from . import arrow_text as at
 from .components import components
-from .runtime import new_path, release, remove, stored
+from .runtime import new_path, release, remove, stored, take_over
 
 #: Least n-grams of a part that is a key (and for sketches of at most FEW parts), and the most that a linked pair may be missed.
 LEAST, LEAST_OF_FEW, FEW, MISS = 3, 2, 8, 1e-12
@@ -134,9 +134,10 @@ _SKETCHED = "doc_id long, n int, s1 long, s2 long, keys array<long>, sketch bina
 
 def _sketcher(p: ParityJoin):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over()
         bounds = p.bounds()
         known: dict[int, tuple[int, int, int, int]] = {}
-        for batch in batches:
+        for batch in at.slices(batches):
             n, s1, s2, keys, folded = [], [], [], [], []
             for s in shingle_sets(at.text_column(batch, "text"), p.words):
                 n.append(len(s))
@@ -172,7 +173,8 @@ def _sketcher(p: ParityJoin):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        take_over()
+        for batch in at.slices(batches):
             sets = list(shingle_sets(at.text_column(batch, "text"), words))
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
@@ -203,7 +205,7 @@ def _pair_filter(percent: int):
     """Keeps pairs whose sketches allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in at.slices(batches):
             c = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
             most = _allowed(c["na"].to_numpy().astype(np.int64), c["nb"].to_numpy().astype(np.int64), percent)
             keep = np.zeros(len(batch), dtype=bool)
@@ -247,7 +249,7 @@ def _block_pairs(percent: int):
             found.clear()
             return batch
 
-        for batch in batches:
+        for batch in at.slices(batches):
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             cols = {f: batch.column(batch.schema.get_field_index(f)).to_pylist() for f in names}
             for k, key in enumerate(keys):

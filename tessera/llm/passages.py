@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import spread
 from . import arrow_text as at
 from . import labelled
-from .runtime import stored
+from .runtime import stored, take_over
 
 #: At most so many labelled rows, and passages of them, are learned from; a bag for learning has at most so many passages.
 TRAIN_ROWS, TRAIN_PASSAGES, BAG_PASSAGES = 6_000, 60_000, 2_048
@@ -283,6 +283,7 @@ def keep_good(docs: DataFrame, model: AttentionModel) -> DataFrame:
         return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over()
         for batch in batches:
             yield batch.filter(pa.array(scores(at.text_column(batch, "text"), model) >= THRESHOLD))
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 
 from ..session import spread
 from . import arrow_text as at
+from .runtime import take_over
 
 #: n-gram length in words -> the most hundredths of a text's word characters that may lie in repeated n-grams.
 GRAM_LIMITS = {5: 45, 8: 35, 10: 32}
@@ -127,6 +128,7 @@ def keep_passing(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over()
         for batch in batches:
             yield batch.filter(pa.array(measure(at.text_column(batch, "text"))["kept"]))
 

@@ -7,6 +7,8 @@ import gc
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,22 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: What the operator whose tasks run in this worker process keeps between them.
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept_in_worker(key: tuple, make: Callable[[], Any]) -> Any:
+    """An object that is made once and kept for the next tasks of a worker process, until those of another operator take it over."""
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def take_over() -> None:
+    """Frees what other operators kept: Spark reuses worker processes, so that their tables would count with those of this one."""
+    _KEPT.clear()
+
+
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint only when the counted rows are within the bound; otherwise a shuffled join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

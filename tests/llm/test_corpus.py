@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import byte_bpe, merkle, mixing, parity_join, style_tree, warc
+from tessera.llm import arrow_text, byte_bpe, merkle, mixing, parity_join, runtime, style_tree, warc
 from tessera.llm.components import components
 
 from .test_filters import HARD, WORD, table
@@ -592,3 +592,19 @@ def test_pipeline(spark, folder):
     words = lambda df: sum(len(WORD.findall(r["text"])) for r in df.collect())
     assert words(steps[4]) == pytest.approx(1.5 * words(steps[3]), rel=0.01)
     assert steps[5].count() == steps[4].count() and corpus_pipeline.run(spark, folder).count() == steps[5].count()
+
+
+def test_join_tasks_free_what_the_encoder_kept_and_hold_few_rows_at_once():
+    """Worker processes are reused: the join's memory came on top of the encoder's tables, and its results of 10,000 rows were one batch."""
+    made = runtime.kept_in_worker(("encoder",), object)
+    assert runtime.kept_in_worker(("encoder",), object) is made
+    n = 2 * arrow_text.ROWS + 1
+    texts = [None, "", *(f"a b c d e f{k}" for k in range(n - 2))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    for run in (parity_join._sketcher(parity_join.ParityJoin()), parity_join._sets(5)):
+        made = runtime.kept_in_worker(("encoder",), object)
+        out = list(run(iter([batch])))
+        assert runtime.kept_in_worker(("encoder",), object) is not made
+        assert [len(b) for b in out] == [arrow_text.ROWS, arrow_text.ROWS, 1]
+        assert pa.Table.from_batches(out).column(0).to_pylist() == list(range(n))
+        runtime.take_over()
