@@ -1,13 +1,14 @@
 """Mamdani inference: membership and rule tables compiled to columns, grid defuzzifiers, audits.
 
-Memberships, rule firing and the collapse of rules to one level per output set
-are plain column expressions. The output curve is max over sets of
+Memberships and rule firing are plain column expressions; rules collapse to one
+level per output set in Arrow batches. The output curve is max over sets of
 min(level, membership) at 501 grid points; a defuzzified value is a ratio of
 weighted sums of that curve, taken in Arrow batches with bounded temporaries.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Mapping, Sequence
@@ -125,14 +126,29 @@ class Controller:
         return out
 
     def levels(self, df: DataFrame) -> DataFrame:
-        """Adds alpha_<output>_<set>: rules with one consequent collapse to their greatest firing."""
-        fired = self.firing()
-        new = {}
+        """Adds alpha_<output>_<set>: rules with one consequent collapse to their greatest firing.
+
+        Taken in Arrow batches: as column expressions all rules make one method of
+        more than 8,000 bytes, which the JVM interprets row by row and never compiles.
+        """
+        mu = list(dict.fromkeys(f"mu_{n}_{s}" for r in self.rules for n, s in r.antecedents.items()))
+        new: dict[str, list[tuple[list[int], float]]] = {}
         for o in self.outputs:
             for s in self.variables[o].sets:
-                own = [fired[k] for k, r in enumerate(self.rules) if (r.output, r.set) == (o, s)]
-                new[f"alpha_{o}_{s}"] = F.lit(0.0) if not own else F.greatest(*own) if len(own) > 1 else own[0]
-        return df.withColumns(new)
+                own = [r for r in self.rules if (r.output, r.set) == (o, s)]
+                new[f"alpha_{o}_{s}"] = [([mu.index(f"mu_{n}_{x}") for n, x in r.antecedents.items()], r.weight) for r in own]
+
+        @F.pandas_udf(", ".join(f"`{name}` double" for name in new))
+        def collapsed(*columns: pd.Series) -> pd.DataFrame:
+            values = [c.to_numpy(dtype=float) for c in columns]
+            out = {}
+            for name, own in new.items():
+                fired = [functools.reduce(np.fmin, [values[k] for k in at]) * weight for at, weight in own]
+                out[name] = functools.reduce(np.fmax, fired) if fired else np.zeros(len(values[0]))
+            return pd.DataFrame(out)
+
+        fired = df.withColumn("__levels", collapsed(*mu))
+        return fired.withColumns({name: F.col("__levels")[name] for name in new}).drop("__levels")
 
     def infer(self, df: DataFrame, method: str = "centroid") -> DataFrame:
         """Adds a column per output; NaN where no rule fires. Null inputs give null levels and NaN."""
