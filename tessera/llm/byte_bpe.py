@@ -16,16 +16,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import spread
-from .runtime import kept_in_worker
+from .runtime import kept_in_worker, take_over
 
 #: Widths of the padded matrices, in bytes.
 WIDTHS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512)
@@ -46,16 +46,17 @@ class PairTable:
     """(left id, right id) -> rank of the joined token, in an open-addressed hash table."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        pairs = []
+        pairs, joined = array("Q"), array("i")
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 left = ranks.get(token[:k])
                 if left is not None:
                     right = ranks.get(token[k:])
                     if right is not None:
-                        pairs.append((left << 32 | right, rank))
-        keys = np.array([p[0] for p in pairs], dtype=np.uint64)
-        values = np.array([p[1] for p in pairs], dtype=np.int32)
+                        pairs.append(left << 32 | right)
+                        joined.append(rank)
+        keys = np.array(pairs, dtype=np.uint64)
+        values = np.array(joined, dtype=np.int32)
         self.log = max(4, int(np.ceil(np.log2(4 * max(1, len(pairs))))))
         size = 1 << self.log
         self.keys = np.full(size, np.uint64(2**64 - 1))
@@ -103,8 +104,8 @@ class ByteBPE:
         self.single = np.full(256, -1, dtype=np.int32)
         for b in range(256):
             self.single[b] = self.ranks[bytes([b])]
-        # of each known piece: the number of its ids, their decimals, and the bytes that they decode to
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        # the decimals of each known piece's ids, joined by commas
+        self.known: dict[str, str] = {}
 
     def _heap(self, piece: bytes) -> tuple[int, ...]:
         """The same merge order for one long piece."""
@@ -194,12 +195,12 @@ class ByteBPE:
                     self._keep(piece, ids)
 
     def _keep(self, piece: str, ids: tuple[int, ...]) -> None:
-        self.known[piece] = len(ids), ",".join(map(str, ids)), self.decode(ids)
+        self.known[piece] = ",".join(map(str, ids))
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split(text)
         self.learn(pieces)
-        return [int(x) for piece in pieces for x in self.known[piece][1].split(",")]
+        return [int(x) for piece in pieces for x in self.known[piece].split(",")]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -218,7 +219,9 @@ def _digests(path: str | None, pattern: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        bpe = loaded(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+        key = path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+        take_over(key)
+        bpe = loaded(*key)
         for batch in batches:
             counts, ids_sha, back_sha = [], [], []
             held: list[list[str]] = []
@@ -226,12 +229,12 @@ def _digests(path: str | None, pattern: str | None):
 
             def flush() -> None:
                 bpe.learn(chain.from_iterable(held))
-                # ids decode one by one, so the bytes of a text are those of its pieces' ids in order
                 for pieces in held:
-                    found = list(map(bpe.known.__getitem__, pieces))
-                    counts.append(sum(map(itemgetter(0), found)))
-                    ids_sha.append(hashlib.sha256(",".join(map(itemgetter(1), found)).encode()).hexdigest())
-                    back_sha.append(hashlib.sha256(b"".join(map(itemgetter(2), found))).hexdigest())
+                    joined = ",".join(map(bpe.known.__getitem__, pieces))
+                    ids = joined.split(",") if joined else []
+                    counts.append(len(ids))
+                    ids_sha.append(hashlib.sha256(joined.encode()).hexdigest())
+                    back_sha.append(hashlib.sha256(bpe.decode(map(int, ids))).hexdigest())
                 held.clear()
 
             for value in batch.column(1):

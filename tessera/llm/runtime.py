@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
 import tempfile
@@ -10,6 +11,7 @@ import uuid
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,9 +83,13 @@ def kept_in_worker(key: tuple, make: Callable[[], Any]) -> Any:
     return _KEPT[key]
 
 
-def take_over() -> None:
-    """Frees what other operators kept: Spark reuses worker processes, so that their tables would count with those of this one."""
-    _KEPT.clear()
+def take_over(key: tuple | None = None) -> None:
+    """Frees what other operators kept, all but ``key``, and gives memory that is free already back to the system: Spark reuses worker processes, so that theirs would count with that of this one."""
+    for other in [k for k in _KEPT if k != key]:
+        del _KEPT[other]
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:

@@ -608,3 +608,20 @@ def test_join_tasks_free_what_the_encoder_kept_and_hold_few_rows_at_once():
         assert [len(b) for b in out] == [arrow_text.ROWS, arrow_text.ROWS, 1]
         assert pa.Table.from_batches(out).column(0).to_pylist() == list(range(n))
         runtime.take_over()
+
+
+def test_encoder_remembers_one_string_a_piece_and_goes_when_another_takes_over(bpe):
+    """A worker's table of 200,000 pieces had a tuple, a string and bytes for each."""
+    import public_tokenizers
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3], pa.int64()), pa.array(["Ünïcode wörds, again wörds", "", None])], names=["doc_id", "text"])
+    out = pa.Table.from_batches(byte_bpe._digests(None, None)(iter([batch]))).to_pylist()
+    own = byte_bpe.loaded(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert own.known and all(type(x) is str for x in own.known.values())
+    ids = own.encode("Ünïcode wörds, again wörds")
+    assert [r["n_tokens"] for r in out] == [len(ids), 0, 0]
+    assert out[0]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert out[0]["decoded_sha256"] == hashlib.sha256("Ünïcode wörds, again wörds".encode()).hexdigest()
+    assert out[1]["decoded_sha256"] == out[2]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
+    runtime.take_over()
+    assert byte_bpe.loaded(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN) is not own
