@@ -11,26 +11,35 @@ A host says little about a node that few of its pages have, so importance is a
 weighted mean of the host's own (weight: pages beyond the first, at most EVIDENCE),
 that of the same path with the pages of all hosts pooled (the same weight) and 1
 (weight 1: what nothing is known of is important). A node below LEAST is cut from
-every page of the host. LEAST is higher for nodes that name themselves boilerplate
-or lie outside the element that names itself the article: adverts and menus often
-rotate among some dozens of texts, which is far from the same everywhere but also far
-from different on each page.
-
-Names decide only what entropy cannot see:
+every page of the host.
+
+Branches that name themselves boilerplate by a class or id, or lie outside the element
+that names itself the article, are presumed to go, and the tree decides whether they
+do. Adverts rotate among dozens of texts in one shape, so two things have to vary: the
+branch's shape (the sequence of its blocks) and its text outside links. The worth of
+each is the share of pairs of the host's pages that differ (weight: pages beyond the
+first, at most 2 * EVIDENCE), that within all hosts (weight: what is left of 2 * EVIDENCE,
+if there are as many pages) and 0 (weight 1: what nothing is known of goes). A branch
+whose mean worth is below LEAST_CLOSED is cut whole; a story beside a teaser that calls
+itself the article, or in an element of a misleading name, stays. A block is part of the
+highest such branch around it and of the nearest one that names itself, and goes with either.
+
+Names alone decide only what variety cannot tell from an article:
 * markup and controls are never text (_DROPPED);
-* text that varies between pages though its element names itself a menu, an advert,
-  reader comments and the like (_TAGS, _ROLES, _NOISE), or lies outside the declared
-  article (else main element) of its page, is cut as ``name``;
-* a declared article is no branch of the site's tree, so it stays whole on any host,
-  whatever its pages share; inside it only elements that name themselves boilerplate go.
+* what HTML's own elements and roles declare to be a menu, sidebar, header or footer
+  (_TAGS, _ROLES), and reader comments (_COMMENTS), go;
+* a declared article (else main element) is no branch of the site's tree, so it stays whole
+  on any host, whatever its pages share; inside it only elements that name themselves boilerplate go.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as html_lib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,7 +50,7 @@ from .runtime import BROADCAST_BYTES, stored
 
 #: The share of presentations in importance, and the most weight of own and of pooled evidence.
 PRESENTATION, EVIDENCE = 0.1, 8
-#: Least importance of a node that stays: of an open one, and of one whose element names itself boilerplate or lies outside the article.
+#: Least importance of a node that stays, and of a branch that names itself boilerplate or lies outside the article.
 LEAST, LEAST_CLOSED = 0.35, 0.85
 #: Elements nested deeper are nodes of the element at this depth; their text stays.
 DEPTH = 512
@@ -54,7 +63,7 @@ _BLOCK = frozenset(
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _DROPPED = frozenset("head script style noscript template svg math iframe object canvas audio video select option button textarea input form title".split())
-#: Elements that name themselves boilerplate; a header does outside articles only.
+#: Elements that declare themselves boilerplate; a header does outside articles only.
 _TAGS = frozenset("nav aside menu footer dialog".split())
 _RAW = frozenset("script style textarea title noscript iframe template svg".split())
 #: Words of classes and ids, between hyphens, underscores, blanks and case changes, that name boilerplate.
@@ -65,6 +74,9 @@ _NOISE = frozenset(
 )
 #: Beginnings of such words, for names written as one word.
 _STEMS = ("advert", "breadcrumb", "cookie", "navbar", "newsletter", "sidebar", "sponsor")
+#: Words of classes and ids that name reader comments anywhere, and beginnings of such words beside a declared article.
+_COMMENTS = frozenset("comment comments discussion disqus replies reply respond".split())
+_RESPONSES = ("coment", "comment", "discussion", "disqus", "feedback", "guestbook", "komment", "reaction", "replies", "reply", "response", "review", "thread")
 _ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert".split())
 _CLOSES = {  # a start tag closes an open one of these, up to a container
     "p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
@@ -77,43 +89,60 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _named(name: str, attributes: str, in_article: bool) -> tuple[bool, str]:
-    """Whether an element names itself boilerplate, and its label in a path."""
+#: What an element says of itself: nothing, a name of boilerplate, a declaration that it is no part of an article.
+_SILENT, _NAMED, _DECLARED = 0, 1, 2
+
+
+def _named(name: str, attributes: str, in_article: bool) -> tuple[int, str]:
+    """What an element says of itself, and its label in a path."""
     found = {m[1].lower(): next(x for x in m.groups()[1:] if x is not None) for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
     label = name + "".join(f"{k}={re.sub(r'[0-9]+', '0', v)}" for k, v in sorted(found.items()))
     if name in _TAGS or name == "header" and not in_article or found.get("role", "").lower() in _ROLES:
-        return True, label
+        return _DECLARED, label
     if name in ("html", "body", "article", "main") and not in_article or not found:
-        return False, label
+        return _SILENT, label
     words = {w.lower() for k in ("class", "id") for w in _PARTS.findall(found.get(k, ""))}
+    if words & _COMMENTS:
+        return _DECLARED, label
     if not in_article and "header" in words:
-        return True, label
-    return bool(words & _NOISE) or any(w.startswith(_STEMS) for w in words), label
+        return _NAMED, label
+    return _NAMED if words & _NOISE or any(w.startswith(_STEMS) for w in words) else _SILENT, label
 
 
-#: Kinds of blocks: of a declared article, of the site's tree, and of the tree where their text goes even if it varies.
+#: Kinds of blocks: of a declared article, of the site's tree, and of the branches that are presumed to go.
 ARTICLE, OPEN, CLOSED = 0, 1, 2
 
 
-def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, list[str]]]:
-    """Blocks (path, text, kind) in page order, and the children's labels of each path outside articles.
+class Block(NamedTuple):
+    path: str
+    text: str
+    kind: int
+    #: Of a closed block: the text outside links, as it stands in the page, and the paths of its branches; none if names alone decide that it goes.
+    prose: str
+    branches: tuple[str, ...]
+
+
+def read(page: str) -> tuple[list[Block], dict[str, list[str]]]:
+    """Blocks in page order, and the children's labels of each path outside articles.
 
     Elements that nothing closes end with their container; markup that is cut off
     is dropped. A path is the labels of block elements, each after a ``>``.
     """
-    # (name, not text, names itself boilerplate, inside an article, inside main, path)
-    stack: list[tuple[str, bool, bool, bool, bool, str]] = [("", False, False, False, False, "")]
-    blocks: list[tuple[str, str, bool, bool, bool]] = []
+    # (name, not text, what it or an element around it says, inside an article, inside main, path, paths of the highest and the nearest named element, inside a link)
+    stack: list[tuple[str, bool, int, bool, bool, str, tuple[str, ...], bool]] = [("", False, _SILENT, False, False, "", (), False)]
+    blocks: list[tuple[str, str, int, bool, bool, tuple[str, ...], str]] = []
     children: dict[str, list[str]] = {}
     held: list[str] = []
+    prose: list[str] = []
 
     def flush() -> None:
         if held:
             text = " ".join(html_lib.unescape("".join(held)).split())
-            held.clear()
             if text:
-                _, _, named, article, main, path = stack[-1]
-                blocks.append((path, text, named, article, main))
+                _, _, said, article, main, path, named, _ = stack[-1]
+                blocks.append((path, text, said, article, main, named, "" if article else " ".join("".join(prose).split())))
+            held.clear()
+            prose.clear()
 
     at, size = 0, len(page)
     while at < size:
@@ -121,6 +150,8 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, list[str]]]:
         start = m.start() if m else size
         if start > at and not stack[-1][1]:
             held.append(page[at:start])
+            if not stack[-1][7]:
+                prose.append(page[at:start])
         if not m:
             break
         at = m.end()
@@ -139,6 +170,7 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, list[str]]]:
             continue
         if name == "br":
             held.append(" ")
+            prose.append(" ")
             continue
         if name in _BLOCK:
             flush()
@@ -151,26 +183,50 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, list[str]]]:
                     break
         if name in _VOID or (m[3] or "").endswith("/"):
             continue
-        _, dropped, named, article, main, path = stack[-1]
-        own, label = (named, name) if dropped else _named(name, m[3] or "", article)
+        _, dropped, said, article, main, path, named, link = stack[-1]
+        own, label = (said, name) if dropped else _named(name, m[3] or "", article)
         if name in _RAW:  # its content is not markup
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        dropped = dropped or name in _DROPPED or own and article  # an inline element may be boilerplate inside a block of an article
-        named = named or own
-        article = article or name == "article" and not named and not dropped
+        dropped = dropped or name in _DROPPED or bool(own) and article  # an inline element may be boilerplate inside a block of an article
+        said = max(said, own)
+        article = article or name == "article" and not said and not dropped
         if name in _BLOCK:
             if not article:
                 children.setdefault(path, []).append(label)
             if len(stack) <= DEPTH:
                 path = f"{path}>{label}"
-        stack.append((name, dropped, named, article, main or name == "main", path))
+        if own == _NAMED:
+            named = (*named[:1], path)
+        stack.append((name, dropped, said, article, main or name == "main", path, named, link or name == "a"))
     if not stack[-1][1]:
         flush()
     part = next((k for k in (3, 4) if any(b[k] for b in blocks)), None)  # the page declares an article, or else a main element
     kinds = [ARTICLE if b[3] else CLOSED if b[2] or part is not None and not b[part] else OPEN for b in blocks]
-    return [(b[0], b[1], k) for b, k in zip(blocks, kinds, strict=True)], children
+    kept: set[str] = set()
+    for path in {b[0] for b, k in zip(blocks, kinds, strict=True) if k != CLOSED}:
+        kept.update(above(path), (path,))
+    out = []
+    for (path, text, said, article, main, named, outside), kind in zip(blocks, kinds, strict=True):
+        if kind != CLOSED or said == _DECLARED:
+            out.append(Block(path, text, kind, "", ()))
+            continue
+        if part is not None and not (article, main)[part - 3]:
+            highest = next((p for p in above(path) if p not in kept), path)
+            if any(w.lower().startswith(_RESPONSES) for w in _PARTS.findall(path[highest.rfind(">") + 1 :])):
+                out.append(Block(path, text, kind, "", ()))
+                continue
+        else:
+            highest = named[0]
+        out.append(Block(path, text, kind, outside, tuple(dict.fromkeys((highest, *named[-1:])))))
+    return out, children
+
+
+def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, list[str]]]:
+    """Blocks as (path, text, kind), and the children's labels of each path outside articles."""
+    blocks, children = read(page)
+    return [(b.path, b.text, b.kind) for b in blocks], children
 
 
 def above(path: str) -> list[str]:
@@ -183,12 +239,12 @@ def _number(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_LEAF = pa.list_(pa.struct([("path", pa.int64()), ("content", pa.int64()), ("closed", pa.bool_()), ("above", pa.list_(pa.int64()))]))
+_LEAF = pa.list_(pa.struct([("path", pa.int64()), ("content", pa.int64()), ("shape", pa.int64()), ("above", pa.list_(pa.int64()))]))
 _STYLE = pa.list_(pa.struct([("path", pa.int64()), ("style", pa.int64())]))
-_TEXT = pa.list_(pa.struct([("path", pa.int64()), ("text", pa.string()), ("article", pa.bool_())]))
+_TEXT = pa.list_(pa.struct([("nodes", pa.list_(pa.int64())), ("text", pa.string())]))
 _PARSED = (
-    "page_id long, url string, host string, page long, leaves array<struct<path: bigint, content: bigint, closed: boolean, above: array<bigint>>>, "
-    "styles array<struct<path: bigint, style: bigint>>, blocks array<struct<path: bigint, text: string, article: boolean>>"
+    "page_id long, url string, host string, page long, leaves array<struct<path: bigint, content: bigint, shape: bigint, above: array<bigint>>>, "
+    "styles array<struct<path: bigint, style: bigint>>, blocks array<struct<nodes: array<bigint>, text: string>>"
 )
 
 
@@ -198,21 +254,30 @@ def _runs(labels: list[str]) -> str:
 
 
 def merged(page: str) -> tuple[int, list[dict], list[dict], list[dict]]:
-    """What a page adds to its site's tree: the page's number, leaves, presentations, and its blocks.
+    """What a page adds to its site's tree: the page's number, leaves and branches, presentations, and the blocks that the tree may keep.
 
-    Leaves that go even if they vary are another node than open ones of the same path.
+    Branches have a shape, leaves have none and another number than a branch of the same path.
     """
-    blocks, children = parse(page)
-    own: dict[tuple[str, bool], list[str]] = {}
+    blocks, children = read(page)
+    number = functools.cache(_number)
+    own: dict[str, list[str]] = {}
+    branches: dict[str, list[Block]] = {}
     rows = []
-    for path, text, kind in blocks:
-        if kind != ARTICLE:
-            own.setdefault((path, kind == CLOSED), []).append(text)
-        rows.append({"path": _number(f"{path}#{int(kind == CLOSED)}"), "text": text, "article": kind == ARTICLE})
-    around = {p for path, _ in own for p in above(path)}
-    leaves = [{"path": _number(f"{p}#{int(c)}"), "content": _number("\n".join(t)), "closed": c, "above": [_number(x) for x in above(p)]} for (p, c), t in own.items()]
-    styles = [{"path": _number(p), "style": _number(_runs(children.get(p, [])))} for p in sorted(around)]
-    return _number("\n".join(t for _, t, _ in blocks)), leaves, styles, rows
+    for b in blocks:
+        if b.kind == OPEN:
+            own.setdefault(b.path, []).append(b.text)
+            rows.append({"nodes": [number(f"{b.path}#0")], "text": b.text})
+        elif b.kind == ARTICLE or b.branches:
+            for p in b.branches:
+                branches.setdefault(p, []).append(b)
+            rows.append({"nodes": [number(f"{p}#1") for p in b.branches], "text": b.text})
+    around = {p for path in {b.path for b in blocks if b.kind != ARTICLE} for p in above(path)}
+    leaves = [{"path": number(f"{p}#0"), "content": _number("\n".join(t)), "shape": None, "above": [number(x) for x in above(p)]} for p, t in own.items()]
+    for p, parts in branches.items():
+        shape = "|".join(str(number(b.path)) for b in parts)
+        leaves.append({"path": number(f"{p}#1"), "content": _number("\n".join(b.prose for b in parts if b.prose)), "shape": _number(shape), "above": []})
+    styles = [{"path": number(p), "style": _number(_runs(children.get(p, [])))} for p in sorted(around)]
+    return _number("\n".join(b.text for b in blocks)), leaves, styles, rows
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,34 +295,53 @@ def _evenness(counts: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, "m", F.when(F.col("m") > 1, (F.log("m") - F.col("s") / F.col("m")) / F.log("m")).otherwise(1.0).alias("e"))
 
 
-def node_importance(parsed: DataFrame) -> DataFrame:
-    """(host, path, closed, m, importance) of the leaves of each site's tree, as the module states.
+def _counts(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, value, c): distinct pages of each value of each node."""
+    return df.select("page", *keys, "value").distinct().groupBy(*keys, "value").agg(F.count("*").alias("c"))
+
+
+def leaf_importance(parsed: DataFrame) -> DataFrame:
+    """(host, path, importance) of the leaves of each site's tree, as the module states.
 
     Counts have a row per host, node and distinct content; everything after them
     a row per host and node of its template, not per page.
     """
-    leaves = parsed.select("host", "page", F.explode("leaves").alias("n"))
-    count = lambda df: df.distinct().groupBy("host", "path", "value").agg(F.count("*").alias("c"))
-    contents = stored(count(leaves.select("host", "page", "n.path", F.col("n.content").alias("value"))), "site-contents")
+    leaves = parsed.select("host", "page", F.explode("leaves").alias("n")).where("n.shape IS NULL")
+    contents = stored(_counts(leaves.select("host", "page", "n.path", F.col("n.content").alias("value")), "host", "path"), "site-contents")
     styles = parsed.select("host", "page", F.explode("styles").alias("n"))
-    styles = _evenness(count(styles.select("host", "page", "n.path", F.col("n.style").alias("value"))), "host", "path")
+    styles = _evenness(_counts(styles.select("host", "page", "n.path", F.col("n.style").alias("value")), "host", "path"), "host", "path")
     styles = styles.select("host", F.col("path").alias("node"), F.when(F.col("m") > 1, F.col("e")).otherwise(1.0).alias("style"))
     # the elements around a path are a function of the path
-    chains = leaves.groupBy("host", "n.path").agg(F.first("n.closed").alias("closed"), F.first("n.above").alias("above"))
-    shapes = chains.select("host", "path", "closed", F.explode_outer("above").alias("node")).join(styles, ["host", "node"], "left")
-    shapes = shapes.groupBy("host", "path").agg(F.first("closed").alias("closed"), F.avg(F.coalesce("style", F.lit(1.0))).alias("style"))
+    chains = leaves.groupBy("host", "n.path").agg(F.first("n.above").alias("above"))
+    shapes = chains.select("host", "path", F.explode_outer("above").alias("node")).join(styles, ["host", "node"], "left")
+    shapes = shapes.groupBy("host", "path").agg(F.avg(F.coalesce("style", F.lit(1.0))).alias("style"))
     own = _evenness(contents, "host", "path").join(shapes, ["host", "path"])
     pooled = _evenness(contents.groupBy("path", "value").agg(F.sum("c").alias("c")), "path").select("path", F.col("m").alias("pages"), F.col("e").alias("all"))
     mine, every = F.least(F.col("m") - 1, F.lit(EVIDENCE)), F.least(F.col("pages") - 1, F.lit(EVIDENCE))
     content = (mine * F.col("e") + every * F.col("all") + 1) / (mine + every + 1)
-    return own.join(pooled, "path").select("host", "path", "closed", "m", (PRESENTATION * F.col("style") + (1 - PRESENTATION) * content).alias("importance"))
+    return own.join(pooled, "path").select("host", "path", (PRESENTATION * F.col("style") + (1 - PRESENTATION) * content).alias("importance"))
+
+
+def branch_importance(parsed: DataFrame) -> DataFrame:
+    """(host, path, importance) of the branches that are presumed to go: the mean worth of shape and text."""
+    parts = parsed.select("host", "page", F.explode("leaves").alias("n")).where("n.shape IS NOT NULL")
+    parts = parts.select("host", "page", "n.path", F.posexplode(F.array("n.content", "n.shape")).alias("what", "value"))
+    c, m = F.col("c").cast("double"), F.col("m")
+    own = _counts(parts, "host", "path", "what").groupBy("host", "path", "what").agg(F.sum(c).alias("m"), (F.sum(c * (c - 1)) / F.sum(c)).alias("same"))
+    own = stored(own, "site-branches")
+    pooled = own.groupBy("path", "what").agg(F.sum(m - 1).alias("beyond"), F.sum("same").alias("all_same"))
+    differ = lambda same, others: F.when(F.col(others) > 0, 1 - F.col(same) / F.col(others)).otherwise(0.0)
+    mine = F.least("others", F.lit(2 * EVIDENCE))
+    every = F.least("beyond", 2 * EVIDENCE - mine)
+    worth = (mine * differ("same", "others") + every * differ("all_same", "beyond")) / (mine + every + 1)
+    own = own.withColumn("others", m - 1)
+    return own.join(pooled, ["path", "what"]).groupBy("host", "path").agg(F.avg(worth).alias("importance"))
 
 
-def cut_nodes(importance: DataFrame) -> DataFrame:
-    """(host, path, by): nodes that leave every page of their host, by the ``tree`` or, where their text varies, by their ``name``."""
-    least = F.when(F.col("closed"), LEAST_CLOSED).otherwise(LEAST)
-    by = F.when(F.col("importance") < least, "tree").when(F.col("closed"), "name")
-    return importance.select("host", "path", by.alias("by")).where("by IS NOT NULL")
+def cut_nodes(leaves: DataFrame, branches: DataFrame) -> DataFrame:
+    """(host, path): leaves and branches that leave every page of their host."""
+    low = leaves.where(F.col("importance") < LEAST).select("host", "path")
+    return low.unionByName(branches.where(F.col("importance") < LEAST_CLOSED).select("host", "path"))
 
 
 def without(parsed: DataFrame, cut: DataFrame) -> DataFrame:
@@ -270,7 +354,7 @@ def without(parsed: DataFrame, cut: DataFrame) -> DataFrame:
     else:
         salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    kept = F.filter("blocks", lambda b: b["article"] | ~F.array_contains(F.coalesce("cut", F.array().cast("array<long>")), b["path"]))
+    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(F.coalesce("cut", F.array().cast("array<long>")), b["nodes"]))
     return joined.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
 
 
@@ -293,7 +377,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     table gives no rows; other columns, whatever their names, are ignored.
     """
     parsed = parsed_pages(pages)
-    text = without(parsed, cut_nodes(node_importance(parsed)))
+    text = without(parsed, cut_nodes(leaf_importance(parsed), branch_importance(parsed)))
     return text.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 

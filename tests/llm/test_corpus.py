@@ -532,6 +532,94 @@ def test_declared_articles_stay_whole_on_any_host(spark):
     assert all(got[500 + k] == f"Plain {k}" for k in range(20))  # where no article is declared, the template still goes
 
 
+def texts(pages):
+    return {r["page_id"]: r["text"] for r in style_tree.extract_text(pages).collect()}
+
+
+def test_without_the_tree_alone_every_page_keeps_its_advert(spark, monkeypatch):
+    """Only the tree is switched off: names, roles and declared articles decide as before."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = texts(pages)
+    monkeypatch.setattr(style_tree, "LEAST", -1.0)
+    monkeypatch.setattr(style_tree, "LEAST_CLOSED", -1.0)
+    without = texts(pages)
+    assert len(got) == 250 and all(without[k].endswith(got[k]) and len(without[k]) > len(got[k]) for k in got)
+
+
+def test_the_tree_overrules_misleading_names(spark):
+    """The same texts where nothing declares an article, a menu or a footer, and articles bear the name of an advert."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = F.col("html")
+    for tag, name in (("article", "social-story"), ("nav", "menu"), ("footer", "footer")):
+        html = F.replace(F.replace(html, F.lit(f"<{tag}>"), F.lit(f'<div class="{name}">')), F.lit(f"</{tag}>"), F.lit("</div>"))
+    got, want = texts(pages.withColumn("html", html)), texts(pages)
+    assert got == want and all(want.values())
+
+
+def test_a_story_beside_a_teaser_stays(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    ads, rows, want = [say(4) for _ in range(60)], [], {}
+    for k in range(60):
+        story = [say(8) for _ in range(rng.randrange(1, 25))]
+        links = "".join(f"<p><a href='/{say(1)}'>{say(3)}</a></p>" for _ in range(rng.randrange(1, 25)))
+        replies = "".join(f"<p>{say(5)}</p>" for _ in range(rng.randrange(1, 25)))
+        page = f"<div class='banner'>{rng.choice(ads)}</div><div class='related'>{links}</div><article><p>Read us every day</p></article>"
+        page += f"<div class='story'>{''.join(f'<p>{t}</p>' for t in story)}<div class='ad'>{rng.choice(ads)}</div></div>"
+        rows.append((k, f"http://s{k % 2}.org/{k}", page + f"<div class='comments'>{replies}</div><div id='responses'>{replies}</div>"))
+        want[k] = "\n".join(["Read us every day", *story])
+    assert texts(page_table(spark, rows)) == want
+    # of a site of one page nothing is known: what lies beside a declared article goes
+    assert texts(page_table(spark, rows[:1])) == {0: "Read us every day"}
+
+
+def test_branches_of_blocks():
+    found = lambda html: [(b.text, b.prose, b.branches) for b in style_tree.read(html)[0] if b.kind == style_tree.CLOSED]
+    assert found("<article>a</article><div><p>b <a>c</a><div class='ad'>d</div></div>") == [("b c", "b", (">div",)), ("d", "d", (">div", ">div>divclass=ad"))]
+    assert found("<div class='ad'><div><p class='promo'>e</div><div class='comments'>f</div></div>") == [("e", "e", (">divclass=ad", ">divclass=ad>div>pclass=promo")), ("f", "", ())]
+    assert found("<article>a</article><div class='responses'>g</div><nav>h</nav>") == [("g", "", ()), ("h", "", ())]
+    assert found("i<button class='ad'><p>j</p></button>") == [("i", "i", ("",))]
+
+
+def test_branches_equal_a_twin_over_pairs_of_pages(spark):
+    rng = random.Random(3)
+    rows = []
+    for k in range(70):
+        host = ["a.org", "a.org", "b.org", f"lone{k}.org"][rng.randrange(4)]
+        box = "".join(f"<p>{rng.randrange(4)} <a>link {k}</a>" for _ in range(rng.randrange(1, 4)))
+        rows.append((k, f"http://{host}/{k}", f"<div class='promo'>{box}<div class='ad'>{rng.randrange(3)}</div></div><article>{k % 50}</article><p>beside {k % 9}"))
+    seen = {}
+    for _, url, html in rows:
+        parts, host = style_tree.read(html)[0], url.split("/")[2]
+        found = defaultdict(list)
+        for b in parts:
+            for p in b.branches:
+                found[p].append(b)
+        seen[host, "\n".join(b.text for b in parts)] = (host, {p: ("\n".join(b.prose for b in of if b.prose), [b.path for b in of]) for p, of in found.items()})
+    at = defaultdict(lambda: defaultdict(list))
+    for host, found in seen.values():
+        for p, pair in found.items():
+            at[p][host].append(pair)
+
+    def differ(values):
+        pairs = [(x, y) for i, x in enumerate(values) for j, y in enumerate(values) if i != j]
+        return sum(x != y for x, y in pairs) / len(pairs) if pairs else 0.0
+
+    want, limit = {}, 2 * style_tree.EVIDENCE
+    for p, hosts in at.items():
+        beyond = sum(len(v) - 1 for v in hosts.values())
+        for host, pairs in hosts.items():
+            mine = min(len(pairs) - 1, limit)
+            every, worth = min(beyond, limit - mine), []
+            for i in (0, 1):
+                pooled = sum((len(v) - 1) * differ([x[i] for x in v]) for v in hosts.values()) / beyond if beyond else 0.0
+                worth.append((mine * differ([x[i] for x in pairs]) + every * pooled) / (mine + every + 1))
+            want[host, style_tree._number(f"{p}#1")] = sum(worth) / 2
+    got = {(r["host"], r["path"]): r["importance"] for r in style_tree.branch_importance(style_tree.parsed_pages(page_table(spark, rows))).collect()}
+    assert set(got) == set(want) and len({p for _, p in want}) == 3
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_intermediates_are_deleted(spark):
     from pathlib import Path
 
