@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -138,16 +142,108 @@ def top_terms(weights: DataFrame, part: str, weight: str, n: int) -> DataFrame:
     return weights.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= n)
 
 
+#: Pairs that a task counts before it packs them, and words that may go to every task.
+PAIRS, WORDS = 4_000_000, 5_000_000
+
+
+def _following(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, first): the place in known of each token of the lists, or -1, and the indices of tokens that, with the next of their list, are both known."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+    ids = pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy().astype(np.int64)
+    both = np.zeros(len(ids), dtype=bool)
+    both[:-1] = (ids[:-1] >= 0) & (ids[1:] >= 0)
+    ends = offsets[1:] - offsets[0]
+    both[ends[ends > 0] - 1] = False
+    return ids, np.flatnonzero(both)
+
+
+def _packed(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending pairs (first id << 32 | second) and their counts, compressed: steps of the first, then the seconds, byte by byte place."""
+    columns = np.stack([np.diff(codes >> 32, prepend=0), codes & 0xFFFFFFFF, counts]).astype("<u4")
+    return len(codes).to_bytes(8, "little") + pa.compress(columns.view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], decompressed_size=12 * n, codec="zstd", asbytes=True), np.uint8)
+    step, second, counts = np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").reshape(3, n).astype(np.int64)
+    return np.cumsum(step) << 32 | second, counts
+
+
+def _summed(codes: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, ascending, with the sums of their counts (1 each without any)."""
+    joined = np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64)
+    if counts is None:
+        return np.unique(joined, return_counts=True)
+    order = np.argsort(joined, kind="stable")
+    joined, weights = joined[order], np.concatenate(counts)[order] if counts else joined
+    starts = np.flatnonzero(np.diff(joined, prepend=-1))
+    return joined[starts], np.add.reduceat(weights, starts) if len(starts) else weights
+
+
 def bigram_scores(docs: DataFrame, tokens: str = "tokens", min_count: int = 10, threshold: float = 20.0) -> DataFrame:
-    """(a, b, n, score) of adjacent pairs: (n - min_count) * types / (n_a * n_b), above the threshold."""
-    words = exploded(docs, tokens).groupBy("term").agg(F.count("*").alias("c"))
+    """(a, b, n, score) of adjacent pairs: (n - min_count) * types / (n_a * n_b), above the threshold.
+
+    Only words of more than min_count occurrences can be in such a pair, and only pairs that reach the threshold where
+    the rarer word never stands elsewhere. These words go to every task and get numbers; a task counts pairs of numbers and sends
+    them sorted and compressed, a few bytes a pair, dealt by the first word. Beyond WORDS such words pairs are joined by the words themselves.
+    """
+    words = cut(exploded(docs, tokens).groupBy("term").agg(F.count("*").alias("c")))
+    types, total = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    often = words.where(F.col("c") > min_count)
+    if often.count() > WORDS:
+        return _joined_scores(docs, words, types, tokens, min_count, threshold)
+    held = often.orderBy(F.desc("c"), "term").toArrow()
+    known, c = held["term"].combine_chunks().cast(pa.string()), held["c"].to_numpy().astype(float)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PAIRS))
+
+    def score(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (n - min_count) * float(types) / c[a] / c[b]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, size = [], 0
+
+        def send() -> pa.RecordBatch:
+            own, counts = _summed(codes)
+            order = np.argsort((own >> 32) % buckets, kind="stable")
+            bucket, starts = np.unique((own[order] >> 32) % buckets, return_index=True)
+            parts = [_packed(own[x], counts[x]) for x in np.split(order, starts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(parts, pa.binary())], names=["bucket", "pairs"])
+
+        for batch in batches:
+            ids, at = _following(batch.column(0), known)
+            a, b = ids[at], ids[at + 1]
+            hope = score(np.minimum(c[a], c[b]), a, b) > threshold
+            codes.append(a[hope] << 32 | b[hope])
+            size += len(codes[-1])
+            if size > PAIRS:
+                yield send()
+                codes, size = [], 0
+        if size:
+            yield send()
+
+    def count(group: pa.Table) -> pa.Table:
+        parts = [_unpacked(p.as_py()) for p in group["pairs"]]
+        codes, n = _summed([x for x, _ in parts], [y for _, y in parts])
+        a, b = codes >> 32, codes & 0xFFFFFFFF
+        kept = n > min_count
+        a, b, n = a[kept], b[kept], n[kept]
+        value = score(n, a, b)
+        kept = value > threshold
+        return pa.table({"a": known.take(pa.array(a[kept])), "b": known.take(pa.array(b[kept])), "n": n[kept], "score": value[kept]})
+
+    rows = docs.select(F.coalesce(tokens, F.array().cast("array<string>"))).mapInArrow(pack, "bucket int, pairs binary")
+    return rows.groupBy("bucket").applyInArrow(count, "a string, b string, n long, score double")
+
+
+def _joined_scores(docs: DataFrame, words: DataFrame, types: int, tokens: str, min_count: int, threshold: float) -> DataFrame:
+    """The same by joins, whatever the number of words."""
     pairs = docs.select(F.explode_outer(F.arrays_zip(F.col(tokens).alias("a"), F.slice(tokens, F.lit(2), F.greatest(F.size(tokens), F.lit(1))).alias("b"))).alias("p"))
     pairs = pairs.select("p.a", "p.b").where("b is not null").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") > min_count)
-    types = words.agg(F.count("*").alias("types"))
     left, right = words.select(F.col("term").alias("a"), F.col("c").alias("ca")), words.select(F.col("term").alias("b"), F.col("c").alias("cb"))
-    scored = pairs.join(left, "a").join(right, "b").crossJoin(F.broadcast(types))
-    score = (F.col("n") - min_count).cast("double") * F.col("types") / F.col("ca") / F.col("cb")
-    return scored.withColumn("score", score).where(F.col("score") > threshold).select("a", "b", "n", "score")
+    score = (F.col("n") - min_count).cast("double") * F.lit(types) / F.col("ca") / F.col("cb")
+    return pairs.join(left, "a").join(right, "b").withColumn("score", score).where(F.col("score") > threshold).select("a", "b", "n", "score")
 
 
 def _fold(row, known):
@@ -164,6 +260,26 @@ def _fold(row, known):
     return out
 
 
+def _with_phrases(lists: pa.Array, known: pa.Array, codes: np.ndarray) -> pa.Array:
+    """Lists of tokens with the pairs in codes (ascending, places in known) joined: of a run of overlapping pairs, every other one from the first."""
+    ids, at = _following(lists, known)
+    wanted = ids[at] << 32 | ids[at + 1]
+    if not len(at) or not len(codes):
+        return lists
+    at = at[codes[np.minimum(np.searchsorted(codes, wanted), len(codes) - 1)] == wanted]
+    first = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    run = np.repeat(first, np.diff(first, append=len(at)))
+    at = at[(np.arange(len(at)) - run) % 2 == 0]
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    values = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
+    joined = pc.binary_join_element_wise(values.take(pa.array(at)), values.take(pa.array(at + 1)), "_")
+    source, stays = np.arange(len(values)), np.ones(len(values), dtype=bool)
+    source[at], stays[at + 1] = len(values) + np.arange(len(at)), False
+    before = np.append(0, np.cumsum(stays))
+    ends = pa.array(before[offsets - offsets[0]].astype(np.int32))
+    return pa.ListArray.from_arrays(ends, pa.concat_arrays([values, joined]).take(pa.array(source[stays])), type=lists.type, mask=lists.is_null() if lists.null_count else None)
+
+
 def apply_phrases(tokens: Column, phrases: Iterable[tuple[str, str]]) -> Column:
     """Joins phrase pairs from left to right, each token at most once; the phrase set is a fitted model."""
     known = frozenset(phrases)
@@ -180,17 +296,26 @@ def learn_phrases(docs: DataFrame, tokens: str = "tokens", min_count: int = 10,
     return bigram_scores(docs, tokens, min_count, threshold).select("a", "b")
 
 
-def join_phrases(docs: DataFrame, phrases: DataFrame, tokens: str = "tokens", key: str = "doc_id", small: int = 200_000) -> DataFrame:
+def join_phrases(docs: DataFrame, phrases: DataFrame, tokens: str = "tokens", key: str = "doc_id", small: int = 2_000_000) -> DataFrame:
     """docs with phrase pairs (a, b) joined as by apply_phrases, whatever the number of phrases.
 
-    Up to ``small`` phrases go to every task as a set. More are joined to the
+    Up to ``small`` phrases go to every task, as their words and a number a pair. More are joined to the
     distinct adjacent pairs of each key, and a row is folded with the phrases of its
     key; those of other rows of a repeated key are phrases too, so they do no harm.
     """
     phrases = phrases.select("a", "b")
-    few = phrases.limit(small + 1).collect()
-    if len(few) <= small:
-        return docs.withColumn(tokens, apply_phrases(F.col(tokens), [(r["a"], r["b"]) for r in few]))
+    few = phrases.limit(small + 1).toArrow()
+    if few.num_rows <= small:
+        a, b = (few[x].combine_chunks().cast(pa.string()) for x in ("a", "b"))
+        known = pc.unique(pa.concat_arrays([a, b]))
+        codes = np.unique(pc.index_in(a, value_set=known).to_numpy().astype(np.int64) << 32 | pc.index_in(b, value_set=known).to_numpy().astype(np.int64))
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.schema.get_field_index(tokens)
+                yield batch.set_column(at, batch.schema.field(at), _with_phrases(batch.column(at), known, codes))
+
+        return docs.mapInArrow(join, docs.schema)
 
     @F.pandas_udf("array<string>")
     def fold(rows: pd.Series, own: pd.Series) -> pd.Series:

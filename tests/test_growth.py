@@ -97,6 +97,45 @@ def test_class_terms_are_counted_from_one_reading(spark):
     assert V.class_tfidf(docs, "topic", longest=2, least=2).count() == 6 and seen.value == 2
 
 
+def pair_lists():
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(30)]
+    lists = [[rng.choice(words[: rng.choice((3, 30))]) for _ in range(rng.randrange(0, 40))] for _ in range(60)]
+    return [*lists, None, [], ["w0"], ["once", "w1", "w2", "w1", "w2", "w1"], ["w1"] * 7]
+
+
+@pytest.mark.parametrize(("pairs", "words"), [(4_000_000, 5_000_000), (50, 5_000_000), (50, 3)])
+def test_pairs_are_counted_as_numbers(spark, monkeypatch, pairs, words):
+    """Scores as by plain counts, whatever is packed at once; pairs cross an exchange as packed numbers, not as two words a row."""
+    monkeypatch.setattr(V, "PAIRS", pairs)
+    monkeypatch.setattr(V, "WORDS", words)
+    lists = pair_lists()
+    c, n = {}, {}
+    for t in lists:
+        for w in t or []:
+            c[w] = c.get(w, 0) + 1
+        for p in zip(t or [], (t or [])[1:], strict=False):
+            n[p] = n.get(p, 0) + 1
+    want = {p: (m, float(m - 3) * len(c) / c[p[0]] / c[p[1]]) for p, m in n.items() if m > 3}
+    want = {p: v for p, v in want.items() if v[1] > 0.01}
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(lists)], "doc_id long, tokens array<string>").repartition(5)
+    out = V.bigram_scores(docs, min_count=3, threshold=0.01)
+    assert {(r.a, r.b): (r.n, r.score) for r in out.collect()} == want and len(want) > 20
+    if words > 3:
+        assert "explode" not in plan(out) and "pairs" in plan(out)
+
+
+@pytest.mark.parametrize("small", [2_000_000, 2])
+def test_phrases_are_joined_as_by_the_plain_loop(spark, small):
+    lists = pair_lists()
+    phrases = {("w1", "w1"), ("w1", "w2"), ("w2", "w1"), ("w0", "w1"), ("w2", "w0"), ("w9", "absent")}
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(lists)], "doc_id long, tokens array<string>").repartition(3)
+    got = V.join_phrases(docs, spark.createDataFrame(sorted(phrases), "a string, b string"), small=small)
+    assert {r.doc_id: r.tokens for r in got.collect()} == {k: V._fold(t, phrases) for k, t in enumerate(lists)}
+    none = V.join_phrases(docs, spark.createDataFrame([], "a string, b string"), small=small)
+    assert {r.doc_id: r.tokens for r in none.collect()} == dict(enumerate(lists))
+
+
 def test_batches_are_multiplied_in_pieces():
     sizes = [5, None, 40_000, 3, 30_000, 0]
     lists = pa.array([None if n is None else list(range(n)) for n in sizes], pa.list_(pa.int32()))
