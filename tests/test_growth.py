@@ -136,6 +136,29 @@ def test_phrases_are_joined_as_by_the_plain_loop(spark, small):
     assert {r.doc_id: r.tokens for r in none.collect()} == dict(enumerate(lists))
 
 
+def test_bags_of_rows_are_counted_where_the_rows_are(spark):
+    """Documents with ids of their own: no exchange, and what the joins give; repeated or null ids still meet."""
+    from tessera.operators import topic_stack
+
+    lists = pair_lists()
+    apart = spark.createDataFrame([(k, t) for k, t in enumerate(lists)], "doc_id long, tokens array<string>").repartition(3)
+    vocab = V.dictionary(V.document_frequency(apart), len(lists), no_below=2)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(V.row_frequency(apart)) == rows(V.document_frequency(apart))
+    out = topic_stack.bags(apart, vocab)
+    executed = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in executed and "Aggregate" not in executed and "Join" not in executed
+    ids, want = {r.term: r.term_id for r in vocab.collect()}, {}
+    for k, t in enumerate(lists):
+        known = [ids[w] for w in t or [] if w in ids]
+        want[k] = (sorted(set(known)), [known.count(w) for w in sorted(set(known))]) if known else (None, None)
+    assert {r.doc_id: (r.terms, r.counts) for r in out.collect()} == want
+    again = spark.createDataFrame([(1, ["w1", "w2"]), (1, ["w2"]), (None, ["w1"])], "doc_id long, tokens array<string>")
+    assert not V.apart(again) and not V.apart(again.where("doc_id IS NULL")) and V.apart(apart)
+    two = spark.createDataFrame([("w1", 0), ("w2", 1)], "term string, term_id long")
+    assert rows(topic_stack.bags(again, two)) == rows(spark.createDataFrame([(1, [0, 1], [1, 2]), (1, [0, 1], [1, 2]), (None, None, None)], "doc_id long, terms array<long>, counts array<long>"))
+
+
 def test_batches_are_multiplied_in_pieces():
     sizes = [5, None, 40_000, 3, 30_000, 0]
     lists = pa.array([None if n is None else list(range(n)) for n in sizes], pa.list_(pa.int32()))
